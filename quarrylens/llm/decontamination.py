@@ -23,6 +23,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
     return spark.createDataFrame([], HITS) if out is None else out
 
 
+def _is_clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value)
+        for texts in batches:
+            yield pd.Series([not matcher.match(t) for t in texts], dtype=bool)
+
+    return clean
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item, decided on the row's own text; all columns stay.
 
@@ -172,14 +183,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     out = docs
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def clean(batches: Iterator, shared=shared) -> Iterator:
-            import pandas as pd
-
-            matcher = Matcher(shared.value)
-            for texts in batches:
-                yield pd.Series([not matcher.match(t) for t in texts], dtype=bool)
-
-        out = out.where(F.pandas_udf(clean, "boolean")(F.col("text")))
+        out = out.where(_is_clean(spark.sparkContext.broadcast(items))(F.col("text")))
     return out.select(*names)

@@ -131,7 +131,7 @@ def chunk_ids(path: str):
         except KeyError:
             if len(cache) > CACHE:
                 cache.clear()
-            new = list(set(chunks) - cache.keys())
+            new = [chunk for chunk in set(chunks) if chunk not in cache]
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 for chunk, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
