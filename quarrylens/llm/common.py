@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,12 @@ def pieces(m: Column) -> Column:
 
 def plain(piece: Column) -> Column:
     return F.replace(piece, F.lit(ESCAPE), F.lit(MARK))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under the checkpoint folder, and read again: for wide rows that are read more than once."""
+    spark = df.sparkSession
+    checkpoint(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
