@@ -17,7 +17,8 @@ number of documents.
 
 The tokeniser sees each chunk between blanks once per worker: no token spans a blank,
 special strings hold none, and normalisation does not reach over one, so the ids of a
-text are those of its chunks in order. The cache is cleared at ``CACHE`` chunks.
+text are those of its chunks in order. Chunks in Latin letters are made from their lower-case words. The
+caches of chunks and of words are cleared at ``CACHE`` entries each.
 
 Defined results: null text is empty and yields the closing id alone; repeated rows are
 packed each; an empty table gives an empty result; other columns are ignored.
@@ -25,7 +26,8 @@ packed each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ from .common import checkpoint
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 300_000
+CACHE = 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -113,30 +115,70 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+@functools.cache
 def chunk_ids(path: str):
-    """A function from a text to its ids as little-endian uint32 bytes."""
-    import os
-
+    """A function from a text to its ids as little-endian uint32 bytes. Kept for the life of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    blanks = re.compile("[ \n\t\r]+")
-    cache: dict[str, bytes] = {}
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # For single lower-case words there is nothing to normalise or to split.
+    bare.normalizer = None
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+    fence, fence_id = (added[-1], tokenizer.token_to_id(added[-1])) if added else ("", -1)
+    begins = {t.content[0] for t in tokenizer.get_added_tokens_decoder().values()}
+    chunks_of: dict[str, bytes] = {"": b""}
+    words_of: dict[str, bytes] = {}
+
+    def encoded(texts: list[str], how: Tokenizer) -> Iterator[bytes]:
+        """The ids of each text; a special token between them keeps them apart in one call."""
+        if not fence:
+            for e in how.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4").tobytes()
+            return
+        for at in range(0, len(texts), 128):
+            got = np.array(how.encode_batch_fast([fence.join(texts[at : at + 128])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(got == fence_id)).tolist()
+            data = got.tobytes()
+            for x, y in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True):
+                yield data[x:y]
+
+    def learn(chunks: set[str]) -> None:
+        """Chunks of Latin letters, with a comma or stop behind them or not, are made from their words; others are encoded whole."""
+        simple, other, new = [], [], set()
+        for chunk in chunks:
+            word, tail = chunk.lower(), ""
+            if not word.isalpha() and word[-1] in ",.":
+                word, tail = word[:-1], word[-1]
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                simple.append((chunk, word, tail))
+                if word not in words_of:
+                    new.add(word)
+            else:
+                other.append(chunk)
+        fresh = [*new, *(t for t in ",." if t not in words_of)]
+        words_of.update(zip(fresh, encoded(fresh, bare), strict=True))
+        for chunk, word, tail in simple:
+            chunks_of[chunk] = words_of[word] + words_of[tail] if tail else words_of[word]
+        plain = [c for c in other if begins.isdisjoint(c)]
+        chunks_of.update(zip(plain, encoded(plain, tokenizer), strict=True))
+        for chunk in other:
+            if not begins.isdisjoint(chunk):  # it may hold a special token
+                chunks_of[chunk] = np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(text: str) -> bytes:
-        chunks = blanks.split(text)
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
-            return b"".join(map(cache.__getitem__, chunks))
+            return b"".join(map(chunks_of.__getitem__, chunks))
         except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            new = [chunk for chunk in set(chunks) if chunk not in cache]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(cache.__getitem__, chunks))
+            if len(chunks_of) > CACHE:
+                chunks_of.clear()
+                chunks_of[""] = b""
+            if len(words_of) > CACHE:
+                words_of.clear()
+            learn({c for c in chunks if c not in chunks_of})
+            return b"".join(map(chunks_of.__getitem__, chunks))
 
     return ids
 
