@@ -33,55 +33,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import checkpoint, partitions, stored
 from .components import components
 
 GRAM = 5
 HOT = 16
 HOT_TABLE = 1_000_000
-WORD_CACHE = 400_000
 FLUSH = 2_000_000
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 512
 BROADCAST_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
-
-
-def shingler():
-    """text -> sorted distinct 64-bit shingle hashes."""
-    cache = _Words()
-
-    def mixed(h: np.ndarray) -> np.ndarray:
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        return h
-
-    def shingles(text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        n = len(words)
-        if not n:
-            return np.empty(0, np.uint64)
-        if len(cache) > WORD_CACHE:
-            cache.clear()
-        w = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-        width = min(n, GRAM)
-        h = np.full(n - width + 1, width, np.uint64)
-        for i in range(width):
-            h = mixed(h * _MULTIPLIER + w[i : n - width + 1 + i])
-        return np.unique(h)
-
-    return shingles
+_NONSPACE = np.ones(256, bool)
+_NONSPACE[[32, *range(9, 14)]] = False
+#: A number for each byte, A-Z sharing those of a-z.
+_BYTES = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_SLICE = 1 << 21
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class Shingler:
+    """Sorted distinct 64-bit shingle hashes of texts, a slice of an Arrow column at a time."""
+
+    def __init__(self):
+        self.powers = np.ones(1, np.uint64)
+
+    def _power(self, n: int) -> np.ndarray:
+        while len(self.powers) < n:
+            step = np.multiply.accumulate(np.full(len(self.powers), _MULTIPLIER, np.uint64))[-1]
+            self.powers = np.concatenate([self.powers, self.powers * step])
+        return self.powers
+
+    def _words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each word, and how many words precede each start. starts: where texts begin in data, from 0."""
+        if len(starts) == 1 and len(data) > 2 * _SLICE:  # a very long text: slices cut at white space
+            cuts, at = [], 0
+            while at < len(data):
+                spaces = np.flatnonzero(~_NONSPACE[data[at + _SLICE : at + 2 * _SLICE]])
+                end = at + _SLICE + int(spaces[0]) if len(spaces) else len(data)
+                cuts.append((at, end))
+                at = end
+            if len(cuts) > 1:
+                return np.concatenate([self._words(data[x:y], starts)[0] for x, y in cuts]), np.zeros(1, np.int64)
+        at = np.flatnonzero(_NONSPACE[data])
+        if not len(at):
+            return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
+        first = np.ones(len(at), bool)
+        first[1:] = np.diff(at) != 1
+        begin = np.searchsorted(at, starts)
+        first[begin[begin < len(at)]] = True
+        word = np.flatnonzero(first)
+        sizes = np.diff(np.append(word, len(at)))
+        place = np.arange(len(at)) - np.repeat(word, sizes)
+        h = np.add.reduceat(_BYTES[data[at]] * self._power(int(sizes.max()))[place], word)
+        return _mixed(h + sizes.astype(np.uint64) * _MULTIPLIER), np.searchsorted(word, begin)
+
+    def _slice(self, data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        w, first = self._words(data, starts)
+        n = len(w)
+        grams = np.full(max(0, n - GRAM + 1), GRAM, np.uint64)
+        for i in range(GRAM):
+            grams = _mixed(grams * _MULTIPLIER + w[i : n - GRAM + 1 + i]) if len(grams) else grams
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+            if b - a >= GRAM:
+                s = np.sort(grams[a : b - GRAM + 1])
+                keep = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=keep[1:])
+                yield s[keep]
+            elif b > a:
+                h = np.full(1, b - a, np.uint64)
+                for x in w[a:b]:
+                    h = _mixed(h * _MULTIPLIER + x)
+                yield h
+            else:
+                yield np.empty(0, np.uint64)
+
+    def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        if not len(column):
+            return
+        _, where, data = column.buffers()
+        where = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(where, where[i] + _SLICE, "right")) - 1)
+            j = min(j, len(column))
+            yield from self._slice(data[where[i] : where[j]], where[i:j] - where[i])
+            i = j
 
 
 def prefix_length(n: int) -> int:
@@ -116,11 +167,6 @@ class Order:
         return cold, rest[by[: p - len(cold)]]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
-    for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True)
-
-
 def _out(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
@@ -147,7 +193,7 @@ def hot_order(texts: DataFrame, hot: int = HOT, table: int = HOT_TABLE) -> Order
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        shingles, packer = shingler(), zstandard.ZstdCompressor(1)
+        shingler, packer = Shingler(), zstandard.ZstdCompressor(1)
         parts, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
@@ -160,8 +206,7 @@ def hot_order(texts: DataFrame, hot: int = HOT, table: int = HOT_TABLE) -> Order
                 payload.append(packer.compress(np.diff(rest, prepend=np.uint32(0)).astype(np.uint32).tobytes() + np.minimum(n[a:b], 2**32 - 1).astype(np.uint32).tobytes()))
             return _out(_COUNTS, bucket[cuts].astype(np.int32), payload)
 
-        for _, text in _rows(batches):
-            s = shingles(text)
+        for s in (s for batch in batches for s in shingler.sets(batch.column(1))):
             key = digest(s)
             if not len(s) or key in seen:
                 continue
@@ -204,11 +249,10 @@ def features(texts: DataFrame, order) -> DataFrame:
     """doc, n, d1, d2 (digest of the shingle set), hot (hot n-grams of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler()
+        shingler = Shingler()
         for batch in batches:
             out: list[list] = [[] for _ in _FEATURES]
-            for doc, text in _rows([batch]):
-                s = shingles(text)
+            for doc, s in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
                 hot = order.value.prefix(s)[1].view(np.int64).tolist() if len(s) else []
                 for column, value in zip(out, (doc, len(s), *digest(s), hot), strict=True):
                     column.append(value)
@@ -224,11 +268,10 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = shingler(), set()
+        shingler, seen = Shingler(), set()
         for batch in batches:
             tokens, docs, sizes = [], [], []
-            for doc, text in _rows([batch]):
-                s = shingles(text)
+            for doc, s in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
                 if not len(s) or doc is None or (key := digest(s)) in seen:
                     continue
                 seen.add(key)
@@ -275,40 +318,39 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
     return columns.mapInArrow(multiply, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b that link, by the overlap of their whole sets (doc, s)."""
+def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b that link, by the overlap of the whole sets of their texts (doc, text).
+
+    The text of b travels with the pair, that of a meets it; pairs of one a come together, so its set is made once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            begins = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.empty(0, np.int64)
+            own = list(shingler.sets(batch.column(2).take(pa.array(begins))))
+            of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(a)))).tolist()
+            keep = np.zeros(len(a), bool)
+            for i, y in enumerate(shingler.sets(batch.column(3))):
+                x = own[of[i]]
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= 75 * (len(x) + len(y) - shared))
-            keep = np.array(keep, bool)
+                keep[i] = 100 * shared >= 75 * (len(x) + len(y) - shared)
             yield _out(_EDGE, a[keep], b[keep])
 
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-    return left.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    return right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, s (sorted hashes as bytes) for the documents in ids (doc), each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler()
-        for batch in batches:
-            yield _out([("doc", pa.int64()), ("s", pa.binary())], batch.column(0), [shingles(t.as_py()).tobytes() for t in batch.column(1)])
-
-    # Ids alone are broadcast, and only if few: 8 bytes each.
+def candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc, text of the documents in ids (doc), stored. Ids alone are broadcast, and only if few: 8 bytes each."""
     few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["doc"], "left_semi").mapInArrow(run, "doc long, s binary")
+    return stored(texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"))
 
 
-def block_links(group: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(group: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between documents of different components in each group.
 
     group: doc, n, comp, s (its group). Documents outside the largest component of a group
@@ -320,18 +362,20 @@ def block_links(group: DataFrame, sets: DataFrame) -> DataFrame:
     rows = group.join(main, "s").withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("rare", F.col("comp") != F.col("main"))
     per = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("band") + 1))))
     blocks = checkpoint(rows.groupBy("s", "band").agg(F.ceil(F.count("*") / F.first(per)).cast("int").alias("all"), F.ceil(F.sum(F.col("rare").cast("int")) / F.first(per)).cast("int").alias("few")))
-    placed = rows.join(blocks, ["s", "band"]).join(sets, "doc")
+    placed = rows.join(blocks, ["s", "band"]).join(texts, "doc")
     hashed = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     # As one of the rare it meets every block of all around its band; as one of all, every block of the rare.
     other = blocks.select("s", F.col("band").alias("oband"), F.col("all").alias("oall"), F.col("few").alias("ofew"))
     near = placed.join(other, "s").where(F.abs(F.col("band") - F.col("oband")) <= 1)
-    as_rare = near.where("rare").select("s", F.col("band").alias("rb"), hashed(F.col("few")).alias("ri"), F.col("oband").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("oall") - 1)).alias("ai"), F.lit(True).alias("r"), "doc", "comp", F.col("bytes"))
-    as_all = near.where("ofew > 0").select("s", F.col("oband").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("ofew") - 1)).alias("ri"), F.col("band").alias("ab"), hashed(F.col("all")).alias("ai"), F.lit(False).alias("r"), "doc", "comp", F.col("bytes"))
+    as_rare = near.where("rare").select("s", F.col("band").alias("rb"), hashed(F.col("few")).alias("ri"), F.col("oband").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("oall") - 1)).alias("ai"), F.lit(True).alias("r"), "doc", "comp", "text")
+    as_all = near.where("ofew > 0").select("s", F.col("oband").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("ofew") - 1)).alias("ri"), F.col("band").alias("ab"), hashed(F.col("all")).alias("ai"), F.lit(False).alias("r"), "doc", "comp", "text")
 
     def multiply(table: pa.Table) -> pa.Table:
+        shingler = Shingler()
+
         def side(r: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
             t = table.filter(pa.array(table.column("r").to_numpy() == r))
-            return t.column("doc").to_numpy(), t.column("comp").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t.column("bytes")]
+            return t.column("doc").to_numpy(), t.column("comp").to_numpy(), [s for part in t.column("text").chunks for s in shingler.sets(part)]
 
         (da, ca, sa), (db, cb, sb) = side(True), side(False)
         if not len(da) or not len(db):
@@ -390,8 +434,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     stars = hot.join(centre, "g").where("doc <> c.doc and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
     first = checkpoint(cold.where("star").select("a", "b").union(stars).distinct())
     needed = checkpoint(cold.select(F.col("a").alias("doc")).union(cold.select("b")).union(hot.select("doc")).distinct())
-    sets = checkpoint(shingle_sets(texts, needed).dropDuplicates(["doc"]))
-    links = checkpoint(overlaps(first, sets))
+    own = candidates(texts, needed)
+    links = checkpoint(overlaps(first, own))
     label = components(links)
 
     def current(rows: DataFrame, of: str, to: str) -> DataFrame:
@@ -401,13 +445,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     columns = checkpoint(current(hot, "doc", "comp"))
     mixed = columns.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
     open_rows = checkpoint(columns.join(mixed, "g").select("g", "doc", "n", "comp"))
-    more = [overlaps(left, sets)]
+    more = [overlaps(left, own)]
     if not open_rows.isEmpty():
         # n-grams are nodes beside the documents; their least document names the group.
         least = open_rows.groupBy("g").agg(F.min("doc").alias("m"))
         group = components(open_rows.join(least, "g").select(F.col("doc").alias("a"), F.col("m").alias("b")))
         rows = open_rows.select("doc", "n", "comp").distinct().join(group.select(F.col("node").alias("doc"), F.col("label").alias("s")), "doc")
-        more.append(block_links(rows, sets.withColumnRenamed("s", "bytes")))
+        more.append(block_links(rows, own))
     rest = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     final = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     done = member.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left")
