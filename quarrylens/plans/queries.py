@@ -1,4 +1,338 @@
-"""Queries by operator, and their SQL twins."""
+"""Queries by operator over the driver's tables, and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Names start with the inventory's identifiers of the operators that they run.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT
+from ..functions import measures, paths
+from ..operators import folders, history, signals
+from ..sources.tables import FACTS_SQL, TableFacts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, facts: bool = True):
+    """Registers a function of TableFacts under its name, with its SQL twin after the common facts."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(TableFacts(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = (f"WITH RECURSIVE {FACTS_SQL},\n{sql.strip()}" if sql.strip().startswith("--cte") is False and facts else sql).replace("--cte", "")
+        return f
+
+    return register
+
+
+def select(sql: str) -> str:
+    """A statement after the facts without tables of its own."""
+    return f"one AS (SELECT 1)\n{sql}"
+
+
+def log(t: TableFacts) -> DataFrame:
+    return history.log(t.changes, t.commits)
+
+
+def bulk(t: TableFacts) -> int:
+    return history.bulk_limit(t.files.count())
+
+
+# -- history ---------------------------------------------------------------------
+
+HIST = """
+h AS (SELECT fid, count(*) AS commits, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted, sum(added + deleted)::BIGINT AS churn, min(t) AS first_t, max(t) AS last_t,
+    sum((is_fix AND NOT is_revert)::INT)::BIGINT AS fixes, sum(is_revert::INT)::BIGINT AS reverts,
+    arg_max(author, {'a': -t, 'b': commit_id}) AS first_author, arg_max(author, {'a': t, 'b': commit_id}) AS last_author, arg_max(subject, {'a': t, 'b': commit_id}) AS last_subject
+    FROM cc GROUP BY fid),
+fa AS (SELECT fid, author, sum(added)::BIGINT AS lines, max(t) AS last_t FROM cc GROUP BY 1, 2),
+ow0 AS (SELECT fid, author, lines, row_number() OVER w AS n, sum(lines) OVER (w ROWS UNBOUNDED PRECEDING) AS run, sum(lines) OVER (PARTITION BY fid) AS total FROM fa WINDOW w AS (PARTITION BY fid ORDER BY lines DESC, author DESC)),
+ow AS (SELECT fid, max(author) FILTER (n = 1) AS primary_author, max(lines) / max(total) AS share, count(*) AS authors, min(n) FILTER (run * 2 >= total) AS bus_factor FROM ow0 GROUP BY fid),
+act AS (SELECT fid, least(23, floor((head - t) / 2592000.0))::INT AS bucket, count(*) AS commits FROM cc, head GROUP BY 1, 2),
+heat AS (SELECT fid, sum((added + deleted) * pow(0.5, (head - t) / 86400.0 / 30.0)) AS recent_churn FROM cc, head GROUP BY 1),
+sizes AS (SELECT commit_id, count(*) AS entries FROM changes GROUP BY 1),
+lim AS (SELECT greatest(8, least(floor(count(*) * 0.2), 200)) AS bulk FROM part),
+small AS (SELECT c.* FROM changes c JOIN sizes USING (commit_id), lim WHERE entries <= bulk),
+cp AS (SELECT x.fid AS a, y.fid AS b, count(*) AS n FROM small x JOIN small y ON x.commit_id = y.commit_id AND x.fid < y.fid GROUP BY 1, 2),
+tr AS (SELECT fid, sum(CASE WHEN bucket < 3 THEN commits ELSE 0 END)::BIGINT AS recent, sum(CASE WHEN bucket >= 3 AND bucket < 6 THEN commits ELSE 0 END)::BIGINT AS before FROM act GROUP BY fid),
+deg AS (SELECT coalesce(i.fid, o.fid) AS fid, coalesce(in_degree, 0)::BIGINT AS in_degree, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out
+    FROM (SELECT dst AS fid, sum(mult) AS in_degree, count(*) AS fan_in FROM imports GROUP BY 1) i FULL JOIN (SELECT src AS fid, count(*) AS fan_out FROM imports GROUP BY 1) o ON i.fid = o.fid)
+"""
+
+
+@query(HIST + "SELECT * FROM h")
+def a1_a2_file_history(t: TableFacts) -> DataFrame:
+    return history.file_history(log(t))
+
+
+@query(HIST + "SELECT author, sum(lines)::BIGINT AS lines, count(DISTINCT fid) AS files, max(last_t) AS last_t FROM fa GROUP BY author")
+def a3_a14_author_totals(t: TableFacts) -> DataFrame:
+    return history.author_totals(history.file_authors(log(t)))
+
+
+@query(HIST + "SELECT * FROM ow")
+def a4_a5_a11_ownership(t: TableFacts) -> DataFrame:
+    return history.ownership(history.file_authors(log(t)))
+
+
+@query(HIST + """, e AS (SELECT commit_id, entries, t, author, is_fix AND NOT is_revert AS is_fix, is_revert FROM sizes JOIN (SELECT commit_id, epoch(ts) AS t, author, subject ~* 'fix|bug' AS is_fix, subject LIKE 'revert%' AS is_revert FROM commits) USING (commit_id))
+SELECT count(*) AS commits, sum((entries > bulk)::INT)::BIGINT AS bulk, sum((entries <= bulk)::INT)::BIGINT AS eligible, max(entries) FILTER (entries <= bulk) AS max_eligible,
+    count(DISTINCT floor(t / 86400)) AS active_dates, sum(is_fix::INT)::BIGINT AS fixes, sum(is_revert::INT)::BIGINT AS reverts, min(t) AS first_t, max(t) AS last_t, count(DISTINCT author) AS authors FROM e, lim""")
+def a6_repo_stats(t: TableFacts) -> DataFrame:
+    return history.repo_stats(log(t), bulk(t))
+
+
+@query(HIST + "SELECT * FROM act")
+def a7_activity(t: TableFacts) -> DataFrame:
+    return history.activity(log(t))
+
+
+@query(HIST + "SELECT fid, round(recent_churn, 4) AS recent_churn FROM heat")
+def a8_recent_churn(t: TableFacts) -> DataFrame:
+    return history.recent_churn(log(t)).withColumn("recent_churn", F.round("recent_churn", 4))
+
+
+@query(HIST + "SELECT DISTINCT fid, author, floor((head - t) / 2592000.0)::INT AS bucket FROM cc, head WHERE floor((head - t) / 2592000.0) < 24")
+def a9_author_buckets(t: TableFacts) -> DataFrame:
+    return history.author_buckets(log(t))
+
+
+@query(HIST + "SELECT * FROM cp")
+def a10_j5_coupling(t: TableFacts) -> DataFrame:
+    return history.coupling(t.changes, bulk(t))
+
+
+@query(HIST + "SELECT commit_id, is_fix AND NOT is_revert AS is_fix, is_revert FROM (SELECT DISTINCT commit_id, is_fix, is_revert FROM cc)")
+def pr18_commit_kinds(t: TableFacts) -> DataFrame:
+    return log(t).select("commit_id", "is_fix", "is_revert").distinct()
+
+
+@query(HIST + "SELECT fid, recent, before, CASE WHEN recent >= 2 AND recent >= before * 1.5 + 1 THEN 1 WHEN before >= 2 AND recent * 2 <= before THEN -1 ELSE 0 END AS trend FROM tr")
+def w15_trend(t: TableFacts) -> DataFrame:
+    return history.trend(history.activity(log(t)))
+
+
+ERA = """, ag AS (SELECT fid, greatest(0, (max(last_t) OVER () - first_t) / 86400.0) AS age_days, (max(last_t) OVER () - min(first_t) OVER ()) / 86400.0 AS life, count(*) OVER () AS n FROM h),
+agr AS (SELECT *, row_number() OVER (ORDER BY age_days, fid) - 1 AS p FROM ag)
+"""
+
+
+@query(HIST + ERA + "SELECT fid, age_days, age_days <= greatest(30.0, life * 0.1) AS is_new, CASE WHEN p < greatest(1, n // 3) THEN 'new' WHEN p < 2 * greatest(1, n // 3) THEN 'mid' ELSE 'old' END AS era FROM agr")
+def w4_pr12_pr13_eras(t: TableFacts) -> DataFrame:
+    return history.eras(history.file_history(log(t)))
+
+
+@query(HIST + """, e AS (SELECT commit_id, entries, t, author, is_fix AND NOT is_revert AS is_fix FROM sizes JOIN (SELECT DISTINCT commit_id, t, author, is_fix, is_revert FROM cc) USING (commit_id))
+SELECT count(DISTINCT author) >= 2 AS authorship, count(DISTINCT floor(t / 86400)) >= 3 AS recency, count(*) >= 5 AND max(entries) FILTER (entries <= bulk) >= 2 AS churn,
+    (SELECT count(*) > 0 FROM cp) AS coupling, (SELECT count(DISTINCT floor(first_t / 86400)) >= 2 FROM h) AS age, count(*) FILTER (is_fix) >= 1 AS defects FROM e, lim GROUP BY bulk""")
+def r1_flags(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    limit = bulk(t)
+    return history.flags(history.repo_stats(rows, limit), history.file_history(rows), history.coupling(t.changes, limit))
+
+
+# -- signals of files --------------------------------------------------------------
+
+HOT = HIST + """,
+hc AS (SELECT f.fid, f.rel, f.loc, coalesce(h.commits, 0) AS commits FROM files f LEFT JOIN h USING (fid)),
+hr AS (SELECT *, CASE WHEN commits > 0 THEN cume_dist() OVER (PARTITION BY commits > 0 ORDER BY commits) ELSE 0 END AS cpct, CASE WHEN loc > 0 THEN cume_dist() OVER (PARTITION BY loc > 0 ORDER BY loc) ELSE 0 END AS size_pct FROM hc),
+hs AS (SELECT *, cpct * size_pct AS hotspot, greatest(1, round_even(count(*) OVER () * 0.05, 0)) AS cut FROM hr),
+hot AS (SELECT *, row_number() OVER (ORDER BY hotspot DESC, commits DESC, rel) AS hotspot_rank FROM hs WHERE hotspot > 0)
+"""
+
+
+@query(HOT + "SELECT fid, commits, loc, size_pct, hotspot, hotspot_rank, hotspot_rank <= cut AS is_hotspot FROM hot")
+def w6_hotspots(t: TableFacts) -> DataFrame:
+    return signals.hotspots(t.files, history.file_history(log(t)))
+
+
+@query(HOT + "SELECT fid, loc, size_pct, size_pct >= 0.95 AND loc >= 40 AS is_oversized FROM hr")
+def w1_w7_oversized(t: TableFacts) -> DataFrame:
+    return signals.oversized(t.files, least_loc=40)
+
+
+@query(HIST + ", b AS (SELECT fid, commits, fixes, fixes / commits AS fix_ratio FROM h WHERE commits >= 5), r AS (SELECT *, CASE WHEN fix_ratio > 0 THEN cume_dist() OVER (PARTITION BY fix_ratio > 0 ORDER BY fix_ratio) ELSE 0 END AS p FROM b) SELECT fid, commits, fixes, fix_ratio FROM r WHERE p >= 0.9 AND fixes >= 2 AND fix_ratio >= 0.3")
+def w8_defects(t: TableFacts) -> DataFrame:
+    return signals.defects(history.file_history(log(t)))
+
+
+@query(HIST + ", b AS (SELECT fid, rel, fixes, fixes / commits AS fix_ratio, (SELECT greatest(1, round_even(count(*) * 0.05, 0)) FROM files) AS cut FROM h JOIN files USING (fid) WHERE fixes >= 2 AND fixes / commits >= 0.25), r AS (SELECT *, row_number() OVER (ORDER BY fixes DESC, fix_ratio DESC, rel) AS rank FROM b) SELECT fid, fixes, fix_ratio, rank FROM r WHERE rank <= cut")
+def w9_bugprone(t: TableFacts) -> DataFrame:
+    return signals.bugprone(t.files, history.file_history(log(t)))
+
+
+@query(HIST + ", r AS (SELECT *, CASE WHEN in_degree > 0 THEN cume_dist() OVER (PARTITION BY in_degree > 0 ORDER BY in_degree) ELSE 0 END AS in_pct, CASE WHEN fan_out > 0 THEN cume_dist() OVER (PARTITION BY fan_out > 0 ORDER BY fan_out) ELSE 0 END AS out_pct FROM deg) SELECT fid, in_degree, fan_out, in_pct, out_pct, in_degree >= 3 AND fan_out >= 3 AND in_pct >= 0.9 AND out_pct >= 0.9 AS is_hub FROM r")
+def w10_hubs(t: TableFacts) -> DataFrame:
+    return signals.hubs(t.imports)
+
+
+@query(HIST + "SELECT fid, CASE WHEN coalesce(fan_out, 0) + coalesce(in_degree, 0) > 0 THEN round(fan_out / (fan_out + in_degree), 4) ELSE -1.0 END AS instability FROM files LEFT JOIN deg USING (fid)")
+def pr15_instability(t: TableFacts) -> DataFrame:
+    return signals.instability(t.files, t.imports)
+
+
+CENTRAL = HIST + """,
+ce0 AS (SELECT fid, rel, coalesce(k.c, 0) AS a, coalesce(in_degree, 0) AS b, coalesce(recent_churn, 0) AS c, coalesce(authors, 0) AS d FROM files
+    LEFT JOIN (SELECT fid, count(*) AS c FROM (SELECT a AS fid FROM cp UNION ALL SELECT b FROM cp) GROUP BY 1) k USING (fid) LEFT JOIN deg USING (fid) LEFT JOIN heat USING (fid) LEFT JOIN ow USING (fid)),
+ce1 AS (SELECT *, row_number() OVER (PARTITION BY a > 0 ORDER BY a, rel) / count(*) OVER (PARTITION BY a > 0) AS pa, row_number() OVER (PARTITION BY b > 0 ORDER BY b, rel) / count(*) OVER (PARTITION BY b > 0) AS pb,
+    row_number() OVER (PARTITION BY c > 0 ORDER BY c, rel) / count(*) OVER (PARTITION BY c > 0) AS pc, row_number() OVER (PARTITION BY d > 0 ORDER BY d, rel) / count(*) OVER (PARTITION BY d > 0) AS pd FROM ce0),
+ce AS (SELECT fid, rel, round((CASE WHEN a > 0 THEN pa ELSE 0 END * 0.35::DOUBLE + CASE WHEN b > 0 THEN pb ELSE 0 END * 0.35::DOUBLE + CASE WHEN c > 0 THEN pc ELSE 0 END * 0.2::DOUBLE + CASE WHEN d > 0 THEN pd ELSE 0 END * 0.1::DOUBLE) / 1.0, 6) AS centrality FROM ce1)
+"""
+
+
+def _centrality(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    return signals.centrality(t.files, history.coupling(t.changes, bulk(t)), t.imports, history.recent_churn(rows), history.ownership(history.file_authors(rows)))
+
+
+@query(CENTRAL + "SELECT * FROM ce")
+def w2_w11_centrality(t: TableFacts) -> DataFrame:
+    return _centrality(t)
+
+
+@query(CENTRAL + ", r AS (SELECT *, row_number() OVER (ORDER BY centrality DESC, rel) AS rank, (SELECT greatest(3, round_even(count(*) * 0.05, 0)) FROM ce) AS cut FROM ce WHERE centrality > 0) SELECT fid, rel, centrality, rank FROM r WHERE rank <= cut")
+def w11_downtown(t: TableFacts) -> DataFrame:
+    return signals.downtown(_centrality(t))
+
+
+@query(HIST + ", r AS (SELECT fid, recent_churn, row_number() OVER (ORDER BY round(recent_churn, 6), fid) / count(*) OVER () AS heat FROM heat WHERE recent_churn > 0) SELECT fid, heat, heat >= 0.9 AS top_churn FROM r")
+def w3_w12_heat(t: TableFacts) -> DataFrame:
+    heat = history.recent_churn(log(t)).where("recent_churn > 0").withColumn("recent_churn", F.round("recent_churn", 6))
+    return measures.row_rank(heat, "recent_churn", "fid", "heat").select("fid", "heat", (F.col("heat") >= 0.9).alias("top_churn"))
+
+
+@query("""x AS (SELECT fid, loc, 6.0 + 3.2::DOUBLE * sqrt(loc) AS height FROM files), r AS (SELECT *, row_number() OVER (ORDER BY height, loc) AS n, count(*) OVER () AS c FROM x),
+k AS (SELECT max(height) FILTER (n = floor(c * 0.75)) AS tower, max(height) FILTER (n = floor(c * 0.4)) AS slab FROM r)
+SELECT fid, round(height, 6) AS height, CASE WHEN height >= tower THEN 'tower' WHEN height >= slab THEN 'slab' ELSE 'warehouse' END AS archetype FROM x, k""")
+def w5_pr7_archetypes(t: TableFacts) -> DataFrame:
+    no = F.lit(False)
+    h = t.files.select("fid", measures.height(F.col("language"), F.col("loc"), F.lit(None).cast("long"), no).alias("height"), "loc", F.lit(1).alias("floors"))
+    return signals.code_archetypes(h).withColumn("height", F.round("height", 6))
+
+
+@query(HIST + ", seen AS (SELECT author, max(last_t) AS seen FROM fa GROUP BY 1) SELECT fid, primary_author, share, (head - seen) / 86400.0 AS away_days FROM ow JOIN seen ON author = primary_author, head WHERE (head - seen) / 86400.0 >= 1 AND share >= 0.2")
+def r7_j21_knowledge_risk(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    authors = history.file_authors(rows)
+    return signals.knowledge_risk(history.ownership(authors), authors, history.head(rows), away_days=1, share=0.2)
+
+
+@query(HIST + "SELECT fid, primary_author, share, commits FROM ow JOIN h USING (fid) WHERE share >= 0.2 AND commits >= 3")
+def pr14_sole_tenants(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    return signals.sole_tenants(history.ownership(history.file_authors(rows)), history.file_history(rows), share=0.2)
+
+
+@query(HIST + """SELECT a, b, x.rel AS rel_a, y.rel AS rel_b, n FROM cp JOIN files x ON x.fid = a JOIN files y ON y.fid = b JOIN h p ON p.fid = a JOIN h q ON q.fid = b
+WHERE n >= 3 AND x.district <> y.district AND n / greatest(1, least(p.commits, q.commits)) >= 0.05 AND NOT EXISTS (SELECT 1 FROM imports WHERE (src = a AND dst = b) OR (src = b AND dst = a)) ORDER BY n DESC, rel_a, rel_b LIMIT 200""")
+def r9_j7_hidden_coupling(t: TableFacts) -> DataFrame:
+    return signals.hidden_coupling(history.coupling(t.changes, bulk(t)), t.files, history.file_history(log(t)), t.imports, share=0.05)
+
+
+@query(HIST + ", g AS (SELECT fid, rel, loc, commits FROM files JOIN h USING (fid)), b AS (SELECT *, (loc >= 40)::BIGINT + (commits >= 35)::BIGINT * 2 + (rel LIKE 'promo%')::BIGINT * 4 AS bits FROM g) SELECT bits, count(*) AS files, sum(loc)::BIGINT AS loc FROM b GROUP BY bits")
+def pr21_pr22_bitmask(t: TableFacts) -> DataFrame:
+    g = t.files.join(history.file_history(log(t)).select("fid", "commits"), "fid")
+    bits = measures.bitmask(F.col("loc") >= 40, F.col("commits") >= 35, F.col("rel").startswith("promo"))
+    return g.withColumn("bits", bits).groupBy("bits").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+
+
+# -- folders -----------------------------------------------------------------------
+
+EDGES = """
+ed AS (SELECT src, dst, s.subfolder AS sf, d.subfolder AS df FROM imports JOIN files s ON s.fid = src JOIN files d ON d.fid = dst),
+mx AS (SELECT sf, df, count(*) AS n FROM ed WHERE sf <> df GROUP BY 1, 2)
+"""
+
+
+def _edges(t: TableFacts) -> DataFrame:
+    return folders.edges(t.files, t.imports, "subfolder")
+
+
+@query("d AS (SELECT 1 AS depth, district AS k FROM files UNION ALL SELECT unnest([2, 3, 4, 5, 6, 7, 8]), subfolder FROM files), c AS (SELECT depth, k, count(*) AS n FROM d GROUP BY 1, 2) SELECT depth, count(*) AS folders, sum((n = 1)::INT)::BIGINT AS singletons FROM c GROUP BY depth")
+def r14_depth_counts(t: TableFacts) -> DataFrame:
+    return folders.depth_counts(t.files)
+
+
+@query("one AS (SELECT 1) SELECT district, count(*) AS files, sum(loc)::BIGINT AS loc, sum(greatest(1.0, loc))::DOUBLE AS weight, max(loc) AS largest, 0::BIGINT AS tests, 0::BIGINT AS docs FROM files GROUP BY 1")
+def a15_pr11_pr16_rollup(t: TableFacts) -> DataFrame:
+    return folders.rollup(t.files)
+
+
+@query("a AS (SELECT district AS region, loc FROM files UNION ALL SELECT subfolder, loc FROM files) SELECT region, count(*) AS files, sum(loc)::BIGINT AS loc FROM a GROUP BY 1")
+def a23_region_totals(t: TableFacts) -> DataFrame:
+    return folders.region_totals(t.files)
+
+
+@query(HIST + ", s AS (SELECT district, author, sum(lines)::BIGINT AS lines FROM files JOIN fa USING (fid) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY lines DESC, author) AS rank FROM s) SELECT district, author, lines, rank FROM r WHERE rank <= 3")
+def a16_a20_leading_authors(t: TableFacts) -> DataFrame:
+    return folders.leading_author(t.files, history.file_authors(log(t)), top=3)
+
+
+@query(HIST + "SELECT district, least(23, floor((head - t) / 2592000.0))::INT AS bucket, count(*) AS changes, count(DISTINCT author) AS authors FROM cc JOIN files USING (fid), head GROUP BY 1, 2")
+def a19_folder_trend(t: TableFacts) -> DataFrame:
+    rows = history.with_head(log(t)).withColumn("bucket", F.least(F.lit(23), F.floor((F.col("head") - F.col("t")) / 2592000.0)).cast("int"))
+    return folders.folder_trend(t.files, rows)
+
+
+@query(EDGES + "SELECT sf AS src_folder, df AS dst_folder, n FROM mx")
+def a24_j8_folder_matrix(t: TableFacts) -> DataFrame:
+    return folders.matrix(_edges(t))
+
+
+MEASURES = EDGES + """, fm AS (SELECT folder, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN round(coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)), 4) END AS instability, coalesce(ei, 0) AS edges_in, coalesce(eo, 0) AS edges_out
+FROM (SELECT DISTINCT subfolder AS folder FROM files) LEFT JOIN (SELECT df AS folder, count(DISTINCT src) AS ca, count(*) AS ei FROM ed WHERE sf <> df GROUP BY 1) USING (folder) LEFT JOIN (SELECT sf AS folder, count(DISTINCT src) AS ce, count(*) AS eo FROM ed WHERE sf <> df GROUP BY 1) USING (folder))
+"""
+
+
+@query(MEASURES + "SELECT * FROM fm")
+def a24_folder_measures(t: TableFacts) -> DataFrame:
+    return folders.folder_coupling_measures(t.files, _edges(t), "subfolder")
+
+
+@query(MEASURES + """, k AS (SELECT subfolder AS folder, sum(loc % 5)::BIGINT AS classes, sum(CASE WHEN loc % 7 = 0 THEN loc % 5 ELSE 0 END)::BIGINT AS abstract FROM files GROUP BY 1),
+z AS (SELECT folder, classes, abstract, round(abstract / classes, 4) AS abstractness, instability, ca, ce FROM k JOIN fm USING (folder) WHERE classes > 0)
+SELECT folder, classes, abstract, abstractness, instability, round(abs(abstractness + instability - 1.0), 4) AS distance, CASE WHEN round(abs(abstractness + instability - 1.0), 4) >= 0.2 AND classes >= 2 AND ca + ce >= 3 THEN CASE WHEN abstractness + instability < 1.0 THEN 'pain' ELSE 'uselessness' END ELSE '' END AS zone FROM z""")
+def a25_main_sequence(t: TableFacts) -> DataFrame:
+    from dataclasses import replace
+
+    classes = t.files.groupBy(F.col("subfolder").alias("folder")).agg(F.sum(F.col("loc") % 5).alias("classes"), F.sum(F.when(F.col("loc") % 7 == 0, F.col("loc") % 5).otherwise(0)).alias("abstract"))
+    return folders.main_sequence(folders.folder_coupling_measures(t.files, _edges(t), "subfolder"), classes, replace(DEFAULT, zone_distance=0.2))
+
+
+@query(EDGES + "SELECT src, dst, ed.sf AS src_folder, ed.df AS dst_folder, f.n AS forward, b.n AS backward FROM ed JOIN mx f ON f.sf = ed.sf AND f.df = ed.df JOIN mx b ON b.sf = ed.df AND b.df = ed.sf WHERE f.n <= b.n")
+def r2_j9_majority_violations(t: TableFacts) -> DataFrame:
+    return folders.majority_violations(_edges(t))
+
+
+@query("""e AS (SELECT src, dst, s.rel AS src_rel, d.rel AS dst_rel FROM imports JOIN files s ON s.fid = src JOIN files d ON d.fid = dst),
+l AS (SELECT *, CASE WHEN starts_with(src_rel, 'promo/') THEN 0 WHEN starts_with(src_rel, 'economy/') OR starts_with(src_rel, 'standard/') THEN 1 END AS a, CASE WHEN starts_with(dst_rel, 'promo/') THEN 0 WHEN starts_with(dst_rel, 'economy/') OR starts_with(dst_rel, 'standard/') THEN 1 END AS b FROM e),
+r AS (SELECT *, CASE WHEN regexp_full_match(src_rel, 'small/.*1[0-9].*') AND starts_with(dst_rel, 'large/') THEN 'forbidden: small/*1[0-9]* must not import large' WHEN b < a THEN 'layer ' || (a + 1) || ' imports layer ' || (b + 1) || ', which sits above it' END AS reason FROM l)
+SELECT src, dst, src_rel, dst_rel, reason FROM r WHERE reason IS NOT NULL""")
+def r2_j10_pr30_rule_violations(t: TableFacts) -> DataFrame:
+    return folders.rule_violations(_edges(t), [["promo"], ["economy/**", "standard"]], [(["small/*1[0-9]*"], ["large"])])
+
+
+@query(HIST + """, m AS (SELECT rel, loc, coalesce(fan_out, 0) AS fan_out, coalesce(in_degree, 0) AS in_degree FROM files LEFT JOIN deg USING (fid)),
+u AS (SELECT rel, 'max_fanin' AS key, in_degree AS value, 3.0::DOUBLE AS lim FROM m UNION ALL SELECT rel, 'max_fanout', fan_out, CASE WHEN starts_with(rel, 'promo/') THEN 2.0 ELSE 3.0 END FROM m UNION ALL SELECT rel, 'max_loc', loc, CASE WHEN starts_with(rel, 'promo/') THEN 30.0::DOUBLE END FROM m)
+SELECT rel, key, value::DOUBLE AS value, lim::DOUBLE AS "limit" FROM u WHERE value > lim""")
+def r3_j11_building_codes(t: TableFacts) -> DataFrame:
+    m = t.files.join(signals.degrees(t.imports), "fid", "left").na.fill(0).select("rel", F.col("loc").alias("max_loc"), F.col("fan_out").alias("max_fanout"), F.col("in_degree").alias("max_fanin"))
+    return folders.code_limits(m, [([], {"max_fanout": 3, "max_fanin": 3}), (["promo"], {"max_loc": 30, "max_fanout": 2})])
+
+
+@query(HIST + """, m AS (SELECT rel, loc, coalesce(fan_out, 0) AS fan_out FROM files LEFT JOIN deg USING (fid))
+SELECT rel, 'max_fanout' AS budget, fan_out::DOUBLE AS value, 3.0::DOUBLE AS "limit" FROM m WHERE fan_out > 3 UNION ALL SELECT rel, 'max_file_loc', loc::DOUBLE, 45.0::DOUBLE FROM m WHERE loc > 45""")
+def r4_budgets(t: TableFacts) -> DataFrame:
+    m = t.files.join(signals.degrees(t.imports), "fid", "left").na.fill(0).select("rel", F.col("loc").alias("max_file_loc"), F.col("fan_out").alias("max_fanout"))
+    return folders.budgets(m, {"max_file_loc": 45, "max_fanout": 3})
+
+
+@query(HIST + ", p AS (SELECT least(x.district, y.district) AS folder_a, greatest(x.district, y.district) AS folder_b, n FROM cp JOIN files x ON x.fid = a JOIN files y ON y.fid = b WHERE x.district <> y.district) SELECT folder_a, folder_b, count(*) AS pairs, sum(n)::BIGINT AS commits FROM p GROUP BY 1, 2 ORDER BY commits DESC, pairs DESC, folder_a, folder_b LIMIT 12")
+def a26_j6_cochange(t: TableFacts) -> DataFrame:
+    return folders.cochange(t.files, history.coupling(t.changes, bulk(t)))
