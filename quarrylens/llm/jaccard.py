@@ -430,8 +430,14 @@ def labelled(docs: DataFrame) -> DataFrame:
 
     cold = checkpoint(standing(cold_pairs(texts, order)))
     hot = checkpoint(member.where("doc = rep").dropDuplicates(["doc"]).select("doc", "n", F.explode("hot").alias("g")))
+    # Tables of one row a hot n-gram, of which there are HOT_TABLE at most, meet the rows of a very hot one by broadcast.
+    n_hot = len(order.value.tokens)
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if n_hot <= BROADCAST_IDS else df
+
     centre = hot.groupBy("g").agg(F.min(F.struct(F.xxhash64("doc").alias("by"), "doc", "n")).alias("c"))
-    stars = hot.join(centre, "g").where("doc <> c.doc and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
+    stars = hot.join(bounded(centre), "g").where("doc <> c.doc and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
     first = checkpoint(cold.where("star").select("a", "b").union(stars).distinct())
     needed = checkpoint(cold.select(F.col("a").alias("doc")).union(cold.select("b")).union(hot.select("doc")).distinct())
     own = candidates(texts, needed)
@@ -444,12 +450,12 @@ def labelled(docs: DataFrame) -> DataFrame:
     left = current(current(cold.where("not star").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     columns = checkpoint(current(hot, "doc", "comp"))
     mixed = columns.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    open_rows = checkpoint(columns.join(mixed, "g").select("g", "doc", "n", "comp"))
+    open_rows = checkpoint(columns.join(bounded(mixed), "g").select("g", "doc", "n", "comp"))
     more = [overlaps(left, own)]
     if not open_rows.isEmpty():
         # n-grams are nodes beside the documents; their least document names the group.
         least = open_rows.groupBy("g").agg(F.min("doc").alias("m"))
-        group = components(open_rows.join(least, "g").select(F.col("doc").alias("a"), F.col("m").alias("b")))
+        group = components(open_rows.join(bounded(least), "g").select(F.col("doc").alias("a"), F.col("m").alias("b")))
         rows = open_rows.select("doc", "n", "comp").distinct().join(group.select(F.col("node").alias("doc"), F.col("label").alias("s")), "doc")
         more.append(block_links(rows, own))
     rest = more[0] if len(more) == 1 else more[0].unionByName(more[1])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact_dedup, html_extract, jaccard, packing, pii, quality, secrets, sharding
-from .common import table
+from .common import checkpoint, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,8 +43,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is empty before, and is a table of its own after the scan: without it copies would be scanned each."""
     docs = table(spark, sf_dir, "documents")
-    return secrets.digest_columns(secrets.findings(docs, secrets.update(docs)))
+    return secrets.digest_columns(secrets.findings(docs, checkpoint(secrets.update(docs))))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
