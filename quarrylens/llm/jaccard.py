@@ -44,7 +44,7 @@ GRAM = 5
 HOT = 16
 HOT_TABLE = 1_000_000
 FLUSH = 2_000_000
-BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 512
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 22, 2048
 BROADCAST_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -386,9 +386,9 @@ def block_links(group: DataFrame, texts: DataFrame) -> DataFrame:
         by = np.argsort(column, kind="stable")
         column, row = column[by], row[by]
         total = np.zeros((len(sa), len(sb)), np.float32)
-        for at in range(0, len(columns), 4096):  # a block of columns at a time
-            lo, hi = np.searchsorted(column, [at, at + 4096])
-            part = np.zeros((len(sa) + len(sb), 4096), np.float32)
+        for at in range(0, len(columns), 2048):  # a block of columns at a time
+            lo, hi = np.searchsorted(column, [at, at + 2048])
+            part = np.zeros((len(sa) + len(sb), 2048), np.float32)
             part[row[lo:hi], column[lo:hi] - at] = 1
             total += part[: len(sa)] @ part[len(sa) :].T
         union = na[:, None] + nb[None, :] - total
