@@ -44,9 +44,7 @@ def is_test(rel: Column) -> Column:
     """Whole directory segments, or the file name, say test; upper and lower case count."""
     name = name_of(rel)
     hit = F.arrays_overlap(dirs_of(rel), _words(TEST_DIRS))
-    for pattern in TEST_NAMES:
-        hit = hit | name.rlike(pattern)
-    return hit
+    return hit | name.rlike("|".join(TEST_NAMES))
 
 
 def is_doc(rel: Column) -> Column:
@@ -60,9 +58,7 @@ def is_config(rel: Column) -> Column:
 def is_vendored(rel: Column) -> Column:
     low = F.lower(rel)
     hit = F.arrays_overlap(dirs_of(low), _words(VENDOR_DIRS))
-    for suffix in VENDOR_SUFFIXES:
-        hit = hit | low.endswith(suffix)
-    return hit
+    return hit | low.rlike("(" + "|".join(_quoted(s) for s in VENDOR_SUFFIXES) + ")$")
 
 
 def is_noise(rel: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import measures, paths
-from ..operators import folders, history, signals
+from ..operators import changes_since, clones, folders, graph, history, owners, signals, tests_map
 from ..sources.tables import FACTS_SQL, TableFacts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,3 +336,224 @@ def r4_budgets(t: TableFacts) -> DataFrame:
 @query(HIST + ", p AS (SELECT least(x.district, y.district) AS folder_a, greatest(x.district, y.district) AS folder_b, n FROM cp JOIN files x ON x.fid = a JOIN files y ON y.fid = b WHERE x.district <> y.district) SELECT folder_a, folder_b, count(*) AS pairs, sum(n)::BIGINT AS commits FROM p GROUP BY 1, 2 ORDER BY commits DESC, pairs DESC, folder_a, folder_b LIMIT 12")
 def a26_j6_cochange(t: TableFacts) -> DataFrame:
     return folders.cochange(t.files, history.coupling(t.changes, bulk(t)))
+
+
+# -- graph -------------------------------------------------------------------------
+
+REACH = """
+rc AS (SELECT src, dst FROM imports UNION SELECT rc.src, i.dst FROM rc JOIN imports i ON i.src = rc.dst),
+cy AS (SELECT a.src AS node, least(min(a.dst), a.src) AS cycle FROM rc a JOIN rc b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
+"""
+
+
+@query(REACH + "SELECT src, dst FROM rc")
+def g3_closure(t: TableFacts) -> DataFrame:
+    return graph.closure(t.imports)
+
+
+@query(REACH + "SELECT node, cycle, count(*) OVER (PARTITION BY cycle) AS size FROM cy")
+def g1_g2_cycles(t: TableFacts) -> DataFrame:
+    return graph.cycles(t.imports)
+
+
+@query(REACH + "SELECT f.fid, count(s.fid) AS impact, count(DISTINCT s.subfolder) AS impact_folders FROM files f LEFT JOIN rc ON rc.dst = f.fid AND rc.src <> f.fid LEFT JOIN files s ON s.fid = rc.src GROUP BY f.fid")
+def g3_u6_impact(t: TableFacts) -> DataFrame:
+    return graph.impact(t.imports, t.files)
+
+
+@query(REACH + """, nd AS (SELECT n AS node, coalesce(cycle, n) AS c FROM (SELECT src AS n FROM imports UNION SELECT dst FROM imports) LEFT JOIN cy ON node = n),
+dg AS (SELECT DISTINCT x.c AS a, y.c AS b FROM imports JOIN nd x ON x.node = src JOIN nd y ON y.node = dst WHERE x.c <> y.c),
+dp AS (SELECT a, b, 1 AS d FROM dg UNION SELECT dp.a, dg.b, d + 1 FROM dp JOIN dg ON dg.a = dp.b)
+SELECT node AS fid, coalesce(max(d), 0)::INT AS depth FROM nd LEFT JOIN dp ON a = c GROUP BY node""")
+def g4_import_depth(t: TableFacts) -> DataFrame:
+    return graph.import_depth(t.imports)
+
+
+@query("bl AS (SELECT 8::BIGINT AS fid, 0 AS hop UNION SELECT src, hop + 1 FROM bl JOIN imports ON dst = fid WHERE hop < 4) SELECT fid, min(hop)::INT AS hop FROM bl GROUP BY fid")
+def g5_blast_radius(t: TableFacts) -> DataFrame:
+    return graph.blast_radius(t.imports, [8])
+
+
+@query(HIST + "SELECT fid, rel, (head - last_t) / 86400.0 AS idle_days FROM files JOIN h USING (fid), head WHERE (head - last_t) / 86400.0 >= 180 AND fid NOT IN (SELECT dst FROM imports)")
+def g7_orphans(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    return graph.orphans(t.files, t.imports, history.file_history(rows), history.head(rows))
+
+
+@query("""m AS (SELECT rel AS dst, replace(replace(rel, '.py', ''), '/', '.') AS module FROM files),
+s AS (SELECT rel, spec, list_filter(str_split(spec, '.'), lambda x: x <> '') AS names FROM (SELECT f.rel, replace(replace(g.rel, '.py', ''), '/', '.') || '.name' AS spec FROM imports JOIN files f ON f.fid = src JOIN files g ON g.fid = dst)),
+p AS (SELECT rel, spec, unnest(range(1, len(names) + 1)) AS n, names FROM s),
+q AS (SELECT p.rel, spec, n, dst FROM p JOIN m ON module = array_to_string(list_slice(names, 1, n), '.') WHERE dst <> p.rel)
+SELECT rel AS src, spec, arg_max(dst, n) AS dst FROM q GROUP BY 1, 2""")
+def j3_python_imports(t: TableFacts) -> DataFrame:
+    side = lambda c: t.files.select(F.col("fid").alias(c), F.col("rel").alias(f"{c}_rel"))
+    spec = F.concat(F.replace(F.regexp_replace("dst_rel", r"\.py$", ""), F.lit("/"), F.lit(".")), F.lit(".name"))
+    raw = t.imports.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_rel").alias("rel"), spec.alias("spec"))
+    return graph.resolve_python(raw, t.files)
+
+
+@query("one AS (SELECT 1) SELECT f.rel AS src, '../../' || regexp_replace(g.rel, '\\.py$', '') AS spec, g.rel AS dst FROM imports JOIN files f ON f.fid = src JOIN files g ON g.fid = dst")
+def j4_relative_imports(t: TableFacts) -> DataFrame:
+    side = lambda c: t.files.select(F.col("fid").alias(c), F.col("rel").alias(f"{c}_rel"))
+    raw = t.imports.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_rel").alias("rel"), F.concat(F.lit("../../"), F.regexp_replace("dst_rel", r"\.py$", "")).alias("spec"))
+    js = t.files.select(F.regexp_replace("rel", r"\.py$", ".ts").alias("rel"))
+    found = graph.resolve_relative(raw.select(F.regexp_replace("rel", r"\.py$", ".ts").alias("rel"), "spec"), js)
+    return found.select(F.regexp_replace("src", r"\.ts$", ".py").alias("src"), "spec", F.regexp_replace("dst", r"\.ts$", ".py").alias("dst"))
+
+
+# -- owners ------------------------------------------------------------------------
+
+EXPERT = HIST + ", sc AS (SELECT fid, author, lines * pow(0.5, greatest(0, (head - last_t) / 86400.0) / 180.0) AS score FROM fa, head)"
+
+
+@query(EXPERT + ", r AS (SELECT fid, author, round(score / sum(score) OVER (PARTITION BY fid), 4) AS share, row_number() OVER (PARTITION BY fid ORDER BY round(score, 6) DESC, author) AS rank FROM sc WHERE score > 0) SELECT * FROM r WHERE rank <= 3")
+def w13_experts(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    return owners.experts(owners.expert_scores(history.file_authors(rows), history.head(rows)))
+
+
+@query(HIST + ", r AS (SELECT fid, author, lines / sum(lines) OVER (PARTITION BY fid) AS share, row_number() OVER (PARTITION BY fid ORDER BY lines DESC, author) AS rank FROM fa) SELECT * FROM r WHERE rank <= 5")
+def w14_author_shares(t: TableFacts) -> DataFrame:
+    return owners.author_shares(history.file_authors(log(t)))
+
+
+RULES = "* @FRANCE\n/promo/ @org/team @GERMANY\neconomy/Brand11/ @KENYA\n*_7*.py @JAPAN # sevens\n/standard/**/Brand2?/ @CHINA\n"
+DECLARED = r""", dc AS (SELECT fid, rel, CASE WHEN regexp_full_match(rel, 'standard/(?:.*/)?Brand2[^/]/.*') THEN ['@CHINA'] WHEN regexp_matches(rel, '(?:^|.*/)[^/]*_7[^/]*\.py(?:/.*)?$') THEN ['@JAPAN']
+    WHEN regexp_full_match(rel, 'economy/Brand11/.*') THEN ['@KENYA'] WHEN regexp_full_match(rel, 'promo/.*') THEN ['@org/team', '@GERMANY'] ELSE ['@FRANCE'] END AS owners FROM files)"""
+
+
+@query(HIST + DECLARED + " SELECT fid, array_to_string(owners, ' ') AS owners FROM dc")
+def j12_pr31_declared_owners(t: TableFacts) -> DataFrame:
+    return owners.declared(t.files, owners.parse_codeowners(RULES)).select("fid", F.array_join("owners", " ").alias("owners"))
+
+
+@query(HIST + DECLARED + """, kn AS (SELECT DISTINCT fid, replace(o, '@', '') AS author FROM (SELECT fid, unnest(owners) AS o FROM dc) WHERE o NOT LIKE '@%/%' AND replace(o, '@', '') IN (SELECT author FROM fa)),
+tt AS (SELECT fid, sum(lines) AS total FROM fa GROUP BY 1),
+al AS (SELECT kn.fid, max((kn.author = primary_author OR coalesce(lines, 0) / total >= 0.1)::INT) AS aligned FROM kn JOIN tt USING (fid) LEFT JOIN ow USING (fid) LEFT JOIN fa ON fa.fid = kn.fid AND fa.author = kn.author GROUP BY 1)
+SELECT fid, false AS unowned, coalesce(aligned = 0, false) AS drift FROM files LEFT JOIN al USING (fid)""")
+def r8_j13_pr32_owner_drift(t: TableFacts) -> DataFrame:
+    authors = history.file_authors(log(t))
+    names = authors.select("author").distinct()
+    mails = names.select("author", F.concat(F.lower("author"), F.lit("@example.com")).alias("email"))
+    return owners.drift(owners.declared(t.files, owners.parse_codeowners(RULES)), owners.identities(names, mails), authors, history.ownership(authors))
+
+
+@query(EXPERT + """, tc AS (SELECT DISTINCT commit_id, subfolder AS folder FROM changes JOIN files USING (fid)), wd AS (SELECT commit_id, count(*) AS width FROM tc GROUP BY 1),
+cm AS (SELECT folder, count(*) AS commits, round(avg((width > 1)::INT), 4) AS cross_share FROM tc JOIN wd USING (commit_id) GROUP BY 1),
+rc AS (SELECT subfolder AS folder, count(DISTINCT author) AS recent_authors FROM cc JOIN files USING (fid), head WHERE floor((head - t) / 2592000.0) < 3 GROUP BY 1),
+es AS (SELECT subfolder AS folder, author, sum(score) AS score FROM sc JOIN files USING (fid) GROUP BY 1, 2), tp AS (SELECT folder, round(max(score) / sum(score), 4) AS top_share FROM es GROUP BY 1)
+SELECT folder, commits, cross_share, coalesce(recent_authors, 0) AS recent_authors, top_share, coalesce(recent_authors, 0) > 5 AND top_share < 0.4 AS many_cooks FROM cm LEFT JOIN rc USING (folder) LEFT JOIN tp USING (folder)""")
+def a27_teams(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    return folders.teams(t.files, rows, history.author_buckets(rows), owners.expert_scores(history.file_authors(rows), history.head(rows)), by="subfolder")
+
+
+# -- tests and sources ---------------------------------------------------------------
+
+
+@query("""tf AS (SELECT CASE fid % 3 WHEN 0 THEN district || '/tests/test_mod' || (fid % 40) || '.py' WHEN 1 THEN subfolder || '/mod' || (fid % 40) || '.py' ELSE district || '/Mod' || (fid % 40) || 'Test.java' END AS rel, CASE fid % 3 WHEN 2 THEN 'java' ELSE 'python' END AS language FROM files),
+d AS (SELECT DISTINCT rel, language FROM tf), te AS (SELECT rel AS test, language, regexp_extract(rel, 'test_(mod[0-9]+)\\.py$', 1) AS stem, str_split(rel, '/')[1] AS top FROM d WHERE language = 'python' AND rel LIKE '%/tests/%'),
+so AS (SELECT rel AS source, language, regexp_extract(rel, '/(mod[0-9]+)\\.py$', 1) AS stem, str_split(rel, '/')[1] AS top FROM d WHERE language = 'python' AND rel NOT LIKE '%/tests/%'),
+p AS (SELECT test, source, rank() OVER (PARTITION BY test ORDER BY (te.top = so.top)::INT DESC) AS r FROM te JOIN so USING (language, stem)) SELECT test, source FROM p WHERE r = 1""")
+def r5_j15_pr20_test_links(t: TableFacts) -> DataFrame:
+    rel = F.expr("CASE fid % 3 WHEN 0 THEN district || '/tests/test_mod' || (fid % 40) || '.py' WHEN 1 THEN subfolder || '/mod' || (fid % 40) || '.py' ELSE district || '/Mod' || (fid % 40) || 'Test.java' END")
+    files = t.files.select(rel.alias("rel"), F.expr("CASE fid % 3 WHEN 2 THEN 'java' ELSE 'python' END").alias("language")).distinct()
+    return tests_map.links(files)
+
+
+# -- clones --------------------------------------------------------------------------
+
+KEYS = ", ".join(f"'{k}'" for k in clones.KEYWORDS)
+PRINTS = f"""
+ln AS (SELECT doc_id AS fid, list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents WHERE length(text) <= 400000),
+nm AS (SELECT fid, list_filter(list_transform(ls, lambda x: CASE WHEN starts_with(x, '#') OR starts_with(x, '//') OR starts_with(x, '/*') OR starts_with(x, '*') OR starts_with(x, '--') OR starts_with(x, '<!--') THEN ''
+    ELSE regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(x, '("(?:[^"\\\\\\\\]|\\\\\\\\.)*"|''(?:[^''\\\\\\\\]|\\\\\\\\.)*''|`[^`]*`)', 'S', 'g'), '\\b\\d[\\d_.xXa-fA-F]*\\b', 'N', 'g'), '[\\p{{L}}_$][\\p{{L}}\\p{{N}}_$]*|[^\\p{{L}}_$]'),
+        lambda w: CASE WHEN regexp_matches(w, '^[\\p{{L}}_$]') AND w NOT IN ({KEYS}) THEN 'I' ELSE w END), ''), '\\s+', '', 'g') END), lambda y: length(y) >= 6) AS ls FROM ln),
+gr AS (SELECT fid, list_transform(range(1, len(ls) - 4), lambda i: md5(array_to_string(list_slice(ls, i, i + 5), chr(10)))) AS g FROM nm WHERE len(ls) >= 6),
+fp AS (SELECT DISTINCT fid, unnest(list_transform(range(1, greatest(1, len(g) - 3) + 1), lambda i: list_min(list_slice(g, i, i + 3)))) AS fp FROM gr)
+""".replace("\\\\\\\\", "\\\\")
+
+
+def _prints(t: TableFacts) -> DataFrame:
+    return clones.fingerprints(t.table("documents").select(F.col("doc_id").alias("fid"), "text"), F.md5)
+
+
+@query(PRINTS + "SELECT fid, fp FROM fp")
+def cl1_cl2_w17_fingerprints(t: TableFacts) -> DataFrame:
+    return _prints(t)
+
+
+@query(PRINTS + """, fw AS (SELECT fp FROM fp GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12), sh AS (SELECT a.fid AS a, b.fid AS b, count(*) AS shared FROM fp a JOIN fp b ON a.fp = b.fp AND a.fid < b.fid WHERE a.fp IN (SELECT fp FROM fw) GROUP BY 1, 2),
+sz AS (SELECT fid, count(*) AS n FROM fp GROUP BY 1) SELECT a, b, shared, round(least(1.0, shared / least(x.n, y.n)), 3) AS ratio FROM sh JOIN sz x ON x.fid = a JOIN sz y ON y.fid = b WHERE (shared / least(x.n, y.n) >= 0.5 AND shared >= 2) OR shared >= 12""")
+def cl3_j16_clone_pairs(t: TableFacts) -> DataFrame:
+    return clones.clone_pairs(_prints(t))
+
+
+# -- snapshots, grades, lists ----------------------------------------------------------
+
+SNAP = HIST + """,
+s0 AS (SELECT fid AS key, sum(added) FILTER (t < 946684800)::BIGINT AS loc, (sum(added) FILTER (t < 946684800) >= 600)::BIGINT + (count(*) FILTER (is_fix AND NOT is_revert AND t < 946684800) >= 6)::BIGINT * 2 AS bits FROM cc WHERE fid % 10 <> 0 GROUP BY 1 HAVING count(*) FILTER (t < 946684800) > 0),
+s1 AS (SELECT fid AS key, sum(added)::BIGINT AS loc, (sum(added) >= 600)::BIGINT + (count(*) FILTER (is_fix AND NOT is_revert) >= 6)::BIGINT * 2 AS bits FROM cc WHERE fid % 7 <> 0 GROUP BY 1),
+dl AS (SELECT coalesce(n.key, o.key) AS key, CASE WHEN o.loc IS NULL THEN 'added' WHEN n.loc IS NULL THEN 'removed' WHEN abs(n.loc - o.loc) >= 10 AND abs(n.loc - o.loc) >= 0.1 * greatest(1, o.loc) THEN CASE WHEN n.loc > o.loc THEN 'grown' ELSE 'shrunk' END ELSE '' END AS delta,
+    coalesce(n.loc - o.loc, 0) AS loc_delta, coalesce(n.bits & ~o.bits, 0) AS became, coalesce(o.bits & ~n.bits, 0) AS resolved FROM s1 n FULL JOIN s0 o ON n.key = o.key)
+"""
+
+
+def _delta(t: TableFacts) -> DataFrame:
+    def snapshot(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(F.col("fid").alias("key")).agg(F.sum("added").alias("loc"), F.sum(F.col("is_fix").cast("long")).alias("fixes"))
+        return sums.select("key", "loc", measures.bitmask(F.col("loc") >= 600, F.col("fixes") >= 6).alias("bits"))
+
+    rows = log(t)
+    return changes_since.delta(snapshot(rows.where("fid % 7 <> 0")), snapshot(rows.where("fid % 10 <> 0 and t < 946684800")))
+
+
+@query(SNAP + "SELECT * FROM dl")
+def r11_j18_u3_delta(t: TableFacts) -> DataFrame:
+    return _delta(t)
+
+
+@query(SNAP + "SELECT 'large' AS signal, sum(became & 1)::BIGINT AS became, sum(resolved & 1)::BIGINT AS resolved FROM dl UNION ALL SELECT 'buggy', sum(became >> 1 & 1)::BIGINT, sum(resolved >> 1 & 1)::BIGINT FROM dl")
+def r11_signal_moves(t: TableFacts) -> DataFrame:
+    return changes_since.signal_moves(_delta(t), ("large", "buggy"))
+
+
+GRADE = HOT + """,
+de AS (SELECT fid FROM (SELECT fid, fixes, fixes / commits AS fr, commits, CASE WHEN fixes > 0 THEN cume_dist() OVER (PARTITION BY fixes > 0 ORDER BY fixes / commits) ELSE 0 END AS p FROM h WHERE commits >= 5) WHERE p >= 0.9 AND fixes >= 2 AND fr >= 0.3),
+sg AS (SELECT f.district, f.loc, coalesce(hotspot_rank <= cut, false) AS hotspot, de.fid IS NOT NULL AS defect, coalesce(in_degree >= 2 AND fan_out >= 2, false) AS hub FROM files f LEFT JOIN hot USING (fid) LEFT JOIN de ON de.fid = f.fid LEFT JOIN deg ON deg.fid = f.fid),
+gs AS (SELECT *, hotspot::INT * 1.0::DOUBLE + defect::INT * 1.0::DOUBLE + hub::INT * 0.5::DOUBLE AS raw, sqrt(greatest(0, loc)) AS w FROM sg)
+"""
+
+
+def _signals(t: TableFacts) -> DataFrame:
+    h = history.file_history(log(t))
+    hot = signals.hotspots(t.files, h).select("fid", F.col("is_hotspot").alias("hotspot"))
+    bad = signals.defects(h).select("fid", F.lit(True).alias("defect"))
+    hub = signals.degrees(t.imports).select("fid", ((F.col("in_degree") >= 2) & (F.col("fan_out") >= 2)).alias("hub"))
+    return t.files.join(hot, "fid", "left").join(bad, "fid", "left").join(hub, "fid", "left").na.fill(False, ["hotspot", "defect", "hub"])
+
+
+@query(GRADE + "SELECT district, round(greatest(0.0, 100.0 * (1.0 - sum(least(1.0, raw) * w) / sum(w))), 1) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM gs GROUP BY district")
+def a32_grades(t: TableFacts) -> DataFrame:
+    return changes_since.grades(_signals(t), "district")
+
+
+@query(GRADE + """, e AS (SELECT district, w, raw, 'hotspot' AS signal, 1.0 AS k FROM gs WHERE hotspot UNION ALL SELECT district, w, raw, 'defect', 1.0 FROM gs WHERE defect UNION ALL SELECT district, w, raw, 'hub', 0.5 FROM gs WHERE hub)
+SELECT district, signal, round(sum(least(1.0, raw) * w * k / raw) / (SELECT sum(w) FROM gs g WHERE g.district = e.district) * 100, 1) AS points FROM e GROUP BY district, signal""")
+def a32_grade_points(t: TableFacts) -> DataFrame:
+    return changes_since.grade_points(_signals(t), "district")
+
+
+@query(HOT + """, a AS (SELECT 'hotspots' AS list, row_number() OVER (ORDER BY hotspot_rank) AS rank, fid FROM hot WHERE hotspot_rank <= cut), b AS (SELECT 'largest', row_number() OVER (ORDER BY loc DESC, rel), fid FROM files WHERE loc >= 40), c AS (SELECT 'fixed', row_number() OVER (ORDER BY fixes DESC, rel), fid FROM h JOIN files USING (fid) WHERE fixes > 0)
+SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE rank <= 15""")
+def t1_t3_review_lists(t: TableFacts) -> DataFrame:
+    h = history.file_history(log(t))
+    wide = t.files.join(h.select("fid", "fixes"), "fid", "left").join(signals.hotspots(t.files, h).select("fid", "hotspot_rank", "is_hotspot"), "fid", "left")
+    return changes_since.top_lists(wide, {"hotspots": (F.col("is_hotspot"), [F.col("hotspot_rank")]), "largest": (F.col("loc") >= 40, [F.desc("loc"), F.col("rel")]), "fixed": (F.col("fixes") > 0, [F.desc("fixes"), F.col("rel")])}, DEFAULT.list_limit)
+
+
+@query("s AS (SELECT date_trunc('month', ts) AS m, count(*) AS commits, count(DISTINCT author) AS authors FROM commits GROUP BY 1) SELECT strftime(m, '%Y-%m') AS generated, epoch(m) AS head_t, commits, authors FROM s ORDER BY head_t DESC LIMIT 30")
+def t9_census(t: TableFacts) -> DataFrame:
+    m = F.date_trunc("month", F.col("ts").cast("timestamp"))
+    rows = t.commits.groupBy(m.alias("m")).agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"))
+    return changes_since.census(rows.select(F.date_format("m", "yyyy-MM").alias("generated"), history.seconds(F.col("m")).alias("head_t"), "commits", "authors"))
