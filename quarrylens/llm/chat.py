@@ -77,12 +77,15 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     now = checkpoint(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("steps")))
     most = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     tables, reach = [], 1
-    while reach <= most and not now.where("up is not null").isEmpty():
-        tables.append(now.where("up is not null").select("tree", "node", "up"))
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        now = checkpoint(now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+    done, active = now.where("up is null"), now.where("up is not null")
+    while reach <= most and not active.isEmpty():
+        tables.append(active.select("tree", "node", "up"))
+        # Only messages whose jump has not passed the root take part; there are fewer of them each time.
+        above = done.unionByName(active).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
+        now = checkpoint(active.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps")))
+        done, active = done.unionByName(now.where("up is null")), now.where("up is not null")
         reach *= 2
-    return tables, now.where("up is null").select("tree", "node", "total", "steps")
+    return tables, done.select("tree", "node", "total", "steps")
 
 
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
