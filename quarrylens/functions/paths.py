@@ -105,7 +105,7 @@ def test_stem(name: Column) -> Column:
     core = F.element_at(p, 1)
     middle = F.exists(F.slice(p, F.lit(2), F.greatest(F.lit(0), F.size(p) - 2)), lambda x: F.lower(x).isin("test", "tests", "spec"))
     hits = [F.regexp_extract(core, pattern, 1) for pattern in (r"(?i)^tests?_(.+)$", r"(?i)^(.+?)_(?:tests?|spec)$", r"^(.+?[a-z0-9])(?:Tests?|Spec)$")]
-    found = F.coalesce(*[F.when(h != "", F.lower(h)) for h in hits], F.lit(""))
+    found = F.coalesce(*[F.lower(F.nullif(h, F.lit(""))) for h in hits], F.lit(""))
     return F.when(core == "", "").when((F.size(p) > 2) & middle, F.lower(core)).otherwise(found)
 
 

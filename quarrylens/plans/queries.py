@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import measures, paths
-from ..operators import changes_since, clones, folders, graph, history, owners, signals, tests_map
+from . import dsl
+from ..operators import bands, changes_since, clones, externals, folders, graph, history, owners, signals, tests_map, text
 from ..sources.tables import FACTS_SQL, TableFacts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,3 +558,139 @@ def t9_census(t: TableFacts) -> DataFrame:
     m = F.date_trunc("month", F.col("ts").cast("timestamp"))
     rows = t.commits.groupBy(m.alias("m")).agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"))
     return changes_since.census(rows.select(F.date_format("m", "yyyy-MM").alias("generated"), history.seconds(F.col("m")).alias("head_t"), "commits", "authors"))
+
+
+# -- filter language and bands -----------------------------------------------------------
+
+INDEX = HOT + """,
+ix AS (SELECT f.fid, f.rel, str_split(f.rel, '/')[-1] AS name, '.py' AS ext, f.language, f.district, f.loc, ow.primary_author AS owner, coalesce(fan_in, 0) AS fanin, coalesce(fan_out, 0) AS fanout, h.fixes, h.commits, h.fixes / h.commits AS fix_ratio,
+    (coalesce(hotspot_rank <= cut, false)::BIGINT * 512 + (f.loc >= 45)::BIGINT * 1024) AS flags, coalesce(hotspot_rank <= cut, false) AS hotspot,
+    CASE WHEN tr.recent >= 2 AND tr.recent >= tr.before * 1.5 + 1 THEN 1 WHEN tr.before >= 2 AND tr.recent * 2 <= tr.before THEN -1 ELSE 0 END AS trend
+    FROM files f LEFT JOIN hot USING (fid) LEFT JOIN ow ON ow.fid = f.fid LEFT JOIN deg ON deg.fid = f.fid LEFT JOIN h ON h.fid = f.fid LEFT JOIN tr ON tr.fid = f.fid)
+"""
+
+
+def _index(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    h = history.file_history(rows)
+    out = t.files.select("fid", "rel", "language", "district", "loc", paths.name_of(F.col("rel")).alias("name"), paths.extension(F.col("rel")).alias("ext"))
+    out = out.join(signals.hotspots(t.files, h).select("fid", F.col("is_hotspot").alias("hotspot")), "fid", "left").na.fill(False, ["hotspot"])
+    out = out.join(history.ownership(history.file_authors(rows)).select("fid", F.col("primary_author").alias("owner")), "fid", "left")
+    out = out.join(signals.degrees(t.imports).select("fid", F.col("fan_in").alias("fanin"), F.col("fan_out").alias("fanout")), "fid", "left").na.fill(0, ["fanin", "fanout"])
+    out = out.join(signals.fix_ratios(h), "fid", "left").join(history.trend(history.activity(rows)).select("fid", "trend"), "fid", "left")
+    return out.withColumn("flags", F.when(F.col("hotspot"), dsl.BITS["hotspot"]).otherwise(0) + F.when(F.col("loc") >= 45, dsl.BITS["oversized"]).otherwise(0))
+
+
+DSL_QUERIES = {
+    "q3_q4_q12_flags": ("is:hotspot loc>=30 OR is:oversized -is:hotspot", "(flags & 512 <> 0 AND loc >= 30) OR (flags & 1024 <> 0 AND NOT flags & 512 <> 0)"),
+    "q5_q8_owner_trend": ('is:cooling owner:"nation_1"', "trend < 0 AND contains(lower(owner), 'nation_1')"),
+    "q6_q7_path": ("path:Promo/* ext:py lang:python", "starts_with(lower(rel), 'promo/') AND ext = '.py' AND lower(language) = 'python'"),
+    "q9_q11_district": ("district:economy fanin>2 | _77 -district:promo | unknown:x", "(lower(district) = 'economy' AND fanin > 2) OR (contains(lower(name), '_77') AND NOT lower(district) = 'promo')"),
+    "q10_j20_imports": ("imports:small/ -importedby:large/", "EXISTS (SELECT 1 FROM imports JOIN files g ON g.fid = dst WHERE src = ix.fid AND starts_with(lower(g.rel), 'small/')) AND NOT EXISTS (SELECT 1 FROM imports JOIN files g ON g.fid = src WHERE dst = ix.fid AND starts_with(lower(g.rel), 'large/'))"),
+    "q13_j19_fixes": ("fixes>=8 heat>0 || fixes>=10", "fixes >= 10"),
+}
+for _name, (_text, _where) in DSL_QUERIES.items():
+
+    def _run(t: TableFacts, text: str = _text) -> DataFrame:
+        return dsl.run(_index(t), text, t.imports).select("fid", "rel", "loc")
+
+    _run.__name__ = _name
+    query(INDEX + f"SELECT fid, rel, loc FROM ix WHERE {_where}")(_run)
+
+
+@query(INDEX + "SELECT 'hot' AS name, count(*) FILTER (flags & 512 <> 0) AS n FROM ix UNION ALL SELECT 'large', count(*) FILTER (loc > 40) FROM ix UNION ALL SELECT 'all', count(*) FROM ix")
+def q14_legend_counts(t: TableFacts) -> DataFrame:
+    return dsl.counts(_index(t), {"hot": "is:hotspot", "large": "loc>40", "all": ""})
+
+
+@query(INDEX + "SELECT count(*) AS files, count(DISTINCT district) AS districts, coalesce(sum(loc), 0)::BIGINT AS loc FROM ix WHERE flags & 512 <> 0")
+def a35_query_summary(t: TableFacts) -> DataFrame:
+    return dsl.summary(dsl.run(_index(t), "is:hotspot"))
+
+
+@query(INDEX + "SELECT 'district' AS facet, district AS value, count(*) AS n FROM ix GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM ix GROUP BY 2 UNION ALL SELECT 'trend', trend::VARCHAR, count(*) FROM ix GROUP BY 2")
+def a12_a13_a34_facets(t: TableFacts) -> DataFrame:
+    return dsl.facets(_index(t), ["district", "language", "trend"])
+
+
+@query(INDEX + "SELECT 'defects' AS lens, CASE WHEN fixes >= 2 AND fix_ratio >= 0.5 THEN 'half fixes' WHEN fixes > 0 THEN 'some fixes' ELSE 'none' END AS band, count(*) AS n FROM ix GROUP BY 2 UNION ALL SELECT 'trend', CASE WHEN hotspot AND trend > 0 THEN 'rising hotspot' WHEN trend > 0 THEN 'rising' WHEN trend < 0 THEN 'cooling' ELSE 'steady' END, count(*) FROM ix GROUP BY 2")
+def pr24_a38_lens_counts(t: TableFacts) -> DataFrame:
+    ix = _index(t).withColumns({"rising": F.col("hotspot") & (F.col("trend") > 0), "defect": F.lit(False), "bugprone": F.lit(False)})
+    return bands.lens_counts(ix, "defects").select(F.lit("defects").alias("lens"), "band", "n").unionByName(bands.lens_counts(ix, "trend").select(F.lit("trend").alias("lens"), "band", "n"))
+
+
+@query(INDEX + "SELECT CASE WHEN hotspot THEN 'hotspot' WHEN fanin >= 3 AND fanout >= 3 THEN 'hub' WHEN loc >= 45 THEN 'oversized' ELSE 'healthy' END AS signal, count(*) AS n FROM ix GROUP BY 1")
+def pr26_pressing_signal(t: TableFacts) -> DataFrame:
+    ix = _index(t).withColumns({"hub": (F.col("fanin") >= 3) & (F.col("fanout") >= 3), "oversized": F.col("loc") >= 45, "orphan": F.lit(True)})
+    return ix.groupBy(bands.pressing({"hotspots", "hubs"}, ix.columns).alias("signal")).agg(F.count("*").alias("n"))
+
+
+@query(HIST + ERA + "SELECT ag.fid, coalesce(commits, 0) / (SELECT max(commits) FROM act) AS burn FROM ag LEFT JOIN (SELECT fid, commits FROM act WHERE bucket = 12) b ON b.fid = ag.fid WHERE age_days >= 365")
+def r16_timeline(t: TableFacts) -> DataFrame:
+    rows = log(t)
+    return bands.timeline(history.eras(history.file_history(rows)), history.activity(rows), 365)
+
+
+# -- texts -------------------------------------------------------------------------------
+
+
+@query(r"""l AS (SELECT doc_id, text, regexp_split_to_array(text, '\r\n|[\n\r]') AS a FROM documents), m AS (SELECT *, list_transform(CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END, lambda x: trim(x)) AS b FROM l)
+SELECT doc_id, len(list_filter(b, lambda x: x <> ''))::INT AS logical_loc, len(list_filter(b, lambda x: starts_with(x, 'Das')))::INT AS comment_lines, (CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END)::INT AS physical_lines FROM m""", facts=True)
+def pa3_sc15_generic_parse(t: TableFacts) -> DataFrame:
+    return text.generic_parse(t.table("documents").select("doc_id", "text"), "Das").select("doc_id", "logical_loc", "comment_lines", "physical_lines")
+
+
+@query(r"""x AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS s FROM pages) SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g')) AS body FROM x""")
+def pa19_page_text(t: TableFacts) -> DataFrame:
+    return t.table("pages").select("page_id", text.page_text(F.col("html")).alias("body"))
+
+
+@query(r"""x AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>')) AS h FROM pages), y AS (SELECT page_id, regexp_extract(h, '(?i)^<h([1-6])', 1)::INT AS level, regexp_replace(h, '<[^>]+>', ' ', 'g') AS s FROM x)
+SELECT page_id, level, trim(regexp_replace(replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g')) AS title FROM y""")
+def pa18_headings(t: TableFacts) -> DataFrame:
+    return text.headings(t.table("pages"))
+
+
+@query(r"""l AS (SELECT doc_id AS id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS l, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r]'), 1) AS line FROM documents),
+m AS (SELECT id, line, regexp_extract(l, '^(The|La|Die)[: ]+([^\n]*)', 1) AS marker, regexp_extract(l, '^(The|La|Die)[: ]+([^\n]*)', 2) AS note FROM l WHERE l <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS r FROM m WHERE marker <> '')
+SELECT id, line::INT AS line, marker, length(note) AS note_chars FROM n WHERE r <= 5""")
+def pa22_debt_scan(t: TableFacts) -> DataFrame:
+    docs = t.table("documents").select(F.col("doc_id").alias("id"), "text")
+    first = r"^(The|La|Die)[: ]+([^\n]*)"
+    from pyspark.sql import Window
+
+    rows = docs.select("id", F.posexplode(text.lines(F.col("text"))).alias("n", "l")).select("id", (F.col("n") + 1).alias("line"), F.regexp_extract("l", first, 1).alias("marker"), F.length(F.regexp_extract("l", first, 2)).cast("long").alias("note_chars")).where("marker <> ''")
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("line"))).where("r <= 5").drop("r")
+
+
+@query(r"""x AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 60 THEN rtrim(s[:59]) || '…' ELSE s END AS short FROM x""")
+def pa24_shorten(t: TableFacts) -> DataFrame:
+    return t.table("documents").select("doc_id", text.shorten(F.col("text"), 60).alias("short"))
+
+
+@query("x AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) AS events FROM events GROUP BY 1) SELECT * FROM x")
+def a43_conditional_counts(t: TableFacts) -> DataFrame:
+    return t.table("events").groupBy("user_id").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.count("*").alias("events"))
+
+
+@query("""im AS (SELECT f.rel, f.district, CASE src % 3 WHEN 0 THEN 'os.path' WHEN 1 THEN 'Pkg_' || (dst % 25) || '.x' ELSE 'yaml' END AS spec FROM imports JOIN files f ON f.fid = src),
+us AS (SELECT DISTINCT rel, district, CASE WHEN spec = 'yaml' THEN 'pyyaml' ELSE lower(replace(str_split(spec, '.')[1], '_', '-')) END AS package FROM im WHERE spec <> 'os.path'),
+de AS (SELECT 'pkg-' || i AS package FROM range(10, 30) r(i))
+SELECT package, count(DISTINCT rel) AS files, count(DISTINCT district) AS folders, package IN (SELECT package FROM de) AS declared FROM us GROUP BY 1 ORDER BY files DESC, package LIMIT 40""")
+def a30_r10_packages(t: TableFacts) -> DataFrame:
+    used, declared = _packages(t)
+    return externals.usage(used, declared, t.files)
+
+
+@query("""im AS (SELECT f.rel, CASE src % 3 WHEN 0 THEN 'os.path' WHEN 1 THEN 'Pkg_' || (dst % 25) || '.x' ELSE 'yaml' END AS spec FROM imports JOIN files f ON f.fid = src),
+us AS (SELECT DISTINCT CASE WHEN spec = 'yaml' THEN 'pyyaml' ELSE lower(replace(str_split(spec, '.')[1], '_', '-')) END AS package FROM im WHERE spec <> 'os.path'), de AS (SELECT 'pkg-' || i AS package FROM range(10, 30) r(i))
+SELECT package, 'undeclared' AS kind FROM us WHERE package NOT IN (SELECT package FROM de) UNION ALL SELECT package, 'unused' FROM de WHERE package NOT IN (SELECT package FROM us)""")
+def j17_u2_mismatches(t: TableFacts) -> DataFrame:
+    return externals.mismatches(*_packages(t))
+
+
+def _packages(t: TableFacts) -> tuple[DataFrame, DataFrame]:
+    spec = F.expr("CASE src % 3 WHEN 0 THEN 'os.path' WHEN 1 THEN 'Pkg_' || (dst % 25) || '.x' ELSE 'yaml' END")
+    raw = t.imports.join(t.files.select(F.col("fid").alias("src"), "rel"), "src").select("rel", spec.alias("spec"))
+    used = externals.python_packages(raw, externals.local_names(t.files))
+    return used, t.spark.range(10, 30).select(F.concat(F.lit("pkg-"), F.col("id").cast("string")).alias("package"))
