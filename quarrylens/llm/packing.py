@@ -18,7 +18,8 @@ number of documents.
 The tokeniser sees each chunk between blanks once per worker: no token spans a blank,
 special strings hold none, and normalisation does not reach over one, so the ids of a
 text are those of its chunks in order. Chunks in Latin letters are made from their lower-case words. The
-caches of chunks and of words are cleared at ``CACHE`` entries each.
+caches of chunks and of words have two generations of ``CACHE`` entries: a full one becomes the old one, and
+what is used again moves over, so frequent words stay.
 
 Defined results: null text is empty and yields the closing id alone; repeated rows are
 packed each; an empty table gives an empty result; other columns are ignored.
@@ -40,7 +41,7 @@ from .common import checkpoint
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 1_200_000
+CACHE = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -130,6 +131,8 @@ def chunk_ids(path: str):
     begins = {t.content[0] for t in tokenizer.get_added_tokens_decoder().values()}
     chunks_of: dict[str, bytes] = {"": b""}
     words_of: dict[str, bytes] = {}
+    old_chunks: dict[str, bytes] = {}
+    old_words: dict[str, bytes] = {}
 
     def encoded(texts: list[str], how: Tokenizer) -> Iterator[bytes]:
         """The ids of each text; a special token between them keeps them apart in one call."""
@@ -148,13 +151,19 @@ def chunk_ids(path: str):
         """Chunks of Latin letters, with a comma or stop behind them or not, are made from their words; others are encoded whole."""
         simple, other, new = [], [], set()
         for chunk in chunks:
+            if (known := old_chunks.get(chunk)) is not None:
+                chunks_of[chunk] = known
+                continue
             word, tail = chunk.lower(), ""
             if not word.isalpha() and word[-1] in ",.":
                 word, tail = word[:-1], word[-1]
             if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
                 simple.append((chunk, word, tail))
                 if word not in words_of:
-                    new.add(word)
+                    if (known := old_words.get(word)) is not None:
+                        words_of[word] = known
+                    else:
+                        new.add(word)
             else:
                 other.append(chunk)
         fresh = [*new, *(t for t in ",." if t not in words_of)]
@@ -168,15 +177,15 @@ def chunk_ids(path: str):
                 chunks_of[chunk] = np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(text: str) -> bytes:
+        nonlocal chunks_of, words_of, old_chunks, old_words
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
             return b"".join(map(chunks_of.__getitem__, chunks))
         except KeyError:
             if len(chunks_of) > CACHE:
-                chunks_of.clear()
-                chunks_of[""] = b""
+                chunks_of, old_chunks = {"": b""}, chunks_of
             if len(words_of) > CACHE:
-                words_of.clear()
+                words_of, old_words = {}, words_of
             learn({c for c in chunks if c not in chunks_of})
             return b"".join(map(chunks_of.__getitem__, chunks))
 
