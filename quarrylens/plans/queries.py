@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import measures, paths
 from . import dsl
-from ..operators import bands, changes_since, clones, externals, folders, graph, history, owners, signals, tests_map, text
+from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, signals, tests_map, text
+from ..sources import sinks, storage, synthetic
 from ..sources.tables import FACTS_SQL, TableFacts
+from ..streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -694,3 +696,61 @@ def _packages(t: TableFacts) -> tuple[DataFrame, DataFrame]:
     raw = t.imports.join(t.files.select(F.col("fid").alias("src"), "rel"), "src").select("rel", spec.alias("spec"))
     used = externals.python_packages(raw, externals.local_names(t.files))
     return used, t.spark.range(10, 30).select(F.concat(F.lit("pkg-"), F.col("id").cast("string")).alias("package"))
+
+
+# -- sinks, streams, layout ------------------------------------------------------------------
+
+
+@query(HIST + "SELECT a, b, n FROM cp ORDER BY n DESC, a, b LIMIT 2000")
+def sk8_j22_bridges(t: TableFacts) -> DataFrame:
+    return sinks.bridges(history.coupling(t.changes, bulk(t)), t.files)
+
+
+@query(EDGES + ", w AS (SELECT src, dst FROM ed JOIN mx f ON f.sf = ed.sf AND f.df = ed.df JOIN mx b ON b.sf = ed.df AND b.df = ed.sf WHERE f.n <= b.n) SELECT i.src, i.dst, (w.src IS NOT NULL)::INT AS violates FROM imports i LEFT JOIN w ON w.src = i.src AND w.dst = i.dst")
+def sk9_import_edges(t: TableFacts) -> DataFrame:
+    return sinks.import_edges(t.imports, folders.majority_violations(_edges(t)))
+
+
+@query(INDEX + "SELECT rel, loc, trim(CASE WHEN flags & 512 <> 0 THEN 'hotspot ' ELSE '' END || CASE WHEN flags & 1024 <> 0 THEN 'oversized' ELSE '' END) AS signals FROM ix")
+def sk14_csv_rows(t: TableFacts) -> DataFrame:
+    return sinks.csv_rows(_index(t), ["rel", "loc"], {"hotspot": dsl.BITS["hotspot"], "oversized": dsl.BITS["oversized"]})
+
+
+@query(r"""l AS (SELECT doc_id AS id, str_split(text, chr(10)) AS a FROM documents), u AS (SELECT id, unnest(range(1, len(a) + 1)) AS line, a FROM l), z AS (SELECT id, line, a[line] || CASE WHEN line < len(a) THEN chr(10) ELSE '' END AS s FROM u)
+SELECT id, line::INT AS line, coalesce(sum(octet_length(encode(s))) OVER (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", octet_length(encode(s))::BIGINT AS bytes FROM z WHERE s <> ''""")
+def sk7_w18_line_offsets(t: TableFacts) -> DataFrame:
+    return text.line_offsets(t.table("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("one AS (SELECT 1) SELECT rel, substr(rel, 1, 0) AS body FROM files")
+def sk16_encrypted_round_trip(t: TableFacts) -> DataFrame:
+    key = sinks.derive_key("a passphrase", b"salt" * 4, 1000)
+    frames = t.files.select(F.col("fid").alias("id"), F.col("rel").alias("body"))
+    back = sinks.decrypted(sinks.encrypted(frames, key), key)
+    return back.join(t.files.select(F.col("fid").alias("id"), "rel"), "id").select("rel", F.replace(F.col("body"), F.col("rel"), F.lit("")).alias("body"))
+
+
+@query()
+def l1_l4_layout(t: TableFacts) -> DataFrame:
+    rects, _ = layout.districts(folders.rollup(t.files))
+    heights = t.files.withColumn("height", measures.height(F.col("language"), F.col("loc"), F.lit(None).cast("long"), F.lit(False)))
+    return layout.placements(heights, rects)
+
+
+@query()
+def sc20_synthetic_repository(t: TableFacts) -> DataFrame:
+    return synthetic.files(t.spark, 10_000, 400)
+
+
+@query("""w AS (SELECT event_type AS path, time_bucket(INTERVAL '10 days', ts, TIMESTAMP '1970-01-01') AS s, user_id, value FROM events) SELECT path, epoch(s)::BIGINT AS start, count(*) AS commits FROM w GROUP BY 1, 2""")
+def a7_streaming_activity(t: TableFacts) -> DataFrame:
+    """The streaming plan itself, run over the stored events until all are taken."""
+    import uuid
+
+    spark = t.spark
+    schema = t.table("events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parque[t]")
+    rows = stream.select(F.col("event_type").alias("path"), F.col("user_id").alias("author"), F.col("ts").cast("timestamp").alias("ts"))
+    name = f"activity_{uuid.uuid4().hex}"
+    activity.run_once(activity.windowed(rows, width="10 days"), name, storage.fresh_folder(spark)).awaitTermination()
+    return spark.table(name).select("path", F.unix_seconds("start").alias("start"), "commits")

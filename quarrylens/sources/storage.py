@@ -18,3 +18,11 @@ def cut(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="quarrylens-")
         spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def fresh_folder(spark) -> str:
+    """A new path below the shared folder."""
+    import uuid
+
+    cut(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
