@@ -77,3 +77,23 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: What drops the caches that operators keep in a Python worker between tasks.
+CACHES: list = []
+
+
+def tidy(keep=None) -> None:
+    """Called as a task begins in a Python worker: what other operators have left there is given back."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for drop in CACHES:
+        if drop is not keep:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

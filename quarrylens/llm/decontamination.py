@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BLOCK_ITEMS, BLOCK_WORDS = 5_000, 200_000
 WORDS = re.compile("[^\\W぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]")
 HITS = "doc_id long, item_id long, distance int, budget int, first_word long, last_word long"
@@ -150,6 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tidy()
             matcher = Matcher(shared.value)
             for batch in batches:
                 rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in matcher.match(text.as_py())]
@@ -167,6 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
 def _is_clean(shared):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         matcher = Matcher(shared.value)
         for texts in batches:
             yield pd.Series([not matcher.match(t) for t in texts], dtype=bool)

@@ -37,13 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, stored
+from .common import checkpoint, partitions, stored, tidy
 from .components import components
 
 GRAM = 5
 HOT = 16
 HOT_TABLE = 1_000_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 22, 2048
 BROADCAST_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +54,7 @@ _NONSPACE[[32, *range(9, 14)]] = False
 #: A number for each byte, A-Z sharing those of a-z.
 _BYTES = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
 _BYTES[65:91] = _BYTES[97:123]
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -193,6 +193,7 @@ def hot_order(texts: DataFrame, hot: int = HOT, table: int = HOT_TABLE) -> Order
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        tidy()
         shingler, packer = Shingler(), zstandard.ZstdCompressor(1)
         parts, size, seen = [], 0, set()
 
@@ -249,6 +250,7 @@ def features(texts: DataFrame, order) -> DataFrame:
     """doc, n, d1, d2 (digest of the shingle set), hot (hot n-grams of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         shingler = Shingler()
         for batch in batches:
             out: list[list] = [[] for _ in _FEATURES]
@@ -268,6 +270,7 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         shingler, seen = Shingler(), set()
         for batch in batches:
             tokens, docs, sizes = [], [], []
@@ -286,6 +289,7 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
                     yield _out(_POSTING, tokens[part].view(np.int64), docs[part], sizes[part])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
 
         def pairs(g: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -325,6 +329,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         shingler = Shingler()
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()

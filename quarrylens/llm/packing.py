@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import CACHES, checkpoint, tidy
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -192,10 +192,14 @@ def chunk_ids(path: str):
     return ids
 
 
+CACHES.append(chunk_ids.cache_clear)
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep=chunk_ids.cache_clear)
         ids = chunk_ids(tokenizer_path)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         size = 4 * capacity

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 LABELLED = 20_000
 BROADCAST_GROUPS = 100_000
@@ -96,6 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, target:
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_l")).select("text", "_y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([measures(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
@@ -109,6 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, target:
 def _score(model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         for texts in batches:
             yield pd.Series(evidence(model.value, np.array([measures(t) for t in texts], float).reshape(-1, MEASURES)))
 
