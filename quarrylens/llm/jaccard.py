@@ -8,7 +8,8 @@ their overlap is at least 3/4 of their union, which bounds what has to be multip
 * documents with equal rows form one class, and its least doc_id stands for it;
 * sizes must be within 3/4 of each other;
 * of n shingles in any common order, two linked documents share one of their first
-  n - ceil(3n/4) + 1. Only those columns of A are multiplied. The order is by counted
+  n - ceil(3n/4) + 1, and k of their first n - ceil(3n/4) + k, here with k = n / 10. Only those
+  columns of A are multiplied, and pairs whose overlap in them stays below k are discarded. The order is by counted
   document frequency: n-grams in more than ``HOT`` documents (the ``HOT_TABLE``
   most frequent of them, a broadcast of 16 MB at most) come last, by frequency. The order
   decides the work, never the result.
@@ -41,6 +42,7 @@ from .common import checkpoint, partitions, stored, tidy
 from .components import components
 
 GRAM = 5
+SHARED = 10
 HOT = 16
 HOT_TABLE = 1_000_000
 FLUSH = 1_000_000
@@ -139,6 +141,11 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def shared_least(n: int) -> int:
+    """How many shingles two linked documents share among their first prefix_length + shared_least - 1."""
+    return max(1, n // SHARED)
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     from xxhash import xxh3_128_digest
 
@@ -151,20 +158,27 @@ class Order:
     def __init__(self, tokens: np.ndarray, frequency: np.ndarray, bits: int):
         self.tokens, self.frequency, self.shift = tokens, frequency, np.uint64(64 - bits)
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cold and the hot n-grams among the first of s."""
-        p = prefix_length(len(s))
+    def _hot(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.tokens):
-            return s[:p], s[:0]
+            return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
         short = s >> self.shift
         at = np.minimum(np.searchsorted(self.tokens, short), len(self.tokens) - 1)
-        hot = self.tokens[at] == short
-        cold = s[~hot]
-        if len(cold) >= p:
-            return cold[:p], s[:0]
+        return self.tokens[at] == short, at
+
+    def cold(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The cold n-grams of the long prefix of s, and how many hot ones it has behind them."""
+        p = min(len(s), prefix_length(len(s)) + shared_least(len(s)) - 1)
+        cold = s[~self._hot(s)[0]][:p]
+        return cold, p - len(cold)
+
+    def hot(self, s: np.ndarray) -> np.ndarray:
+        """The hot n-grams of the prefix of s."""
+        hot, at = self._hot(s)
         rest = s[hot]
-        by = np.lexsort((rest, self.frequency[at[hot]]))
-        return cold, rest[by[: p - len(cold)]]
+        few = prefix_length(len(s)) - (len(s) - len(rest))
+        if few <= 0:
+            return s[:0]
+        return rest[np.lexsort((rest, self.frequency[at[hot]]))[:few]]
 
 
 def _out(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
@@ -172,8 +186,8 @@ def _out(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
 
 
 _FEATURES = [("doc", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("hot", pa.list_(pa.int64()))]
-_POSTING = [("g", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())]
-_PAIR = [("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_())]
+_POSTING = [("g", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("h", pa.int32())]
+_PAIR = [("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_()), ("c", pa.int64()), ("least", pa.int64())]
 _COUNTS = [("bucket", pa.int32()), ("payload", pa.binary())]
 _EDGE = [("a", pa.int64()), ("b", pa.int64())]
 
@@ -255,7 +269,7 @@ def features(texts: DataFrame, order) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in _FEATURES]
             for doc, s in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
-                hot = order.value.prefix(s)[1].view(np.int64).tolist() if len(s) else []
+                hot = order.value.hot(s).view(np.int64).tolist() if len(s) else []
                 for column, value in zip(out, (doc, len(s), *digest(s), hot), strict=True):
                     column.append(value)
             yield _out(_FEATURES, *out)
@@ -264,8 +278,10 @@ def features(texts: DataFrame, order) -> DataFrame:
 
 
 def cold_pairs(texts: DataFrame, order) -> DataFrame:
-    """a, b, star: pairs of compatible sizes that share a cold n-gram of their prefixes.
+    """a, b, star: pairs of compatible sizes whose overlap in cold columns does not rule a link out.
 
+    Two linked documents share ``shared_least`` shingles in their long prefixes, and no more of them can be hot than
+    the one has that has fewer; overlaps are summed up over all cold columns and pairs below that bound are discarded.
     star marks pairs with the least doc_id of a column; the others matter only if these do not connect them.
     """
 
@@ -273,29 +289,41 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
         tidy()
         shingler, seen = Shingler(), set()
         for batch in batches:
-            tokens, docs, sizes = [], [], []
+            tokens, docs, sizes, hots = [], [], [], []
             for doc, s in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
                 if not len(s) or doc is None or (key := digest(s)) in seen:
                     continue
                 seen.add(key)
-                cold = order.value.prefix(s)[0]
+                cold, hot = order.value.cold(s)
                 tokens.append(cold)
                 docs.append(np.full(len(cold), doc, np.int64))
                 sizes.append(np.full(len(cold), len(s), np.int32))
+                hots.append(np.full(len(cold), hot, np.int32))
             if tokens:
-                tokens, docs, sizes = (np.concatenate(x) for x in (tokens, docs, sizes))
+                tokens, docs, sizes, hots = (np.concatenate(x) for x in (tokens, docs, sizes, hots))
                 for at in range(0, len(tokens), 100_000):
                     part = slice(at, at + 100_000)
-                    yield _out(_POSTING, tokens[part].view(np.int64), docs[part], sizes[part])
+                    yield _out(_POSTING, tokens[part].view(np.int64), docs[part], sizes[part], hots[part])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
-
-        def pairs(g: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(g, prepend=g[0] - 1 if len(g) else 0)) if len(g) else np.empty(0, np.int64)
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
+
+        def summed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Pairs with their overlap in these columns; a key of both ids sorts them."""
+            a, b, star, least = np.concatenate(found, axis=1)
+            by = np.lexsort((b, a))
+            a, b, star, least = a[by], b[by], star[by], least[by]
+            cuts = np.flatnonzero(np.append(True, (np.diff(a) != 0) | (np.diff(b) != 0))) if len(a) else np.empty(0, np.int64)
+            if len(cuts):
+                yield _out(_PAIR, a[cuts], b[cuts], np.logical_or.reduceat(star.astype(bool), cuts), np.diff(np.append(cuts, len(a))), least[cuts])
+
+        def pairs(g: np.ndarray, doc: np.ndarray, n: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if not len(g):
+                return
+            cuts = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
             lengths = np.diff(np.append(cuts, len(g)))
-            found = []
+            found, size = [], 0
             for length in np.unique(lengths[lengths > 1]):
                 starts = cuts[lengths == length]
                 for i in range(length - 1):  # the i-th document of every column of this length with those behind it
@@ -303,11 +331,16 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
                         base = starts[at : at + max(1, FLUSH // int(length))]
                         left = np.repeat(base + i, length - 1 - i)
                         right = (base[:, None] + np.arange(i + 1, length)).ravel()
-                        a, b = np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right])
-                        ok = (a != b) & (4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right]))
-                        found.append(np.stack([a[ok], b[ok], np.full(ok.sum(), i == 0, np.int64)]))
-            if found and (whole := np.unique(np.concatenate(found, axis=1), axis=1)).shape[1]:
-                yield _out(_PAIR, whole[0], whole[1], whole[2].astype(bool))
+                        ok = (doc[left] != doc[right]) & (4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right]))
+                        left, right = left[ok], right[ok]
+                        least = np.maximum(1, np.minimum(n[left], n[right]) // SHARED) - np.minimum(h[left], h[right])
+                        found.append(np.stack([np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right]), np.full(len(left), i == 0, np.int64), least]))
+                        size += len(left)
+                        if size >= FLUSH:
+                            yield from summed(found)
+                            found, size = [], 0
+            if found:
+                yield from summed(found)
 
         for batch in batches:
             now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
@@ -317,9 +350,10 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
                 yield from pairs(*[x[:last] for x in now])
         yield from pairs(*rest)
 
-    postings = texts.mapInArrow(post, "g long, doc long, n int")
+    postings = texts.mapInArrow(post, "g long, doc long, n int, h int")
     columns = postings.repartition(partitions(texts.sparkSession), "g").sortWithinPartitions("g", "doc")
-    return columns.mapInArrow(multiply, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    sums = columns.mapInArrow(multiply, "a long, b long, star boolean, c long, least long").groupBy("a", "b").agg(F.max("star").alias("star"), F.sum("c").alias("c"), F.max("least").alias("least"))
+    return sums.where("c >= least").select("a", "b", "star")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
