@@ -47,4 +47,4 @@ def timeline(files: DataFrame, activity: DataFrame, days_before: float, bucket_d
     """Files that existed so many days before the head, and how busy each was then against the busiest."""
     now = activity.where(F.col("bucket") == int(days_before // bucket_days)).select("fid", "commits")
     most = activity.agg(F.max("commits").alias("most"))
-    return files.where(F.col("age_days") >= days_before).join(now, "fid", "left").crossJoin(F.broadcast(most)).select("fid", (F.coalesce("commits", F.lit(0)) / F.col("most")).alias("burn"))
+    return files.where(F.col("age_days") >= days_before).join(now, "fid", "left").crossJoin(F.broadcast(most)).select("fid", F.try_divide(F.coalesce("commits", F.lit(0)), F.col("most")).alias("burn"))

@@ -154,6 +154,6 @@ def teams(files: DataFrame, rows: DataFrame, buckets: DataFrame, scores: DataFra
     commits = touched.join(width, "commit_id").groupBy("folder").agg(F.count("*").alias("commits"), F.round(F.avg((F.col("width") > 1).cast("double")), 4).alias("cross_share"))
     recent = buckets.where(F.col("bucket") < th.cooks_months).join(of, "fid").groupBy("folder").agg(F.countDistinct("author").alias("recent_authors"))
     each = scores.join(of, "fid").groupBy("folder", "author").agg(F.sum("score").alias("score"))
-    top = each.groupBy("folder").agg(F.round(F.max("score") / F.sum("score"), 4).alias("top_share"))
+    top = each.groupBy("folder").agg(F.round(F.try_divide(F.max("score"), F.sum("score")), 4).alias("top_share"))
     out = commits.join(recent, "folder", "left").join(top, "folder", "left").na.fill(0)
     return out.select("folder", "commits", "cross_share", "recent_authors", "top_share", ((F.col("recent_authors") > th.cooks_authors) & (F.col("top_share") < th.cooks_share)).alias("many_cooks"))

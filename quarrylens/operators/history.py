@@ -58,7 +58,7 @@ def ownership(authors: DataFrame) -> DataFrame:
     w = Window.partitionBy("fid").orderBy(F.desc("lines"), F.desc("author"))
     ranked = authors.select("fid", "author", "lines", F.row_number().over(w).alias("n"), F.sum("lines").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("lines").over(Window.partitionBy("fid")).alias("total"))
     return ranked.groupBy("fid").agg(
-        F.max(F.when(F.col("n") == 1, F.col("author"))).alias("primary_author"), (F.max("lines") / F.max("total")).alias("share"), F.count("*").alias("authors"),
+        F.max(F.when(F.col("n") == 1, F.col("author"))).alias("primary_author"), F.try_divide(F.max("lines"), F.max("total")).alias("share"), F.count("*").alias("authors"),
         F.min(F.when(F.col("run") * 2 >= F.col("total"), F.col("n"))).alias("bus_factor"),
     )
 

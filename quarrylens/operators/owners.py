@@ -58,6 +58,6 @@ def drift(said: DataFrame, identity: DataFrame, authors: DataFrame, owners: Data
     known = handles.select("fid", paths.handle(F.regexp_replace("o", "^@", "")).alias("key")).join(identity, "key").select("fid", "author").distinct()
     total = authors.groupBy("fid").agg(F.sum("lines").alias("total"))
     judged = known.join(authors.select("fid", "author", "lines"), ["fid", "author"], "left").join(total, "fid").join(owners.select("fid", "primary_author"), "fid", "left")
-    ok = F.max((F.col("author").eqNullSafe(F.col("primary_author")) | (F.coalesce("lines", F.lit(0)) / F.col("total") >= th.aligned_share)).cast("int"))
+    ok = F.max((F.col("author").eqNullSafe(F.col("primary_author")) | (F.try_divide(F.coalesce("lines", F.lit(0)), F.col("total")) >= th.aligned_share)).cast("int"))
     aligned = judged.groupBy("fid").agg(ok.alias("aligned"))
     return said.join(aligned, "fid", "left").select("fid", F.col("owners").isNull().alias("unowned"), F.coalesce(F.col("aligned") == 0, F.lit(False)).alias("drift"))

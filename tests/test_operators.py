@@ -104,7 +104,6 @@ def test_clone_twins(spark):
     renamed = body.replace("value", "result").replace("left", "first")
     other = "\n".join(f"while queue{i} and not seen: print(seen[{i}]); break" for i in range(12))
     docs = spark.createDataFrame([(1, body), (2, renamed), (3, other), (4, None), (5, "")], "fid long, text string")
-    assert [(r["a"], r["b"]) for r in clones.clone_pairs(clones.fingerprints(docs)).collect()] == [] or True
     prints = {r["fid"] for r in clones.fingerprints(docs).collect()}
     assert prints == {1, 2, 3}
     shared = clones.fingerprints(docs).groupBy("fp").agg(F.collect_set("fid").alias("f")).where("array_contains(f, 1)").first()["f"]
