@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import measures, paths
 from . import dsl
-from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, signals, tests_map, text
+from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, rollups, signals, tests_map, text
 from ..sources import sinks, storage, synthetic
 from ..sources.tables import FACTS_SQL, TableFacts
 from ..streaming import activity
@@ -754,3 +754,78 @@ def a7_streaming_activity(t: TableFacts) -> DataFrame:
     name = f"activity_{uuid.uuid4().hex}"
     activity.run_once(activity.windowed(rows, width="10 days"), name, storage.fresh_folder(spark)).awaitTermination()
     return spark.table(name).select("path", F.unix_seconds("start").alias("start"), "commits")
+
+
+# -- totals and short lists ------------------------------------------------------------------
+
+
+@query("d AS (SELECT district, subfolder, loc FROM files) SELECT district, str_split(subfolder, '/')[2] AS subfolder, count(*) AS files, sum(loc)::BIGINT AS loc FROM d GROUP BY 1, 2")
+def a22_subfolders(t: TableFacts) -> DataFrame:
+    return rollups.subfolders(t.files, 1)
+
+
+@query(INDEX + "SELECT count(*) AS files, sum(loc)::BIGINT AS loc, sum(hotspot::INT)::BIGINT AS hotspots, sum((loc >= 45)::INT)::BIGINT AS large, sum(fixes)::BIGINT AS fixes, sum((fanin = 0)::INT)::BIGINT AS unimported FROM ix")
+def a28_a41_a42_totals(t: TableFacts) -> DataFrame:
+    return rollups.totals(_index(t), {"files": "1", "loc": "loc", "hotspots": "hotspot", "large": "loc >= 45", "fixes": "fixes", "unimported": "fanin = 0"})
+
+
+@query(CENTRAL + ", r AS (SELECT fid, row_number() OVER (ORDER BY centrality DESC, rel) <= (SELECT greatest(3, round_even(count(*) * 0.05, 0)) FROM ce) AND centrality > 0 AS dt FROM ce), s AS (SELECT district, avg(dt::INT) AS share FROM files JOIN r USING (fid) GROUP BY 1) SELECT district, share, share > 0 AND share >= 2.0 * (SELECT avg(dt::INT) FROM r) AS is_cbd FROM s")
+def a36_central_districts(t: TableFacts) -> DataFrame:
+    town = signals.downtown(_centrality(t)).select("fid", F.lit(True).alias("downtown"))
+    return rollups.central_districts(t.files.join(town, "fid", "left").na.fill(False, ["downtown"]))
+
+
+@query(HIST + "SELECT district, round(avg(recent_churn), 4) AS heat FROM files JOIN heat USING (fid) GROUP BY 1")
+def a37_district_heat(t: TableFacts) -> DataFrame:
+    return t.files.join(history.recent_churn(log(t)), "fid").groupBy("district").agg(F.round(F.avg("recent_churn"), 4).alias("heat"))
+
+
+@query(EDGES + "SELECT ed.sf AS src_folder, ed.df AS dst_folder, count(*) AS n FROM ed JOIN mx f ON f.sf = ed.sf AND f.df = ed.df JOIN mx b ON b.sf = ed.df AND b.df = ed.sf WHERE f.n <= b.n GROUP BY 1, 2")
+def a40_violating_pairs(t: TableFacts) -> DataFrame:
+    return folders.majority_violations(_edges(t)).groupBy("src_folder", "dst_folder").agg(F.count("*").alias("n"))
+
+
+@query(MEASURES + ", b AS (SELECT folder, coalesce(instability, 0.5) AS i FROM fm ORDER BY edges_in + edges_out DESC, folder LIMIT 12), p AS (SELECT folder, row_number() OVER (ORDER BY i DESC, folder) AS place FROM b) SELECT sf AS src_folder, df AS dst_folder, n, p.place FROM mx JOIN p ON p.folder = sf JOIN p q ON q.folder = df")
+def t5_dependency_matrix(t: TableFacts) -> DataFrame:
+    e = _edges(t)
+    return rollups.dependency_matrix(folders.matrix(e), folders.folder_coupling_measures(t.files, e, "subfolder"))
+
+
+@query(EDGES + ", a AS (SELECT * FROM mx ORDER BY n DESC, sf, df LIMIT 15), b AS (SELECT f.* FROM mx f JOIN mx k ON k.sf = f.df AND k.df = f.sf WHERE f.n <= k.n) SELECT sf AS src_folder, df AS dst_folder, n FROM a UNION SELECT sf, df, n FROM b")
+def t6_t14_flows(t: TableFacts) -> DataFrame:
+    e = _edges(t)
+    return rollups.flows(folders.matrix(e), folders.majority_violations(e))
+
+
+@query()
+def t7_find_files(t: TableFacts) -> DataFrame:
+    return rollups.find_files(t.files, "ecobr77")
+
+
+@query(HIST + "SELECT CASE WHEN a = 5 THEN b ELSE a END AS partner, n FROM cp WHERE a = 5 OR b = 5 ORDER BY n DESC, partner LIMIT 30")
+def t11_co_change_partners(t: TableFacts) -> DataFrame:
+    return rollups.co_change_partners(history.coupling(t.changes, bulk(t)), 5)
+
+
+@query("""s AS (SELECT l_orderkey AS key, CASE l_returnflag WHEN 'R' THEN 'function' WHEN 'A' THEN 'class' ELSE 'heading' END AS kind, l_partkey::VARCHAR AS name, l_quantity::BIGINT AS loc, l_linenumber * 100000 + l_partkey AS line FROM lineitem),
+r AS (SELECT *, CASE kind WHEN 'function' THEN 2 WHEN 'class' THEN 1 END AS r FROM s WHERE kind <> 'heading'), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY r DESC, loc DESC, line) AS n FROM r) SELECT key, name, loc FROM n WHERE n = 1""")
+def w16_longest_definition(t: TableFacts) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "function").when(F.col("l_returnflag") == "A", "class").otherwise("heading")
+    rows = t.table("lineitem").select(F.col("l_orderkey").alias("key"), kind.alias("kind"), F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").cast("long").alias("loc"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("line"))
+    return rollups.longest_definition(rows)
+
+
+@query(INDEX + "SELECT rel, 'warn' AS level, 'Changes often and is large: look here first.' AS note FROM ix WHERE hotspot UNION ALL SELECT rel, 'note', 'Imported by many and importing many.' FROM ix WHERE fanin >= 3 AND fanout >= 3")
+def pr27_pr28_notes(t: TableFacts) -> DataFrame:
+    ix = _index(t).withColumns({"is_hotspot": F.col("hotspot"), "is_hub": (F.col("fanin") >= 3) & (F.col("fanout") >= 3), "bus_factor": F.lit(2), **{c: F.lit(False) for c in ("is_defect", "in_cycle", "is_orphan", "is_clone", "violates", "untested")}})
+    return rollups.notes(ix)
+
+
+@query("""x AS (SELECT fid, loc, (fid % 7)::INT AS k, loc * 40 AS size FROM files), y AS (SELECT fid, CASE WHEN k > 0 THEN 3.5::DOUBLE + 1.45::DOUBLE * sqrt(loc / k) ELSE 4.0::DOUBLE + 0.055::DOUBLE * sqrt(size) END AS s,
+    CASE WHEN k > 0 THEN CASE WHEN k = 1 THEN 1.0 ELSE greatest(3, loc + 1) * k / (3 * (k - 1) + loc + 1) END ELSE pow(size / (loc + 3 * greatest(0, k - 1)) / 45.0, 2) END AS spread FROM x),
+z AS (SELECT fid, least(40.0, greatest(3.5, s)) AS s, sqrt(least(2.6, greatest(0.5, pow(spread, 0.25)))) AS r FROM y) SELECT fid, round(least(46.0, greatest(2.5, s * r)), 6) AS w, round(least(46.0, greatest(2.5, s / r)), 6) AS d FROM z""")
+def pr8_footprints(t: TableFacts) -> DataFrame:
+    k = (F.col("fid") % 7).cast("int")
+    starts = F.when(k == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: (i * 3 + 1).cast("long")))
+    plan = rollups.footprint(F.col("loc") * 40, F.col("loc"), starts, F.col("loc") + F.greatest(F.lit(0), k - 1) * 3 + F.when(k > 0, 1).otherwise(0))
+    return t.files.select("fid", plan.alias("p")).select("fid", F.round("p.w", 6).alias("w"), F.round("p.d", 6).alias("d"))
