@@ -77,6 +77,13 @@ def test_pseudonyms(spark, odd, none):
     assert other != text
 
 
+def test_neighbours_are_told_apart(spark):
+    line = "+1 (988) 555-2485 42.144.35.254 4041894974608795 42.144.35.254 +44 20 7946 0958 42.144.35.254 4041894974608795 +1 (988) 555-2485 4041894974608795 4041894974608795 77 (212) 555-0199 13"
+    row = pii.pseudonymised(docs_of(spark, [line])).first()
+    assert (row["n_phone"], row["n_ip"], row["n_card"]) == (4, 3, 4)
+    assert not any(x in row["text"] for x in ("555-2485", "42.144.35.254", "4041894974608795", "7946 0958", "555-0199"))
+
+
 def test_pseudonyms_are_distinct(spark):
     rng = random.Random(3)
     values = [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{i % 256}" for i in range(500)]
