@@ -30,7 +30,7 @@ ignored by ``labelled`` and carried by ``deduplicated``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -389,23 +389,25 @@ def candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"))
 
 
-def block_links(group: DataFrame, texts: DataFrame) -> DataFrame:
+def block_links(group: DataFrame, texts: DataFrame, bounded: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links between documents of different components in each group.
 
     group: doc, n, comp, s (its group). Documents outside the largest component of a group
     are multiplied with all of it, a block of rows by a block of rows. Blocks hold documents of
-    sizes within a power of two, so only those of neighbouring powers meet.
+    sizes within a power of two, so a document meets blocks of one power or two. Groups are no more
+    than hot n-grams, so tables by group are bounded.
     """
     sizes = group.groupBy("s", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("s").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    rows = group.join(main, "s").withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("rare", F.col("comp") != F.col("main"))
+    rows = group.join(bounded(main), "s").withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("rare", F.col("comp") != F.col("main"))
     per = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("band") + 1))))
     blocks = checkpoint(rows.groupBy("s", "band").agg(F.ceil(F.count("*") / F.first(per)).cast("int").alias("all"), F.ceil(F.sum(F.col("rare").cast("int")) / F.first(per)).cast("int").alias("few")))
-    placed = rows.join(blocks, ["s", "band"]).join(texts, "doc")
+    placed = rows.join(bounded(blocks), ["s", "band"])
     hashed = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     # As one of the rare it meets every block of all around its band; as one of all, every block of the rare.
     other = blocks.select("s", F.col("band").alias("oband"), F.col("all").alias("oall"), F.col("few").alias("ofew"))
-    near = placed.join(other, "s").where(F.abs(F.col("band") - F.col("oband")) <= 1)
+    reach = F.col("oband").between(F.floor(F.log2(F.col("n") * 0.75) - 1e-9), F.floor(F.log2(F.col("n") / 0.75) + 1e-9))
+    near = placed.join(bounded(other), "s").where(reach).join(texts, "doc")
     as_rare = near.where("rare").select("s", F.col("band").alias("rb"), hashed(F.col("few")).alias("ri"), F.col("oband").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("oall") - 1)).alias("ai"), F.lit(True).alias("r"), "doc", "comp", "text")
     as_all = near.where("ofew > 0").select("s", F.col("oband").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("ofew") - 1)).alias("ri"), F.col("band").alias("ab"), hashed(F.col("all")).alias("ai"), F.lit(False).alias("r"), "doc", "comp", "text")
 
@@ -496,7 +498,7 @@ def labelled(docs: DataFrame) -> DataFrame:
         least = open_rows.groupBy("g").agg(F.min("doc").alias("m"))
         group = components(open_rows.join(bounded(least), "g").select(F.col("doc").alias("a"), F.col("m").alias("b")))
         rows = open_rows.select("doc", "n", "comp").distinct().join(group.select(F.col("node").alias("doc"), F.col("label").alias("s")), "doc")
-        more.append(block_links(rows, own))
+        more.append(block_links(rows, own, bounded))
     rest = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     final = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     done = member.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left")
