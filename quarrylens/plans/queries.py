@@ -14,7 +14,7 @@ from ..config import DEFAULT
 from ..functions import measures, paths
 from . import dsl
 from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, rollups, signals, tests_map, text
-from ..sources import sinks, storage, synthetic
+from ..sources import repo, sinks, storage, synthetic
 from ..sources.tables import FACTS_SQL, TableFacts
 from ..streaming import activity
 
@@ -829,3 +829,86 @@ def pr8_footprints(t: TableFacts) -> DataFrame:
     starts = F.when(k == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: (i * 3 + 1).cast("long")))
     plan = rollups.footprint(F.col("loc") * 40, F.col("loc"), starts, F.col("loc") + F.greatest(F.lit(0), k - 1) * 3 + F.when(k > 0, 1).otherwise(0))
     return t.files.select("fid", plan.alias("p")).select("fid", F.round("p.w", 6).alias("w"), F.round("p.d", 6).alias("d"))
+
+
+# -- scans, parsers and predicates over tables that stand in for files -----------------------------
+
+
+@query(r"""l AS (SELECT doc_id, text, regexp_split_to_array(text, '\r\n|[\n\r]') AS a FROM documents), n AS (SELECT doc_id, len(list_filter(a, lambda x: trim(x) <> '')) AS k FROM l) SELECT doc_id, k::BIGINT AS logical_loc, k::BIGINT AS doc_lines, 'high' AS confidence FROM n""")
+def pa1_pa17_parse_markdown(t: TableFacts) -> DataFrame:
+    """The documents as Markdown files through the parser that repositories go through."""
+    files = t.table("documents").select(F.col("doc_id").cast("string").alias("rel"), F.lit("x.md").alias("name"), F.lit(False).alias("is_binary"), F.encode("text", "UTF-8").alias("content"))
+    return repo.parsed(files).select(F.col("rel").cast("long").alias("doc_id"), "logical_loc", "doc_lines", "confidence")
+
+
+@query("x AS (SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]\\b')) AS h FROM pages) SELECT page_id, h::BIGINT AS headings FROM x")
+def pa18_parse_html(t: TableFacts) -> DataFrame:
+    files = t.table("pages").select(F.col("page_id").cast("string").alias("rel"), F.lit("x.html").alias("name"), F.lit(False).alias("is_binary"), F.encode("html", "UTF-8").alias("content"))
+    records = repo.parsed(files)
+    return records.select(F.col("rel").cast("long").alias("page_id"), F.size(F.filter("floors", lambda f: f["kind"] == "heading")).cast("long").alias("headings"))
+
+
+@query("x AS (SELECT event_id, props FROM events) SELECT event_id, len(json_keys(props))::BIGINT AS rows FROM x")
+def sc13_sc14_json_rows(t: TableFacts) -> DataFrame:
+    return t.table("events").select("event_id", F.size(F.json_object_keys("props")).cast("long").alias("rows"))
+
+
+@query("x AS (SELECT doc_id, len(list_filter(str_split(text, chr(10)), lambda x: trim(x) <> '')) AS rows FROM documents) SELECT doc_id, rows::INT AS rows FROM x")
+def sc12_jsonl_rows(t: TableFacts) -> DataFrame:
+    return t.table("documents").select("doc_id", text.jsonl_rows(F.col("text")).alias("rows"))
+
+
+CASES = "CASE fid % 9 WHEN 0 THEN district || '/tests/a' || fid || '.py' WHEN 1 THEN 'Vendor/' || fid || '.js' WHEN 2 THEN district || '/test_' || fid || '.py' WHEN 3 THEN district || '/README.md' WHEN 4 THEN district || '/x' || fid || '.spec.ts' WHEN 5 THEN '__pycache__/' || fid || '.txt' WHEN 6 THEN district || '/package.json' WHEN 7 THEN district || '/x' || fid || '.min.js' ELSE district || '/contest_' || fid || '.pyc' END"
+
+
+@query(f"c AS (SELECT fid, fid % 9 AS k, {CASES} AS rel FROM files) SELECT rel, k IN (0, 2, 4) AS is_test, k = 3 AS is_doc, k IN (1, 7) AS is_vendored, k IN (5, 8) AS is_noise, k = 6 AS is_config, '.' || str_split(rel, '.')[-1] AS ext FROM c")
+def pr1_pr5_pr17_path_kinds(t: TableFacts) -> DataFrame:
+    rel = F.col("rel")
+    return t.files.select(F.expr(CASES).alias("rel")).select("rel", paths.is_test(rel).alias("is_test"), paths.is_doc(rel).alias("is_doc"), paths.is_vendored(rel).alias("is_vendored"), paths.is_noise(rel).alias("is_noise"), paths.is_config(rel).alias("is_config"), paths.extension(rel).alias("ext"))
+
+
+@query("x AS (SELECT DISTINCT p_type FROM part) SELECT p_type, lower(regexp_replace(trim(' ' || p_type || '__x.-y '), '[-_.]+', '-', 'g')) AS name FROM x")
+def pr19_package_names(t: TableFacts) -> DataFrame:
+    return t.table("part").select("p_type").distinct().select("p_type", paths.package_name(F.concat(F.lit(" "), "p_type", F.lit("__x.-y "))).alias("name"))
+
+
+@query(HIST + "SELECT f.fid, f.rel, h.commits, CASE WHEN h.fid IS NULL THEN 'unknown' ELSE 'git' END AS authorship FROM files f LEFT JOIN (SELECT * FROM h WHERE fid % 4 <> 0) h ON h.fid = f.fid")
+def j1_j2_files_with_history(t: TableFacts) -> DataFrame:
+    told = history.file_history(log(t).where("fid % 4 <> 0")).select("fid", "commits", F.lit("git").alias("authorship"))
+    return t.files.select("fid", "rel").join(told, "fid", "left").na.fill("unknown", ["authorship"])
+
+
+@query(REACH + """, sg AS (SELECT district, count(*) AS files, sum((loc >= 45)::INT)::BIGINT AS large, count(DISTINCT cycle) AS cycles, sum((node IS NOT NULL)::INT)::BIGINT AS in_cycle FROM files LEFT JOIN cy ON node = fid GROUP BY 1) SELECT * FROM sg""")
+def a17_a18_district_health(t: TableFacts) -> DataFrame:
+    c = graph.cycles(t.imports).select(F.col("node").alias("fid"), "cycle")
+    return t.files.join(c, "fid", "left").groupBy("district").agg(F.count("*").alias("files"), F.sum((F.col("loc") >= 45).cast("long")).alias("large"), F.countDistinct("cycle").alias("cycles"), F.sum(F.col("cycle").isNotNull().cast("long")).alias("in_cycle"))
+
+
+@query(HIST + "SELECT subfolder, author, lines, share, rank FROM (SELECT subfolder, author, sum(lines)::BIGINT AS lines, sum(lines) / sum(sum(lines)) OVER (PARTITION BY subfolder) AS share, row_number() OVER (PARTITION BY subfolder ORDER BY sum(lines) DESC, author) AS rank FROM files JOIN fa USING (fid) GROUP BY 1, 2) WHERE rank <= 2")
+def a16_a20_folder_mayors(t: TableFacts) -> DataFrame:
+    from pyspark.sql import Window
+
+    sums = t.files.select("fid", "subfolder").join(history.file_authors(log(t)), "fid").groupBy("subfolder", "author").agg(F.sum("lines").alias("lines"))
+    whole = Window.partitionBy("subfolder")
+    return sums.select("subfolder", "author", "lines", (F.col("lines") / F.sum("lines").over(whole)).alias("share"), F.row_number().over(whole.orderBy(F.desc("lines"), "author")).alias("rank")).where("rank <= 2")
+
+
+@query(MEASURES + "SELECT folder, ca, ce FROM fm WHERE ca + ce > 0 ORDER BY ca + ce DESC, folder LIMIT 20")
+def t4_district_table(t: TableFacts) -> DataFrame:
+    m = folders.folder_coupling_measures(t.files, _edges(t), "subfolder")
+    return m.where("ca + ce > 0").orderBy(F.desc(F.col("ca") + F.col("ce")), "folder").select("folder", "ca", "ce").limit(20)
+
+
+@query("one AS (SELECT 1) SELECT fid, rel, loc FROM files WHERE starts_with(rel, 'promo/') ORDER BY loc DESC, rel LIMIT 20")
+def t12_folder_report(t: TableFacts) -> DataFrame:
+    return t.files.where(F.col("rel").startswith("promo/")).orderBy(F.desc("loc"), "rel").select("fid", "rel", "loc").limit(20)
+
+
+@query("n AS (SELECT unnest(list_distinct([district, str_split(rel, '/')[2], regexp_replace(str_split(rel, '/')[3], '\\.[^.]*$', '')])) AS name FROM files) SELECT DISTINCT name FROM n")
+def u5_local_names(t: TableFacts) -> DataFrame:
+    return externals.local_names(t.files)
+
+
+@query()
+def sk17_path_keys(t: TableFacts) -> DataFrame:
+    return t.files.select("fid", F.substring(sinks.hmac_column(b"a passphrase", F.col("rel")), 1, 24).alias("key"))
