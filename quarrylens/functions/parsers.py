@@ -14,10 +14,16 @@ import json
 import re
 import tokenize
 
-#: Languages by extension and by name.
-LANGUAGES = {".py": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rs": "rust", ".kt": "kotlin", ".swift": "swift", ".php": "php", ".scala": "scala", ".dart": "dart", ".groovy": "groovy", ".rb": "ruby", ".sh": "shell", ".bash": "shell", ".lua": "lua", ".pl": "perl", ".r": "r", ".jl": "julia", ".sql": "sql", ".vue": "vue", ".svelte": "svelte", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".css": "css", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".xml": "xml", ".csv": "csv", ".tsv": "tsv", ".ipynb": "notebook", ".txt": "text", ".rst": "text"}
-NAMES = {"makefile": "make", "dockerfile": "docker", ".gitignore": "text", ".gitattributes": "text", "readme": "text", "license": "text"}
-BRACES = frozenset("javascript typescript java go c cpp csharp rust kotlin swift php scala dart groovy".split())
+#: Extensions of each language, and names that have one.
+EXTENSIONS = {
+    "python": ".py .pyi", "javascript": ".js .mjs .cjs .jsx", "typescript": ".ts .tsx", "java": ".java", "go": ".go", "c": ".c .h", "cpp": ".cc .cpp .cxx .hpp .hh", "csharp": ".cs", "rust": ".rs", "kotlin": ".kt .kts",
+    "swift": ".swift", "php": ".php", "scala": ".scala .sc", "dart": ".dart", "objectivec": ".m .mm", "groovy": ".groovy", "solidity": ".sol", "zig": ".zig", "html": ".html .htm", "markdown": ".md .markdown .rst .mdx", "notebook": ".ipynb",
+    "css": ".css .scss .sass .less", "csv": ".csv", "tsv": ".tsv", "json": ".json .jsonc", "jsonl": ".jsonl .ndjson", "yaml": ".yml .yaml", "toml": ".toml", "ini": ".ini .cfg", "shell": ".sh .bash .zsh .fish", "ruby": ".rb", "sql": ".sql",
+    "r": ".r", "julia": ".jl", "lua": ".lua", "perl": ".pl", "xml": ".xml .svg", "text": ".txt", "vue": ".vue", "svelte": ".svelte", "data": ".parquet",
+}
+LANGUAGES = {ext: language for language, known in EXTENSIONS.items() for ext in known.split()}
+NAMES = {"dockerfile": "docker", "makefile": "make", "gemfile": "ruby", "rakefile": "ruby", "procfile": "conf"} | dict.fromkeys((".gitignore", ".gitattributes", ".dockerignore"), "text")
+BRACES = frozenset("javascript typescript java go c cpp csharp rust kotlin swift php scala dart objectivec groovy solidity zig".split())
 METHOD_LANGUAGES = frozenset("java csharp cpp c dart groovy scala kotlin".split())
 CODE = BRACES | frozenset("python ruby shell lua perl r julia sql vue svelte".split())
 HASH_COMMENTS = frozenset(["php"])
@@ -28,7 +34,7 @@ BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.BoolOp, ast.L
 def language_of(name: str) -> str:
     low = name.lower()
     dot = low.rfind(".")
-    return NAMES.get(low) or (LANGUAGES.get(low[dot:]) if dot >= 0 else None) or ("text" if low.startswith(".git") else "unknown")
+    return NAMES.get(low) or LANGUAGES.get(low[dot:] if dot > 0 else "") or "unknown"
 
 
 def record(language: str, **values) -> dict:
@@ -121,7 +127,7 @@ def parse_python(source: str) -> dict:
 # -- brace languages -------------------------------------------------------------------
 
 _LEX = re.compile(r"""(?P<block>/\*.*?(?:\*/|\Z))|(?P<line>//[^\n]*)|(?P<hash>\#[^\n]*)|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)""", re.S)
-#: Words before a declaration, words that declare, words that are none.
+#: Words before a declaration, patterns of declarations, imports and types, words that declare nothing.
 _BEFORE = "export public private protected internal abstract final open sealed data pub static partial async virtual override synchronized native unsafe inline constexpr extern default"
 _CLASS = re.compile(rf"\s*(?:(?:{'|'.join(_BEFORE.split())})\s+)*(?:class|interface|struct|enum|impl|trait|object|protocol|extension|record|union|namespace)\s+([A-Za-z_$][\w$]*)")
 _FUNCTION = re.compile(rf"\s*(?:(?:{'|'.join(_BEFORE.split())})\s+)*(?:function|func|fn|def|fun|sub|proc|constructor)\s+\*?\s*([A-Za-z_$][\w$]*)")

@@ -11,32 +11,41 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Thresholds
 from ..functions import paths
 
-#: Names under which packages are imported, tools that nobody imports, modules that are no packages.
-ALIASES = {"yaml": "pyyaml", "PIL": "pillow", "cv2": "opencv-python", "sklearn": "scikit-learn", "bs4": "beautifulsoup4", "dateutil": "python-dateutil", "dotenv": "python-dotenv", "attr": "attrs", "jwt": "pyjwt", "git": "gitpython", "serial": "pyserial", "usb": "pyusb", "Crypto": "pycryptodome", "OpenSSL": "pyopenssl", "google.protobuf": "protobuf", "skimage": "scikit-image", "fitz": "pymupdf", "docx": "python-docx", "pptx": "python-pptx", "magic": "python-magic"}
-TOOLS = ("pytest", "black", "ruff", "mypy", "flake8", "isort", "pre-commit", "tox", "coverage", "typescript", "eslint", "prettier", "jest", "vite", "webpack", "setuptools", "wheel", "pip", "build", "twine")
+#: Packages by the (lower-case) name under which they are imported; top names that only three parts of identify; modules of the runtime; tools that are run, not imported.
+ALIASES = {
+    "yaml": "pyyaml", "pil": "pillow", "sklearn": "scikit-learn", "bs4": "beautifulsoup4", "cv2": "opencv-python", "dateutil": "python-dateutil", "jwt": "pyjwt", "dotenv": "python-dotenv",
+    "attr": "attrs", "openssl": "pyopenssl", "crypto": "pycryptodome", "magic": "python-magic", "serial": "pyserial", "git": "gitpython", "docx": "python-docx", "pptx": "python-pptx",
+    "zmq": "pyzmq", "skimage": "scikit-image", "google.protobuf": "protobuf", "multipart": "python-multipart", "jose": "python-jose", "slugify": "python-slugify", "psycopg2": "psycopg2-binary",
+}
+NAMESPACES = ("google", "azure")
+NODE_BUILTINS = tuple("assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split())
+TOOLS = tuple("pytest* black ruff flake8* mypy isort pre-commit coverage tox nox pylint sphinx* twine build wheel setuptools* pip hatch* poetry* flit* uvicorn gunicorn ipykernel jupyter* eslint* @eslint/* prettier* typescript @types/* types-* jest* vitest webpack* vite @vitejs/* babel* @babel/* ts-node tsx nodemon husky lint-staged rollup* @rollup/* esbuild concurrently rimraf @typescript-eslint/* stylelint* postcss* autoprefixer tailwindcss playwright @playwright/* cypress".split())
 
 
 def local_names(files: DataFrame) -> DataFrame:
-    """name: every folder segment and every module name of the repository."""
-    stem = F.regexp_replace(paths.name_of(F.col("rel")), r"\.[^.]*$", "")
-    return files.select(F.explode(F.concat(paths.dirs_of(F.col("rel")), F.array(stem))).alias("name")).distinct()
+    """name: every folder segment and every module name of the repository, normalised."""
+    stem = F.regexp_replace(paths.name_of(F.col("rel")), r"(.)\.[^.]*$", "$1")
+    return files.select(F.explode(F.concat(paths.dirs_of(F.col("rel")), F.array(stem))).alias("raw")).select(paths.package_name(F.col("raw")).alias("name")).where("name <> ''").distinct()
 
 
 def python_packages(imports: DataFrame, local: DataFrame) -> DataFrame:
-    """rel, spec -> rel, package: the top name, unless it is relative, of the standard library or of the repository."""
+    """rel, spec -> rel, package: by alias or top name, unless it is relative, of the standard library or of the repository."""
     import sys
 
-    top = F.element_at(F.split("spec", r"\."), 1)
-    some = imports.where(~F.col("spec").startswith(".")).select("rel", top.alias("name")).where(~F.col("name").isin(*sorted(sys.stdlib_module_names)) & (F.col("name") != ""))
-    alias = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), F.col("name")), F.col("name"))
-    return some.join(local, "name", "left_anti").select("rel", paths.package_name(alias).alias("package")).distinct()
+    parts = F.split("spec", r"\.")
+    some = imports.where(~F.col("spec").startswith(".") & (F.col("spec") != "")).select("rel", parts.alias("p"), F.element_at(parts, 1).alias("top"))
+    some = some.where(~F.col("top").isin("__future__", *sorted(sys.stdlib_module_names))).withColumn("name", paths.package_name(F.col("top")))
+    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    lead = lambda n: F.array_join(F.slice("p", 1, n), ".")
+    known = F.coalesce(F.try_element_at(alias, F.lower(lead(2))), F.try_element_at(alias, F.lower("top")), F.col("top"))
+    package = F.when(F.col("top").isin(*NAMESPACES) & (F.size("p") >= 3), lead(3)).otherwise(known)
+    return some.join(local, "name", "left_anti").select("rel", paths.package_name(package).alias("package")).distinct()
 
 
-def npm_packages(imports: DataFrame) -> DataFrame:
-    """rel, spec -> rel, package: scope and name, without a path behind them; built-ins and relative paths are none."""
-    name = F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^./@][^/]*)", 1)
-    builtin = ("fs", "path", "os", "http", "https", "url", "util", "crypto", "events", "stream", "child_process", "assert", "buffer", "zlib", "net", "tls", "dns", "readline", "worker_threads", "perf_hooks", "process", "querystring", "string_decoder", "timers", "tty", "vm", "v8", "cluster", "dgram", "module")
-    return imports.select("rel", name.alias("package")).where((F.col("package") != "") & ~F.col("package").isin(*builtin) & ~F.col("spec").startswith("node:")).distinct()
+def npm_packages(imports: DataFrame, local: DataFrame) -> DataFrame:
+    """rel, spec (scope and name) -> rel, package, without built-ins, aliases of paths and the repository's own names."""
+    some = imports.where(~F.col("spec").rlike("^(node:|@/|~|#|[.]|$)") & ~F.col("spec").isin(*NODE_BUILTINS)).withColumn("name", paths.package_name(F.col("spec")))
+    return some.join(local, "name", "left_anti").select("rel", F.col("name").alias("package")).distinct()
 
 
 def usage(used: DataFrame, declared: DataFrame, files: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
@@ -47,10 +56,12 @@ def usage(used: DataFrame, declared: DataFrame, files: DataFrame, th: Thresholds
 
 
 def mismatches(used: DataFrame, declared: DataFrame) -> DataFrame:
-    """package, kind: imported but not declared, or declared but not imported; tools and types are expected to be unused."""
+    """package, kind of one ecosystem: imported but not declared (where anything is), or declared but not imported; tools are expected to be unused."""
     u, d = used.select("package").distinct(), declared.select("package").distinct()
-    missing = u.join(d, "package", "left_anti").withColumn("kind", F.lit("undeclared"))
-    idle = d.where(~F.col("package").isin(*TOOLS) & ~F.col("package").startswith("@types/") & ~F.col("package").startswith("types-")).join(u, "package", "left_anti").withColumn("kind", F.lit("unused"))
+    some = d.agg((F.count("*") > 0).alias("some"))
+    missing = u.join(d, "package", "left_anti").crossJoin(F.broadcast(some)).where("some").select("package", F.lit("undeclared").alias("kind"))
+    run = "|".join(paths.glob_regex(p) if "*" in p else f"^{p}$" for p in TOOLS)
+    idle = d.where(~F.col("package").rlike(run)).join(u, "package", "left_anti").withColumn("kind", F.lit("unused"))
     return missing.unionByName(idle)
 
 

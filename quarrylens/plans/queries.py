@@ -904,7 +904,7 @@ def t12_folder_report(t: TableFacts) -> DataFrame:
     return t.files.where(F.col("rel").startswith("promo/")).orderBy(F.desc("loc"), "rel").select("fid", "rel", "loc").limit(20)
 
 
-@query("n AS (SELECT unnest(list_distinct([district, str_split(rel, '/')[2], regexp_replace(str_split(rel, '/')[3], '\\.[^.]*$', '')])) AS name FROM files) SELECT DISTINCT name FROM n")
+@query("n AS (SELECT unnest([district, str_split(rel, '/')[2], regexp_replace(str_split(rel, '/')[3], '\\.[^.]*$', '')]) AS name FROM files) SELECT DISTINCT lower(regexp_replace(trim(name), '[-_.]+', '-', 'g')) AS name FROM n")
 def u5_local_names(t: TableFacts) -> DataFrame:
     return externals.local_names(t.files)
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers, paths
 
-#: Extensions of binary and of text files; others are looked into.
-BINARY = tuple(".png .jpg .jpeg .gif .bmp .ico .webp .tiff .pdf .zip .gz .bz2 .xz .7z .tar .jar .war .exe .dll .so .dylib .o .a .class .pyc .pyo .woff .woff2 .ttf .otf .eot .mp3 .mp4 .wav .ogg .avi .mov .webm .sqlite .db .parquet .pkl .npy .npz .bin .wasm".split())
+#: Extensions of binary files; those of known languages are text, and others are looked into.
+BINARY = tuple(".png .jpg .jpeg .gif .bmp .ico .webp .tiff .svgz .pdf .zip .tar .gz .bz2 .xz .7z .rar .whl .jar .pyc .pyo .pyd .so .dylib .dll .a .o .class .exe .bin .dat .db .sqlite .sqlite3 .parquet .arrow .npy .npz .pkl .pickle .joblib .h5 .hdf5 .pt .pth .onnx .pb .tflite .safetensors .ckpt .mp3 .wav .ogg .flac .mp4 .mov .avi .mkv .webm .woff .woff2 .ttf .otf .eot .lockb .wasm".split())
+TEXT = tuple(sorted(set(parsers.LANGUAGES) - set(BINARY)))
 SNIFF = 8192
 RECORD = "rel string, language string, logical_loc long, comment_lines long, doc_lines long, rows long, confidence string, parse_error string, class_count long, abstract_count long, debt_markers long, floors array<struct<name:string,kind:string,doc:string,line:int,end_line:int,loc:int,depth:int,is_entrypoint:boolean,complexity:int>>, imports array<string>, packages array<string>"
 
@@ -71,7 +72,8 @@ def contents(spark: SparkSession, root: str, rels: list[str]) -> DataFrame:
 
         files = files.unionByName(spark.createDataFrame(passed_over, "rel string").repartition(8).mapInPandas(read, "rel string, size long, content binary"))
     files = files.withColumn("name", paths.name_of(F.col("rel"))).withColumn("ext", paths.extension(F.col("rel")))
-    binary = F.col("ext").isin(*BINARY) | (F.instr(F.hex(F.substring("content", 1, SNIFF)), "00") % 2 == 1)
+    zero = F.contains(F.substring("content", 1, SNIFF), F.lit(b"\0"))
+    binary = F.col("ext").isin(*BINARY) | (~F.col("ext").isin(*TEXT) & zero)
     return files.select("rel", "name", "ext", "size", binary.alias("is_binary"), F.when(~binary, F.col("content")).alias("content"))
 
 
