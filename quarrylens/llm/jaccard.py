@@ -459,7 +459,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(hot_order(texts))
     each = checkpoint(features(texts, order))
-    classes = each.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    # Written before it is joined: a join of two tables alone can be split where one digest has very many rows.
+    classes = checkpoint(each.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")))
     member = checkpoint(each.join(classes, ["d1", "d2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc")).alias("rep"), F.when(F.col("doc") == F.col("rep"), F.col("hot")).otherwise(F.array().cast("array<long>")).alias("hot")))
     reps = member.where("doc <> rep").select("doc", "rep").distinct()
 
