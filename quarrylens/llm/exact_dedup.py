@@ -68,11 +68,10 @@ def verdicts(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts
 def deduplicated(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     winners = groups(docs, sha256, salts).select(F.col("_keep").alias("_w_id"), F.col("_digest").alias("_w_digest"))
-    names = docs.columns
-    own = docs.withColumn("_own_digest", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    kept = own.join(winners, own["doc_id"].eqNullSafe(winners["_w_id"]) & (own["_own_digest"] == winners["_w_digest"]), "left_semi")
-    repeated = checkpoint(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_r_id")))
-    if repeated.isEmpty():
-        return kept.select(*names)
-    # Rows that share text and doc_id: any one of them.
-    return kept.dropDuplicates(["doc_id", "_own_digest"]).select(*names)
+    # The whole row is one column, out of the way of other names.
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256).alias("_digest"))
+    kept = own.join(winners, own["_id"].eqNullSafe(winners["_w_id"]) & (own["_digest"] == winners["_w_digest"]), "left_semi")
+    repeated = checkpoint(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times")).where("_times > 1").select("_id"))
+    if not repeated.isEmpty():  # of rows that share text and doc_id any one
+        kept = kept.dropDuplicates(["_id", "_digest"])
+    return kept.select("_row.*")

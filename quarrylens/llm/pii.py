@@ -199,14 +199,14 @@ def pseudonymised(docs: DataFrame, key: str = "quarrylens") -> DataFrame:
     """docs with text replaced, and columns n_<kind> appended (they replace any of the same name)."""
     names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     m = F.when(F.col("text").rlike(QUICK), marked(F.col("text"), "|".join(PATTERNS.values())))
-    with_marks = docs.select(*names, m.alias("_m"))
+    with_marks = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), m.alias("_m"))
 
     def replaced(piece: Column, i: Column) -> Column:
         same = F.struct(F.lit(None).cast("string").alias("kind"), piece.alias("value"))
         return F.when(i % 2 == 1, _let(pseudonym(piece, key), lambda p: F.when(p["value"].isNotNull(), p).otherwise(same))).otherwise(same)
 
     parts = F.when(has_marks(F.col("_m")), F.transform(pieces(F.col("_m")), replaced))
-    done = with_marks.select(*names, parts.alias("_p"))
-    text = F.coalesce(plain(F.array_join(F.transform("_p", lambda x: x["value"]), "")), F.col("text"))
+    done = with_marks.select("_row", "_text", parts.alias("_p"))
+    text = F.coalesce(plain(F.array_join(F.transform("_p", lambda x: x["value"]), "")), F.col("_text"))
     count = lambda k: F.coalesce(F.size(F.filter("_p", lambda x: x["kind"] == k)), F.lit(0))
-    return done.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *[F.when(F.col("_p").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS])
+    return done.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names], *[F.when(F.col("_p").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS])

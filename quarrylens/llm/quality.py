@@ -126,12 +126,15 @@ def _strength(mean: float, within: float, between: float) -> float:
     return float(min(1e6, max(1.0, mean * (1 - mean) / max(between - within, 1e-9) - 1)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", labelled: int = LABELLED) -> DataFrame:
-    """docs with _evidence, _host, _path (posteriors of the groups), _posterior, _keep."""
+JUDGED = ("_evidence", "_host", "_path", "_posterior", "_keep")
+
+
+def judged(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", labelled: int = LABELLED) -> DataFrame:
+    """_row (the whole row, out of the way of other names), and JUDGED: evidence, posteriors of the groups and of the document, verdict."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels, labelled))
     of = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\0"))
-    base = docs.withColumns({"_h": of(host), "_q": of(path), "_evidence": _score(model)(F.col("text"))})
+    base = docs.select(F.struct("*").alias("_row"), of(host).alias("_h"), of(path).alias("_q"), _score(model)(F.col("text")).alias("_evidence"))
     base = base.withColumn("_p", 1 / (1 + F.exp(-F.col("_evidence") - F.lit(model.value["prior"]))))
     sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     paths = checkpoint(sums(base.select("_h", "_q", F.lit(1).alias("n"), F.col("_p").alias("s"), (F.col("_p") * F.col("_p")).alias("ss")), "_h", "_q"))
@@ -152,9 +155,14 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column | str = "source", pa
     path_ = (F.col("s") - F.col("_p") + kp * F.col("_host")) / (F.col("n") - 1 + kp)
     joined = joined.withColumn("_path", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), path_)))
     joined = joined.withColumn("_posterior", 1 / (1 + F.exp(-(F.col("_evidence") + _logit(F.col("_path"))))))
-    return joined.withColumn("_keep", F.col("_posterior") >= THRESHOLD).select(*docs.columns, "_evidence", "_host", "_path", "_posterior", "_keep")
+    return joined.withColumn("_keep", F.col("_posterior") >= THRESHOLD).select("_row", *JUDGED)
+
+
+def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs with JUDGED, which replace columns of these names."""
+    return judged(docs, labels, **how).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in JUDGED], *JUDGED)
 
 
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
-    return scored(docs, labels, **how).where("_keep").select(*docs.columns)
+    return judged(docs, labels, **how).where("_keep").select("_row.*")

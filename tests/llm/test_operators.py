@@ -14,7 +14,7 @@ from quarrylens.llm.common import ascii_lower
 from quarrylens.llm.components import components
 from quarrylens.llm.queries import tokenizer_path
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _norm string, size long, component_id long, _keep string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _norm string, size long, component_id long, _keep string, _m string, _p string, _h string, _q string, _id string, _digest string, _row string, _gone string"
 LONG = "word " * 60_000
 
 
@@ -22,7 +22,7 @@ LONG = "word " * 60_000
 def odd(spark):
     """Nulls, empties, ties, repeated rows, a very long text, clashing columns."""
     rows = [(1, "Same Text", "en", "a"), (2, "same text", "en", "a"), (2, "same text", "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, LONG, "fr", "a"), (None, "no id", "en", "a"), (6, "Ünïcode \u0001 ſ K \t x", "de", "b"), (7, "a b c d e f", "en", "b"), (8, "A  b\nc d e F", "en", "b"), (9, "one two", None, "b"), (10, " \n ", "en", "b")]
-    return spark.createDataFrame([(*r, 0, True, "x", 1, 2, "y") for r in rows], ODD)
+    return spark.createDataFrame([(*r, 0, True, "x", 1, 2, "y", *"abcdefgh") for r in rows], ODD)
 
 
 @pytest.fixture(scope="module")
