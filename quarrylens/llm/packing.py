@@ -41,7 +41,7 @@ from .common import CACHES, checkpoint, tidy
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 250_000
+CACHE = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
