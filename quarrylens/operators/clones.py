@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
@@ -58,7 +58,6 @@ def clone_pairs(prints: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
 
 def partners(pairs: DataFrame, order: list[str], limit: int) -> DataFrame:
     """Each file's first partners, numbered."""
-    from pyspark.sql import Window
-
-    both = pairs.unionByName(pairs.withColumnsRenamed({"a": "b", "b": "a"}))
+    swapped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in pairs.columns if c not in ("a", "b")])
+    both = pairs.unionByName(swapped)
     return both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(*[F.desc(c) for c in order], "b"))).where(F.col("n") <= limit)

@@ -912,3 +912,82 @@ def u5_local_names(t: TableFacts) -> DataFrame:
 @query()
 def sk17_path_keys(t: TableFacts) -> DataFrame:
     return t.files.select("fid", F.substring(sinks.hmac_column(b"a passphrase", F.col("rel")), 1, 24).alias("key"))
+
+
+@query("o AS (SELECT fid, row_number() OVER (ORDER BY district, rel) - 1 AS id FROM files) SELECT * FROM o")
+def w19_building_ids(t: TableFacts) -> DataFrame:
+    """Dense ids by district and path: numbers inside a district, moved by the districts before it."""
+    from pyspark.sql import Window
+
+    n = t.files.groupBy("district").agg(F.count("*").alias("n"))
+    before = n.select("district", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("district")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("district").orderBy("rel")) - 1
+    return t.files.select("fid", "district", nth.alias("nth")).join(before, "district").select("fid", (F.col("before") + F.col("nth")).alias("id"))
+
+
+@query("x AS (SELECT district, 6.0 + 3.2::DOUBLE * sqrt(loc) AS h FROM files) SELECT district, round(max(h), 6) AS highest, round(avg(h), 6) AS mean FROM x GROUP BY 1")
+def a31_skyline(t: TableFacts) -> DataFrame:
+    h = measures.height(F.col("language"), F.col("loc"), F.lit(None).cast("long"), F.lit(False))
+    return t.files.groupBy("district").agg(F.round(F.max(h), 6).alias("highest"), F.round(F.avg(h), 6).alias("mean"))
+
+
+@query(SNAP + """, g AS (SELECT district, s0.loc, s0.bits & 1 <> 0 AS hotspot, s0.bits & 2 <> 0 AS defect FROM files JOIN s0 ON s0.key = fid), r AS (SELECT district, sqrt(loc) AS w, least(1.0, hotspot::INT + defect::INT) AS taken FROM g)
+SELECT district, round(greatest(0.0, 100.0 * (1.0 - sum(taken * w) / sum(w))), 1) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM r GROUP BY 1""")
+def a33_grades_at_baseline(t: TableFacts) -> DataFrame:
+    """The folders of now, graded on the files that the earlier snapshot knows, as they stood then."""
+    rows = log(t).where("fid % 10 <> 0 and t < 946684800")
+    old = rows.groupBy("fid").agg(F.sum("added").alias("old_loc"), F.sum(F.col("is_fix").cast("long")).alias("old_fixes"))
+    then = t.files.select("fid", "district").join(old, "fid").select("district", F.col("old_loc").alias("loc"), (F.col("old_loc") >= 600).alias("hotspot"), (F.col("old_fixes") >= 6).alias("defect"))
+    return changes_since.grades(then, "district")
+
+
+@query("s AS (SELECT date_trunc('month', ts) AS m, count(*) AS commits, count(DISTINCT author) AS authors FROM commits GROUP BY 1) SELECT arg_max(commits, m) - arg_min(commits, m) AS commits, arg_max(authors, m) - arg_min(authors, m) AS authors FROM s")
+def a39_census_change(t: TableFacts) -> DataFrame:
+    m = F.date_trunc("month", F.col("ts").cast("timestamp")).alias("m")
+    s = t.commits.groupBy(m).agg(F.count("*").alias("commits"), F.countDistinct("author").alias("authors"))
+    return s.agg(*[(F.max_by(c, "m") - F.min_by(c, "m")).alias(c) for c in ("commits", "authors")])
+
+
+@query(INDEX + ", r AS (SELECT str_split(rel, '/')[1] AS region, hotspot, fixes FROM ix UNION ALL SELECT str_split(rel, '/')[1] || '/' || str_split(rel, '/')[2], hotspot, fixes FROM ix) SELECT region, sum(hotspot::INT)::BIGINT AS hotspots, sum(fixes)::BIGINT AS fixes FROM r GROUP BY 1")
+def a44_region_health(t: TableFacts) -> DataFrame:
+    return _index(t).select(F.explode(paths.ancestors(F.col("rel"))).alias("region"), F.col("hotspot").cast("long").alias("hotspot"), "fixes").groupBy("region").agg(F.sum("hotspot").alias("hotspots"), F.sum("fixes").alias("fixes"))
+
+
+@query(HIST + ", b AS (SELECT a, b, n FROM cp WHERE n >= 2 UNION ALL SELECT b, a, n FROM cp WHERE n >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM b) SELECT a, b, n AS shared, k AS n FROM r WHERE k <= 8")
+def t8_partners_per_file(t: TableFacts) -> DataFrame:
+    pairs = history.coupling(t.changes, bulk(t)).where("n >= 2").withColumnRenamed("n", "shared")
+    return clones.partners(pairs, ["shared"], DEFAULT.per_file)
+
+
+@query(MEASURES + """, k AS (SELECT subfolder AS folder, sum(loc % 5)::BIGINT AS classes, sum(CASE WHEN loc % 7 = 0 THEN loc % 5 ELSE 0 END)::BIGINT AS abstract FROM files GROUP BY 1),
+z AS (SELECT folder, round(abs(round(abstract / classes, 4) + instability - 1.0), 4) AS distance FROM k JOIN fm USING (folder) WHERE classes > 0 AND ca + ce >= 3) SELECT folder, distance FROM z ORDER BY distance DESC, folder LIMIT 10""")
+def t13_zone_list(t: TableFacts) -> DataFrame:
+    classes = t.files.groupBy(F.col("subfolder").alias("folder")).agg(F.sum(F.col("loc") % 5).alias("classes"), F.sum(F.when(F.col("loc") % 7 == 0, F.col("loc") % 5).otherwise(0)).alias("abstract"))
+    m = folders.folder_coupling_measures(t.files, _edges(t), "subfolder").where("ca + ce >= 3")
+    return folders.main_sequence(m, classes).orderBy(F.desc("distance"), "folder").limit(10).select("folder", "distance")
+
+
+@query("m AS (SELECT src AS fid, dst AS other, 'imports' AS way FROM imports UNION ALL SELECT dst, src, 'importedby' FROM imports) SELECT fid, way, count(*) AS n FROM m GROUP BY 1, 2")
+def g6_edge_maps(t: TableFacts) -> DataFrame:
+    out = t.imports.select(F.col("src").alias("fid"), F.lit("imports").alias("way"))
+    back = t.imports.select(F.col("dst").alias("fid"), F.lit("importedby").alias("way"))
+    return out.unionByName(back).groupBy("fid", "way").agg(F.count("*").alias("n"))
+
+
+@query("""im AS (SELECT f.rel, f.district, CASE src % 3 WHEN 0 THEN 'os.path' WHEN 1 THEN 'Pkg_' || (dst % 25) || '.x' ELSE 'yaml' END AS spec FROM imports JOIN files f ON f.fid = src),
+us AS (SELECT DISTINCT rel, district, CASE WHEN spec = 'yaml' THEN 'pyyaml' ELSE lower(replace(str_split(spec, '.')[1], '_', '-')) END AS package FROM im WHERE spec <> 'os.path'),
+c AS (SELECT district, package, count(*) AS files FROM us GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY files DESC, package) AS rank FROM c) SELECT * FROM r WHERE rank <= 8""")
+def a21_folder_packages(t: TableFacts) -> DataFrame:
+    from pyspark.sql import Window
+
+    used, _ = _packages(t)
+    counts = used.join(t.files.select("rel", "district"), "rel").groupBy("district", "package").agg(F.count("*").alias("files"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("district").orderBy(F.desc("files"), "package"))).where("rank <= 8")
+
+
+@query("""x AS (SELECT fid, CASE fid % 4 WHEN 0 THEN district || '/tests/test_' || fid || '.py' ELSE rel END AS rel FROM files) SELECT s.rel AS test, d.rel AS source FROM imports JOIN x s ON s.fid = src JOIN x d ON d.fid = dst WHERE src % 4 = 0 AND dst % 4 <> 0""")
+def j14_tests_by_import(t: TableFacts) -> DataFrame:
+    files = t.files.select("fid", F.expr("CASE fid % 4 WHEN 0 THEN district || '/tests/test_' || fid || '.py' ELSE rel END").alias("rel"), "language")
+    side = lambda c: files.select(F.col("fid").alias(c), F.col("rel").alias(f"{c}_rel"))
+    named = t.imports.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_rel").alias("src"), F.col("dst_rel").alias("dst"))
+    return tests_map.links(files, named)
