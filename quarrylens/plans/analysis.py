@@ -84,7 +84,10 @@ def analyse(spark: SparkSession, root: str, rev: str = "HEAD", th: Thresholds =
     twins = storage.cut(clones.clone_pairs(clones.fingerprints(texts, th=th), th))
     cloned = twins.select(F.explode(F.array("a", "b")).alias("fid")).distinct().withColumn("is_clone", F.lit(True))
     links = tests_map.links(files, found.select("src", "dst")).select(F.xxhash64("source").alias("fid")).distinct().withColumn("tested", F.lit(True))
-    wrong = storage.cut(folders.majority_violations(folders.edges(files, imports)))
+    rules, _, error = repo.load_rules(root)
+    layers, forbid = repo.layering(rules or {})
+    between = folders.edges(files, imports)
+    wrong = storage.cut(folders.rule_violations(between, layers, forbid) if layers or forbid else folders.majority_violations(between))
     violates = wrong.select(F.col("src").alias("fid")).distinct().withColumn("violates", F.lit(True))
 
     index = files
@@ -94,7 +97,7 @@ def analyse(spark: SparkSession, root: str, rev: str = "HEAD", th: Thresholds =
     index = index.na.fill(False, flags).na.fill(0, ["commits", "fixes", "impact", "in_degree", "fan_out", "max_complexity", "entry"]).withColumn("debt", F.coalesce("debt_markers", F.lit(0)))
     source = F.col("is_code") & ~F.col("is_test") & (F.col("loc") > 0) & ~F.coalesce(F.col("language"), F.lit("unknown")).isin(*NOT_SOURCE) & ~paths.is_config(F.col("rel"))
     index = index.withColumns({"is_orphan": F.col("idle") & (F.col("entry") == 0), "untested": source & ~F.col("tested") & (F.col("is_hotspot") | F.col("is_oversized")), "height": measures.height(F.coalesce("language", F.lit("unknown")), F.col("loc"), F.col("rows"), F.col("is_binary"))})
-    return Analysis(storage.cut(index), every, commits, imports, couplings, cycles, twins, wrong)
+    return Analysis(storage.cut(index), every, commits, imports, couplings, cycles, twins, wrong, [error] if error else [])
 
 
 def _code_languages() -> frozenset:

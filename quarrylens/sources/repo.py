@@ -6,6 +6,7 @@ read by the executors through the binaryFile source and parsed Arrow-batched.
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
 from collections.abc import Iterator
@@ -121,3 +122,31 @@ def renamed(path):
     """The new name of ``a => b`` and ``x/{a => b}/y``."""
     inner = F.regexp_replace(path, r"\{[^{}]* => ([^{}]*)\}", "$1")
     return F.regexp_replace(F.regexp_replace(inner, r"^.* => ", ""), "//+", "/")
+
+
+RULES_FILES = (".quarrylens/rules.json", "quarrylens.rules.json")
+
+
+def load_rules(root: str) -> tuple[dict | None, str, str]:
+    """(rules, path, error) of the first rules file there is; it must hold a JSON object."""
+    for rel in RULES_FILES:
+        path = os.path.join(root, rel)
+        if os.path.isfile(path):
+            try:
+                with open(path, encoding="utf-8") as f:
+                    data = json.load(f)
+            except (OSError, ValueError) as e:
+                return None, rel, f"{rel} could not be read: {e}"
+            return (data, rel, "") if isinstance(data, dict) else (None, rel, f"{rel} must hold a JSON object")
+    return None, "", ""
+
+
+def layering(rules: dict) -> tuple[list[list[str]], list[tuple[list[str], list[str]]]]:
+    """(layers, forbidden pairs) of patterns; what has another shape says nothing."""
+    listed = lambda x: [x] if isinstance(x, str) else [p for p in x if isinstance(p, str)] if isinstance(x, list) else []
+    forbid = []
+    for entry in rules.get("forbid") or []:
+        pair = (entry.get("from"), entry.get("to")) if isinstance(entry, dict) else entry if isinstance(entry, list) and len(entry) == 2 else None
+        if pair:
+            forbid.append((listed(pair[0]), listed(pair[1])))
+    return [listed(x) for x in rules.get("layers") or []], forbid

@@ -10,6 +10,7 @@ def test_report(spark, tmp_path):
     root = tmp_path / "r"
     sources = {
         "app/a.py": "from app.b import x\n" + "\n".join(f"def f{i}(v):\n    return v + {i}\n" for i in range(12)), "app/b.py": "from app import a\nx = 1\n# TODO: less\n", "app/__init__.py": "",
+        "quarrylens.rules.json": '{"layers": ["app/a.py", "app/b.py"], "forbid": [{"from": "app/a.py", "to": ["app/b*"]}]}',
         "tests/test_a.py": "from app import a\n\n\ndef test():\n    assert a\n", "README.md": "# Read me\n\nText.\n", "data.csv": "a,b\n1,2\n3,4\n",
     }
     git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=Ada", "-c", "user.email=a@x", *a], check=True, capture_output=True)
@@ -25,9 +26,10 @@ def test_report(spark, tmp_path):
         git("commit", "-qam", "fix: again")
     done = analyse(spark, str(root))
     totals = done.totals()
-    assert (totals["files"], totals["cycles"], totals["debt"], totals["hotspots"]) == (6, 1, 1, 1)
+    assert (totals["files"], totals["cycles"], totals["debt"], totals["hotspots"]) == (7, 1, 1, 1)
     rows = {r["rel"]: r for r in done.index.collect()}
     assert rows["app/a.py"]["is_hotspot"] and rows["app/a.py"]["tested"] and rows["app/a.py"]["commits"] == 4 and rows["app/a.py"]["fixes"] == 3
     assert rows["app/b.py"]["in_cycle"] and rows["data.csv"]["rows"] == 2 and rows["app/a.py"]["primary_author"] == "Ada"
+    assert sorted(r["reason"].split(":")[0] for r in done.violations.collect()) == ["forbidden", "layer 2 imports layer 1, which sits above it"]
     text = report.markdown(report.build(done))
     assert "`app/a.py`" in text and "| cycles | 1 |" in text
