@@ -91,7 +91,7 @@ def tidy(keep=None) -> None:
     import pyarrow as pa
 
     for drop in CACHES:
-        if drop is not keep:
+        if drop != keep:  # bound methods are made anew at each access
             drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
