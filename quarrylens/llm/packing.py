@@ -18,7 +18,8 @@ number of documents.
 The tokeniser sees each chunk between blanks once per worker: no token spans a blank,
 special strings hold none, and normalisation does not reach over one, so the ids of a
 text are those of its chunks in order. Chunks in Latin letters are made from their lower-case words. The
-caches of chunks and of words have two generations of ``CACHE`` entries: a full one becomes the old one, and
+caches of chunks and of words have two generations of ``cache`` entries (``CACHE``, about 70 MB a
+worker; 1.2 million take 280 MB and a third less time): a full one becomes the old one, and
 what is used again moves over, so frequent words stay.
 
 Defined results: null text is empty and yields the closing id alone; repeated rows are
@@ -117,7 +118,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 @functools.cache
-def chunk_ids(path: str):
+def chunk_ids(path: str, entries: int):
     """A function from a text to its ids as little-endian uint32 bytes. Kept for the life of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
@@ -182,9 +183,9 @@ def chunk_ids(path: str):
         try:
             return b"".join(map(chunks_of.__getitem__, chunks))
         except KeyError:
-            if len(chunks_of) > CACHE:
+            if len(chunks_of) > entries:
                 chunks_of, old_chunks = {"": b""}, chunks_of
-            if len(words_of) > CACHE:
+            if len(words_of) > entries:
                 words_of, old_words = {}, words_of
             learn({c for c in chunks if c not in chunks_of})
             return b"".join(map(chunks_of.__getitem__, chunks))
@@ -195,12 +196,12 @@ def chunk_ids(path: str):
 CACHES.append(chunk_ids.cache_clear)
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """One row per piece: PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy(keep=chunk_ids.cache_clear)
-        ids = chunk_ids(tokenizer_path)
+        ids = chunk_ids(tokenizer_path, cache)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         size = 4 * capacity
         for batch in batches:
@@ -216,9 +217,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, bucket_rows: int = 20_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, bucket_rows: int = 20_000, cache: int = CACHE) -> DataFrame:
     """PIECES with sequence_id and offset."""
-    pieces = checkpoint(tokenised(docs, tokenizer_path, capacity))
+    pieces = checkpoint(tokenised(docs, tokenizer_path, capacity, cache))
     spark = docs.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(plan(counts, capacity))

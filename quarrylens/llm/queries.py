@@ -23,7 +23,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), cache=1_200_000)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
