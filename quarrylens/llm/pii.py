@@ -1,15 +1,20 @@
 """PII: format-preserving Feistel pseudonyms.
 
-Candidates are marked in the text by one regular expression pass, validated, and
-replaced in place; the rest of the text is untouched. A pseudonym depends on the key,
+Values of one fixed form are marked in the text by one regular expression pass, validated, and
+replaced in place; then, in what is left, runs of groups are marked, and the spans of groups
+that are valid ibans, phones and cards replaced: of spans that overlap those that cover the most
+digits. So numbers side by side are told apart by validation, however their digits are
+grouped. The rest of the text is untouched. A pseudonym depends on the key,
 the kind and the value alone, so equal values stay linked across documents, and its
 format is that of the value: separators, digit counts and check digits stay valid.
 
-* card: 13-19 digits that pass Luhn. The first digit (the issuer class) stays, the digits
+* card: 13-19 digits that pass Luhn, in one group or in any, with a space or hyphen between them (one in ten of
+  all digit strings passes). The first digit (the issuer class) stays, the digits
   between it and the check digit are permuted, the check digit is made anew.
 * ssn: ddd-dd-dddd with a valid area, group and serial, permuted within the valid ones.
 * iban: passes modulo 97; the digits after the check digits are permuted, the check digits made anew.
-* phone: 8 to 15 digits; country code and first digit stay, the others are permuted.
+* phone: 8 to 15 digits, after a plus in any groups, in brackets or not; without it as
+  (dd) ddd dddd with two to four, three or four, and three or four digits, or as ddd-ddd-dddd; country code and first digit stay, the others are permuted.
 * ip: four numbers up to 255, permuted as a 32-bit number.
 * date: a calendar date of 1900-2099 (y-m-d, d/m/y or m/d/y, d.m.y), permuted within those years.
 * email: not a number; letters and digits before the @ are drawn anew from a keyed digest,
@@ -26,21 +31,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_marks, marked, pieces, plain
+from .common import CLOSE, ESCAPE, MARK, OPEN, has_marks, plain
 from .feistel import permute, permute_below, secret_round
 
-#: Java patterns of the kinds, tried in this order at each place.
-PATTERNS = {
+#: Java patterns of the kinds of one fixed form, tried in this order at each place. A phone with dots all
+#: through is among them, as its parts may look like an address; its digits are counted by the pattern.
+FIXED = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9A-Za-z+])\+(?=(?:\.?[0-9]){8,15}(?![0-9A-Za-z]|\.[0-9]))[0-9]{1,3}(?:\.[0-9]+)+",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    # One separator all through, so that a number beside a phone is not taken for a part of it.
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+(?:[0-9]{8,15}|[0-9]{1,3}(?:(?: [0-9]{2,4}){2,4}|(?:-[0-9]{2,4}){2,4}|(?:\.[0-9]{2,4}){2,4}))(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z+])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
-KINDS = tuple(PATTERNS)
+KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
+#: Runs of groups, in which a number may be any groups side by side; and a group with what separates it from the one before.
+IBAN_RUN, IBAN_GROUP = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+", " ?[A-Z0-9]+"
+_GROUP = r"(?:\+?[0-9]++|\([0-9]{1,4}\))(?![A-Za-z])"
+NUMBER_RUN, NUMBER_GROUP = rf"(?<![0-9A-Za-z])(?=(?:[ .()+-]{{0,3}}[0-9]){{8}}){_GROUP}(?:[ .-]?{_GROUP})*+", r"[ .-]?(?:\+?[0-9]+|\([0-9]{1,4}\))"
+#: Forms of whole numbers, and the usual ways to group a card.
+IBAN = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}$"
+PLUS_PHONE = r"^\+[0-9]+(?:[ .-]?(?:[0-9]+|\([0-9]{1,4}\)))*$"
+LOCAL_PHONE = r"^(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})$"
+CARD = r"^\+?[0-9]+(?:[ -][0-9]+)*$"
+USUAL_CARD = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 #: One of these must be in a text that has a candidate; quick to look for.
 QUICK = r"[0-9@]"
 FIRST_DAY, DAYS = "1900-01-01", 73049
@@ -187,26 +200,143 @@ def email(v: Column, key: str) -> Column:
 
 
 MAKERS = {"email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
+#: Around what a pass is to look at.
+CUT = MARK + "\u0005"
+BEST, SPANS = "array<struct<score:int,n:int,kind:string>>", "array<struct<at:int,n:int,kind:string>>"
 
 
-def pseudonym(v: Column, key: str) -> Column:
-    """struct<kind,value>; both null where v is no valid value of any kind."""
-    kind = F.coalesce(*[F.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.struct(F.lit(k).alias("kind"), MAKERS[k](v, key).alias("value"))) for k in KINDS])
-    return kind
+def _opening(kind: str) -> str:
+    return OPEN + chr(ord("a") + KINDS.index(kind))
+
+
+def _fenced(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(_opening(kind)), value, F.lit(CLOSE))
+
+
+def _judged(weight: Column, kind: str) -> Column:
+    return F.struct(weight.cast("int").alias("weight"), F.lit(kind).alias("kind"))
+
+
+def fixed(v: Column, key: str) -> Column:
+    """v fenced, by the first kind that has its form; v itself if it is not valid."""
+    return F.coalesce(F.coalesce(*[F.when(v.rlike(f"^(?:{p})$"), F.struct(_fenced(k, MAKERS[k](v, key)).alias("v"))) for k, p in FIXED.items()])["v"], v)
+
+
+def judged_iban(v: Column, after: Column) -> Column:
+    bare = F.replace(v, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare) - 4), F.substring(bare, 1, 4))
+    return F.when(v.rlike(IBAN), F.when(mod97(turned) == 1, _judged(F.length(bare), "iban")))
+
+
+def judged_number(v: Column, after: Column) -> Column:
+    """Weighs as many digits as it has; more a phone with +1 of eleven digits, as all of these are; less a card in unusual groups."""
+
+    def new(d: Column) -> Column:
+        n = F.length(d)
+        plus = v.rlike(PLUS_PHONE) & ~after.startswith(".")
+        phone_ = F.when(n.between(8, 15) & (plus | v.rlike(LOCAL_PHONE)), _judged(F.when(v.startswith("+1") & (n == 11), 16).otherwise(n), "phone"))
+        card_ = F.when(n.between(13, 19) & v.rlike(CARD), F.when(luhn_sum(d) % 10 == 0, _judged(F.when(v.rlike(USUAL_CARD), n).otherwise(n - 6), "card")))
+        return F.coalesce(phone_, card_)
+
+    return _let(_digits(v), new)
+
+
+def split_at(text: Column, pattern: str) -> Column:
+    """text cut at the matches of pattern outside of fences; they, and fences, are the entries at odd places (from 0)."""
+    return F.split(F.regexp_replace(text, F.lit(f"{OPEN}[^{MARK}]*+{CLOSE}|{pattern}"), F.lit(f"{CUT}$0{CUT}")), CUT)
+
+
+def is_match(x: Column, i: Column) -> Column:
+    return (i % 2 == 1) & ~x.startswith(OPEN)
+
+
+def spans_of(groups: Column, longest: int, judge) -> Column:
+    """By group: the spans of up to longest groups that begin with it and are a number as a whole, as struct<n,j>."""
+
+    def begun(x: Column, i: Column) -> Column:
+        def span(w: Column, n: Column) -> Column:
+            after = F.coalesce(F.get(w, n), F.lit(""))
+            body = F.regexp_replace(F.array_join(F.slice(w, F.lit(1), n), ""), "^[ .-]", "")
+            judged = _let(body, lambda v: F.struct(n.alias("n"), judge(v, after).alias("j")))
+            return F.when((after == "") | after.rlike("^[ .-]"), judged)
+
+        # One group more than the longest span, so that each has the one after it.
+        spans = _let(F.slice(groups, i + 1, F.lit(longest + 1)), lambda w: F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.lit(longest))), lambda n: span(w, n)))
+        return F.when((i == 0) | x.rlike("^[ .-]"), F.filter(spans, lambda s: s["j"].isNotNull()))
+
+    return F.transform(groups, begun)
+
+
+def best(spans: Column) -> Column:
+    """From each group on, the first first: the greatest weight of spans that do not overlap, and the span that begins there, if it is among them."""
+
+    def step(acc: Column, begun: Column) -> Column:
+        score = lambda n: F.get(acc, F.size(acc) - n)["score"]
+        none = F.array(F.struct(score(1).alias("score"), F.lit(0).alias("n"), F.lit("").alias("kind")))
+        taken = F.transform(begun, lambda s: F.struct((s["j"]["weight"] + score(s["n"])).alias("score"), s["n"].alias("n"), s["j"]["kind"].alias("kind")))
+        return F.concat(acc, F.array(F.array_max(F.concat(none, F.coalesce(taken, F.array().cast(BEST))))))
+
+    end = F.array(F.struct(F.lit(0).alias("score"), F.lit(0).alias("n"), F.lit("").alias("kind"))).cast(BEST)
+    return F.reverse(F.aggregate(F.reverse(spans), end, step))
+
+
+def chosen(best_: Column) -> Column:
+    """The spans of the best choice, in the order of the text."""
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("next"), F.array().cast(SPANS).alias("s"))
+
+    def step(acc: Column, b: Column) -> Column:
+        here = (acc["i"] == acc["next"]) & (b["n"] > 0)
+        after = F.when(here, acc["i"] + b["n"]).otherwise(F.greatest(acc["next"], acc["i"] + 1))
+        more = F.array(F.struct(acc["i"].alias("at"), b["n"].alias("n"), b["kind"].alias("kind")))
+        return F.struct((acc["i"] + 1).alias("i"), after.alias("next"), F.when(here, F.concat(acc["s"], more)).otherwise(acc["s"]).alias("s"))
+
+    return F.aggregate(best_, start, step, lambda acc: acc["s"])
+
+
+def written(groups: Column, spans: Column) -> Column:
+    """The groups put together, with the new values in the place of spans."""
+    step = lambda acc, s: F.struct((s["at"] + s["n"]).alias("at"), F.concat(acc["out"], F.array_join(F.slice(groups, acc["at"], s["at"] - acc["at"]), ""), s["v"]).alias("out"))
+    end = lambda acc: F.concat(acc["out"], F.array_join(F.slice(groups, acc["at"], F.size(groups)), ""))
+    return F.aggregate(spans, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, end)
+
+
+def scanned(docs: DataFrame, run: str, group: str, longest: int, judge, kinds: tuple[str, ...], key: str) -> DataFrame:
+    """docs with the numbers of these kinds fenced in _m. In steps, as the analyser takes lambdas in lambdas only so deep."""
+
+    def lead(s: Column, v: Column) -> Column:
+        return F.when(s["kind"] == "card", F.regexp_extract(v, r"^[ .-]?\+?", 0)).otherwise(F.regexp_extract(v, "^[ .-]?", 0))
+
+    def texts(r: Column) -> Column:
+        text = lambda s: F.array_join(F.slice(r["t"], s["at"], s["n"]), "")
+        return F.transform(r["s"], lambda s: _let(text(s), lambda v: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["kind"].alias("kind"), lead(s, v).alias("lead"), v.alias("v"))))
+
+    def value(s: Column) -> Column:
+        body = F.substring(s["v"], F.length(s["lead"]) + 1, F.length(s["v"]))
+        new = F.coalesce(*[F.when(s["kind"] == k, _fenced(k, MAKERS[k](body, key))) for k in kinds])
+        return F.struct(s["at"].alias("at"), s["n"].alias("n"), F.concat(s["lead"], new).alias("v"))
+
+    def each(spans) -> DataFrame:
+        return docs.withColumn("_r", F.transform("_r", lambda r: F.struct(r["x"].alias("x"), r["t"].alias("t"), spans(r).alias("s"))))
+
+    groups = lambda x, i: F.when(is_match(x, i), F.regexp_extract_all(x, F.lit(group), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumn("_r", F.transform(split_at(F.col("_m"), run), lambda x, i: F.struct(x.alias("x"), groups(x, i).alias("t"))))
+    docs = each(lambda r: spans_of(r["t"], longest, judge))
+    docs = each(lambda r: best(r["s"]))
+    docs = each(lambda r: chosen(r["s"]))
+    docs = each(texts)
+    docs = each(lambda r: F.transform(r["s"], value))
+    return docs.withColumn("_m", F.array_join(F.transform("_r", lambda r: F.when(F.size(r["s"]) > 0, written(r["t"], r["s"])).otherwise(r["x"])), "")).drop("_r")
 
 
 def pseudonymised(docs: DataFrame, key: str = "quarrylens") -> DataFrame:
     """docs with text replaced, and columns n_<kind> appended (they replace any of the same name)."""
     names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
-    m = F.when(F.col("text").rlike(QUICK), marked(F.col("text"), "|".join(PATTERNS.values())))
-    with_marks = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), m.alias("_m"))
-
-    def replaced(piece: Column, i: Column) -> Column:
-        same = F.struct(F.lit(None).cast("string").alias("kind"), piece.alias("value"))
-        return F.when(i % 2 == 1, _let(pseudonym(piece, key), lambda p: F.when(p["value"].isNotNull(), p).otherwise(same))).otherwise(same)
-
-    parts = F.when(has_marks(F.col("_m")), F.transform(pieces(F.col("_m")), replaced))
-    done = with_marks.select("_row", "_text", parts.alias("_p"))
-    text = F.coalesce(plain(F.array_join(F.transform("_p", lambda x: x["value"]), "")), F.col("_text"))
-    count = lambda k: F.coalesce(F.size(F.filter("_p", lambda x: x["kind"] == k)), F.lit(0))
-    return done.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names], *[F.when(F.col("_p").isNull(), 0).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS])
+    some = F.when(F.col("text").rlike(QUICK), F.replace(F.col("text"), F.lit(MARK), F.lit(ESCAPE)))
+    done = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), some.alias("_m"))
+    done = done.withColumn("_m", F.array_join(F.transform(split_at(F.col("_m"), "|".join(FIXED.values())), lambda x, i: F.when(is_match(x, i), fixed(x, key)).otherwise(x)), ""))
+    done = scanned(done, IBAN_RUN, IBAN_GROUP, 34, judged_iban, ("iban",), key)
+    done = scanned(done, NUMBER_RUN, NUMBER_GROUP, 19, judged_number, ("phone", "card"), key)
+    bare = F.regexp_replace("_m", f"{MARK}(?:\u0003[a-z]|\u0004)", "")
+    text = F.when(has_marks(F.col("_m")), plain(bare)).otherwise(F.col("_text"))
+    count = lambda k: F.coalesce(F.size(F.split("_m", _opening(k))) - 1, F.lit(0))
+    return done.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names], *[F.when(has_marks(F.col("_m")), count(k)).otherwise(0).cast("long").alias(f"n_{k}") for k in KINDS])

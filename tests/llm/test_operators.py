@@ -84,6 +84,33 @@ def test_neighbours_are_told_apart(spark):
     assert not any(x in row["text"] for x in ("555-2485", "42.144.35.254", "4041894974608795", "7946 0958", "555-0199"))
 
 
+def with_check_digit(body):
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+PHONES = ["+33 6 12 34 56 78", "+44 2079460958", "+44 (0)20 7946 0958", "+44(0)2079460958", "+442079460958", "+33.6.12.34.56.78", "+1-212-555-0199", "(020) 7946 0958", "212-555-0199", "+1 212.555-0199"]
+LONG_CARD = with_check_digit("603698745120365478")
+CARDS = ["3056 930902 5904", "3056-930902-5904", f"{LONG_CARD[:4]} {LONG_CARD[4:8]} {LONG_CARD[8:12]} {LONG_CARD[12:16]} {LONG_CARD[16:]}", "4041 8949 7460 8795", "40418949 74608795", "3782 822463 10005", "4 0 4 1 8 9 4 9 7 4 6 0 8 7 9 5"]
+IBANS = ["GB82 WEST 1234 5698 7654 32", "GB82 WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO9386011117947"]
+
+
+def test_all_forms_of_numbers(spark):
+    """Alone, between words and numbers, and each beside each."""
+    kinds = {"phone": PHONES, "card": CARDS, "iban": IBANS}
+    alone = [(k, v) for k, values in kinds.items() for v in values]
+    rows = pii.pseudonymised(docs_of(spark, [v for _, v in alone])).orderBy("doc_id").collect()
+    for (k, v), r in zip(alone, rows):
+        assert {n: r[f"n_{n}"] for n in pii.KINDS} == {n: int(n == k) for n in pii.KINDS}, v
+        assert r["text"] != v and re.sub("[0-9]", "0", r["text"]) == re.sub("[0-9]", "0", v)
+        if k == "card":
+            assert luhn(r["text"])
+    pairs = [(a, b) for a in alone for b in alone]
+    rows = pii.pseudonymised(docs_of(spark, [f"see {a[1]} {b[1]} 10.0.0.255 or so" for a, b in pairs])).orderBy("doc_id").collect()
+    new = {v: r["text"] for (_, v), r in zip(alone, pii.pseudonymised(docs_of(spark, [v for _, v in alone])).orderBy("doc_id").collect())}
+    wrong = [(a, b, r["text"]) for (a, b), r in zip(pairs, rows) if not r["text"].startswith(f"see {new[a[1]]} {new[b[1]]} ") or r["n_ip"] != 1]
+    assert not wrong
+
+
 def test_pseudonyms_are_distinct(spark):
     rng = random.Random(3)
     values = [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{i % 256}" for i in range(500)]
