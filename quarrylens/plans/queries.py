@@ -15,17 +15,19 @@ from ..functions import measures, paths
 from . import dsl
 from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, rollups, signals, tests_map, text
 from ..sources import repo, sinks, storage, synthetic
-from ..sources.tables import FACTS_SQL, TableFacts
+from ..sources.tables import ALL_FACTS_SQL, FACTS_SQL, TableFacts
 from ..streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable[[TableFacts], DataFrame]] = {}
 
 
 def query(sql: str | None = None, facts: bool = True):
     """Registers a function of TableFacts under its name, with its SQL twin after the common facts."""
 
     def register(f):
+        FUNCTIONS[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(TableFacts(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = (f"WITH RECURSIVE {FACTS_SQL},\n{sql.strip()}" if sql.strip().startswith("--cte") is False and facts else sql).replace("--cte", "")
@@ -991,3 +993,16 @@ def j14_tests_by_import(t: TableFacts) -> DataFrame:
     side = lambda c: files.select(F.col("fid").alias(c), F.col("rel").alias(f"{c}_rel"))
     named = t.imports.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_rel").alias("src"), F.col("dst_rel").alias("dst"))
     return tests_map.links(files, named)
+
+
+#: Queries over import edges that are offered over the edges of all line items, too. Closures are not: a dense graph's has the square of its files.
+ALL_ROWS = "w10_hubs pr15_instability r9_j7_hidden_coupling a24_j8_folder_matrix r2_j9_majority_violations r2_j10_pr30_rule_violations r3_j11_building_codes r4_budgets g5_blast_radius g6_edge_maps g7_orphans j3_python_imports j4_relative_imports j14_tests_by_import q10_j20_imports sk9_import_edges t5_dependency_matrix t6_t14_flows".split()
+
+
+def over_all_rows(name: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """A query and its twin, over the import edges of all line items."""
+    return lambda spark, sf_dir: FUNCTIONS[name](TableFacts(spark, sf_dir, all_rows=True)), ORACLES[name].replace(FACTS_SQL, ALL_FACTS_SQL)
+
+
+for _name in ALL_ROWS:
+    QUERIES[f"{_name}_all_rows"], ORACLES[f"{_name}_all_rows"] = over_all_rows(_name)

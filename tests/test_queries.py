@@ -2,7 +2,10 @@
 
 import pytest
 
-from quarrylens.plans.queries import ORACLES, QUERIES
+from pyspark.sql import functions as F
+
+from quarrylens.plans.queries import ORACLES, QUERIES, over_all_rows
+from quarrylens.sources.tables import TableFacts
 
 from .conftest import SMALL, same_rows
 
@@ -23,3 +26,18 @@ def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["fid", "commits", "loc", "size_pct", "hotspot", "hotspot_rank", "is_hotspot"] and df.count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_imports_of_all_rows(spark):
+    """Every line item is in an edge, unless its two ends are the same file."""
+    n = spark.read.parquet(f"{SMALL}/part.parquet").count()
+    rows = [(r["l_partkey"], (r["l_partkey"] * 7 + r["l_suppkey"] * 13) % n) for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect()]
+    edges = TableFacts(spark, SMALL, all_rows=True).imports
+    assert edges.agg(F.sum("mult")).first()[0] == sum(a != b for a, b in rows)
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {(a, b) for a, b in rows if a != b}
+
+
+@pytest.mark.parametrize("name", ["g1_g2_cycles", "g3_closure", "g3_u6_impact", "g4_import_depth"])
+def test_closures_of_all_rows(spark, duck, name):
+    run, sql = over_all_rows(name)
+    same_rows(run(spark, SMALL), duck.sql(sql))
