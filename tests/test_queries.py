@@ -41,3 +41,11 @@ def test_imports_of_all_rows(spark):
 def test_closures_of_all_rows(spark, duck, name):
     run, sql = over_all_rows(name)
     same_rows(run(spark, SMALL), duck.sql(sql))
+
+
+def test_debt_of_long_texts(spark, tmp_path):
+    """Fifty hits a text, at the start of a line or, with a colon, within it; a mention without a colon is none."""
+    body = "\n".join(["The first", "see La: second", "see La third", *["Die: more * "] * 60])
+    spark.createDataFrame([(1, body), (2, "nothing"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted((r["id"], r["line"], r["marker"], r["note"]) for r in QUERIES["pa22_debt_in_texts"](spark, str(tmp_path)).collect())
+    assert rows == [(1, 1, "The", "first"), (1, 2, "La", "second"), *[(1, i, "Die", "more") for i in range(4, 52)]]
