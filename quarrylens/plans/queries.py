@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions import measures, paths
+from ..functions import measures, parsers, paths
 from . import dsl
 from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, rollups, signals, tests_map, text
 from ..sources import repo, sinks, storage, synthetic
@@ -756,7 +756,9 @@ def l1_l4_layout(t: TableFacts) -> DataFrame:
 
 @query()
 def sc20_synthetic_repository(t: TableFacts) -> DataFrame:
-    return synthetic.files(t.spark, 10_000, 400)
+    """Its log: every file with the commits that change it."""
+    files, log_ = synthetic.files(t.spark, 10_000, 400), synthetic.changes(t.spark, 10_000, 40)
+    return files.join(log_, "fid", "left").join(synthetic.commits(t.spark, 40), "commit_id", "left").select(*files.columns, "commit_id", "author", "ts", "subject", "added", "deleted")
 
 
 @query("""w AS (SELECT event_type AS path, time_bucket(INTERVAL '10 days', ts, TIMESTAMP '1970-01-01') AS s, user_id, value FROM events) SELECT path, epoch(s)::BIGINT AS start, count(*) AS commits FROM w GROUP BY 1, 2""")
@@ -867,7 +869,13 @@ def pa18_parse_html(t: TableFacts) -> DataFrame:
 
 @query("x AS (SELECT event_id, props FROM events) SELECT event_id, len(json_keys(props))::BIGINT AS rows FROM x")
 def sc13_sc14_json_rows(t: TableFacts) -> DataFrame:
-    return t.table("events").select("event_id", F.size(F.json_object_keys("props")).cast("long").alias("rows"))
+    def rows(source):
+        try:
+            return None if source is None else parsers.json_rows(source)
+        except ValueError:
+            return None
+
+    return t.table("events").select("event_id", F.udf(rows, "long")("props").alias("rows"))
 
 
 @query("x AS (SELECT doc_id, len(list_filter(str_split(text, chr(10)), lambda x: trim(x) <> '')) AS rows FROM documents) SELECT doc_id, rows::INT AS rows FROM x")

@@ -49,3 +49,20 @@ def test_debt_of_long_texts(spark, tmp_path):
     spark.createDataFrame([(1, body), (2, "nothing"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = sorted((r["id"], r["line"], r["marker"], r["note"]) for r in QUERIES["pa22_debt_in_texts"](spark, str(tmp_path)).collect())
     assert rows == [(1, 1, "The", "first"), (1, 2, "La", "second"), *[(1, i, "Die", "more") for i in range(4, 52)]]
+
+
+def test_synthetic_repository_has_a_log(spark):
+    rows = QUERIES["sc20_synthetic_repository"](spark, SMALL).collect()
+    by_commit: dict = {}
+    for r in rows:
+        by_commit.setdefault(r["commit_id"], []).append(r)
+    assert set(by_commit) == set(range(40)) and {r["fid"] for r in by_commit[39]} == set(range(10_000))
+    assert all(1 <= len(by_commit[i]) <= 6 and sum(r["added"] for r in by_commit[i]) == 18 for i in range(39))
+    assert all(r["author"] and r["ts"] and r["subject"] and r["rel"] for r in rows) and len({(r["fid"], r["commit_id"]) for r in rows}) == len(rows)
+
+
+def test_json_rows_count_arrays(spark, tmp_path):
+    texts = ['{"a":1,"b":2}', '{"a":[1],"b":[1,2,3,4]}', "[1,2,3,4,5]", '{"empty":[]}', '{"said":"[1,2,3]"}', "{", None]
+    spark.createDataFrame(list(enumerate(texts)), "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["sc13_sc14_json_rows"](spark, str(tmp_path)).orderBy("event_id").collect()
+    assert [r["rows"] for r in rows] == [2, 4, 5, 1, 1, None, None]
