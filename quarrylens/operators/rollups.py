@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,27 +74,32 @@ def co_change_partners(couplings: DataFrame, fid: int, limit: int = 30) -> DataF
     return mine.select(F.when(F.col("a") == fid, F.col("b")).otherwise(F.col("a")).alias("partner"), "n").orderBy(F.desc("n"), "partner").limit(limit)
 
 
-def fuzzy_score(needle: str, hay: str) -> float:
-    """How well the letters of needle occur in hay in order: runs and starts of words count more; -1 if they do not."""
-    needle, low, at, score, last = needle.lower(), hay.lower(), 0, 0.0, -2
-    for c in needle:
-        found = low.find(c, at)
-        if found < 0:
-            return -1.0
-        score += 1 + 2 * (found == last + 1) + 3 * (found == 0 or not low[found - 1].isalnum())
-        last, at = found, found + 1
-    return score - len(hay) / 1000
+#: Points of a found letter: any, one right behind the last (and one more for each of its run), at the start of
+#: a segment, in the file's name; and what each character of the path takes away.
+LETTER, IN_RUN, SEGMENT_START, IN_NAME, PER_CHARACTER = 1, 4, 3, 2, 0.02
+SEPARATORS = ("/", "_", "-", ".")
 
 
-def find_files(index: DataFrame, needle: str, limit: int = 12) -> DataFrame:
-    """Files by fuzzy score of their path, Arrow-batched, the shorter of equals first."""
+def fuzzy_score(needle: str, path: Column) -> Column:
+    """How well the letters of needle occur in path in order, by the points above; null if they do not."""
+    hay = F.lower(path)
+    name_at = F.length(hay) - F.length(F.substring_index(hay, "/", -1))
+    start = F.struct(F.lit(0).alias("next"), F.lit(0).alias("run"), F.lit(0).alias("points"), F.lit(True).alias("first"))
+
+    def found(acc: Column, letter: Column) -> Column:
+        at = F.position(letter, hay, acc["next"] + 1) - 1
+        run = F.when((at == acc["next"]) & ~acc["first"], acc["run"] + 1).otherwise(0)
+        begins = (at == 0) | F.substring(hay, at, F.lit(1)).isin(*SEPARATORS)
+        points = F.when(run > 0, IN_RUN + run).otherwise(LETTER) + F.when(begins, SEGMENT_START).otherwise(0) + F.when(at >= name_at, IN_NAME).otherwise(0)
+        return F.when(at >= 0, F.struct((at + 1).alias("next"), run.alias("run"), (acc["points"] + points).alias("points"), F.lit(False).alias("first")))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rels in batches:
-            yield pd.Series([fuzzy_score(needle, r) for r in rels], dtype="float64")
+    done = F.aggregate(F.array(*[F.lit(c) for c in needle.lower()]), start, found) if needle else start
+    return F.round(done["points"] - F.length(hay) * F.lit(PER_CHARACTER), 6)
 
-    return index.select("rel", score("rel").alias("score")).where("score >= 0").orderBy(F.desc("score"), F.length("rel"), "rel").limit(limit)
+
+def find_files(index: DataFrame, needle: str, limit: int = 12) -> DataFrame:
+    """The files whose path has the letters of needle, the best first, then the shorter."""
+    return index.select("rel", fuzzy_score(needle, F.col("rel")).alias("score")).where("score is not null").orderBy(F.desc("score"), F.length("rel"), "rel").limit(limit)
 
 
 #: Sentences about a file by condition, with their level.

@@ -816,9 +816,12 @@ def t6_t14_flows(t: TableFacts) -> DataFrame:
     return rollups.flows(folders.matrix(e), folders.majority_violations(e))
 
 
-@query()
+@query("""fz AS (SELECT rel, lower(rel) AS hay, length(rel) - length(str_split(rel, '/')[-1]) AS nm, 0 AS i, 0 AS nx, 0 AS run, 0 AS points FROM files
+UNION ALL SELECT rel, hay, nm, i + 1, p + 1, r, points + CASE WHEN r > 0 THEN 4 + r ELSE 1 END + CASE WHEN p = 0 OR substr(hay, p, 1) IN ('/', '_', '-', '.') THEN 3 ELSE 0 END + CASE WHEN p >= nm THEN 2 ELSE 0 END
+    FROM (SELECT *, CASE WHEN p = nx AND i > 0 THEN run + 1 ELSE 0 END AS r FROM (SELECT *, nx + instr(substr(hay, nx + 1), 'ecobr.py'[i + 1]) - 1 AS p FROM fz WHERE i < 8) WHERE p >= nx))
+SELECT rel, round(points - length(hay) * 0.02::DOUBLE, 6) AS score FROM fz WHERE i = 8 ORDER BY score DESC, length(rel), rel LIMIT 12""")
 def t7_find_files(t: TableFacts) -> DataFrame:
-    return rollups.find_files(t.files, "ecobr77")
+    return rollups.find_files(t.files, "ecobr.py")
 
 
 @query(HIST + "SELECT CASE WHEN a = 5 THEN b ELSE a END AS partner, n FROM cp WHERE a = 5 OR b = 5 ORDER BY n DESC, partner LIMIT 30")
