@@ -70,6 +70,31 @@ def plain(piece: Column) -> Column:
     return F.replace(piece, F.lit(ESCAPE), F.lit(MARK))
 
 
+RUN = 256
+
+
+def with_sums_before(df: DataFrame, numbers: list[str], out: list[str]) -> DataFrame:
+    """df with, for each array column of numbers, that of the sums of all entries before each entry; null stays null.
+
+    Sums are made inside runs of ``RUN`` entries and over the sums of runs, so that no array is
+    copied once an entry. In steps, as the analyser takes lambdas in lambdas only so deep.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums"))
+    runs, first = [f"{c}_runs" for c in out], [f"{c}_first" for c in out]
+
+    def cut(c: str) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / RUN).cast("int")), lambda i: F.slice(c, i * RUN + 1, F.lit(RUN)))
+        return F.when(F.size(c) > 0, each).when(F.size(c) == 0, F.array().cast("array<array<bigint>>"))
+
+    df = df.withColumns({r: cut(c) for c, r in zip(numbers, runs, strict=True)})
+    df = df.withColumns({f: F.transform(r, lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda acc, x: acc + x)) for r, f in zip(runs, first, strict=True)})
+    df = df.withColumns({f: F.aggregate(f, start, step)["sums"] for f in first})
+    df = df.withColumns({r: F.transform(r, lambda run: F.aggregate(run, start, step)["sums"]) for r in runs})
+    df = df.withColumns({o: F.flatten(F.zip_with(r, f, lambda run, at: F.transform(run, lambda x: x + at))) for o, r, f in zip(out, runs, first, strict=True)})
+    return df.drop(*runs, *first)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet under the checkpoint folder, and read again: for wide rows that are read more than once."""
     spark = df.sparkSession
