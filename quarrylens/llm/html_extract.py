@@ -12,7 +12,8 @@ below), in which the generator knows which runs are main text. The seed is fixed
 reproducible; it is fitted on the driver in a second or two from ``TRAIN_PAGES`` pages and broadcast.
 
 Defined results: null and empty html give empty text; mark-up that does not balance is read as browsers do (an
-element ends with its parent, a stray end tag is dropped); white space inside a block becomes one space, blocks are
+element ends with its parent, a stray end tag is dropped; a tag whose quote is never closed ends at the next >, one that never ends takes the rest of the page); character
+references are decoded in each stretch between tags; white space inside a block becomes one space, blocks are
 joined by a line feed; repeated rows are read each; other columns are ignored.
 """
 
@@ -21,6 +22,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from math import exp, log
 
@@ -37,7 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noframes".split())
 HIDDEN = frozenset("head script style textarea title noscript template svg math iframe object canvas audio video select datalist noframes xmp".split())
 #: A start tag of the key ends an open element of the value, up to the nearest of the stops.
-ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 ENDS_P = BLOCK - {"button", "label", "legend", "option", "optgroup", "caption", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 #: Words of class, id and role that tell something.
 HINTS = ("ad ads advert advertisement sponsor sponsored promo banner cookie consent gdpr notice alert popup modal overlay newsletter subscribe signup login search nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc header masthead topbar footer copyright legal sidebar aside rail widget related recommended trending popular share social tags comment comments reply replies respond disqus discussion form feedback author byline meta "
@@ -47,7 +50,8 @@ AGAINST = frozenset("nav aside footer form button fieldset label legend dialog m
 _AGAINST_HINTS = frozenset(HINTS[: HINTS.index("meta") + 1])
 TAGS = "article aside blockquote body button dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html label legend li main nav ol p pre section summary table td th tr ul details dialog".split()
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _HINTED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -68,10 +72,77 @@ class Node:
         self.chars = self.links = self.marks = self.runs = 0
 
 
+class Tags:
+    """The tags of a page, one after the other, each character being looked at a bounded number of times.
+
+    A quote opens a value only behind an equals sign, as in browsers; where it is never closed the tag ends at the next >.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none: set[str] = set()  # what the rest of the page does not have
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def closed(self, at: int) -> int:
+        """The place behind the tag whose name ends at at; the end of the page if it never ends."""
+        page = self.page
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return m.end()
+            at = m.end()
+            before = m.start() - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] == "=":
+                end = self.find(m[0], at)
+                if end < 0:
+                    end = self.find(">", at)
+                    return end + 1 if end >= 0 else len(page)
+                at = end + 1
+        return len(page)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """(start, end, name, whether it closes, attributes) of the first tag from at on; the name is '' for what is no element, '!' for character data.
+
+        Past the last tag start and end are those of the page.
+        """
+        page = self.page
+        while True:
+            at = self.find("<", at)
+            if at < 0:
+                return len(page), len(page), "", False, ""
+            second = page[at + 1 : at + 2]
+            if second == "!" or second == "?":
+                if page.startswith("<!--", at):
+                    end = self.find("-->", at + 2)
+                    return at, end + 3 if end >= 0 else len(page), "", False, ""
+                if page.startswith("<![CDATA[", at) and (end := self.find("]]>", at)) >= 0:
+                    return at, end + 3, "!", False, page[at + 9 : end]
+                end = self.find(">", at)
+                return at, end + 1 if end >= 0 else len(page), "", False, ""
+            closes = second == "/"
+            name = _NAME.match(page, at + 1 + closes)
+            if name:
+                end = self.closed(name.end())
+                return at, end, name[0].lower(), closes, page[name.end() : end - (page[end - 1] == ">")]
+            if closes and (end := self.find(">", at)) >= 0:
+                return at, end + 1, "", False, ""
+            at += 1  # a plain less-than sign
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; runs have tag '' and a text."""
+    tags = Tags(page)
     nodes = [Node(-1, "html")]
     stack = [0]
+    where: dict[str, list[int]] = defaultdict(list)  # the places in the stack of open elements, by tag
     parts: list[str] = []
     linked = anchor = 0
     hidden = ""
@@ -80,7 +151,7 @@ def parse(page: str) -> list[Node]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 run = Node(stack[-1], "")
                 run.text, run.chars, run.links, run.runs = text, len(text), min(linked, len(text)), 1
@@ -89,62 +160,61 @@ def parse(page: str) -> list[Node]:
             parts.clear()
         linked = 0
 
+    def last(tag: str) -> int:
+        """The place of the innermost open element of this tag, 0 if there is none."""
+        return where[tag][-1] if where.get(tag) else 0
+
     def close_to(k: int) -> None:
         flush()
-        del stack[k:]
+        while len(stack) > k:
+            where[nodes[stack.pop()].tag].pop()
+
+    def raw_end(tag: str, at: int) -> int:
+        """The place behind the end tag of raw text, or the end of the page."""
+        end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
+        return (tags.find(">", end.end()) + 1 or len(page)) if end else len(page)
 
     at = 0
     size = len(page)
     while at < size:
-        if hidden in RAW and hidden:
-            end = re.compile(rf"</{hidden}(?=[\s/>]|$)", re.I).search(page, at)
-            if not end:
-                break
-            at, hidden = page.find(">", end.end()) + 1 or size, ""
+        if hidden and hidden in RAW:
+            at, hidden = raw_end(hidden, at), ""
             continue
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else size
-        if stop > at and not hidden:
-            piece = page[at:stop]
-            parts.append(piece)
+        start, end, tag, closing, attributes = tags.next(at)
+        if start > at and not hidden:
+            piece = page[at:start]
+            parts.append(entities.unescape(piece) if "&" in piece else piece)
             if anchor:
                 linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                parts.append(m[0][9:-3])
+        at = end
+        if not tag or tag == "!":
+            if tag and not hidden:
+                parts.append(attributes)
             continue
-        closing = m[1] == "/"
         if hidden:
-            if tag == hidden and not (m[3] or "").endswith("/"):
+            if tag == hidden and not attributes.endswith("/"):
                 depth += -1 if closing else 1
                 if not depth:
                     hidden = ""
             elif hidden == "head" and tag == "body" and not closing:
                 hidden = ""
             elif tag in RAW and not closing:
-                end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
-                at = (page.find(">", end.end()) + 1 or size) if end else size
+                at = raw_end(tag, at)
             if hidden or closing or tag == "head":
                 continue
         if closing:
             if tag == "a":
                 anchor = 0
             elif tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        close_to(k)
-                        break
+                if k := last(tag):
+                    close_to(k)
                 else:
                     flush()
             continue
         if tag in HIDDEN:
             if tag in BLOCK:
                 flush()
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 hidden, depth = tag, 1
             continue
         if tag in VOID:
@@ -159,30 +229,24 @@ def parse(page: str) -> list[Node]:
         if tag not in BLOCK:
             continue
         flush()
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[k]].tag
-                if name == "p":
-                    close_to(k)
-                    break
-                if name not in ("label", "button"):
-                    break
+        if tag in ENDS_P and (k := last("p")):
+            # Only labels and buttons may lie between.
+            if sum(len(where[x]) - bisect_right(where[x], k) for x in ("label", "button") if x in where) == len(stack) - 1 - k:
+                close_to(k)
         if tag in ENDS:
             ended, stops = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[k]].tag
-                if name in stops:
+            stop = max(map(last, stops))
+            while (k := max(map(last, ended))) > stop:
+                close_to(k)
+                if tag != "tr":
                     break
-                if name in ended.split():
-                    close_to(k)
-                    if tag != "tr":
-                        break
         words = []
-        if m[3]:
-            for x in _HINTED.finditer(m[3]):
+        if attributes:
+            for x in _HINTED.finditer(attributes):
                 words += [w for w in _WORD.findall(_CAMEL.sub(" ", x[1] or x[2] or x[3] or "").lower()) if w in _HINT_AT]
-        if tag in ("html", "body") and len(stack) > 1 and any(nodes[i].tag == tag for i in stack):
+        if tag in ("html", "body") and len(stack) > 1 and (tag == "html" or last(tag)):
             continue
+        where[tag].append(len(stack))
         nodes.append(Node(stack[-1], tag, tuple(dict.fromkeys(words))))
         stack.append(len(nodes) - 1)
         anchor = 0
