@@ -20,8 +20,10 @@ the first place with it; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -93,16 +95,13 @@ class Matcher:
             return []
         line = f" {' '.join(own)} "
         windows: dict[int, set] = defaultdict(set)
-        seen, count = 0, 0
+        blanks: list[int] = []  # the places before words
         for end, (piece, found) in self.automaton.iter(line):
-            start = end + 1 - len(piece)
-            # Places of hits rise, but for pieces that end together; count blanks from the last place on.
-            if start < seen:
-                seen, count = 0, 0
-            count += line.count(" ", seen, start)
-            seen = start
+            if not blanks:
+                blanks = list(accumulate((len(w) + 1 for w in own), initial=0))
+            word = bisect_left(blanks, end + 1 - len(piece))
             for n, at in found:
-                windows[n].add(count - at)
+                windows[n].add(word - at)
         out = []
         for n, starts in windows.items():
             item_id, item = self.items[n]
@@ -119,6 +118,8 @@ class Matcher:
                 distance, end = myers(item, own[a:b])
                 if distance < best[0]:
                     best = (distance, a, a + end)
+                    if not distance:  # none is nearer, and those behind are not first
+                        break
             if best[0] <= k:
                 distance, a, end = best
                 back, length = myers(item[::-1], own[a:end][::-1])
