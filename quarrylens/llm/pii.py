@@ -14,7 +14,8 @@ format is that of the value: separators, digit counts and check digits stay vali
 * ssn: ddd-dd-dddd with a valid area, group and serial, permuted within the valid ones.
 * iban: passes modulo 97; the digits after the check digits are permuted, the check digits made anew.
 * phone: 8 to 15 digits, after a plus in any groups, in brackets or not; without it as
-  (dd) ddd dddd with two to four, three or four, and three or four digits, or as ddd-ddd-dddd; country code and first digit stay, the others are permuted.
+  (dd) ddd dddd with two to four, three or four, and three or four digits, or as ddd-ddd-dddd; the country code, a zero that leads behind it (or the whole) and the first digit after these stay, the others
+  are permuted. So +44 20 7946 0958, +442079460958, +44 (0)20 7946 0958 and (020) 7946 0958 have the same new digits.
 * ip: four numbers up to 255, permuted as a 32-bit number.
 * date: a calendar date of 1900-2099 (y-m-d, d/m/y or m/d/y, d.m.y), permuted within those years.
 * email: not a number; letters and digits before the @ are drawn anew from a keyed digest,
@@ -53,6 +54,8 @@ IBAN = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}$"
 PLUS_PHONE = r"^\+[0-9]+(?:[ .-]?(?:[0-9]+|\([0-9]{1,4}\)))*$"
 LOCAL_PHONE = r"^(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})$"
 CARD = r"^\+?[0-9]+(?:[ -][0-9]+)*$"
+#: Country calling codes of one and of two digits; all others have three.
+ONE_DIGIT_CODES, TWO_DIGIT_CODES = "^[17]", "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 USUAL_CARD = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 #: One of these must be in a text that has a candidate; quick to look for.
 QUICK = r"[0-9@]"
@@ -140,11 +143,16 @@ def iban(v: Column, key: str) -> Column:
 
 
 def phone(v: Column, key: str) -> Column:
-    code = F.regexp_extract(v, r"^\+([0-9]{1,3})[ .(-]", 1)
+    """Behind the country code, and a zero that leads there, the first digit stays: one number gets one pseudonym in whatever groups."""
 
     def new(d: Column) -> Column:
-        fixed = F.length(code) + 1
-        return F.when(F.length(d).between(8, 15), _let(F.concat(F.substring(d, F.lit(1), fixed), permuted_digits(F.substring(d, fixed + 1, F.length(d) - fixed), key, "phone")), lambda w: filled(v, w)))
+        code = F.when(v.startswith("+"), F.when(d.rlike(ONE_DIGIT_CODES), 1).when(d.rlike(TWO_DIGIT_CODES), 2).otherwise(3)).otherwise(0)
+
+        def whole(code: Column) -> Column:
+            fixed = code + F.when(F.substring(d, code + 1, F.lit(1)) == "0", 2).otherwise(1)
+            return _let(fixed, lambda k: F.concat(F.substring(d, F.lit(1), k), permuted_digits(F.substring(d, k + 1, F.length(d)), key, "phone")))
+
+        return F.when(F.length(d).between(8, 15), _let(_let(code, whole), lambda w: filled(v, w)))
 
     return _let(_digits(v), new)
 
@@ -328,8 +336,8 @@ def scanned(docs: DataFrame, run: str, group: str, longest: int, judge, kinds: t
     return docs.withColumn("_m", F.array_join(F.transform("_r", lambda r: F.when(F.size(r["s"]) > 0, written(r["t"], r["s"])).otherwise(r["x"])), "")).drop("_r")
 
 
-def pseudonymised(docs: DataFrame, key: str = "quarrylens") -> DataFrame:
-    """docs with text replaced, and columns n_<kind> appended (they replace any of the same name)."""
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+    """docs with text replaced, and columns n_<kind> appended (they replace any of the same name). Who has the key can undo the numbers, so it has no default."""
     names = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     some = F.when(F.col("text").rlike(QUICK), F.replace(F.col("text"), F.lit(MARK), F.lit(ESCAPE)))
     done = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), some.alias("_m"))

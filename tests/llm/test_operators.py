@@ -57,7 +57,7 @@ def luhn(d):
 
 def test_pseudonyms(spark, odd, none):
     line = "mail a.b7@x.example.com card 4111 1111-1111 1111 again 4111 1111-1111 1111 no 4111111111111112 ip 10.0.0.255 bad 300.1.1.1 iban GB82 WEST 1234 5698 7654 32 ssn 123-45-6789 no 000-45-6789 tel +1 (988) 555-2485 day 2024-02-29 31/12/1999 12/31/1999 never 2024-02-30"
-    rows = pii.pseudonymised(docs_of(spark, [line, f"other {line}"])).orderBy("doc_id").collect()
+    rows = pii.pseudonymised(docs_of(spark, [line, f"other {line}"]), "k").orderBy("doc_id").collect()
     text = rows[0]["text"]
     assert rows[1]["text"] == f"other {text}"
     assert [rows[0][f"n_{k}"] for k in ("email", "card", "ip", "iban", "ssn", "phone", "date")] == [1, 2, 1, 1, 1, 1, 3]
@@ -72,15 +72,15 @@ def test_pseudonyms(spark, odd, none):
     a, b = re.search(r"(\d\d/\d\d/\d{4}) (\d\d/\d\d/\d{4}) never", text).groups()
     assert (a[:2], a[3:5], a[6:]) == (b[3:5], b[:2], b[6:])  # one day, in both ways of writing
     assert re.search(r"[a-z]\.[a-z]\d@[a-z]\.example\.com", text)
-    same = {(r["doc_id"], r["text"]) for r in pii.pseudonymised(odd).collect()}
-    assert same == {(r["doc_id"], r["text"]) for r in odd.collect()} and pii.pseudonymised(none).count() == 0
+    same = {(r["doc_id"], r["text"]) for r in pii.pseudonymised(odd, "k").collect()}
+    assert same == {(r["doc_id"], r["text"]) for r in odd.collect()} and pii.pseudonymised(none, "k").count() == 0
     other = pii.pseudonymised(docs_of(spark, [line]), key="another").first()["text"]
     assert other != text
 
 
 def test_neighbours_are_told_apart(spark):
     line = "+1 (988) 555-2485 42.144.35.254 4041894974608795 42.144.35.254 +44 20 7946 0958 42.144.35.254 4041894974608795 +1 (988) 555-2485 4041894974608795 4041894974608795 77 (212) 555-0199 13"
-    row = pii.pseudonymised(docs_of(spark, [line])).first()
+    row = pii.pseudonymised(docs_of(spark, [line]), "k").first()
     assert (row["n_phone"], row["n_ip"], row["n_card"]) == (4, 3, 4)
     assert not any(x in row["text"] for x in ("555-2485", "42.144.35.254", "4041894974608795", "7946 0958", "555-0199"))
 
@@ -99,15 +99,15 @@ def test_all_forms_of_numbers(spark):
     """Alone, between words and numbers, and each beside each."""
     kinds = {"phone": PHONES, "card": CARDS, "iban": IBANS}
     alone = [(k, v) for k, values in kinds.items() for v in values]
-    rows = pii.pseudonymised(docs_of(spark, [v for _, v in alone])).orderBy("doc_id").collect()
+    rows = pii.pseudonymised(docs_of(spark, [v for _, v in alone]), "k").orderBy("doc_id").collect()
     for (k, v), r in zip(alone, rows):
         assert {n: r[f"n_{n}"] for n in pii.KINDS} == {n: int(n == k) for n in pii.KINDS}, v
         assert r["text"] != v and re.sub("[0-9]", "0", r["text"]) == re.sub("[0-9]", "0", v)
         if k == "card":
             assert luhn(r["text"])
     pairs = [(a, b) for a in alone for b in alone]
-    rows = pii.pseudonymised(docs_of(spark, [f"see {a[1]} {b[1]} 10.0.0.255 or so" for a, b in pairs])).orderBy("doc_id").collect()
-    new = {v: r["text"] for (_, v), r in zip(alone, pii.pseudonymised(docs_of(spark, [v for _, v in alone])).orderBy("doc_id").collect())}
+    rows = pii.pseudonymised(docs_of(spark, [f"see {a[1]} {b[1]} 10.0.0.255 or so" for a, b in pairs]), "k").orderBy("doc_id").collect()
+    new = {v: r["text"] for (_, v), r in zip(alone, pii.pseudonymised(docs_of(spark, [v for _, v in alone]), "k").orderBy("doc_id").collect())}
     wrong = [(a, b, r["text"]) for (a, b), r in zip(pairs, rows) if not r["text"].startswith(f"see {new[a[1]]} {new[b[1]]} ") or r["n_ip"] != 1]
     assert not wrong
 
@@ -115,7 +115,7 @@ def test_all_forms_of_numbers(spark):
 def test_pseudonyms_are_distinct(spark):
     rng = random.Random(3)
     values = [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{i % 256}" for i in range(500)]
-    got = [r["text"] for r in pii.pseudonymised(docs_of(spark, sorted(set(values)))).collect()]
+    got = [r["text"] for r in pii.pseudonymised(docs_of(spark, sorted(set(values))), "k").collect()]
     assert len(set(got)) == len(got)
 
 
