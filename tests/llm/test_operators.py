@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on odd input: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -291,6 +292,48 @@ def test_shards(spark, odd, none):
     assert sharding.sharded(none).count() == 0
 
 
+def brute_shards(rows, shards, key, bucket_rows):
+    """(doc_id, size, checksum, shard, slot) of every row by plain integers."""
+    import xxhash
+
+    def mixed(*parts):
+        h = 42
+        for x in parts:
+            if x is not None:
+                h = xxhash.xxh64(x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True), seed=h).intdigest()
+        return h - (h >> 63 << 64)
+
+    n = len(rows)
+    buckets = max(1, -(-n // bucket_rows))
+    alike = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows]
+    order = sorted(alike, key=lambda r: (mixed(*r) % buckets, r[0] is not None, r[0] or 0, r[1], r[2]))
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    out = []
+    for x, r in enumerate(order):
+        while True:
+            left, right = divmod(x, b)
+            for i in range(1, 9):
+                f = lambda half, i=i: mixed(key.to_bytes(4, "little"), i.to_bytes(4, "little"), half)
+                left, right = ((left + f(right) % a) % a, right) if i % 2 else (left, (right + f(left) % b) % b)
+            x = left * b + right
+            if x < n:
+                break
+        out.append((*r, x % shards, x // shards))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("bucket_rows", [10_000, 13])
+def test_every_shard_and_slot(spark, monkeypatch, bucket_rows):
+    """All documents, and a third of all rows alike: nulls without an id."""
+    monkeypatch.setattr(sharding, "SPREAD", 50)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(None, None)] * 300 + [(None, "")] * 200 + [(7, "x"), (7, "x")]
+    more = spark.createDataFrame([(None, None)] * 300 + [(None, "")] * 200 + [(7, "x"), (7, "x")], "doc_id long, text string")
+    got = sharding.sharded(docs.unionByName(more), bucket_rows=bucket_rows).collect()
+    assert sorted(str((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"])) for r in got) == brute_shards(rows, 8, 20240229, bucket_rows)
+
+
 # -- 5 exact dedup ---------------------------------------------------------------------------
 
 
