@@ -12,7 +12,7 @@ Group statistics are sums, combined before they are shuffled. They are broadcast
 most ``BROADCAST_GROUPS`` (about 100 bytes each), and joined by a shuffle beyond.
 
 Defined results: null and wordless texts are judged by the same measures (all zero); null hosts and
-paths are groups of their own; a document listed twice counts twice; unlabelled or one-sided labels give
+paths are groups of their own; a document listed twice counts twice, and so does one labelled twice; unlabelled or one-sided labels give
 even evidence; an empty table gives an empty result; ``kept`` returns rows with all their columns.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tidy
+from .common import checkpoint, stored, tidy
 
 LABELLED = 20_000
 BROADCAST_GROUPS = 100_000
@@ -129,12 +129,16 @@ def _strength(mean: float, within: float, between: float) -> float:
 JUDGED = ("_evidence", "_host", "_path", "_posterior", "_keep")
 
 
-def judged(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", labelled: int = LABELLED) -> DataFrame:
-    """_row (the whole row, out of the way of other names), and JUDGED: evidence, posteriors of the groups and of the document, verdict."""
+def judged(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", labelled: int = LABELLED, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """_row (the columns to carry, all by default, out of the way of other names), and JUDGED: evidence, posteriors of the groups and of the document, verdict.
+
+    Each text is scored once: rows are written with their evidence, and group sums and verdicts read that table.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels, labelled))
     of = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\0"))
-    base = docs.select(F.struct("*").alias("_row"), of(host).alias("_h"), of(path).alias("_q"), _score(model)(F.col("text")).alias("_evidence"))
+    base = docs.select(F.struct(*(carry or ("*",))).alias("_row"), of(host).alias("_h"), of(path).alias("_q"), _score(model)(F.col("text")).alias("_evidence"))
+    base = stored(base)
     base = base.withColumn("_p", 1 / (1 + F.exp(-F.col("_evidence") - F.lit(model.value["prior"]))))
     sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     paths = checkpoint(sums(base.select("_h", "_q", F.lit(1).alias("n"), F.col("_p").alias("s"), (F.col("_p") * F.col("_p")).alias("ss")), "_h", "_q"))
@@ -159,8 +163,8 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column | str = "source", pa
 
 
 def scored(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs with JUDGED, which replace columns of these names."""
-    return judged(docs, labels, **how).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in JUDGED], *JUDGED)
+    """docs (or the columns to carry) with JUDGED, which replace columns of these names."""
+    return judged(docs, labels, **how).select(*[F.col("_row")[c].alias(c) for c in how.get("carry") or docs.columns if c not in JUDGED], *JUDGED)
 
 
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -60,7 +60,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    done = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=("doc_id",))
     return done.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_host").alias("host_posterior"), F.col("_path").alias("path_posterior"), F.col("_posterior").alias("posterior"), F.col("_keep").alias("keep"))
 
 

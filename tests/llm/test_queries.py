@@ -44,8 +44,8 @@ def test_pipeline(spark):
     assert ids(packed) == ids(docs) and packed.columns[:4] == ["doc_id", "piece", "start", "length"]
 
 
-def plain_quality(rows, labels):
-    """The ids that the classifier keeps, its levels worked out in plain Python from the fitted weights."""
+def plain_posteriors(rows, labels):
+    """Of each id the evidence, the posteriors of its host, its path and itself, and the verdict, worked out in plain Python from the fitted weights."""
     x = {r["doc_id"]: quality.measures(r["text"]) for r in rows}
     pairs = [(x[i], y) for i, y in labels if i in x and y is not None]
     xs, ys = np.array([a for a, _ in pairs], float), np.array([float(b) for _, b in pairs])
@@ -66,14 +66,37 @@ def plain_quality(rows, labels):
         return min(1e6, max(1.0, mean * (1 - mean) / max(between - within, 1e-9) - 1))
 
     kh, kp = strength(hosts, lambda k: mean), strength(places, lambda k: sum(hosts[k[0]]) / len(hosts[k[0]]))
-    kept = set()
+    out = {}
     for r in rows:
         h, g, own = hosts[r["source"]], places[r["source"], r["lang"]], p[r["doc_id"]]
         host = (sum(h) + kh * mean) / (len(h) + kh)
         path = min(1 - 1e-6, max(1e-6, (sum(g) - own + kp * host) / (len(g) - 1 + kp)))
-        if 1 / (1 + math.exp(-(e[r["doc_id"]] + math.log(path / (1 - path))))) >= quality.THRESHOLD:
-            kept.add(r["doc_id"])
-    return kept
+        posterior = 1 / (1 + math.exp(-(e[r["doc_id"]] + math.log(path / (1 - path)))))
+        out[r["doc_id"]] = (e[r["doc_id"]], host, path, posterior, posterior >= quality.THRESHOLD)
+    return out
+
+
+def plain_quality(rows, labels):
+    return {i for i, v in plain_posteriors(rows, labels).items() if v[-1]}
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_quality_against_plain_python(spark, tmp_path, twice):
+    """Every posterior of every document; with labels that are listed twice, too."""
+    where = SMALL
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    if twice:
+        where = str(tmp_path)
+        labels = labels.unionByName(labels.where("quality = 0").withColumn("toxic", labels["quality"]))
+        labels.write.parquet(f"{where}/labels.parquet")
+        docs.write.parquet(f"{where}/documents.parquet")
+    want = plain_posteriors([r.asDict() for r in docs.collect()], [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    got = QUERIES["op9_quality"](spark, where).collect()
+    assert len(got) == len(want)
+    for r in got:
+        *numbers, keep = want[r["doc_id"]]
+        assert np.allclose([r["evidence"], r["host_posterior"], r["path_posterior"], r["posterior"]], numbers, rtol=1e-6, atol=1e-9) and r["keep"] == keep
 
 
 def test_pipeline_against_plain_python(spark, tmp_path):
