@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: Shuffle files of a step whose result has been written are of no more use; without this they stay until the driver's next collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names.
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names; the shuffles that made it are dropped.
 
     Where the setting is absent a local session gets a temporary folder; a
     cluster session is refused, as its executors would not share the folder.
@@ -35,7 +51,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="quarrylens-checkpoint-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    with _cleaning(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -100,7 +117,8 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     checkpoint(spark.range(0))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaning(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -2,8 +2,11 @@
 
 Every node takes the least label around it, then the label of its label (pointer
 jumping), until nothing changes; the rounds grow with the logarithm of the longest
-chain. Each round is checkpointed, so a lost executor costs one round. Labels of a
-large component repeat on one side of a join only, which adaptive execution splits.
+chain. Each round is checkpointed, so a lost executor costs one round.
+
+Hubs, nodes with very many edges and labels of very many nodes, do not meet their rows in one
+task: a key that has more than one task's even share of the rows is met by broadcast. There are
+fewer such keys than tasks, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -11,18 +14,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, partitions
+
+
+def hubs(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The values of key that have more of the n rows than an even share of one task: fewer than there are tasks."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, n // partitions(rows.sparkSession))).select(key)
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined to table, which has each key once; the keys in hot, which are few, by broadcast."""
+    hot = F.broadcast(hot)
+    few = table.join(hot, key, "left_semi")
+    return rows.join(hot, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(few), key))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """a, b (long) -> node, label: the least node that node reaches. Nodes without edges are absent."""
     both = checkpoint(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    centres = checkpoint(hubs(both, "b", both.count()))
     labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    n = labels.count()
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        around = met(both, labels.select(F.col("node").alias("b"), "label"), "b", centres).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        nearer = checkpoint(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = checkpoint(nearer.join(jump, "label").select("node", "old", F.col("further").alias("label")))
+        now = checkpoint(met(nearer, jump, "label", hubs(nearer, "label", n)).select("node", "old", F.col("further").alias("label")))
         labels = now.select("node", "label")
         if now.where("label <> old").isEmpty():
             return labels

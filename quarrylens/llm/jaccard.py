@@ -11,14 +11,17 @@ their overlap is at least 3/4 of their union, which bounds what has to be multip
   n - ceil(3n/4) + 1, and k of their first n - ceil(3n/4) + k, here with k = n / 10. Only those
   columns of A are multiplied, and pairs whose overlap in them stays below k are discarded. The order is by counted
   document frequency: n-grams in more than ``HOT`` documents (the ``HOT_TABLE``
-  most frequent of them, a broadcast of 16 MB at most) come last, by frequency. The order
-  decides the work, never the result.
+most frequent of them, a broadcast of 16 MB at most) come last, by frequency. The order
+decides the work, never the result.
 
-Columns of at most ``HOT`` documents give their pairs directly. Of a hot column only
+Columns of at most ``HOT`` documents give their pairs directly. Of a hot column, and of one that is
+longer though the table had no room for it, only
 the star around one document is multiplied at first; after linking, columns that lie in
 one component need no more work. Those that do not are joined into groups, and in each the
-documents outside its largest component are multiplied with all, in blocks of rows:
-a task gets two blocks, multiplies them, drops overlaps below the bound, and emits a
+documents outside its largest component are multiplied with all, in blocks of rows. Documents with the
+same most frequent column lie in the same blocks, and only blocks that have a column in common meet.
+A task gets two blocks of shingle sets, multiplies the columns that both have (those of few entries by
+expansion, dense ones as matrices), drops overlaps below the bound, and emits a
 spanning forest of what links. So a group of copies of any size costs a star, not its
 square, and no link between different components is missed.
 
@@ -35,7 +38,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, partitions, stored, tidy
@@ -46,7 +49,7 @@ SHARED = 10
 HOT = 16
 HOT_TABLE = 1_000_000
 FLUSH = 1_000_000
-BLOCK_SHINGLES, BLOCK_ROWS = 1 << 22, 2048
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
 BROADCAST_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,10 +156,13 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 class Order:
-    """The common order of n-grams: cold ones by hash, then hot ones by document frequency."""
+    """The common order of n-grams: cold ones by hash, then hot ones by document frequency.
 
-    def __init__(self, tokens: np.ndarray, frequency: np.ndarray, bits: int):
-        self.tokens, self.frequency, self.shift = tokens, frequency, np.uint64(64 - bits)
+    limit: how long a cold column may be to give its pairs; None where none is longer.
+    """
+
+    def __init__(self, tokens: np.ndarray, frequency: np.ndarray, bits: int, limit: int | None = None):
+        self.tokens, self.frequency, self.shift, self.limit = tokens, frequency, np.uint64(64 - bits), limit
 
     def _hot(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.tokens):
@@ -251,13 +257,14 @@ def hot_order(texts: DataFrame, hot: int = HOT, table: int = HOT_TABLE) -> Order
 
     found = texts.mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInArrow(merge, "token long, df long")
     found = checkpoint(found)
-    if found.count() > table:
+    full = found.count() > table
+    if full:
         least = found.approxQuantile("df", [1 - table / found.count()], 0.001)[0]
         found = found.where(F.col("df") > least).orderBy(F.desc("df"), "token").limit(table)
     got = found.toArrow()
     tokens, df = got.column("token").to_numpy().astype(np.uint64), got.column("df").to_numpy()
     by = np.argsort(tokens)
-    return Order(tokens[by], df[by], bits)
+    return Order(tokens[by], df[by], bits, hot if full else None)
 
 
 def features(texts: DataFrame, order) -> DataFrame:
@@ -277,13 +284,15 @@ def features(texts: DataFrame, order) -> DataFrame:
     return texts.mapInArrow(run, "doc long, n long, d1 long, d2 long, hot array<long>")
 
 
-def cold_pairs(texts: DataFrame, order) -> DataFrame:
-    """a, b, star: pairs of compatible sizes whose overlap in cold columns does not rule a link out.
+def cold_pairs(texts: DataFrame, order) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, star: pairs of compatible sizes whose overlap in cold columns does not rule a link out; g, doc, n: the rows of columns beyond the order's limit).
 
     Two linked documents share ``shared_least`` shingles in their long prefixes, and no more of them can be hot than
     the one has that has fewer; overlaps are summed up over all cold columns and pairs below that bound are discarded.
+    Two that share a column beyond the limit are found there, and the bound holds for two that do not.
     star marks pairs with the least doc_id of a column; the others matter only if these do not connect them.
     """
+    limit = order.value.limit
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -342,18 +351,47 @@ def cold_pairs(texts: DataFrame, order) -> DataFrame:
             if found:
                 yield from summed(found)
 
+        def beyond(rows: list[np.ndarray]) -> pa.RecordBatch:
+            g, doc, n, _ = rows
+            return _out(_PAIR, doc, g, pa.nulls(len(g), pa.bool_()), n.astype(np.int64), np.zeros(len(g), np.int64))
+
+        def within(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Whole columns: the long ones as they are, pairs of the others."""
+            if limit is not None and len(rows[0]):
+                _, of, counts = np.unique(rows[0], return_inverse=True, return_counts=True)
+                long = counts[of] > limit
+                if long.any():
+                    yield beyond([x[long] for x in rows])
+                    rows = [x[~long] for x in rows]
+            yield from pairs(*rows)
+
+        opened = None  # a long column that goes on
         for batch in batches:
             now = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+            if opened is not None and len(now[0]):
+                more = int(np.searchsorted(now[0], opened, "right"))
+                if more:
+                    yield beyond([x[:more] for x in now])
+                    now = [x[more:] for x in now]
+                opened = opened if not len(now[0]) else None
             last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
             rest = [x[last:] for x in now]
+            if limit is not None and len(rest[0]) > limit:
+                yield beyond(rest)
+                opened, rest = rest[0][0], [x[:0] for x in rest]
             if last:
-                yield from pairs(*[x[:last] for x in now])
-        yield from pairs(*rest)
+                yield from within([x[:last] for x in now])
+        yield from within(rest)
 
     postings = texts.mapInArrow(post, "g long, doc long, n int, h int")
     columns = postings.repartition(partitions(texts.sparkSession), "g").sortWithinPartitions("g", "doc")
-    sums = columns.mapInArrow(multiply, "a long, b long, star boolean, c long, least long").groupBy("a", "b").agg(F.max("star").alias("star"), F.sum("c").alias("c"), F.max("least").alias("least"))
-    return sums.where("c >= least").select("a", "b", "star")
+    found, long = columns.mapInArrow(multiply, "a long, b long, star boolean, c long, least long"), None
+    if limit is not None:
+        found = checkpoint(found)
+        long = found.where("star is null").select(F.col("b").alias("g"), F.col("a").alias("doc"), F.col("c").alias("n"))
+        found = found.where("star is not null")
+    sums = found.groupBy("a", "b").agg(F.max("star").alias("star"), F.sum("c").alias("c"), F.max("least").alias("least"))
+    return sums.where("c >= least").select("a", "b", "star"), long
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -383,74 +421,142 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, text of the documents in ids (doc), stored. Ids alone are broadcast, and only if few: 8 bytes each."""
-    few = ids.count() <= BROADCAST_IDS
-    return stored(texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["doc"], "left_semi").select(F.col("doc_id").alias("doc"), "text"))
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc is in ids (distinct doc). Ids alone are broadcast, and only if few: 8 bytes each."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
+
+
+def encoded(texts: DataFrame) -> DataFrame:
+    """doc, text -> doc, shingles: the sorted set as bytes, eight for each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        shingler = Shingler()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingler.sets(batch.column(1))], pa.binary())], ["doc", "shingles"])
 
-def block_links(group: DataFrame, texts: DataFrame, bounded: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links between documents of different components in each group.
+    return texts.select("doc", "text").mapInArrow(run, "doc long, shingles binary")
 
-    group: doc, n, comp, s (its group). Documents outside the largest component of a group
-    are multiplied with all of it, a block of rows by a block of rows. Blocks hold documents of
-    sizes within a power of two, so a document meets blocks of one power or two. Groups are no more
-    than hot n-grams, so tables by group are bounded.
+
+def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left shares with each of right.
+
+    Only columns that both sides have count. Those whose product has few entries are expanded,
+    the others multiplied as dense slices; a column is dense in a slice of rows, so there are few of them.
+    """
+    na, nb = len(left), len(right)
+    total = np.zeros(na * nb, np.int64)
+    values = [np.concatenate(x) for x in (left, right)]
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    common = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    if not len(common):
+        return total.reshape(na, nb)
+    columns = []
+    for k in range(2):
+        at = np.minimum(np.searchsorted(common, values[k]), len(common) - 1)
+        shared = common[at] == values[k]
+        column, row = at[shared], rows[k][shared]
+        by = np.argsort(column, kind="stable")
+        columns.append(column[by])
+        rows[k] = row[by]
+    counts = [np.bincount(c, minlength=len(common)) for c in columns]
+    begins = [np.cumsum(c) - c for c in counts]
+    work = counts[0] * counts[1]
+    dense = work * 64 > na * nb
+    few = np.flatnonzero(~dense)
+    upto = np.cumsum(work[few])
+    at = 0
+    while at < len(few):  # about FLUSH entries at a time
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + FLUSH, "right")))
+        cols = few[at:end]
+        w = work[cols]
+        nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        of = np.repeat(cols, w)
+        i = rows[0][begins[0][of] + nth // counts[1][of]]
+        j = rows[1][begins[1][of] + nth % counts[1][of]]
+        cells, n = np.unique(i * nb + j, return_counts=True)
+        total[cells] += n
+        at = end
+    many = np.flatnonzero(dense)
+    total = total.reshape(na, nb)
+    for at in range(0, len(many), 1024):
+        place = np.full(len(common), -1)
+        place[many[at : at + 1024]] = np.arange(len(many[at : at + 1024]))
+        sides = []
+        for k, size in enumerate((na, nb)):
+            here = place[columns[k]]
+            part = np.zeros((size, 1024), np.float32)
+            part[rows[k][here >= 0], here[here >= 0]] = 1
+            sides.append(part)
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between documents of different components that share a hot column.
+
+    open_rows: g, doc, n, comp. Columns joined by documents are a group. Documents outside the largest component of
+    a group are multiplied with all of it, a block of rows by a block of rows. Blocks hold documents of
+    sizes within a power of two, so a document meets blocks of one power or two, and documents of one home, the column
+    of theirs that most have, lie in as few blocks as can hold them. Groups and homes are no more
+    than hot n-grams, so tables by them are bounded where those are.
     """
-    sizes = group.groupBy("s", "comp").agg(F.count("*").alias("c"))
+    # n-grams are nodes beside the documents; their least document names the group.
+    each = open_rows.groupBy("g").agg(F.min("doc").alias("m"), F.count("*").alias("c"))
+    joined = open_rows.join(bounded(each), "g")
+    group = components(joined.select(F.col("doc").alias("a"), F.col("m").alias("b")))
+    docs = joined.groupBy("doc").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.struct("c", "g"))["g"].alias("home"))
+    rows = checkpoint(docs.join(group.select(F.col("node").alias("doc"), F.col("label").alias("s")), "doc"))
+    sizes = rows.groupBy("s", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("s").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    rows = group.join(bounded(main), "s").withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("rare", F.col("comp") != F.col("main"))
+    rows = rows.join(bounded(main), "s").withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("rare", F.col("comp") != F.col("main"))
     per = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("band") + 1))))
-    blocks = checkpoint(rows.groupBy("s", "band").agg(F.ceil(F.count("*") / F.first(per)).cast("int").alias("all"), F.ceil(F.sum(F.col("rare").cast("int")) / F.first(per)).cast("int").alias("few")))
-    placed = rows.join(bounded(blocks), ["s", "band"])
-    hashed = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    # As one of the rare it meets every block of all around its band; as one of all, every block of the rare.
-    other = blocks.select("s", F.col("band").alias("oband"), F.col("all").alias("oall"), F.col("few").alias("ofew"))
-    reach = F.col("oband").between(F.floor(F.log2(F.col("n") * 0.75) - 1e-9), F.floor(F.log2(F.col("n") / 0.75) + 1e-9))
-    near = placed.join(bounded(other), "s").where(reach).join(texts, "doc")
-    as_rare = near.where("rare").select("s", F.col("band").alias("rb"), hashed(F.col("few")).alias("ri"), F.col("oband").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("oall") - 1)).alias("ai"), F.lit(True).alias("r"), "doc", "comp", "text")
-    as_all = near.where("ofew > 0").select("s", F.col("oband").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("ofew") - 1)).alias("ri"), F.col("band").alias("ab"), hashed(F.col("all")).alias("ai"), F.lit(False).alias("r"), "doc", "comp", "text")
+    homes = checkpoint(rows.groupBy("s", "band", "home").agg(F.count("*").alias("in_home"), F.sum(F.col("rare").cast("long")).alias("rare_in_home")))
+    blocks = homes.groupBy("s", "band").agg(F.ceil(F.sum("in_home") / F.first(per)).alias("all"), F.ceil(F.sum("rare_in_home") / F.first(per)).alias("few"))
+    placed = rows.join(bounded(homes), ["s", "band", "home"]).join(bounded(blocks), ["s", "band"])
+
+    def block(of: str, own: str) -> Column:
+        """A home begins at a block of its own hash, and takes up as many as it needs."""
+        return F.pmod(F.xxhash64("home") + F.pmod(F.xxhash64("doc"), F.ceil(F.col(own) / per)), F.col(of)).cast("int")
+
+    placed = checkpoint(placed.select("s", "doc", "comp", "band", "rare", block("all", "in_home").alias("ai"), F.when(F.col("rare"), block("few", "rare_in_home")).alias("ri")))
+    # Blocks that have a column in common, of compatible sizes.
+    columns = open_rows.select("g", "doc").join(placed, "doc")
+    rare_blocks = columns.where("rare").select("g", "s", F.col("band").alias("rb"), "ri").distinct()
+    all_blocks = columns.select("g", F.col("band").alias("ab"), "ai").distinct()
+    meet = checkpoint(rare_blocks.join(all_blocks, "g").where("abs(rb - ab) <= 1").select("s", "rb", "ri", "ab", "ai").distinct())
+    sets = placed.join(encoded(among(texts, placed.select("doc"))), "doc")
+    keys = ["s", "rb", "ri", "ab", "ai"]
+    as_rare = sets.where("rare").select("s", F.col("band").alias("rb"), "ri", "comp", "shingles").join(meet, ["s", "rb", "ri"]).select(*keys, F.lit(True).alias("r"), "comp", "shingles")
+    as_all = sets.select("s", F.col("band").alias("ab"), "ai", "comp", "shingles").join(meet, ["s", "ab", "ai"]).select(*keys, F.lit(False).alias("r"), "comp", "shingles")
 
     def multiply(table: pa.Table) -> pa.Table:
-        shingler = Shingler()
-
-        def side(r: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        def side(r: bool) -> tuple[np.ndarray, list[np.ndarray]]:
             t = table.filter(pa.array(table.column("r").to_numpy() == r))
-            return t.column("doc").to_numpy(), t.column("comp").to_numpy(), [s for part in t.column("text").chunks for s in shingler.sets(part)]
-
-        (da, ca, sa), (db, cb, sb) = side(True), side(False)
-        if not len(da) or not len(db):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
-        columns, column = np.unique(np.concatenate(sa + sb), return_inverse=True)
-        row = np.repeat(np.arange(len(sa) + len(sb)), np.concatenate([na, nb]))
-        by = np.argsort(column, kind="stable")
-        column, row = column[by], row[by]
-        total = np.zeros((len(sa), len(sb)), np.float32)
-        for at in range(0, len(columns), 2048):  # a block of columns at a time
-            lo, hi = np.searchsorted(column, [at, at + 2048])
-            part = np.zeros((len(sa) + len(sb), 2048), np.float32)
-            part[row[lo:hi], column[lo:hi] - at] = 1
-            total += part[: len(sa)] @ part[len(sa) :].T
-        union = na[:, None] + nb[None, :] - total
-        i, j = np.nonzero((100 * total >= 75 * union) & (ca[:, None] != cb[None, :]))
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
+            return t.column("comp").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
 
+        (ca, sa), (cb, sb) = side(True), side(False)
         a, b = [], []
-        for x, y in zip(ca[i].tolist(), cb[j].tolist(), strict=True):
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                parent[rx] = ry
-                a.append(x)
-                b.append(y)
+        if len(sa) and len(sb):
+            total = product(sa, sb)
+            union = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - total
+            i, j = np.nonzero((100 * total >= 75 * union) & (ca[:, None] != cb[None, :]))
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[up]
+                return x
+
+            for x, y in zip(ca[i].tolist(), cb[j].tolist(), strict=True):
+                rx, ry = find(x), find(y)
+                if rx != ry:
+                    parent[rx] = ry
+                    a.append(x)
+                    b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return as_rare.unionByName(as_all).groupBy("s", "rb", "ri", "ab", "ai").applyInArrow(multiply, "a long, b long")
+    return as_rare.unionByName(as_all).groupBy(*keys).applyInArrow(multiply, "a long, b long")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -470,10 +576,16 @@ def labelled(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(reps.select(F.col("doc").alias(c), F.col("rep").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "star").groupBy("a", "b").agg(F.max("star").alias("star"))
 
-    cold = checkpoint(standing(cold_pairs(texts, order)))
-    hot = checkpoint(member.where("doc = rep").dropDuplicates(["doc"]).select("doc", "n", F.explode("hot").alias("g")))
-    # Tables of one row a hot n-gram, of which there are HOT_TABLE at most, meet the rows of a very hot one by broadcast.
+    pairs, long = cold_pairs(texts, order)
+    cold = checkpoint(standing(pairs))
+    hot = member.where("doc = rep").dropDuplicates(["doc"]).select("doc", "n", F.explode("hot").alias("g"))
     n_hot = len(order.value.tokens)
+    if long is not None:
+        long = long.join(reps.select("doc", F.col("rep").alias("_r")), "doc", "left").select(F.coalesce("_r", "doc").alias("doc"), "n", "g").distinct()
+        hot = hot.unionByName(long)
+        n_hot += long.select("g").distinct().count()
+    hot = checkpoint(hot)
+    # Tables of one row a hot n-gram meet the rows of a very hot one by broadcast, unless there are very many hot ones.
 
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n_hot <= BROADCAST_IDS else df
@@ -482,7 +594,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     stars = hot.join(bounded(centre), "g").where("doc <> c.doc and 4 * least(n, c.n) >= 3 * greatest(n, c.n)").select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
     first = checkpoint(cold.where("star").select("a", "b").union(stars).distinct())
     needed = checkpoint(cold.select(F.col("a").alias("doc")).union(cold.select("b")).union(hot.select("doc")).distinct())
-    own = candidates(texts, needed)
+    own = stored(among(texts.withColumnRenamed("doc_id", "doc"), needed))
     links = checkpoint(overlaps(first, own))
     label = components(links)
 
@@ -495,11 +607,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     open_rows = checkpoint(columns.join(bounded(mixed), "g").select("g", "doc", "n", "comp"))
     more = [overlaps(left, own)]
     if not open_rows.isEmpty():
-        # n-grams are nodes beside the documents; their least document names the group.
-        least = open_rows.groupBy("g").agg(F.min("doc").alias("m"))
-        group = components(open_rows.join(bounded(least), "g").select(F.col("doc").alias("a"), F.col("m").alias("b")))
-        rows = open_rows.select("doc", "n", "comp").distinct().join(group.select(F.col("node").alias("doc"), F.col("label").alias("s")), "doc")
-        more.append(block_links(rows, own, bounded))
+        more.append(block_links(open_rows, own, bounded))
     rest = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     final = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
     done = member.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left")

@@ -499,12 +499,12 @@ def brute_components(rows):
     return {i: (len(s[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("hot", [16, 2])
-def test_jaccard(spark, monkeypatch, hot):
-    """A drifting group of near copies larger than the bound on cold columns, a passage that many share, copies, short texts."""
+@pytest.mark.parametrize("hot, table", [(16, 1_000_000), (2, 1_000_000), (2, 20), (4, 0)])
+def test_jaccard(spark, monkeypatch, hot, table):
+    """A drifting group of near copies larger than the bound on cold columns, a passage that many share, copies, short texts; with room for all hot n-grams, for some and for none."""
     if hot == 2:
         monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
-    rng = random.Random(hot)
+    rng = random.Random(hot + table)
     vocabulary = [f"v{i}" for i in range(400)]
     base = [rng.choice(vocabulary) for _ in range(60)]
     passage = [rng.choice(vocabulary) for _ in range(40)]
@@ -520,7 +520,7 @@ def test_jaccard(spark, monkeypatch, hot):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     original = jaccard.hot_order
-    monkeypatch.setattr(jaccard, "hot_order", lambda t: original(t, hot))
+    monkeypatch.setattr(jaccard, "hot_order", lambda t: original(t, hot, table))
     got = jaccard.labelled(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
@@ -557,6 +557,33 @@ def test_very_long_text_is_cut_at_blanks(monkeypatch):
     assert (list(jaccard.Shingler().sets(pa.array([text])))[0] == whole).all()
 
 
+def test_product_is_the_overlap():
+    rng = np.random.default_rng(3)
+    for n, universe in ((1, 5), (30, 40), (90, 3000), (90, 200)):
+        left, right = ([np.unique(rng.integers(0, universe, rng.integers(0, 60)).astype(np.uint64)) for _ in range(n)] for _ in range(2))
+        want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+        assert (jaccard.product(left, right) == np.array(want)).all()
+
+
+def test_components_of_hubs(spark):
+    """A star with a third of all nodes, a long chain from it, and many pairs: against union-find."""
+    rng = random.Random(2)
+    edges = [(5000, i) for i in range(1000)] + [(i, i + 1) for i in range(6000, 6040)] + [(6000, 7)] + [(a, a + 1) for a in range(10_000, 12_000, 2)] + [(rng.randrange(20_000, 20_400), rng.randrange(20_000, 20_400)) for _ in range(300)]
+    up: dict = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in up}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
