@@ -5,8 +5,9 @@ jumping), until nothing changes; the rounds grow with the logarithm of the longe
 chain. Each round is checkpointed, so a lost executor costs one round.
 
 Hubs, nodes with very many edges and labels of very many nodes, do not meet their rows in one
-task: a key that has more than one task's even share of the rows is met by broadcast. There are
-fewer such keys than tasks, whatever the size of the table.
+task. A key that has more than one task's even share of the rows is looked up in a broadcast table
+and its rows are dealt out at random. There are fewer such keys than tasks, whatever the size of the graph, so
+the driver may hold them.
 """
 
 from __future__ import annotations
@@ -17,29 +18,42 @@ from pyspark.sql import functions as F
 from .common import checkpoint, partitions
 
 
-def hubs(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The values of key that have more of the n rows than an even share of one task: fewer than there are tasks."""
-    return rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(1, n // partitions(rows.sparkSession))).select(key)
+def valued(rows: DataFrame, key: str, spread: str, table: DataFrame, value: str, hubs: list[int]) -> DataFrame:
+    """rows with the value that table (key, value) has for each key, null if none; rows of hubs are dealt out by spread."""
+    if not hubs:
+        return rows.join(table, key, "left")
+    spark = rows.sparkSession
+    few = table.where(F.col(key).isin(hubs)).select(key, value).collect()
+    known = spark.createDataFrame([tuple(r) for r in few], f"{key} long, _known long").coalesce(1)
+    salted = rows.join(F.broadcast(known), key, "left").withColumn("_salt", F.when(F.col("_known").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(partitions(spark))) + 1).otherwise(0))
+    met = salted.join(table.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
+    return met.withColumn(value, F.coalesce("_known", value)).drop("_known", "_salt")
 
 
-def met(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """rows joined to table, which has each key once; the keys in hot, which are few, by broadcast."""
-    hot = F.broadcast(hot)
-    few = table.join(hot, key, "left_semi")
-    return rows.join(hot, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(few), key))
+def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """node, label, with each label that is a node of further (node, label) replaced by the one it has there."""
+    n, share = labels.count(), partitions(labels.sparkSession)
+    hubs = [r["label"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > max(1, n // share)).select("label").collect()]
+    table = further.select(F.col("node").alias("label"), F.col("label").alias("_further"))
+    return valued(labels, "label", "node", table, "_further", hubs).select("node", F.coalesce("_further", "label").alias("label"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """a, b (long) -> node, label: the least node that node reaches. Nodes without edges are absent."""
-    both = checkpoint(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    centres = checkpoint(hubs(both, "b", both.count()))
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    n = labels.count()
+    tasks = partitions(edges.sparkSession)
+    pairs = edges.where("a <> b").select("a", "b")
+    both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
+    start = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("degree")))
+    nodes, ends = start.agg(F.count("*"), F.sum("degree")).first()
+    centres = [r["a"] for r in start.where(F.col("degree") > max(1, (ends or 0) // tasks)).select("a").collect()]
+    labels = start.select(F.col("a").alias("node"), "label")
     while True:
-        around = met(both, labels.select(F.col("node").alias("b"), "label"), "b", centres).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        around = valued(both, "b", "a", labels.select(F.col("node").alias("b"), "label"), "label", centres)
+        around = around.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         nearer = checkpoint(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        each = nearer.groupBy("label").agg(F.count("*").alias("n"), F.max(F.col("label") != F.col("old")).alias("moved"))
+        moved, hubs = each.agg(F.max("moved"), F.collect_list(F.when(F.col("n") > max(1, nodes // tasks), F.col("label")))).first()
+        if not moved:
+            return nearer.select("node", "label")
         jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = checkpoint(met(nearer, jump, "label", hubs(nearer, "label", n)).select("node", "old", F.col("further").alias("label")))
-        labels = now.select("node", "label")
-        if now.where("label <> old").isEmpty():
-            return labels
+        labels = checkpoint(valued(nearer.select("node", "label"), "label", "node", jump, "further", hubs).select("node", F.col("further").alias("label")))

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, partitions, stored, tidy
-from .components import components
+from .components import components, relabelled
 
 GRAM = 5
 SHARED = 10
@@ -50,6 +50,8 @@ HOT = 16
 HOT_TABLE = 1_000_000
 FLUSH = 1_000_000
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
+#: Groups of fewer than SPREAD full blocks are cut into about so many smaller ones, though not below SMALL_ROWS, so that several tasks share them.
+SPREAD, SMALL_ROWS = 8, 256
 BROADCAST_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -510,16 +512,23 @@ def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataF
     sizes = rows.groupBy("s", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("s").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
     rows = rows.join(bounded(main), "s").withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("rare", F.col("comp") != F.col("main"))
-    per = F.greatest(F.lit(8), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("band") + 1))))
+
+    def size(n: Column) -> Column:
+        """Rows of a block, in a group of n."""
+        room = F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("band") + 1)))
+        return F.greatest(F.lit(8), F.least(room, F.greatest(F.lit(SMALL_ROWS), F.ceil(n / SPREAD))))
+
     homes = checkpoint(rows.groupBy("s", "band", "home").agg(F.count("*").alias("in_home"), F.sum(F.col("rare").cast("long")).alias("rare_in_home")))
-    blocks = homes.groupBy("s", "band").agg(F.ceil(F.sum("in_home") / F.first(per)).alias("all"), F.ceil(F.sum("rare_in_home") / F.first(per)).alias("few"))
+    blocks = homes.groupBy("s", "band").agg(F.sum("in_home").alias("all_n"), F.sum("rare_in_home").alias("rare_n"))
+    blocks = blocks.select("s", "band", "all_n", "rare_n", size(F.col("all_n")).alias("per"), size(F.col("rare_n")).alias("rare_per"))
     placed = rows.join(bounded(homes), ["s", "band", "home"]).join(bounded(blocks), ["s", "band"])
 
-    def block(of: str, own: str) -> Column:
+    def block(n: str, own: str, per: str) -> Column:
         """A home begins at a block of its own hash, and takes up as many as it needs."""
-        return F.pmod(F.xxhash64("home") + F.pmod(F.xxhash64("doc"), F.ceil(F.col(own) / per)), F.col(of)).cast("int")
+        return F.pmod(F.xxhash64("home") + F.pmod(F.xxhash64("doc"), F.ceil(F.col(own) / F.col(per))), F.ceil(F.col(n) / F.col(per))).cast("int")
 
-    placed = checkpoint(placed.select("s", "doc", "comp", "band", "rare", block("all", "in_home").alias("ai"), F.when(F.col("rare"), block("few", "rare_in_home")).alias("ri")))
+    rare_block = F.when(F.col("rare"), block("rare_n", "rare_in_home", "rare_per"))
+    placed = checkpoint(placed.select("s", "doc", "comp", "band", "rare", block("all_n", "in_home", "per").alias("ai"), rare_block.alias("ri")))
     # Blocks that have a column in common, of compatible sizes.
     columns = open_rows.select("g", "doc").join(placed, "doc")
     rare_blocks = columns.where("rare").select("g", "s", F.col("band").alias("rb"), "ri").distinct()
@@ -605,12 +614,14 @@ def labelled(docs: DataFrame) -> DataFrame:
     columns = checkpoint(current(hot, "doc", "comp"))
     mixed = columns.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
     open_rows = checkpoint(columns.join(bounded(mixed), "g").select("g", "doc", "n", "comp"))
-    more = [overlaps(left, own)]
+    rest = current(current(overlaps(left, own), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     if not open_rows.isEmpty():
-        more.append(block_links(open_rows, own, bounded))
-    rest = more[0] if len(more) == 1 else more[0].unionByName(more[1])
-    final = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest))
-    done = member.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        rest = rest.unionByName(block_links(open_rows, own, bounded))
+    rest = checkpoint(rest.distinct())
+    if not rest.isEmpty():  # links between components join whole components
+        further = components(rest)
+        label = relabelled(label, further).unionByName(further.join(label.select("node"), "node", "left_anti"))
+    done = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return done.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), F.col("rep").alias("class_id"))
 
 
