@@ -38,7 +38,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, partitions, stored, tidy
@@ -518,17 +518,17 @@ def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataF
         room = F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(2.0), F.col("band") + 1)))
         return F.greatest(F.lit(8), F.least(room, F.greatest(F.lit(SMALL_ROWS), F.ceil(n / SPREAD))))
 
-    homes = checkpoint(rows.groupBy("s", "band", "home").agg(F.count("*").alias("in_home"), F.sum(F.col("rare").cast("long")).alias("rare_in_home")))
-    blocks = homes.groupBy("s", "band").agg(F.sum("in_home").alias("all_n"), F.sum("rare_in_home").alias("rare_n"))
-    blocks = blocks.select("s", "band", "all_n", "rare_n", size(F.col("all_n")).alias("per"), size(F.col("rare_n")).alias("rare_per"))
-    placed = rows.join(bounded(homes), ["s", "band", "home"]).join(bounded(blocks), ["s", "band"])
+    homes = rows.groupBy("s", "band", "home").agg(F.count("*").alias("in_home"), F.sum(F.col("rare").cast("long")).alias("rare_in_home"))
+    whole = Window.partitionBy("s", "band")
+    upto = whole.orderBy("home").rowsBetween(Window.unboundedPreceding, 0)
+    homes = homes.select("*", *[(F.sum(c).over(upto) - F.col(c)).alias(f"{c}_from") for c in ("in_home", "rare_in_home")], *[size(F.sum(c).over(whole)).alias(f"{c}_per") for c in ("in_home", "rare_in_home")])
 
-    def block(n: str, own: str, per: str) -> Column:
-        """A home begins at a block of its own hash, and takes up as many as it needs."""
-        return F.pmod(F.xxhash64("home") + F.pmod(F.xxhash64("doc"), F.ceil(F.col(own) / F.col(per))), F.ceil(F.col(n) / F.col(per))).cast("int")
+    def block(own: str) -> Column:
+        """The homes of a group one after the other, the documents of each in the order of a hash, cut into blocks."""
+        return F.floor((F.col(f"{own}_from") + F.pmod(F.xxhash64("doc"), F.col(own))) / F.col(f"{own}_per")).cast("int")
 
-    rare_block = F.when(F.col("rare"), block("rare_n", "rare_in_home", "rare_per"))
-    placed = checkpoint(placed.select("s", "doc", "comp", "band", "rare", block("all_n", "in_home", "per").alias("ai"), rare_block.alias("ri")))
+    placed = rows.join(bounded(homes), ["s", "band", "home"])
+    placed = checkpoint(placed.select("s", "doc", "comp", "band", "rare", block("in_home").alias("ai"), F.when(F.col("rare"), block("rare_in_home")).alias("ri")))
     # Blocks that have a column in common, of compatible sizes.
     columns = open_rows.select("g", "doc").join(placed, "doc")
     rare_blocks = columns.where("rare").select("g", "s", F.col("band").alias("rb"), "ri").distinct()
