@@ -48,7 +48,7 @@ GRAM = 5
 SHARED = 10
 HOT = 16
 HOT_TABLE = 1_000_000
-FLUSH = 1_000_000
+FLUSH = 1 << 19
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
 #: Groups of fewer than SPREAD full blocks are cut into about so many smaller ones, though not below SMALL_ROWS, so that several tasks share them.
 SPREAD, SMALL_ROWS = 8, 256
