@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+
 
 def height(language: Column, loc: Column, rows: Column, is_binary: Column) -> Column:
     root = lambda c: F.sqrt(F.greatest(F.lit(0), c).cast("double"))
@@ -30,29 +32,69 @@ def bitmask(*flags: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags)])
 
 
-def cume_rank(df: DataFrame, value: str, out: str, by: tuple = ()) -> DataFrame:
+BINS = 64
+
+
+def with_upto(counts: DataFrame, value: str) -> DataFrame:
+    """value, count (each value once) -> also upto, the sum of the counts of all values up to this one, and total.
+
+    Values are dealt into ``BINS`` ranges of about as many values each; sums run inside a range, and over the ranges,
+    so that no task sees all values however many there are. The counts are read three times, so they are cut first.
+    """
+    counts = cut(counts)
+    number = F.col(value).cast("double")
+    bounds = counts.agg(F.percentile_approx(number, [i / BINS for i in range(1, BINS)], 1000).alias("_bounds"))
+    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("_bin", F.size(F.filter("_bounds", lambda b: b < number))).drop("_bounds")
+    bins = Window.partitionBy(F.lit(0))
+    sums = placed.groupBy("_bin").agg(F.sum("count").alias("_s")).select("_bin", (F.sum("_s").over(bins.orderBy("_bin")) - F.col("_s")).alias("_lower"), F.sum("_s").over(bins).alias("total"))
+    inside = F.sum("count").over(Window.partitionBy("_bin").orderBy(value))
+    return placed.join(F.broadcast(sums), "_bin").withColumn("upto", F.col("_lower") + inside).drop("_bin", "_lower")
+
+
+def cume_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percentile rank 0..1 of positive values, ties sharing the higher one; 0 for the others.
 
-    Values are counted first, so the window sees distinct values, not rows.
+    Values are counted first, so that distinct values are ranked, not rows.
     """
-    counts = df.where(F.col(value) > 0).groupBy(*by, value).count()
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranks = counts.select(*by, value, (F.sum("count").over(w.orderBy(value)) / F.sum("count").over(w)).alias(out))
-    return df.join(ranks, [*by, value], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    counts = with_upto(df.where(F.col(value) > 0).groupBy(value).count(), value)
+    return df.join(counts.select(value, (F.col("upto") / F.col("total")).alias(out)), value, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-def row_rank(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
-    """Percentile rank 0..1 of positive values, ties in the order of tie; 0 for the others.
+def row_rank(df: DataFrame, value: str, tie: str, out: str, of: DataFrame | None = None) -> DataFrame:
+    """Percentile rank 0..1 of positive values, ties in the order of tie; 0 for the others. of: where df's values come from, if df is a long way from them.
 
     Rows are numbered inside their value, and the numbers shifted by what precedes the value.
     """
-    counts = df.where(F.col(value) > 0).groupBy(value).count()
-    w = Window.partitionBy(F.lit(0))
-    before = counts.select(value, (F.sum("count").over(w.orderBy(value)) - F.col("count")).alias("_before"), F.sum("count").over(w).alias("_total"))
+    counts = with_upto((of or df).where(F.col(value) > 0).groupBy(value).count(), value)
+    before = counts.select(value, (F.col("upto") - F.col("count")).alias("_before"), F.col("total").alias("_total"))
     inside = df.withColumn("_nth", F.row_number().over(Window.partitionBy(value).orderBy(tie)))
     return inside.join(before, value, "left").withColumn(out, F.coalesce((F.col("_before") + F.col("_nth")) / F.col("_total"), F.lit(0.0))).drop("_nth", "_before", "_total")
 
 
+def placed_from_top(df: DataFrame, value: str, ties: list[Column], out: str) -> DataFrame:
+    """df with the place of each row from the largest value down, ties in their order: rows are numbered inside their value."""
+    counts = with_upto(df.groupBy(value).count(), value)
+    above = counts.select(value, (F.col("total") - F.col("upto")).alias("_above"))
+    nth = F.row_number().over(Window.partitionBy(value).orderBy(*ties))
+    return df.withColumn("_nth", nth).join(above, value).withColumn(out, F.col("_above") + F.col("_nth")).drop("_nth", "_above")
+
+
+def doc_ratio(doc_lines: Column, loc: Column) -> Column:
+    return F.least(F.lit(1.0), doc_lines / F.greatest(F.lit(1), loc))
+
+
+def baseline_height(language: Column, loc: Column, loc_delta: Column, rows: Column, is_binary: Column, delta: Column, kind: Column) -> Column:
+    """How high a file stood before it grew or shrank, from its lines then; null for others, binaries and monuments. Parks are a quarter as high."""
+    then = F.greatest(F.lit(0), loc - loc_delta)
+    tall = height(language, then, F.when(rows.isNotNull(), then), F.lit(False))
+    return F.when(delta.isin("grown", "shrunk") & ~is_binary & (kind != "monument"), F.round(F.when(kind == "park", F.greatest(F.lit(2.0), tall * 0.25)).otherwise(tall), 2))
+
+
+def main_sequence_band(zone: Column, distance: Column) -> Column:
+    """What a folder's distance from the main sequence says."""
+    return F.when(zone == "pain", "pain").when(zone == "uselessness", "uselessness").when(distance > 0.5, "far").when(distance >= 0, "near").otherwise("too few types")
+
+
 def top_ranked(df: DataFrame, order: list[Column], limit: int, out: str = "rank") -> DataFrame:
     """The first limit rows in order, numbered from 1: a distributed top-k, then a small window."""
     return df.orderBy(*order).limit(limit).withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

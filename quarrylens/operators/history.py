@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import paths
+from ..functions.measures import with_upto
 
 DAY = 86400.0
 
@@ -102,14 +103,18 @@ def bulk_limit(files: int, th: Thresholds = DEFAULT) -> int:
     return max(th.bulk_min, min(int(files * th.bulk_fraction), th.bulk_cap))
 
 
+def small_commits(changes: DataFrame, limit: int) -> DataFrame:
+    """The changes of commits of two to limit files."""
+    return changes.join(commit_sizes(changes).where(F.col("entries").between(2, limit)).select("commit_id"), "commit_id", "left_semi")
+
+
 def coupling(changes: DataFrame, limit: int) -> DataFrame:
     """a, b, n: how many commits of at most limit files changed both.
 
-    Large commits go before pairs are made, so a commit gives limit * (limit - 1) / 2 pairs at most,
-    from one bounded array and without joining the table with itself.
+    Large commits go by their counts before any files are gathered, so a commit is one array of limit files at most and gives
+    limit * (limit - 1) / 2 pairs, without joining the table with itself.
     """
-    lists = changes.groupBy("commit_id").agg(F.count("*").alias("entries"), F.collect_set("fid").alias("fids")).where((F.col("entries") <= limit) & (F.col("entries") > 1))
-    lists = lists.select(F.array_sort("fids").alias("fids"))
+    lists = small_commits(changes, limit).groupBy("commit_id").agg(F.array_sort(F.collect_set("fid")).alias("fids")).select("fids")
     pairs = F.flatten(F.transform("fids", lambda x, i: F.transform(F.slice("fids", i + 2, F.size("fids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return lists.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
 
@@ -139,8 +144,7 @@ def eras(history: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """fid, age_days, is_new, era: thirds of the files by age, ties by fid."""
     ends = history.agg(F.max("last_t").alias("head"), F.min("first_t").alias("tail"), F.count("*").alias("n"))
     aged = history.crossJoin(F.broadcast(ends)).withColumn("age_days", F.greatest(F.lit(0.0), (F.col("head") - F.col("first_t")) / DAY))
-    counts = aged.groupBy("age_days").count()
-    before = counts.select("age_days", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("age_days")) - F.col("count")).alias("before"))
+    before = with_upto(aged.groupBy("age_days").count(), "age_days").select("age_days", (F.col("upto") - F.col("count")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("age_days").orderBy("fid")) - 1
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     placed = aged.withColumn("nth", nth).join(before, "age_days").withColumn("place", F.col("before") + F.col("nth"))

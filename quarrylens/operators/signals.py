@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..functions.measures import cume_rank, row_rank
+from ..sources.storage import cut
+from ..functions.measures import cume_rank, placed_from_top, row_rank, with_upto
 
 
 def share_of(df: DataFrame, fraction: float, least: int = 1) -> DataFrame:
@@ -18,13 +19,10 @@ def share_of(df: DataFrame, fraction: float, least: int = 1) -> DataFrame:
 def hotspots(files: DataFrame, history: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """fid, commits, loc, hotspot, hotspot_rank, is_hotspot: the product of both percentile ranks, and its top slice."""
     code = files.join(history.select("fid", "commits"), "fid", "left").withColumn("commits", F.coalesce("commits", F.lit(0)))
+    code = cut(code.select("fid", "rel", "loc", "commits"))
     ranked = cume_rank(cume_rank(code, "commits", "commit_pct"), "loc", "size_pct")
-    scored = share_of(ranked.withColumn("hotspot", F.col("commit_pct") * F.col("size_pct")), th.hotspot_fraction).where("hotspot > 0")
-    # Rows are numbered inside their score, then moved by the scores above.
-    counts = scored.groupBy("hotspot").count()
-    above = counts.select("hotspot", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("hotspot"))) - F.col("count")).alias("above"))
-    nth = F.row_number().over(Window.partitionBy("hotspot").orderBy(F.desc("commits"), "rel"))
-    placed = scored.withColumn("nth", nth).join(above, "hotspot").withColumn("hotspot_rank", F.col("above") + F.col("nth"))
+    scored = cut(share_of(ranked.withColumn("hotspot", F.col("commit_pct") * F.col("size_pct")), th.hotspot_fraction).where("hotspot > 0"))
+    placed = placed_from_top(scored, "hotspot", [F.desc("commits"), F.col("rel")], "hotspot_rank")
     return placed.select("fid", "commits", "loc", "size_pct", "hotspot", "hotspot_rank", (F.col("hotspot_rank") <= F.col("cut")).alias("is_hotspot"))
 
 
@@ -48,8 +46,8 @@ def bugprone(files: DataFrame, history: DataFrame, th: Thresholds = DEFAULT) ->
     """The top slice by fixes of the files with a real share of them."""
     code = share_of(files.join(fix_ratios(history), "fid", "left"), th.bugprone_fraction)
     some = code.where((F.col("fixes") >= th.bugprone_fixes) & (F.col("fix_ratio") >= th.bugprone_ratio))
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("fixes"), F.desc("fix_ratio"), "rel"))
-    return some.withColumn("n", n).where("n <= cut").select("fid", "fixes", "fix_ratio", F.col("n").alias("rank"))
+    placed = placed_from_top(cut(some.select("fid", "rel", "fixes", "fix_ratio", "cut")), "fixes", [F.desc("fix_ratio"), F.col("rel")], "rank")
+    return placed.where("rank <= cut").select("fid", "fixes", "fix_ratio", "rank")
 
 
 def degrees(imports: DataFrame) -> DataFrame:
@@ -77,12 +75,12 @@ def centrality(files: DataFrame, couplings: DataFrame, imports: DataFrame, heat:
     """Weighted mean of four percentile ranks; a part without any positive value is left out and the rest take its weight."""
     ends = couplings.select(F.explode(F.array("a", "b")).alias("fid")).groupBy("fid").agg(F.count("*").alias("coupled"))
     base = files.select("fid", "rel").join(ends, "fid", "left").join(degrees(imports).select("fid", "in_degree"), "fid", "left").join(heat, "fid", "left").join(authors.select("fid", "authors"), "fid", "left")
-    base = base.na.fill(0)
+    base = ranked = cut(base.na.fill(0))
     weights = {"coupled": th.weight_coupling, "in_degree": th.weight_imports, "recent_churn": th.weight_heat, "authors": th.weight_authors}
     for c in weights:
-        base = row_rank(base, c, "rel", f"{c}_pct")
+        ranked = row_rank(ranked, c, "rel", f"{c}_pct", of=base)
     said = base.agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"{c}_on") for c in weights])
-    base = base.crossJoin(F.broadcast(said))
+    base = ranked.crossJoin(F.broadcast(said))
     total = sum((F.col(f"{c}_on") * w for c, w in weights.items()), F.lit(0.0))
     score = sum((F.col(f"{c}_on") * F.col(f"{c}_pct") * w for c, w in weights.items()), F.lit(0.0))
     return base.select("fid", "rel", F.round(score / total, 6).alias("centrality"))
@@ -90,16 +88,13 @@ def centrality(files: DataFrame, couplings: DataFrame, imports: DataFrame, heat:
 
 def downtown(scores: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """The most central slice, at least three files."""
-    cut = share_of(scores, th.downtown_fraction, th.downtown_files)
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("centrality"), "rel"))
-    return cut.where("centrality > 0").withColumn("n", n).where("n <= cut").select("fid", "rel", "centrality", F.col("n").alias("rank"))
+    shares = cut(share_of(scores, th.downtown_fraction, th.downtown_files))
+    return placed_from_top(shares.where("centrality > 0"), "centrality", [F.col("rel")], "rank").where("rank <= cut").select("fid", "rel", "centrality", "rank")
 
 
 def code_archetypes(heights: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """fid, height, loc, floors -> archetype of ordinary code by rank of height; below eight files by metres and floors."""
-    counts = heights.groupBy("height").count()
-    w = Window.partitionBy(F.lit(0))
-    cum = counts.select("height", F.sum("count").over(w.orderBy("height")).alias("upto"), F.sum("count").over(w).alias("n"))
+    cum = with_upto(heights.groupBy("height").count(), "height").withColumnRenamed("total", "n")
     at = lambda share: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("n") * share)), F.col("height")))
     cuts = cum.agg(at(th.tower_cut).alias("tower"), at(th.slab_cut).alias("slab"), F.max("n").alias("n"))
     ranked = F.when(F.col("height") >= F.col("tower"), "tower").when(F.col("height") >= F.col("slab"), "slab").otherwise("warehouse")
