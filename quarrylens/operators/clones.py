@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from ..sources.storage import cut
 
 #: Words of many languages that are no identifiers.
 KEYWORDS = """
@@ -34,18 +35,20 @@ def normalised(line: Column) -> Column:
     return F.when(comment, "").otherwise(F.regexp_replace(F.array_join(words, ""), r"\s+", ""))
 
 
-def fingerprints(texts: DataFrame, hashed: Callable[[Column], Column] = F.crc32, th: Thresholds = DEFAULT) -> DataFrame:
-    """fid, text -> fid, fp: the least hash of every window of line groups, distinct."""
+def fingerprints(texts: DataFrame, hashed: Callable[[Column], Column] = F.crc32, th: Thresholds = DEFAULT, longest: int | None = None) -> DataFrame:
+    """fid, text -> fid, fp: the least hash of every window of line groups, distinct. longest: texts of more characters give none, as in the model."""
     k, w = th.clone_lines, th.clone_window
     lines = F.filter(F.transform(F.split("text", r"\r\n|[\n\r]"), normalised), lambda x: F.length(x) >= th.clone_line_chars)
-    kept = texts.where(F.length("text") <= th.clone_source_chars).select("fid", lines.alias("lines")).where(F.size("lines") >= k)
-    grams = kept.select("fid", F.transform(F.sequence(F.lit(1), F.size("lines") - k + 1), lambda i: hashed(F.array_join(F.slice("lines", i, F.lit(k)), "\n"))).alias("grams"))
+    kept = (texts if longest is None else texts.where(F.length("text") <= longest)).select("fid", lines.alias("lines"))
+    # No filter on lines: it would be pushed into their making, and they be made twice.
+    grams = kept.select("fid", F.when(F.size("lines") >= k, F.transform(F.sequence(F.lit(1), F.size("lines") - k + 1), lambda i: hashed(F.array_join(F.slice("lines", i, F.lit(k)), "\n")))).alias("grams"))
     least = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("grams") - w + 1)), lambda i: F.array_min(F.slice("grams", i, F.lit(w))))
-    return grams.select("fid", F.explode(F.array_distinct(least)).alias("fp"))
+    return grams.select("fid", F.explode(F.when(F.col("grams").isNotNull(), F.array_distinct(least))).alias("fp"))
 
 
 def clone_pairs(prints: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """a, b, shared, ratio. Fingerprints of many files are idioms and give no pairs, so a list is short before pairs are made."""
+    prints = cut(prints)  # thin rows, read four times
     sizes = prints.groupBy("fid").agg(F.count("*").alias("n"))
     few = prints.groupBy("fp").agg(F.count("*").alias("c")).where(F.col("c").between(2, th.clone_idiom_files)).select("fp")
     lists = prints.join(few, "fp").groupBy("fp").agg(F.array_sort(F.collect_set("fid")).alias("fids"))

@@ -1,8 +1,9 @@
 """The import graph: reach, cycles, depth. edges: src, dst (src imports dst).
 
 All of it is iterated joins with reliable checkpoints; nothing is collected. Reach doubles path
-lengths, so it takes the logarithm of the longest path; cycles are looked for only in what is
-left after files that no cycle can hold are peeled off.
+lengths, so it takes the logarithm of the longest path. Cycles are looked for only in what is
+left after files that no cycle can hold are peeled off: by reach where that is small, else by colours, whose
+tables never have more rows than there are edges.
 """
 
 from __future__ import annotations
@@ -41,11 +42,59 @@ def core(edges: DataFrame) -> DataFrame:
     return left
 
 
+CLOSURE_EDGES = 50_000
+
+
+def grown(step, table: DataFrame) -> DataFrame:
+    """step(table) again and again until it has no more rows that differ; step marks those in a column moved."""
+    while True:
+        now = cut(step(table))
+        table = now.drop("moved")
+        if now.where("moved").isEmpty():
+            return table
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """node, cycle of strongly connected components of two nodes or more, by colours.
+
+    Every node takes the least node that reaches it for its colour. A node of its own colour is the least of its component, which is
+    what reaches it within the colour. Those go, and the rest is coloured anew.
+    """
+    left, done = core(edges), None
+    while not left.isEmpty():
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+        def spread(colour: DataFrame, left=left) -> DataFrame:
+            near = left.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+            return colour.join(near, "node", "left").select("node", F.least("colour", "near").alias("colour"), F.coalesce(F.col("near") < F.col("colour"), F.lit(False)).alias("moved"))
+
+        colour = grown(spread, cut(nodes.withColumn("colour", F.col("node"))))
+        within = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c")), ["dst", "c"])
+        within = cut(within.select("src", "dst"))
+
+        def back(members: DataFrame, within=within) -> DataFrame:
+            before = within.join(members.select(F.col("node").alias("dst"), "cycle"), "dst").select(F.col("src").alias("node"), "cycle").distinct()
+            new = before.join(members.select("node"), "node", "left_anti")
+            return members.select("node", "cycle", F.lit(False).alias("moved")).unionByName(new.withColumn("moved", F.lit(True)))
+
+        members = grown(back, cut(colour.where("node = colour").select("node", F.col("colour").alias("cycle"))))
+        done = members if done is None else done.unionByName(members)
+        rest = left.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = core(rest.select("src", "dst"))
+    if done is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+    return done.join(done.groupBy("cycle").count().where("count > 1").select("cycle"), "cycle", "left_semi").select("node", "cycle")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """node, cycle (its least node), size of every strongly connected component of two nodes or more."""
-    reach = closure(core(edges))
-    both = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    members = both.where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("cycle"))
+    left = core(edges)
+    if left.count() <= CLOSURE_EDGES:
+        reach = closure(left)
+        both = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+        members = both.where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("cycle"))
+    else:
+        members = coloured(left)
     return members.withColumn("size", F.count("*").over(Window.partitionBy("cycle")))
 
 
@@ -67,8 +116,12 @@ def import_depth(edges: DataFrame) -> DataFrame:
     dag = cut(dag)
     depth = cut(nodes.select("c").distinct().withColumn("depth", F.lit(0)))
     while True:
-        below = dag.join(depth.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg((F.max("depth") + 1).alias("below"))
-        now = cut(depth.join(below, "c", "left").select("c", F.col("depth").alias("was"), F.greatest("depth", F.coalesce("below", F.lit(0))).alias("depth")))
+        # Four levels a round: the longer plan costs less than four rounds.
+        now = depth.withColumn("was", F.col("depth"))
+        for _ in range(4):
+            below = dag.join(now.select(F.col("c").alias("b"), "depth"), "b").groupBy(F.col("a").alias("c")).agg((F.max("depth") + 1).alias("below"))
+            now = now.join(below, "c", "left").select("c", "was", F.greatest("depth", F.coalesce("below", F.lit(0))).alias("depth"))
+        now = cut(now)
         depth = now.select("c", "depth")
         if now.where("depth > was").isEmpty():
             return nodes.join(depth, "c").select(F.col("node").alias("fid"), "depth")
