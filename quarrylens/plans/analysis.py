@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,18 +44,22 @@ class Analysis:
 
 
 def analyse(spark: SparkSession, root: str, rev: str = "HEAD", th: Thresholds = DEFAULT, depth: int = 1) -> Analysis:
-    rels, _ = repo.listing(root)
-    raw = repo.contents(spark, root, rels)
+    """The work tree and its history; with a rev other than HEAD that revision's tree, and the history up to it."""
+    if rev == "HEAD":
+        rels, _ = repo.listing(root)
+        raw = repo.contents(spark, root, rels)
+    else:
+        rev, tree = repo.tree_at(root, rev)
+        rels = [rel for rel, _ in tree]
+        raw = repo.contents_at(spark, root, tree)
     records = storage.cut(repo.parsed(raw))
     base = raw.select("rel", "name", "ext", "size", "is_binary").join(records.drop("floors", "imports", "packages"), "rel", "left")
     files = base.withColumn("fid", F.xxhash64("rel")).withColumns({"district": paths.district(F.col("rel"), depth), "loc": F.coalesce("logical_loc", F.lit(0)), "is_test": paths.is_test(F.col("rel")), "is_doc": paths.is_doc(F.col("rel"))})
     files = storage.cut(files.withColumn("is_code", ~F.col("is_binary") & F.col("rows").isNull() & ~F.col("is_doc") & ~paths.is_vendored(F.col("rel"))))
 
-    log_path = os.path.join(storage.fresh_folder(spark).removeprefix("file:"), f"log-{uuid.uuid4().hex}")
-    os.makedirs(os.path.dirname(log_path), exist_ok=True)
-    with open(log_path, "w", encoding="utf-8", errors="surrogateescape") as f:
-        f.write(repo.log_text(root, rev))
-    commits, raw_changes = repo.history(spark, f"file://{log_path}")
+    log_path = storage.fresh_folder(spark)
+    repo.write_log(spark, root, log_path, rev)
+    commits, raw_changes = repo.history(spark, log_path)
     commits = storage.cut(commits.select("commit_id", "author", "email", "ts", "subject"))
     every = storage.cut(raw_changes.groupBy("commit_id", F.xxhash64("rel").alias("fid")).agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted")))
     rows = storage.cut(history.log(every, commits))
@@ -81,7 +84,7 @@ def analyse(spark: SparkSession, root: str, rev: str = "HEAD", th: Thresholds =
     impact = graph.impact(imports.select("src", "dst"), files)
     own = history.ownership(history.file_authors(known)).select("fid", "primary_author", "share", "bus_factor")
     texts = raw.join(records.where(F.col("language").isin(*sorted(_code_languages()))).select("rel"), "rel", "left_semi").where(~paths.is_test(F.col("rel")) & ~paths.is_vendored(F.col("rel"))).select(F.xxhash64("rel").alias("fid"), F.decode("content", "UTF-8").alias("text"))
-    twins = storage.cut(clones.clone_pairs(clones.fingerprints(texts, th=th), th))
+    twins = storage.cut(clones.clone_pairs(clones.fingerprints(texts, th=th, longest=th.clone_source_chars), th))
     cloned = twins.select(F.explode(F.array("a", "b")).alias("fid")).distinct().withColumn("is_clone", F.lit(True))
     links = tests_map.links(files, found.select("src", "dst")).select(F.xxhash64("source").alias("fid")).distinct().withColumn("tested", F.lit(True))
     rules, _, error = repo.load_rules(root)

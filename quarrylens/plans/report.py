@@ -18,12 +18,15 @@ from .analysis import Analysis, analyse
 GATES = {"cycle": "cycles", "cycles": "cycles", "violation": "violations", "violations": "violations", "hotspot": "hotspots", "hotspots": "hotspots", "oversized": "oversized", "orphan": "orphans", "orphans": "orphans", "untested": "untested", "debt": "debt", "defect": "defects", "defects": "defects", "hub": "hubs", "hubs": "hubs", "clone": "clones", "clones": "clones"}
 
 
-def human(n: float) -> str:
-    """1234 -> 1,234; 2500000 -> 2.5M."""
-    for limit, unit in ((1e9, "G"), (1e6, "M")):
-        if abs(n) >= limit:
-            return f"{n / limit:.1f}{unit}"
-    return f"{n:,.0f}"
+def human(n: int) -> str:
+    """1234567 -> 1,234,567."""
+    return f"{n:,}"
+
+
+def human_bytes(n: int) -> str:
+    """1536 -> 1.5 KB; whole bytes below 1024, gigabytes at most."""
+    power = min(3, max(0, (max(1, int(n)).bit_length() - 1) // 10))
+    return f"{n / 1024**power:,.1f} {('KB', 'MB', 'GB')[power - 1]}" if power else f"{int(n):,} B"
 
 
 def lists(index: DataFrame, limit: int = DEFAULT.list_limit) -> dict[str, list[tuple]]:

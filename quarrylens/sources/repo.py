@@ -1,11 +1,12 @@
 """Facts from a repository on disk: files, symbols, raw imports, commits and changes.
 
 The listing and the log come from git (from the disk where there is no repository); they are thin. Contents are
-read by the executors through the binaryFile source and parsed Arrow-batched.
+read by the tasks, from the shared folder or, for a revision, from git's objects, and parsed Arrow-batched.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import subprocess
@@ -51,33 +52,76 @@ def listing(root: str, include_noise: bool = False, limit: int | None = None) ->
     return (kept[:limit], len(kept) > limit) if limit else (kept, False)
 
 
-def contents(spark: SparkSession, root: str, rels: list[str]) -> DataFrame:
-    """rel, name, ext, size, is_binary, content (null where binary)."""
-    base = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{base}")
-    raw = raw.select(F.expr("url_decode(replace(path, '+', '%2B'))").alias("path"), F.col("length").alias("size"), "content")
-    rel = F.substring(F.regexp_replace("path", "^file:/*", "/"), len(base) + 2, 1 << 20)
-    wanted = spark.createDataFrame([(r,) for r in rels], "rel string")
-    files = raw.select(rel.alias("rel"), "size", "content").join(F.broadcast(wanted) if len(rels) < 100_000 else wanted, "rel")
-    # Spark's file sources pass over names that begin with _ or a dot; those are opened by the tasks, from the same shared folder.
-    passed_over = [(r,) for r in rels if any(x[0] in "_." for x in r.split("/"))]
-    if passed_over:
-
-        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                data = []
-                for r in batch.rel:
-                    with open(os.path.join(base, r), "rb") as f:
-                        data.append(f.read())
-                yield pd.DataFrame({"rel": batch.rel, "size": [len(x) for x in data], "content": data})
-
-        files = files.unionByName(spark.createDataFrame(passed_over, "rel string").repartition(8).mapInPandas(read, "rel string, size long, content binary"))
+FILES_AT_ONCE = 64
+
+
+def _read(spark: SparkSession, rows: list[tuple], schema: str, opened) -> DataFrame:
+    """rel, name, ext, size, is_binary, content (null where binary); opened makes a function from a row to its bytes, once a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = opened()
+        for batch in batches:
+            for at in range(0, len(batch), FILES_AT_ONCE):
+                part = batch.iloc[at : at + FILES_AT_ONCE]
+                data = [read(r) for r in part.itertuples(index=False)]
+                yield pd.DataFrame({"rel": part.rel.to_numpy(), "size": [len(x) for x in data], "content": data})
+
+    tasks = max(1, min(len(rows) // 50, 4 * spark.sparkContext.defaultParallelism))
+    files = spark.createDataFrame(rows, schema).repartition(tasks, "rel").mapInPandas(run, "rel string, size long, content binary")
     files = files.withColumn("name", paths.name_of(F.col("rel"))).withColumn("ext", paths.extension(F.col("rel")))
     zero = F.contains(F.substring("content", 1, SNIFF), F.lit(b"\0"))
     binary = F.col("ext").isin(*BINARY) | (~F.col("ext").isin(*TEXT) & zero)
     return files.select("rel", "name", "ext", "size", binary.alias("is_binary"), F.when(~binary, F.col("content")).alias("content"))
 
 
+def contents(spark: SparkSession, root: str, rels: list[str]) -> DataFrame:
+    """The listed files as they are on disk, in a folder that all tasks share. Nothing else below it is opened."""
+    base = os.path.abspath(root)
+
+    def opened():
+        def read(row) -> bytes:
+            with open(os.path.join(base, row.rel), "rb") as f:
+                return f.read()
+
+        return read
+
+    return _read(spark, [(r,) for r in rels], "rel string", opened)
+
+
+def tree_at(root: str, rev: str) -> tuple[str, list[tuple[str, str]]]:
+    """(commit, (rel, blob) of its files): what git holds for a revision; links and submodules are no files."""
+    commit = (_git(root, "rev-parse", "--verify", "--quiet", "--end-of-options", f"{rev}^{{commit}}") or "").strip()
+    if not commit:
+        raise ValueError(f"{rev} is no revision of {root}")
+    found = []
+    for line in (_git(root, "ls-tree", "-r", "-z", commit) or "").split("\0"):
+        if line:
+            (mode, kind, blob), rel = line.split("\t", 1)[0].split(), line.split("\t", 1)[1]
+            if kind == "blob" and mode != "120000":
+                found.append((rel, blob))
+    return commit, sorted(found)
+
+
+def contents_at(spark: SparkSession, root: str, files: list[tuple[str, str]]) -> DataFrame:
+    """The files (rel, blob) of a revision, read from git's objects by the tasks; nothing is checked out."""
+    base = os.path.abspath(root)
+
+    def opened():
+        git = subprocess.Popen(["git", "-C", base, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+        def read(row) -> bytes:
+            git.stdin.write(f"{row.blob}\n".encode())
+            git.stdin.flush()
+            size = int(git.stdout.readline().split()[-1])
+            data = git.stdout.read(size)
+            git.stdout.read(1)
+            return data
+
+        return read
+
+    return _read(spark, files, "rel string, blob string", opened)
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """One parse record per text file."""
 
@@ -100,15 +144,38 @@ def raw_imports(records: DataFrame) -> DataFrame:
     return records.select("rel", "language", F.posexplode("imports").alias("ord", "spec"))
 
 
-def log_text(root: str, rev: str = "HEAD") -> str:
-    """Commits with their changed lines, records apart by U+001E and fields by U+001F, newest first."""
-    return _git(root, "log", "--date-order", "--no-renames", "--numstat", "--pretty=format:%x1e%H%x1f%an%x1f%aI%x1f%ae%x1f%s", rev) or ""
+LOG_FORMAT = "%x1e%H%x1f%an%x1f%aI%x1f%ae%x1f%s"
+LOG_BATCH = 20_000
+
+
+def log_records(root: str, rev: str = "HEAD") -> Iterator[str]:
+    """Commits with their changed lines, fields apart by U+001F, newest first; read from git as it writes them."""
+    git = subprocess.Popen(["git", "-C", root, "log", "--date-order", "--no-renames", "--numstat", f"--pretty=format:{LOG_FORMAT}", rev], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    rest = b""
+    while block := git.stdout.read(1 << 22):
+        *whole, rest = (rest + block).split(b"\x1e")
+        yield from (x.decode("utf-8", "replace") for x in whole if x)
+    git.wait()
+    if rest:
+        yield rest.decode("utf-8", "replace")
+
+
+def write_log(spark: SparkSession, root: str, path: str, rev: str = "HEAD") -> None:
+    """The log as a table at path, in the shared folder, a batch at a time: the driver never holds all of it."""
+    records, ord_ = log_records(root, rev), 0
+    while True:
+        batch = [(ord_ + i, r) for i, r in enumerate(itertools.islice(records, LOG_BATCH))]
+        if batch or not ord_:
+            spark.createDataFrame(batch, "ord long, value string").write.mode("append").parquet(path)
+        ord_ += len(batch)
+        if len(batch) < LOG_BATCH:
+            return
 
 
-def history(spark: SparkSession, text_path: str) -> tuple[DataFrame, DataFrame]:
-    """(commits, changes) of a log written to text_path. Commits without changed files are left out."""
-    raw = spark.read.option("lineSep", "\x1e").text(text_path).where(F.length("value") > 0)
-    parts = raw.select(F.split("value", "\n").alias("l"), F.monotonically_increasing_id().alias("ord"))
+def history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(commits, changes) of a log written to path. Commits without changed files are left out."""
+    raw = spark.read.parquet(path).where(F.length("value") > 0)
+    parts = raw.select(F.split("value", "\n").alias("l"), "ord")
     head = F.split(F.element_at("l", 1), "\x1f")
     commits = parts.where(F.size(head) >= 5).select(F.element_at(head, 1).alias("commit_id"), F.element_at(head, 2).alias("author"), F.coalesce(F.try_to_timestamp(F.element_at(head, 3)), F.try_to_timestamp(F.substring(F.element_at(head, 3), 1, 19))).alias("ts"), F.element_at(head, 4).alias("email"), F.array_join(F.slice(head, 5, 1000), "\x1f").alias("subject"), "ord", "l")
     rows = commits.select("commit_id", F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("r")).where(F.contains("r", F.lit("\t")))

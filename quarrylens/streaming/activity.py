@@ -18,6 +18,6 @@ def totals(events: DataFrame) -> DataFrame:
     return events.groupBy("path", "author").agg(F.count("*").alias("commits"), F.sum("lines").alias("lines"), F.max("ts").alias("last_ts"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Takes all that is there into an in-memory table, then stops; progress is kept in checkpoint, a shared folder."""
-    return stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete"):
+    """Takes all that is there, leaves the result so far as Parquet at out, then stops; progress is kept in checkpoint. Both lie in a shared folder."""
+    return stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
