@@ -157,3 +157,20 @@ def teams(files: DataFrame, rows: DataFrame, buckets: DataFrame, scores: DataFra
     top = each.groupBy("folder").agg(F.round(F.try_divide(F.max("score"), F.sum("score")), 4).alias("top_share"))
     out = commits.join(recent, "folder", "left").join(top, "folder", "left").na.fill(0)
     return out.select("folder", "commits", "cross_share", "recent_authors", "top_share", ((F.col("recent_authors") > th.cooks_authors) & (F.col("top_share") < th.cooks_share)).alias("many_cooks"))
+
+
+def folder_tree(leaves: DataFrame) -> DataFrame:
+    """key, weight of folders with files -> id, leaf, weight, parent: the tree of folders, those with a single child left out.
+
+    A folder's own files are a leaf inside it, whose id is the path; the folder's has a slash in front. The parent is the nearest
+    folder above that has several children; the top has none.
+    """
+    own = leaves.select(F.col("key").alias("path"), F.concat(F.array(F.lit("")), paths.ancestors(F.concat("key", F.lit("/x")))).alias("above"), "weight")
+    folders = own.select(F.explode("above").alias("path"), "weight").groupBy("path").agg(F.sum("weight").alias("weight"))
+    up = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    children = folders.where("path <> ''").select(up.alias("path")).unionByName(own.select("path")).groupBy("path").agg(F.count("*").alias("children"))
+    kept = folders.join(children.where("children > 1"), "path").select("path", "weight")
+    nodes = kept.select(F.concat(F.lit("/"), "path").alias("id"), F.lit(False).alias("leaf"), "weight", "path").unionByName(own.select(F.col("path").alias("id"), F.lit(True).alias("leaf"), "weight", "path"))
+    above = nodes.select("id", "leaf", F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.concat("path", F.lit("/x"))))).alias("up"), "path").where("leaf or up <> path")
+    parent = above.join(kept.select(F.col("path").alias("up")), "up").groupBy("id").agg(F.max_by(F.concat(F.lit("/"), "up"), F.length("up")).alias("parent"))
+    return nodes.join(parent, "id", "left").select("id", "leaf", "weight", F.coalesce("parent", F.lit("")).alias("parent"))

@@ -68,3 +68,17 @@ def placements(files: DataFrame, rects: DataFrame, by: str = "district", margin:
     col, line = F.col("at") % F.col("cols"), F.floor(F.col("at") / F.col("cols"))
     margin_of = lambda side: F.least(F.lit(margin), F.col(side) / 4)
     return ranked.select("fid", by, (F.col("x") + margin_of("w") + (col + 0.5) * F.least(F.col("cell_w"), (F.col("w") - 2 * margin_of("w")) / F.col("cols"))).alias("x"), (F.col("y") + margin_of("d") + (line + 0.5) * F.least(F.col("cell_d"), (F.col("d") - 2 * margin_of("d")) / F.col("lines"))).alias("y"), "cell_w", "cell_d")
+
+
+def resident(districts: DataFrame, x: float, z: float, near: float, budget: int) -> DataFrame:
+    """key, x, z, files of districts -> key, distance of those to show: the nearest first, as far as the budget of files goes.
+
+    One that no longer fits is passed over, but the first is always taken. Districts are a bounded list, so the driver chooses.
+    """
+    distance = F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("z") - z, 2))
+    chosen, total = [], 0
+    for r in districts.select("key", distance.alias("distance"), "files").where(F.col("distance") <= near).orderBy("distance", "key").toLocalIterator():
+        if not chosen or total + r["files"] <= budget:
+            total += r["files"]
+            chosen.append((r["key"], r["distance"]))
+    return districts.sparkSession.createDataFrame(chosen, "key string, distance double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .history import small_commits
 
 
 #: Sides of a plan in metres, and bounds of its aspect.
@@ -68,10 +69,19 @@ def flows(matrix: DataFrame, violating: DataFrame, top: int = 15) -> DataFrame:
     return heavy.union(wrong.select(*heavy.columns)).distinct()
 
 
-def co_change_partners(couplings: DataFrame, fid: int, limit: int = 30) -> DataFrame:
-    """One file's partners, the strongest first."""
-    mine = couplings.where((F.col("a") == fid) | (F.col("b") == fid))
-    return mine.select(F.when(F.col("a") == fid, F.col("b")).otherwise(F.col("a")).alias("partner"), "n").orderBy(F.desc("n"), "partner").limit(limit)
+def co_change_partners(changes: DataFrame, fid: int, bulk: int, limit: int = 30) -> DataFrame:
+    """One file's partners in commits of at most bulk files, the strongest first. Only its own commits are looked at."""
+    mine = changes.where(F.col("fid") == fid).select("commit_id").distinct()
+    near = small_commits(changes.join(mine, "commit_id", "left_semi"), bulk).where(F.col("fid") != fid)
+    return near.groupBy(F.col("fid").alias("partner")).agg(F.countDistinct("commit_id").alias("n")).orderBy(F.desc("n"), "partner").limit(limit)
+
+
+def folder_links(matrix: DataFrame, limit: int = 8) -> DataFrame:
+    """folder, way (depends on, depended on by), other, n, rank: the strongest of each folder's links."""
+    out = matrix.select(F.col("src_folder").alias("folder"), F.lit("depends on").alias("way"), F.col("dst_folder").alias("other"), "n")
+    back = matrix.select(F.col("dst_folder").alias("folder"), F.lit("depended on by").alias("way"), F.col("src_folder").alias("other"), "n")
+    rank = F.row_number().over(Window.partitionBy("folder", "way").orderBy(F.desc("n"), "other"))
+    return out.unionByName(back).withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 #: Points of a found letter: any, one right behind the last (and one more for each of its run), at the start of

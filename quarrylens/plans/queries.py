@@ -14,7 +14,7 @@ from ..config import DEFAULT
 from ..functions import measures, parsers, paths
 from . import dsl
 from ..operators import bands, changes_since, clones, externals, folders, graph, history, layout, owners, rollups, signals, tests_map, text
-from ..sources import repo, sinks, storage, synthetic
+from ..sources import repo, sinks, snapshots, storage, synthetic
 from ..sources.tables import ALL_FACTS_SQL, FACTS_SQL, TableFacts
 from ..streaming import activity
 
@@ -739,12 +739,14 @@ def sk7_w18_line_offsets(t: TableFacts) -> DataFrame:
     return text.line_offsets(t.table("documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("one AS (SELECT 1) SELECT rel, substr(rel, 1, 0) AS body FROM files")
+@query(select("SELECT rel, rel AS body FROM files"))
 def sk16_encrypted_round_trip(t: TableFacts) -> DataFrame:
-    key = sinks.derive_key("a passphrase", b"salt" * 4, 1000)
-    frames = t.files.select(F.col("fid").alias("id"), F.col("rel").alias("body"))
-    back = sinks.decrypted(sinks.encrypted(frames, key), key)
-    return back.join(t.files.select(F.col("fid").alias("id"), "rel"), "id").select("rel", F.replace(F.col("body"), F.col("rel"), F.lit("")).alias("body"))
+    """Bodies encrypted and read back, with a key of all rounds; every frame is longer than its body by nonce and tag."""
+    key = sinks.derive_key("a passphrase", b"salt" * 4)
+    files = t.files.select(F.col("fid").alias("id"), "rel")
+    frames = sinks.encrypted(files.withColumnRenamed("rel", "body"), key)
+    back = sinks.decrypted(frames, key).join(frames.select("id", F.octet_length("frame").alias("size")), "id")
+    return back.join(files, "id").select("rel", F.when(F.col("size") == F.octet_length("rel") + 28, F.col("body")).alias("body"))
 
 
 @query()
@@ -764,15 +766,13 @@ def sc20_synthetic_repository(t: TableFacts) -> DataFrame:
 @query("""w AS (SELECT event_type AS path, time_bucket(INTERVAL '10 days', ts, TIMESTAMP '1970-01-01') AS s, user_id, value FROM events) SELECT path, epoch(s)::BIGINT AS start, count(*) AS commits FROM w GROUP BY 1, 2""")
 def a7_streaming_activity(t: TableFacts) -> DataFrame:
     """The streaming plan itself, run over the stored events until all are taken."""
-    import uuid
-
     spark = t.spark
     schema = t.table("events").schema
     stream = spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parque[t]")
     rows = stream.select(F.col("event_type").alias("path"), F.col("user_id").alias("author"), F.col("ts").cast("timestamp").alias("ts"))
-    name = f"activity_{uuid.uuid4().hex}"
-    activity.run_once(activity.windowed(rows, width="10 days"), name, storage.fresh_folder(spark)).awaitTermination()
-    return spark.table(name).select("path", F.unix_seconds("start").alias("start"), "commits")
+    out = storage.fresh_folder(spark)
+    activity.run_once(activity.windowed(rows, width="10 days"), out, storage.fresh_folder(spark)).awaitTermination()
+    return spark.read.parquet(out).select("path", F.unix_seconds("start").alias("start"), "commits")
 
 
 # -- totals and short lists ------------------------------------------------------------------
@@ -826,7 +826,7 @@ def t7_find_files(t: TableFacts) -> DataFrame:
 
 @query(HIST + "SELECT CASE WHEN a = 5 THEN b ELSE a END AS partner, n FROM cp WHERE a = 5 OR b = 5 ORDER BY n DESC, partner LIMIT 30")
 def t11_co_change_partners(t: TableFacts) -> DataFrame:
-    return rollups.co_change_partners(history.coupling(t.changes, bulk(t)), 5)
+    return rollups.co_change_partners(t.changes, 5, bulk(t))
 
 
 @query("""s AS (SELECT l_orderkey AS key, CASE l_returnflag WHEN 'R' THEN 'function' WHEN 'A' THEN 'class' ELSE 'heading' END AS kind, l_partkey::VARCHAR AS name, l_quantity::BIGINT AS loc, l_linenumber * 100000 + l_partkey AS line FROM lineitem),
@@ -927,6 +927,82 @@ def t4_district_table(t: TableFacts) -> DataFrame:
     return m.where("ca + ce > 0").orderBy(F.desc(F.col("ca") + F.col("ce")), "folder").select("folder", "ca", "ce").limit(20)
 
 
+@query(EDGES + """, l AS (SELECT sf AS folder, 'depends on' AS way, df AS other, n FROM mx UNION ALL SELECT df, 'depended on by', sf, n FROM mx), r AS (SELECT *, row_number() OVER (PARTITION BY folder, way ORDER BY n DESC, other) AS rank FROM l) SELECT * FROM r WHERE rank <= 8""")
+def t12_folder_links(t: TableFacts) -> DataFrame:
+    return rollups.folder_links(folders.matrix(_edges(t)))
+
+
+@query(select("SELECT fid, least(1.0, (loc % 9) / greatest(1, loc)) AS doc_ratio, CASE WHEN fid % 5 < 2 AND fid % 11 <> 0 AND fid % 13 <> 0 THEN round(CASE WHEN fid % 3 = 0 THEN greatest(2.0, 0.25::DOUBLE * (6.0 + 3.2::DOUBLE * sqrt(greatest(0, loc - (fid % 17 - 8))))) ELSE 6.0 + 3.2::DOUBLE * sqrt(greatest(0, loc - (fid % 17 - 8))) END, 2) END AS before FROM files"))
+def pr10_pr29_then(t: TableFacts) -> DataFrame:
+    """Ratios of documentation, and heights before files grew or shrank; deltas and kinds stand in by number."""
+    delta = F.when(F.col("fid") % 5 == 0, "grown").when(F.col("fid") % 5 == 1, "shrunk").otherwise("")
+    kind = F.when(F.col("fid") % 13 == 0, "monument").when(F.col("fid") % 3 == 0, "park").otherwise("tower")
+    then = measures.baseline_height(F.col("language"), F.col("loc"), F.col("fid") % 17 - 8, F.lit(None).cast("long"), F.col("fid") % 11 == 0, delta, kind)
+    return t.files.select("fid", measures.doc_ratio(F.col("loc") % 9, F.col("loc")).alias("doc_ratio"), then.alias("before"))
+
+
+@query(MEASURES + """, k AS (SELECT subfolder AS folder, sum(loc % 5)::BIGINT AS classes, sum(CASE WHEN loc % 7 = 0 THEN loc % 5 ELSE 0 END)::BIGINT AS abstract FROM files GROUP BY 1),
+z AS (SELECT folder, classes, round(abstract / classes, 4) AS abstractness, instability, ca, ce, round(abs(round(abstract / classes, 4) + instability - 1.0), 4) AS distance FROM k JOIN fm USING (folder) WHERE classes > 0),
+b AS (SELECT CASE WHEN distance >= 0.2 AND classes >= 2 AND ca + ce >= 3 THEN CASE WHEN abstractness + instability < 1.0 THEN 'pain' ELSE 'uselessness' END WHEN distance > 0.5 THEN 'far' WHEN distance >= 0 THEN 'near' ELSE 'too few types' END AS band FROM z) SELECT band, count(*) AS n FROM b GROUP BY 1""")
+def pr25_main_sequence_bands(t: TableFacts) -> DataFrame:
+    return a25_main_sequence(t).groupBy(measures.main_sequence_band(F.col("zone"), F.col("distance")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(select("""SELECT '/' AS id, false AS leaf, sum(loc)::BIGINT AS weight, '' AS parent FROM files HAVING count(DISTINCT district) > 1
+UNION ALL SELECT '/' || district, false, sum(loc)::BIGINT, CASE WHEN (SELECT count(DISTINCT district) FROM files) > 1 THEN '/' ELSE '' END FROM files GROUP BY district HAVING count(DISTINCT subfolder) > 1
+UNION ALL SELECT subfolder, true, sum(loc)::BIGINT, CASE WHEN (SELECT count(DISTINCT g.subfolder) FROM files g WHERE g.district = f.district) > 1 THEN '/' || district WHEN (SELECT count(DISTINCT district) FROM files) > 1 THEN '/' ELSE '' END FROM files f GROUP BY district, subfolder"""))
+def g8_folder_tree(t: TableFacts) -> DataFrame:
+    return folders.folder_tree(t.files.groupBy(F.col("subfolder").alias("key")).agg(F.sum("loc").alias("weight")))
+
+
+@query("""p AS (SELECT subfolder AS key, sqrt(pow(sum(loc) % 100 - 50, 2) + pow(sum(fid) % 100 - 50, 2)) AS distance, count(*) AS files FROM files GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY distance, key) AS n FROM p WHERE distance <= 40),
+w AS (SELECT n, key, distance, files AS total, true AS taken FROM o WHERE n = 1 UNION ALL SELECT o.n, o.key, o.distance, CASE WHEN w.total + o.files <= 60 THEN w.total + o.files ELSE w.total END, w.total + o.files <= 60 FROM w JOIN o ON o.n = w.n + 1)
+SELECT key, distance FROM w WHERE taken""")
+def t10_resident_districts(t: TableFacts) -> DataFrame:
+    """Districts placed by their sums; those near the middle that a budget of files has room for."""
+    places = t.files.groupBy(F.col("subfolder").alias("key")).agg((F.sum("loc") % 100).alias("x"), (F.sum("fid") % 100).alias("z"), F.count("*").alias("files"))
+    return layout.resident(places, 50.0, 50.0, 40.0, 60)
+
+
+@query(INDEX + REACH.replace("rc AS", ", rc AS", 1) + """, v AS (SELECT DISTINCT src FROM imports JOIN files s ON s.fid = src JOIN files d ON d.fid = dst WHERE starts_with(s.rel, 'small/') AND starts_with(d.rel, 'large/'))
+SELECT count(*) FILTER (hotspot) AS hotspots, count(*) FILTER (hotspot AND trend > 0) AS rising, count(*) FILTER (flags & 1024 <> 0) AS oversized, count(*) FILTER (fanin >= 3 AND fanout >= 3) AS hubs, count(*) FILTER (fixes >= 2 AND fix_ratio >= 0.25) AS bugprone,
+(SELECT count(*) FROM v) AS violations, (SELECT count(DISTINCT cycle) FROM cy) AS cycles, (SELECT count(*) FROM cp WHERE n >= 3) AS "coupled" FROM ix""")
+def a29_review_totals(t: TableFacts) -> DataFrame:
+    """Counts of files over the index in one pass, and of the tables beside it."""
+    conditions = {"hotspots": "hotspot", "rising": "hotspot and trend > 0", "oversized": f"flags & {dsl.BITS['oversized']} <> 0", "hubs": "fanin >= 3 and fanout >= 3", "bugprone": "fixes >= 2 and fix_ratio >= 0.25"}
+    violations = folders.rule_violations(folders.edges(t.files, t.imports, "subfolder"), [], [(["small"], ["large"])]).agg(F.countDistinct("src").alias("violations"))
+    cycles = graph.cycles(t.imports).agg(F.countDistinct("cycle").alias("cycles"))
+    coupled = history.coupling(t.changes, bulk(t)).where("n >= 3").agg(F.count("*").alias("coupled"))
+    return rollups.totals(_index(t), conditions).crossJoin(violations).crossJoin(cycles).crossJoin(coupled)
+
+
+@query("""n AS (SELECT count(DISTINCT fid) FILTER (ts < TIMESTAMP '1995-01-01') AS a, count(DISTINCT fid) FILTER (ts < TIMESTAMP '1997-01-01') AS b FROM cc)
+SELECT 1 AS step, 'first' AS head, NULL AS baseline, NULL::BIGINT AS files_before, a AS files, 1 AS census FROM n UNION ALL SELECT 2, 'second', 'first', a, b, 2 FROM n UNION ALL SELECT 3, 'second', 'first', a, b, 2 FROM n UNION ALL SELECT 4, 'first', 'second', b, a, 2 FROM n""")
+def sc19_r12_sk10_sk11_builds(t: TableFacts) -> DataFrame:
+    """Four builds into a fresh folder, the third of the second's commit: what each compares itself to, and the census after it."""
+    spark, out, rows = t.spark, storage.fresh_folder(t.spark), log(t)
+    done = []
+    for step, (head, until) in enumerate((("first", "1995-01-01"), ("second", "1997-01-01"), ("second", "1997-01-01"), ("first", "1995-01-01")), 1):
+        files = rows.where(F.col("t") < F.unix_timestamp(F.lit(f"{until} 00:00:00"))).groupBy(F.col("fid").alias("key")).agg(F.sum("added").alias("loc"), F.lit(0).cast("long").alias("bits"))
+        current = {"root": "r", "keying": "path", "head": head, "headTs": float(head == "second"), "generated": str(step), "totals": {}}
+        which = snapshots.previous_baseline(spark, out, current)
+        before = which and snapshots.load_summary(spark, out, which)["head"]
+        n_before = which and snapshots.files_of(spark, out, which).count()
+        snapshots.write_summary(spark, out, current, files)
+        entries = snapshots.census(spark, out, current)
+        snapshots.write_census(spark, out, current, entries)
+        done.append((step, head, before, n_before, snapshots.files_of(spark, out).count(), len(entries)))
+    return spark.createDataFrame(done, "step int, head string, baseline string, files_before long, files long, census int")
+
+
+@query()
+def j23_files_placed(t: TableFacts) -> DataFrame:
+    """Every file, with its place in the plan where it has one."""
+    placed = l1_l4_layout(t)
+    return t.files.select("fid", "rel").join(placed.drop("rel"), "fid", "left")
+
+
 @query("one AS (SELECT 1) SELECT fid, rel, loc FROM files WHERE starts_with(rel, 'promo/') ORDER BY loc DESC, rel LIMIT 20")
 def t12_folder_report(t: TableFacts) -> DataFrame:
     return t.files.where(F.col("rel").startswith("promo/")).orderBy(F.desc("loc"), "rel").select("fid", "rel", "loc").limit(20)

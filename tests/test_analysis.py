@@ -2,11 +2,14 @@
 
 import subprocess
 
+import pytest
+
 from quarrylens.plans import report
 from quarrylens.plans.analysis import analyse
+from quarrylens.sources import repo
 
 
-def test_report(spark, tmp_path):
+def test_report(spark, tmp_path, monkeypatch):
     root = tmp_path / "r"
     sources = {
         "app/a.py": "from app.b import x\n" + "\n".join(f"def f{i}(v):\n    return v + {i}\n" for i in range(12)), "app/b.py": "from app import a\nx = 1\n# TODO: less\n", "app/__init__.py": "",
@@ -33,3 +36,24 @@ def test_report(spark, tmp_path):
     assert sorted(r["reason"].split(":")[0] for r in done.violations.collect()) == ["forbidden", "layer 2 imports layer 1, which sits above it"]
     text = report.markdown(report.build(done))
     assert "`app/a.py`" in text and "| cycles | 1 |" in text
+    # An ignored file is not opened, names that begin with a dot are read, and an earlier revision shows its own tree and history.
+    (root / ".gitignore").write_text("build\n")
+    (root / "build").mkdir()
+    (root / "build/out.py").symlink_to("/nowhere")
+    git("add", "-A")
+    git("rm", "-q", "README.md")
+    git("commit", "-qm", "update")
+    now, then = repo.listing(str(root))[0], repo.tree_at(str(root), "HEAD~2")
+    assert ".gitignore" in now and "README.md" not in now and "build/out.py" not in now
+    assert [rel for rel, _ in then[1]] == sorted(sources) and len(then[0]) == 40
+    read = {r["rel"]: bytes(r["content"]).decode() for r in repo.contents_at(spark, str(root), then[1]).collect()}
+    assert read["app/b.py"] == sources["app/b.py"] and read["app/a.py"].endswith("y1 = 1\n") and {r["rel"] for r in repo.contents(spark, str(root), now).collect()} == set(now)
+    for part in (1, 2, 1000):
+        monkeypatch.setattr(repo, "LOG_BATCH", part)
+        repo.write_log(spark, str(root), f"{tmp_path}/log{part}", "HEAD~1")
+        commits, changes = repo.history(spark, f"{tmp_path}/log{part}")
+        assert [r["subject"] for r in commits.orderBy("ord").collect()] == ["fix: again"] * 3 + ["first"] and changes.where("rel = 'app/a.py'").count() == 4
+    old = analyse(spark, str(root), rev="HEAD~2")
+    assert old.totals()["files"] == 7 and {r["rel"]: r["commits"] for r in old.index.collect()}["app/a.py"] == 3
+    with pytest.raises(ValueError):
+        repo.tree_at(str(root), "nothing")

@@ -150,8 +150,8 @@ def test_repository(spark, tmp_path):
     assert [r["name"] for r in repo.symbols(records).collect()] == ["main"]
     found = graph.resolve_python(repo.raw_imports(records), files)
     assert [tuple(r) for r in found.collect()] == [("pkg/a.py", "pkg.b", "pkg/b.py")]
-    log = tmp_path / "log.txt"
-    log.write_text(repo.log_text(str(root)))
+    log = f"{tmp_path}/log"
+    repo.write_log(spark, str(root), log)
     commits, changes = repo.history(spark, str(log))
     assert commits.first()["subject"] == "fix: first" and {r["rel"] for r in changes.collect()} >= {"pkg/a.py", "pkg/b.py"}
 
