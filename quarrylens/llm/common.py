@@ -118,7 +118,7 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint(spark.range(0))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     with _cleaning(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

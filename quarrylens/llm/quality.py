@@ -132,14 +132,13 @@ JUDGED = ("_evidence", "_host", "_path", "_posterior", "_keep")
 def judged(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", labelled: int = LABELLED, carry: tuple[str, ...] | None = None) -> DataFrame:
     """_row (the columns to carry, all by default, out of the way of other names), and JUDGED: evidence, posteriors of the groups and of the document, verdict.
 
-    Where the columns to carry are named, they are written with the evidence, and group sums and verdicts read that table, so
-    that each text is scored once. Whole rows are not written: group sums and verdicts score each text.
+    Each text is scored once: rows are written with their evidence, and group sums and verdicts read that table.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels, labelled))
     of = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\0"))
     base = docs.select(F.struct(*(carry or ("*",))).alias("_row"), of(host).alias("_h"), of(path).alias("_q"), _score(model)(F.col("text")).alias("_evidence"))
-    base = stored(base) if carry else base
+    base = stored(base)
     base = base.withColumn("_p", 1 / (1 + F.exp(-F.col("_evidence") - F.lit(model.value["prior"]))))
     sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     paths = checkpoint(sums(base.select("_h", "_q", F.lit(1).alias("n"), F.col("_p").alias("s"), (F.col("_p") * F.col("_p")).alias("ss")), "_h", "_q"))
