@@ -43,9 +43,10 @@ def python_packages(imports: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def npm_packages(imports: DataFrame, local: DataFrame) -> DataFrame:
-    """rel, spec (scope and name) -> rel, package, without built-ins, aliases of paths and the repository's own names."""
-    some = imports.where(~F.col("spec").rlike("^(node:|@/|~|#|[.]|$)") & ~F.col("spec").isin(*NODE_BUILTINS)).withColumn("name", paths.package_name(F.col("spec")))
-    return some.join(local, "name", "left_anti").select("rel", F.col("name").alias("package")).distinct()
+    """rel, spec -> rel, package (scope and name, whatever path follows), without built-ins, aliases of paths and the repository's own names."""
+    whole = F.regexp_extract("spec", "^(?:@[^/]+/)?[^/]+", 0)
+    some = imports.where(~F.col("spec").rlike("^(node:|@/|~|#|[./]|$)")).select("rel", whole.alias("whole"), paths.package_name(whole).alias("name"))
+    return some.where(~F.col("whole").isin(*NODE_BUILTINS)).join(local, "name", "left_anti").select("rel", F.col("name").alias("package")).distinct()
 
 
 def usage(used: DataFrame, declared: DataFrame, files: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
@@ -65,14 +66,33 @@ def mismatches(used: DataFrame, declared: DataFrame) -> DataFrame:
     return missing.unionByName(idle)
 
 
+#: Where a pyproject.toml and a package.json list packages; a star stands for every key.
+LISTS = ("project.dependencies", "project.optional-dependencies.*", "dependency-groups.*")
+TABLES = ("tool.poetry.dependencies", "tool.poetry.dev-dependencies", "tool.poetry.group.*.dependencies")
+NPM_TABLES = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+#: The name at the start of a requirement; lines of a requirements file that are options or addresses.
+REQUIREMENT, NO_REQUIREMENT = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9._-]*)"), re.compile(r"\s*(?:-|git\+|https?:)")
+
+
+def _under(data, places: tuple[str, ...], kind: type) -> list:
+    """The values of one kind at the places of a nested table; what has another shape is passed over."""
+    out = []
+    for place in places:
+        at = [data]
+        for step in place.split("."):
+            tables = [x for x in at if isinstance(x, dict)]
+            at = [v for x in tables for v in (x.values() if step == "*" else [x.get(step)])]
+        out += [x for x in at if isinstance(x, kind)]
+    return out
+
+
 def parse_manifest(name: str, text: str) -> list[tuple[str, str]]:
-    """(ecosystem, package) of a requirements file, pyproject.toml or package.json; what cannot be read declares nothing."""
+    """(ecosystem, package), sorted and once each, of a requirements file, pyproject.toml or package.json; what cannot be read declares nothing."""
+    base = name.rsplit("/", 1)[-1].lower()
     norm = lambda x: re.sub(r"[-_.]+", "-", x.strip()).lower()
-    base = name.rsplit("/", 1)[-1]
-    lead = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)")
+    first = lambda lines: {norm(m[1]) for x in lines if isinstance(x, str) and (m := REQUIREMENT.match(x))}
     if base.startswith("requirements") and base.endswith((".txt", ".in")):
-        found = (lead.match(line.split("#", 1)[0]) for line in text.splitlines() if not line.lstrip().startswith("-"))
-        return [("python", norm(m[1])) for m in found if m]
+        return [("python", x) for x in sorted(first(x.split("#", 1)[0] for x in text.splitlines() if not NO_REQUIREMENT.match(x)))]
     if base == "pyproject.toml":
         import tomllib
 
@@ -80,15 +100,12 @@ def parse_manifest(name: str, text: str) -> list[tuple[str, str]]:
             data = tomllib.loads(text)
         except tomllib.TOMLDecodeError:
             return []
-        project = data.get("project") or {}
-        listed = [*(project.get("dependencies") or []), *(x for group in (project.get("optional-dependencies") or {}).values() for x in group)]
-        poetry = ((data.get("tool") or {}).get("poetry") or {}).get("dependencies") or {}
-        return [("python", norm(m[1])) for x in listed if isinstance(x, str) and (m := lead.match(x))] + [("python", norm(k)) for k in poetry if k != "python"]
+        keys = {norm(k) for table in _under(data, TABLES, dict) for k in table} - {"python"}
+        return [("python", x) for x in sorted(first(x for specs in _under(data, LISTS, list) for x in specs) | keys)]
     if base == "package.json":
         try:
             data = json.loads(text)
         except ValueError:
             return []
-        sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-        return [("npm", k) for s in sections for k in (data.get(s) or {}) if isinstance(data, dict)] if isinstance(data, dict) else []
+        return [("npm", x) for x in sorted({norm(k) for table in _under(data, NPM_TABLES, dict) for k in table})]
     return []

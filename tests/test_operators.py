@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions import measures, parsers, paths
-from quarrylens.operators import changes_since, clones, folders, graph, history, layout, owners, signals, tests_map
+from quarrylens.operators import changes_since, clones, externals, folders, graph, history, layout, owners, signals, tests_map
 from quarrylens.plans import dsl
 from quarrylens.sources import repo, sinks
 
@@ -189,3 +189,38 @@ def test_ranks(spark):
     assert [r["p"] for r in measures.cume_rank(rows, "v", "p").orderBy("fid").collect()] == [0.0, 0.5, 0.5, 0.75, 1.0]
     assert [r["p"] for r in measures.row_rank(rows, "v", "fid", "p").orderBy("fid").collect()] == [0.0, 0.25, 0.5, 0.75, 1.0]
     assert signals.share_of(spark.range(50), 0.05).first()["cut"] == 2
+
+
+@pytest.mark.parametrize(
+    "name, text, found",
+    [
+        ("a/Requirements-dev.txt", "Flask>=2 # web\n-r other.txt\ngit+https://x/y\nhttps://x/z.whl\n\nruamel_yaml[jinja2]\nflask\n", ["flask", "ruamel-yaml"]),
+        ("pyproject.toml", '[project]\ndependencies = ["A.B>1", 3]\n[project.optional-dependencies]\nx = ["c"]\n[dependency-groups]\ndev = ["d", {include-group = "x"}]\n', ["a-b", "c", "d"]),
+        ("pyproject.toml", '[tool.poetry.dependencies]\npython = "3"\ne = "1"\n[tool.poetry.group.dev.dependencies]\nf = "1"\n', ["e", "f"]),
+        ("pyproject.toml", "project = 3\ntool = [1]\n", []),
+        ("pyproject.toml", "no [ toml", []),
+        ("package.json", '{"dependencies": {"lodash.merge": "1", "@s/p_q": "1"}, "devDependencies": ["x"], "peerDependencies": null}', ["@s/p-q", "lodash-merge"]),
+        ("package.json", "[1]", []),
+        ("package.json", "{", []),
+    ],
+)
+def test_manifests(name, text, found):
+    assert [package for _, package in externals.parse_manifest(name, text)] == found
+
+
+def test_npm_packages_meet_what_is_declared(spark):
+    specs = ["react", "lodash/fp", "lodash.merge", "@s/p_q/deep", "fs/promises", "node:fs", "@/own", "~/own", "#own", "./own", "/own", "", None, "local"]
+    imports = spark.createDataFrame([("a.js", x) for x in specs], "rel string, spec string")
+    used = externals.npm_packages(imports, spark.createDataFrame([("local",)], "name string"))
+    assert {r["package"] for r in used.collect()} == {"react", "lodash", "lodash-merge", "@s/p-q"}
+    declared = spark.createDataFrame(externals.parse_manifest("package.json", '{"dependencies": {"lodash.merge": "1", "@s/p_q": "1", "lodash": "4", "left": "1"}}'), "ecosystem string, package string")
+    assert {tuple(r) for r in externals.mismatches(used, declared).collect()} == {("react", "undeclared"), ("left", "unused")}
+
+
+def test_primary_language_and_archetype(spark):
+    rows = [("x", "python", 5), ("x", "go", 3), ("x", "go", 2), ("y", "go", 0)]
+    files = spark.createDataFrame(rows, "district string, language string, loc long")
+    assert {tuple(r) for r in folders.primary_language(files).collect()} == {("x", "go", 5), ("y", "go", 1)}
+    kinds = spark.createDataFrame([("markdown", None, False, False, True, False), ("markdown", None, False, False, False, False), ("csv", 3, False, False, False, False), ("png", None, True, False, False, False), ("go", None, False, True, False, False), ("go", 1, True, True, True, True), ("go", None, False, False, False, False)], "language string, rows long, b boolean, t boolean, d boolean, r boolean")
+    found = kinds.select(measures.archetype(F.col("language"), F.col("rows"), F.col("b"), F.col("t"), F.col("d"), F.col("r")).alias("kind"))
+    assert sorted(r["kind"] for r in found.collect()) == sorted(["town_hall", "warehouse", "silo", "monument", "park", "ruin", "pending"])
