@@ -1,5 +1,6 @@
 """Operators on small inputs whose answers are known."""
 
+import json
 import subprocess
 
 import pytest
@@ -224,3 +225,12 @@ def test_primary_language_and_archetype(spark):
     kinds = spark.createDataFrame([("markdown", None, False, False, True, False), ("markdown", None, False, False, False, False), ("csv", 3, False, False, False, False), ("png", None, True, False, False, False), ("go", None, False, True, False, False), ("go", 1, True, True, True, True), ("go", None, False, False, False, False)], "language string, rows long, b boolean, t boolean, d boolean, r boolean")
     found = kinds.select(measures.archetype(F.col("language"), F.col("rows"), F.col("b"), F.col("t"), F.col("d"), F.col("r")).alias("kind"))
     assert sorted(r["kind"] for r in found.collect()) == sorted(["town_hall", "warehouse", "silo", "monument", "park", "ruin", "pending"])
+
+
+def test_index_and_manifest_are_written(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    sinks.write_index(spark.createDataFrame([(2, "b"), (1, "a")], "fid long, rel string"), f"{out}/index")
+    assert {tuple(r) for r in spark.read.parquet(f"{out}/index").collect()} == {(1, "a"), (2, "b")}
+    for parts in ({"files": 2}, {"name": "é\n", "files": 3}):
+        sinks.write_manifest(spark, out, parts)
+    assert [json.loads(r["value"]) for r in spark.read.text(f"{out}/manifest").collect()] == [{"name": "é\n", "files": 3}]
