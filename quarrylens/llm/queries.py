@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, html_extract, jaccard, packing, pii, quality, secrets, sharding
+from . import chat, decontamination, exact_dedup, html_extract, jaccard, packing, periodic, pii, quality, secrets, sharding
 from .common import table
 
 
@@ -72,7 +72,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.linear(rows.unionByName(extra))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_html, op4_sharding, op5_exact_dedup, op6_decontamination, op7_secrets, op8_jaccard, op9_quality, op10_chat)}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth of them with repetitions planted by their ids."""
+    return periodic.digests(periodic.found(table(spark, sf_dir, "documents"), periodic.planted))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_html, op4_sharding, op5_exact_dedup, op6_decontamination, op7_secrets, op8_jaccard, op9_quality, op10_chat, op11_periodic)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -105,4 +110,22 @@ ORACLES: dict[str, str] = {
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
         FROM d GROUP BY conv_id""",
+    "op11_periodic": """
+        WITH tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tbl),
+        d AS (SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        c AS (SELECT id, doc_id, w, len(w) AS n, xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda r, b: xor(r >> 8, tbl[1 + (xor(r, b) & 255)]), 4294967295)) AS h FROM d, tbl),
+        a AS (SELECT id, doc_id, w, n, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM c),
+        t AS (SELECT id, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE w END AS w FROM a),
+        u AS (SELECT id, n, unnest(w) AS w, unnest(range(n)) AS i FROM t),
+        m AS (SELECT x.id, y.i - x.i AS q, x.i FROM u x JOIN u y ON x.id = y.id AND x.w = y.w AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+        j AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM m),
+        l AS (SELECT id, q, min(i) AS start, count(*) + q AS length FROM j GROUP BY id, q, island HAVING count(*) >= greatest(24 - q, 2 * q)),
+        r AS (SELECT id, start, length, min(q) AS period FROM l GROUP BY id, start, length),
+        s AS (SELECT id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256,
+                     first({'start': start, 'length': length, 'period': period} ORDER BY length::DOUBLE / period DESC, start, period) AS best FROM r GROUP BY id),
+        gone AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM r),
+        k AS (SELECT id, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM u ANTI JOIN gone USING (id, i) GROUP BY id)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+               coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+        FROM t LEFT JOIN s USING (id) LEFT JOIN k USING (id)""",
 }
