@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, html_extract, jaccard, packing, periodic, pii, quality, secrets, sharding
+from . import chat, decontamination, exact_dedup, html_extract, jaccard, packing, periodic, pii, quality, secrets, sharding, spelling
 from .common import table
 
 
@@ -77,7 +77,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.found(table(spark, sf_dir, "documents"), periodic.planted))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_html, op4_sharding, op5_exact_dedup, op6_decontamination, op7_secrets, op8_jaccard, op9_quality, op10_chat, op11_periodic)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.grouped(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_html, op4_sharding, op5_exact_dedup, op6_decontamination, op7_secrets, op8_jaccard, op9_quality, op10_chat, op11_periodic, op13_spelling)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -128,4 +133,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
                coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
         FROM t LEFT JOIN s USING (id) LEFT JOIN k USING (id)""",
+    "op13_spelling": """
+        WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tbl),
+        t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents),
+        u AS (SELECT doc_id, run, count(*) AS c, hex(encode(doc_id || ':' || run)) AS x FROM t WHERE length(run) >= 6 GROUP BY doc_id, run),
+        b AS (SELECT run, c, list_transform(range(len(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS bytes FROM u),
+        h AS (SELECT run, c, xor(4294967295, list_reduce(bytes, lambda r, v: xor(r >> 8, tbl[1 + (xor(r, v) & 255)]), 4294967295)) AS h FROM b, tbl),
+        d AS (SELECT c, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+        w AS (SELECT word, sum(c)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+        x AS (SELECT word, i, word[1:i] || word[i + 2:] AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+        p AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+              UNION SELECT x.word, w.word FROM x JOIN w ON x.less = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.less = w.word),
+        f AS (SELECT a AS word, count(*) AS n_near, first({'w': b, 'n': w.n} ORDER BY w.n DESC, b) AS best FROM p JOIN w ON w.word = b GROUP BY a),
+        v AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * n THEN best.w END AS form, CASE WHEN best.n >= 5 * n THEN best.n END AS form_n FROM w LEFT JOIN f USING (word)),
+        r AS (SELECT word, word AS root, form AS up FROM v UNION ALL SELECT r.word, v.word, v.form FROM r JOIN v ON v.word = r.up)
+        SELECT v.word, form, r.root, n, n_near::BIGINT AS n_near, form_n FROM v JOIN r ON r.word = v.word AND r.up IS NULL""",
 }
