@@ -45,6 +45,8 @@ from .common import checkpoint, partitions, stored, tidy
 from .components import components, relabelled
 
 GRAM = 5
+#: Two documents link from so many hundredths of their union on.
+PERCENT = 75
 SHARED = 10
 HOT = 16
 HOT_TABLE = 1_000_000
@@ -74,8 +76,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts, a slice of an Arrow column at a time."""
 
-    def __init__(self):
-        self.powers = np.ones(1, np.uint64)
+    def __init__(self, gram: int = GRAM):
+        self.gram, self.powers = gram, np.ones(1, np.uint64)
 
     def _power(self, n: int) -> np.ndarray:
         while len(self.powers) < n:
@@ -109,13 +111,13 @@ class Shingler:
 
     def _slice(self, data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         w, first = self._words(data, starts)
-        n = len(w)
-        grams = np.full(max(0, n - GRAM + 1), GRAM, np.uint64)
-        for i in range(GRAM):
-            grams = _mixed(grams * _MULTIPLIER + w[i : n - GRAM + 1 + i]) if len(grams) else grams
+        n, gram = len(w), self.gram
+        grams = np.full(max(0, n - gram + 1), gram, np.uint64)
+        for i in range(gram):
+            grams = _mixed(grams * _MULTIPLIER + w[i : n - gram + 1 + i]) if len(grams) else grams
         for a, b in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
-            if b - a >= GRAM:
-                s = np.sort(grams[a : b - GRAM + 1])
+            if b - a >= gram:
+                s = np.sort(grams[a : b - gram + 1])
                 keep = np.ones(len(s), bool)
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
                 yield s[keep]
@@ -396,7 +398,7 @@ def cold_pairs(texts: DataFrame, order) -> tuple[DataFrame, DataFrame | None]:
     return sums.where("c >= least").select("a", "b", "star"), long
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, texts: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """The pairs a, b that link, by the overlap of the whole sets of their texts (doc, text).
 
     The text of b travels with the pair, that of a meets it; pairs of one a come together, so its set is made once.
@@ -404,7 +406,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        shingler = Shingler()
+        shingler = Shingler(gram)
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             begins = np.flatnonzero(np.diff(a, prepend=a[:1] - 1)) if len(a) else np.empty(0, np.int64)
@@ -416,7 +418,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * shared >= 75 * (len(x) + len(y) - shared)
+                keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield _out(_EDGE, a[keep], b[keep])
 
     right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
@@ -428,12 +430,12 @@ def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
 
 
-def encoded(texts: DataFrame) -> DataFrame:
+def encoded(texts: DataFrame, gram: int = GRAM) -> DataFrame:
     """doc, text -> doc, shingles: the sorted set as bytes, eight for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        shingler = Shingler()
+        shingler = Shingler(gram)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingler.sets(batch.column(1))], pa.binary())], ["doc", "shingles"])
 
@@ -494,7 +496,7 @@ def product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataFrame], DataFrame], gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Links between documents of different components that share a hot column.
 
     open_rows: g, doc, n, comp. Columns joined by documents are a group. Documents outside the largest component of
@@ -534,7 +536,7 @@ def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataF
     rare_blocks = columns.where("rare").select("g", "s", F.col("band").alias("rb"), "ri").distinct()
     all_blocks = columns.select("g", F.col("band").alias("ab"), "ai").distinct()
     meet = checkpoint(rare_blocks.join(all_blocks, "g").where("abs(rb - ab) <= 1").select("s", "rb", "ri", "ab", "ai").distinct())
-    sets = placed.join(encoded(among(texts, placed.select("doc"))), "doc")
+    sets = placed.join(encoded(among(texts, placed.select("doc")), gram), "doc")
     keys = ["s", "rb", "ri", "ab", "ai"]
     as_rare = sets.where("rare").select("s", F.col("band").alias("rb"), "ri", "comp", "shingles").join(meet, ["s", "rb", "ri"]).select(*keys, F.lit(True).alias("r"), "comp", "shingles")
     as_all = sets.select("s", F.col("band").alias("ab"), "ai", "comp", "shingles").join(meet, ["s", "ab", "ai"]).select(*keys, F.lit(False).alias("r"), "comp", "shingles")
@@ -549,7 +551,7 @@ def block_links(open_rows: DataFrame, texts: DataFrame, bounded: Callable[[DataF
         if len(sa) and len(sb):
             total = product(sa, sb)
             union = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :] - total
-            i, j = np.nonzero((100 * total >= 75 * union) & (ca[:, None] != cb[None, :]))
+            i, j = np.nonzero((100 * total >= percent * union) & (ca[:, None] != cb[None, :]))
             parent: dict[int, int] = {}
 
             def find(x: int) -> int:
