@@ -112,14 +112,29 @@ def with_sums_before(df: DataFrame, numbers: list[str], out: list[str]) -> DataF
     return df.drop(*runs, *first)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet under the checkpoint folder, and read again: for wide rows that are read more than once."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet under the checkpoint folder and read again, and where it lies.
+
+    Unlike a checkpoint it has the size of its files: the planner takes a join to be as large as the product of
+    its sides, and a loop over checkpoints squares that number each round, until the number itself fills the driver.
+    """
     spark = df.sparkSession
     checkpoint(spark.range(0))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under the checkpoint folder, and read again: for wide rows that are read more than once."""
+    return stored_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of ``stored_at`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: What drops the caches that operators keep in a Python worker between tasks.

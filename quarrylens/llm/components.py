@@ -1,8 +1,8 @@
 """Connected components of an undirected edge table, without collecting it.
 
-Every node takes the least label around it, then the label of its label (pointer
+All nodes of one label take the least label around any of them (hooking), then the label of that label (pointer
 jumping), until nothing changes; the rounds grow with the logarithm of the longest
-chain. Each round is checkpointed, so a lost executor costs one round.
+chain. Each round is written out, so a lost executor costs one round.
 
 Hubs, nodes with very many edges and labels of very many nodes, do not meet their rows in one
 task. A key that has more than one task's even share of the rows is looked up in a broadcast table
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import discard, partitions, stored, stored_at
 
 
 def valued(rows: DataFrame, key: str, spread: str, table: DataFrame, value: str, hubs: list[int]) -> DataFrame:
@@ -40,20 +40,26 @@ def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """a, b (long) -> node, label: the least node that node reaches. Nodes without edges are absent."""
-    tasks = partitions(edges.sparkSession)
+    spark = edges.sparkSession
+    tasks = partitions(spark)
     pairs = edges.where("a <> b").select("a", "b")
-    both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
-    start = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("degree")))
-    nodes, ends = start.agg(F.count("*"), F.sum("degree")).first()
-    centres = [r["a"] for r in start.where(F.col("degree") > max(1, (ends or 0) // tasks)).select("a").collect()]
-    labels = start.select(F.col("a").alias("node"), "label")
+    both = stored(pairs.union(pairs.select("b", "a")).distinct())
+    labels, at = stored_at(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("degree")).withColumnRenamed("a", "node"))
+    nodes, ends = labels.agg(F.count("*"), F.sum("degree")).first()
+    centres = [r["node"] for r in labels.where(F.col("degree") > max(1, (ends or 0) // tasks)).select("node").collect()]
     while True:
         around = valued(both, "b", "a", labels.select(F.col("node").alias("b"), "label"), "label", centres)
         around = around.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = checkpoint(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        each = nearer.groupBy("label").agg(F.count("*").alias("n"), F.max(F.col("label") != F.col("old")).alias("moved"))
-        moved, hubs = each.agg(F.max("moved"), F.collect_list(F.when(F.col("n") > max(1, nodes // tasks), F.col("label")))).first()
-        if not moved:
-            return nearer.select("node", "label")
-        jump = nearer.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = checkpoint(valued(nearer.select("node", "label"), "label", "node", jump, "further", hubs).select("node", F.col("further").alias("label")))
+        nearer, nearer_at = stored_at(labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near")))
+        each, each_at = stored_at(nearer.groupBy("old").agg(F.min("near").alias("best"), F.count("*").alias("n")))
+        discard(spark, at)
+        if each.where("best <> old").isEmpty():
+            return nearer.select("node", F.col("old").alias("label"))
+        many = F.col("n") > max(1, nodes // tasks)
+        old_hubs = [r["old"] for r in each.where(many).select("old").collect()]
+        best_hubs = [r["best"] for r in each.groupBy("best").agg(F.sum("n").alias("n")).where(many).select("best").collect()]
+        moved, moved_at = stored_at(valued(nearer.select("node", "old"), "old", "node", each.select("old", "best"), "best", old_hubs).select("node", "best"))
+        further = moved.select(F.col("node").alias("best"), F.col("best").alias("label"))
+        labels, at = stored_at(valued(moved, "best", "node", further, "label", best_hubs).select("node", "label"))
+        for path in (nearer_at, each_at, moved_at):
+            discard(spark, path)

@@ -131,13 +131,13 @@ def _across(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
 
 def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, label after further links a, b between documents or components."""
-    between = checkpoint(_current(_current(links, label, "a", "ca"), label, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    between = stored(_current(_current(links, label, "a", "ca"), label, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     if between.isEmpty():
         return label if label is not None else between.select(F.col("a").alias("node"), F.col("b").alias("label"))
     further = components(between)
     if label is None:
         return further
-    return checkpoint(relabelled(label, further).unionByName(further.join(label.select("node"), "node", "left_anti")))
+    return stored(relabelled(label, further).unionByName(further.join(label.select("node"), "node", "left_anti")))
 
 
 def _compatible(n: str, m: str):
@@ -145,34 +145,40 @@ def _compatible(n: str, m: str):
     return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
 
 
-def linked(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """node, label: the components of the documents that have links; shared (g, doc, n): the buckets of two or more."""
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (g, comp, ...) of buckets whose documents lie in several components."""
+    mixed = stored(rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g"))
+    return rows.join(mixed, "g")
+
+
+def linked(texts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """node, label: the components of the documents that have links; buckets: g, doc, n."""
     # Written before they are joined: a join of two tables alone can be split where one bucket has very many rows.
-    centres = checkpoint(shared.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc").alias("by"), "doc", "n")).alias("c")))
-    rows = checkpoint(shared.join(centres, "g").select("g", "doc", "n", "size", "c"))
+    centre = F.min(F.struct(F.xxhash64("doc").alias("by"), "doc", "n")).alias("c")
+    centres = stored(buckets.groupBy("g").agg(F.count("*").alias("size"), centre).where("size > 1"))
+    rows = stored(buckets.join(centres, "g").select("g", "doc", "n", "size", "c"))
     own = stored(among(texts, rows.select("doc").distinct()))
-    stars = rows.where(F.col("doc") != F.col("c.doc")).where(_compatible("n", "c.n"))
     pair = [F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")]
-    first = checkpoint(stars.groupBy("doc").agg(F.min("c").alias("c")).select(*pair).distinct())
+
+    def stars(of: DataFrame) -> DataFrame:
+        return of.where(F.col("doc") != F.col("c.doc")).where(_compatible("n", "c.n"))
+
+    first = stored(stars(rows).groupBy("doc").agg(F.min("c").alias("c")).select(*pair).distinct())
     label = _joined(None, overlaps(first, own, GRAM, PERCENT))
+    opened = stored(_mixed(_current(rows, label, "doc", "comp")))
+    large, small = opened.where(F.col("size") > SMALL), opened.where(F.col("size") <= SMALL)
+    each = small.groupBy("g").agg(F.collect_list(F.struct("doc", "n", "comp")).alias("all"))
+    each = each.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.comp <> y.comp").where(_compatible("x.n", "y.n"))
+    rest = each.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).unionByName(stars(large).select(*pair)).distinct()
     # A pair that was compared and did not link need not be compared again.
-    rest = checkpoint(_across(stars.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), label))
-    label = _joined(label, overlaps(rest, own, GRAM, PERCENT))
-    placed = checkpoint(_current(rows.select("g", "doc", "n", "size"), label, "doc", "comp"))
-    mixed = checkpoint(placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g"))
-    opened = checkpoint(placed.join(mixed, "g"))
-    few = opened.where(F.col("size") <= SMALL).groupBy("g").agg(F.collect_list(F.struct("doc", "n", "comp")).alias("all"))
-    few = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.comp <> y.comp").where(_compatible("x.n", "y.n"))
-    few = few.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    few = checkpoint(few.join(first.unionByName(rest), ["a", "b"], "left_anti"))
-    label = _joined(label, overlaps(few, own, GRAM, PERCENT))
-    large = checkpoint(opened.where(F.col("size") > SMALL).select("g", "doc", "n"))
+    rest = stored(_across(rest.join(first, ["a", "b"], "left_anti"), label))
+    if not rest.isEmpty():
+        label = _joined(label, overlaps(rest, own, GRAM, PERCENT))
+    large = stored(_mixed(_current(large.select("g", "doc", "n"), label, "doc", "comp")))
     if large.isEmpty():
         return label
-    large = checkpoint(_current(large, label, "doc", "comp"))
     n_large = large.select("g").distinct().count()
-    links = block_links(large, own, lambda df: F.broadcast(df) if n_large <= BROADCAST_IDS else df, GRAM, PERCENT)
-    return _joined(label, links)
+    return _joined(label, block_links(large, own, lambda df: F.broadcast(df) if n_large <= BROADCAST_IDS else df, GRAM, PERCENT))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -184,9 +190,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     member = each.join(classes, ["d1", "d2"], "left").select("doc", "n", stands.alias("rep"), F.when(F.col("doc") == stands, F.col("bands")).alias("bands"))
     member = checkpoint(member)
     rows = member.where("n > 0 and doc = rep").dropDuplicates(["doc"]).select(F.explode("bands").alias("g"), "doc", "n")
-    several = checkpoint(rows.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"))
-    shared = checkpoint(rows.join(several, "g"))
-    label = linked(texts, shared)
+    label = linked(texts, rows)
     done = member.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component_id", F.when(F.col("doc").isNotNull(), F.coalesce("label", "rep")))
     return done.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
 
