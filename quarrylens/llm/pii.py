@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from .common import CLOSE, ESCAPE, MARK, OPEN, has_marks, plain
 from .feistel import permute, permute_below, secret_round
 
-#: Java patterns of the kinds of one fixed form, tried in this order at each place. A phone with dots all
+#: Java patterns of the kinds of one fixed form, tried in this order at each place. Repeats of groups are possessive, as
+#: Java takes one frame of the stack for each repeat of another kind. A phone with dots all
 #: through is among them, as its parts may look like an address; its digits are counted by the pattern.
 FIXED = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"(?<![0-9A-Za-z+])\+(?=(?:\.?[0-9]){8,15}(?![0-9A-Za-z]|\.[0-9]))[0-9]{1,3}(?:\.[0-9]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "phone": r"(?<![0-9A-Za-z+])\+(?=(?:\.?[0-9]){8,15}(?![0-9A-Za-z]|\.[0-9]))[0-9]{1,3}(?:\.[0-9]++)++",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -210,6 +211,7 @@ def email(v: Column, key: str) -> Column:
 MAKERS = {"email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
 #: Around what a pass is to look at.
 CUT = MARK + "\u0005"
+CHUNK = 256
 BEST, SPANS = "array<struct<score:int,n:int,kind:string>>", "array<struct<at:int,n:int,kind:string>>"
 
 
@@ -275,37 +277,60 @@ def spans_of(groups: Column, longest: int, judge) -> Column:
     return F.transform(groups, begun)
 
 
-def best(spans: Column) -> Column:
-    """From each group on, the first first: the greatest weight of spans that do not overlap, and the span that begins there, if it is among them."""
+def _chunked(array: Column, start: Column, step, value, kind: str) -> Column:
+    """value(state) for each state that step makes from array, in order, nulls left out.
+
+    They are gathered in chunks of ``CHUNK``, so that no array is copied once an entry.
+    """
+    empty, nested = F.array().cast(kind), F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        def grown(state: Column) -> Column:
+            more = F.filter(F.array(value(state)), lambda v: v.isNotNull())
+            full = F.size(acc["last"]) >= CHUNK
+            return F.struct(state.alias("state"), F.when(full, more).otherwise(F.concat(acc["last"], more)).alias("last"), F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"]).alias("done"))
+
+        return _let(step(acc["state"], x), grown)
+
+    end = F.aggregate(array, F.struct(start.alias("state"), empty.alias("last"), nested.alias("done")), one)
+    return _let(end, lambda e: F.concat(F.flatten(e["done"]), e["last"]))
+
+
+def best(spans: Column, longest: int) -> Column:
+    """From each group on, the first first: the greatest weight of spans that do not overlap, and the span that begins there, if it is among them.
+
+    The state holds what was found for the last longest groups, as no span is longer.
+    """
 
     def step(acc: Column, begun: Column) -> Column:
-        score = lambda n: F.get(acc, F.size(acc) - n)["score"]
-        none = F.array(F.struct(score(1).alias("score"), F.lit(0).alias("n"), F.lit("").alias("kind")))
+        score = lambda n: F.get(acc, n - 1)["score"]
+        none = F.array(F.struct(score(F.lit(1)).alias("score"), F.lit(0).alias("n"), F.lit("").alias("kind")))
         taken = F.transform(begun, lambda s: F.struct((s["j"]["weight"] + score(s["n"])).alias("score"), s["n"].alias("n"), s["j"]["kind"].alias("kind")))
-        return F.concat(acc, F.array(F.array_max(F.concat(none, F.coalesce(taken, F.array().cast(BEST))))))
+        return F.slice(F.concat(F.array(F.array_max(F.concat(none, F.coalesce(taken, F.array().cast(BEST))))), acc), 1, longest)
 
     end = F.array(F.struct(F.lit(0).alias("score"), F.lit(0).alias("n"), F.lit("").alias("kind"))).cast(BEST)
-    return F.reverse(F.aggregate(F.reverse(spans), end, step))
+    return F.reverse(_chunked(F.reverse(spans), end, step, lambda acc: F.get(acc, 0), BEST))
 
 
 def chosen(best_: Column) -> Column:
     """The spans of the best choice, in the order of the text."""
-    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("next"), F.array().cast(SPANS).alias("s"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(1).alias("next"), F.lit(None).cast(f"struct<{SPANS[13:-1]}").alias("span"))
 
     def step(acc: Column, b: Column) -> Column:
-        here = (acc["i"] == acc["next"]) & (b["n"] > 0)
-        after = F.when(here, acc["i"] + b["n"]).otherwise(F.greatest(acc["next"], acc["i"] + 1))
-        more = F.array(F.struct(acc["i"].alias("at"), b["n"].alias("n"), b["kind"].alias("kind")))
-        return F.struct((acc["i"] + 1).alias("i"), after.alias("next"), F.when(here, F.concat(acc["s"], more)).otherwise(acc["s"]).alias("s"))
+        i = acc["i"] + 1
+        here = (i == acc["next"]) & (b["n"] > 0)
+        after = F.when(here, i + b["n"]).otherwise(F.greatest(acc["next"], i + 1))
+        return F.struct(i.alias("i"), after.alias("next"), F.when(here, F.struct(i.alias("at"), b["n"].alias("n"), b["kind"].alias("kind"))).alias("span"))
 
-    return F.aggregate(best_, start, step, lambda acc: acc["s"])
+    return _chunked(best_, start, step, lambda acc: acc["span"], SPANS)
 
 
 def written(groups: Column, spans: Column) -> Column:
     """The groups put together, with the new values in the place of spans."""
-    step = lambda acc, s: F.struct((s["at"] + s["n"]).alias("at"), F.concat(acc["out"], F.array_join(F.slice(groups, acc["at"], s["at"] - acc["at"]), ""), s["v"]).alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.array_join(F.slice(groups, acc["at"], F.size(groups)), ""))
-    return F.aggregate(spans, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step, end)
+    end = lambda i: F.coalesce(F.get(spans, i)["at"] + F.get(spans, i)["n"], F.lit(1))
+    between = lambda a, b: F.array_join(F.slice(groups, a, b - a), "")
+    each = F.transform(spans, lambda s, i: F.concat(between(end(i - 1), s["at"]), s["v"]))
+    return F.concat(F.array_join(each, ""), between(end(F.size(spans) - 1), F.size(groups) + 1))
 
 
 def scanned(docs: DataFrame, run: str, group: str, longest: int, judge, kinds: tuple[str, ...], key: str) -> DataFrame:
@@ -329,7 +354,7 @@ def scanned(docs: DataFrame, run: str, group: str, longest: int, judge, kinds: t
     groups = lambda x, i: F.when(is_match(x, i), F.regexp_extract_all(x, F.lit(group), F.lit(0))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("_r", F.transform(split_at(F.col("_m"), run), lambda x, i: F.struct(x.alias("x"), groups(x, i).alias("t"))))
     docs = each(lambda r: spans_of(r["t"], longest, judge))
-    docs = each(lambda r: best(r["s"]))
+    docs = each(lambda r: best(r["s"], longest))
     docs = each(lambda r: chosen(r["s"]))
     docs = each(texts)
     docs = each(lambda r: F.transform(r["s"], value))
