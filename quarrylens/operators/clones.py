@@ -19,7 +19,8 @@ pub public raise return self static struct super switch this throw throws trait
 typeof use var void while with yield true false True False None
 """.split()
 COMMENT_STARTS = ("#", "//", "/*", "*", "--", "<!--")
-STRINGS = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)"""
+#: Possessive, as Java takes one frame of the stack for each repeat of a group that is not.
+STRINGS = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|`[^`]*+`)"""
 NUMBERS = r"\b\d[\d_.xXa-fA-F]*\b"
 TOKENS = r"([\p{L}_$][\p{L}\p{N}_$]*|[^\p{L}_$])"
 
