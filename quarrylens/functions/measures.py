@@ -57,26 +57,36 @@ def cume_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     Values are counted first, so that distinct values are ranked, not rows.
     """
     counts = with_upto(df.where(F.col(value) > 0).groupBy(value).count(), value)
-    return df.join(counts.select(value, (F.col("upto") / F.col("total")).alias(out)), value, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    # What has no rank, often most rows, is spread over all tasks instead of meeting in that of its value.
+    away = F.when(F.col(value) > 0, 0).otherwise(F.monotonically_increasing_id() % 1024 + 1)
+    ranks = counts.select(value, F.lit(0).cast("long").alias("_away"), (F.col("upto") / F.col("total")).alias(out))
+    return df.withColumn("_away", away).join(ranks, [value, "_away"], "left").withColumn(out, F.coalesce(out, F.lit(0.0))).drop("_away")
 
 
-def row_rank(df: DataFrame, value: str, tie: str, out: str, of: DataFrame | None = None) -> DataFrame:
-    """Percentile rank 0..1 of positive values, ties in the order of tie; 0 for the others. of: where df's values come from, if df is a long way from them.
+def numbered(df: DataFrame, order: list[Column], out: str, counted: Column | None = None) -> DataFrame:
+    """df with the number of each row in that order, from 1, and _total; counted: which rows are numbered, the others get the number of the last one before them.
 
-    Rows are numbered inside their value, and the numbers shifted by what precedes the value.
+    Rows are dealt into ranges of the whole order, ties and all, so that a value that most rows have is
+    many ranges; numbers run inside a range, and are shifted by the rows of the ranges before, of which there are as many as tasks.
     """
-    counts = with_upto((of or df).where(F.col(value) > 0).groupBy(value).count(), value)
-    before = counts.select(value, (F.col("upto") - F.col("count")).alias("_before"), F.col("total").alias("_total"))
-    inside = df.withColumn("_nth", F.row_number().over(Window.partitionBy(value).orderBy(tie)))
-    return inside.join(before, value, "left").withColumn(out, F.coalesce((F.col("_before") + F.col("_nth")) / F.col("_total"), F.lit(0.0))).drop("_nth", "_before", "_total")
+    one = F.lit(1) if counted is None else F.coalesce(counted, F.lit(False)).cast("int")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(df.withColumn("_one", one).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    parts = Window.partitionBy(F.lit(0))
+    before = ranges.groupBy("_range").agg(F.sum("_one").cast("long").alias("_n")).select("_range", (F.sum("_n").over(parts.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(parts).alias("_total"))
+    nth = F.sum("_one").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranges.withColumn("_nth", nth).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_nth")).drop("_one", "_range", "_before", "_nth")
+
+
+def row_rank(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """Percentile rank 0..1 of positive values, ties in the order of tie; 0 for the others."""
+    done = numbered(df, [F.col(value), F.col(tie)], "_place", F.col(value) > 0)
+    return done.withColumn(out, F.when(F.col(value) > 0, F.col("_place") / F.col("_total")).otherwise(0.0)).drop("_place", "_total")
 
 
 def placed_from_top(df: DataFrame, value: str, ties: list[Column], out: str) -> DataFrame:
-    """df with the place of each row from the largest value down, ties in their order: rows are numbered inside their value."""
-    counts = with_upto(df.groupBy(value).count(), value)
-    above = counts.select(value, (F.col("total") - F.col("upto")).alias("_above"))
-    nth = F.row_number().over(Window.partitionBy(value).orderBy(*ties))
-    return df.withColumn("_nth", nth).join(above, value).withColumn(out, F.col("_above") + F.col("_nth")).drop("_nth", "_above")
+    """df (without null values) with the place of each row from the largest value down, ties in their order."""
+    return numbered(df.where(F.col(value).isNotNull()), [F.desc(value), *ties], out).drop("_total")
 
 
 def doc_ratio(doc_lines: Column, loc: Column) -> Column:

@@ -18,14 +18,13 @@ def depth_counts(files: DataFrame, deepest: int = 8) -> DataFrame:
 
 
 def choose_depth(counts: list[tuple[int, int, int]], n_files: int) -> int:
-    """The depth with most folders within 4 to 64 (400 above 5,000 files), without singletons if possible, the shallowest of equals."""
+    """The depth with most folders within 4 to 64 (400 above 5,000 files), without singletons if possible, the shallowest of equals; where none is within, the depth nearest to that."""
     most = 400 if n_files > 5000 else 64
     fits = [c for c in counts if 4 <= c[1] <= most]
     clean = [c for c in fits if c[2] == 0]
     if options := clean or fits:
         return min(options, key=lambda c: (-c[1], c[0]))[0]
-    under = [c for c in counts if c[1] <= most]
-    return min(under or counts, key=lambda c: (-c[1], c[0]) if under else (c[1], c[0]))[0]
+    return min(counts, key=lambda c: (max(4 - c[1], c[1] - most), c[0]))[0]
 
 
 def rollup(files: DataFrame, by: str = "district") -> DataFrame:

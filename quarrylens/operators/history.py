@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import paths
-from ..functions.measures import with_upto
+from ..functions.measures import numbered
 
 DAY = 86400.0
 
@@ -144,9 +144,7 @@ def eras(history: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """fid, age_days, is_new, era: thirds of the files by age, ties by fid."""
     ends = history.agg(F.max("last_t").alias("head"), F.min("first_t").alias("tail"), F.count("*").alias("n"))
     aged = history.crossJoin(F.broadcast(ends)).withColumn("age_days", F.greatest(F.lit(0.0), (F.col("head") - F.col("first_t")) / DAY))
-    before = with_upto(aged.groupBy("age_days").count(), "age_days").select("age_days", (F.col("upto") - F.col("count")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("age_days").orderBy("fid")) - 1
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
-    placed = aged.withColumn("nth", nth).join(before, "age_days").withColumn("place", F.col("before") + F.col("nth"))
+    placed = numbered(aged, [F.col("age_days"), F.col("fid")], "nth").withColumn("place", F.col("nth") - 1)
     window = F.greatest(F.lit(th.new_days), (F.col("head") - F.col("tail")) / DAY * th.new_fraction)
     return placed.select("fid", "age_days", (F.col("age_days") <= window).alias("is_new"), F.when(F.col("place") < third, "new").when(F.col("place") < 2 * third, "mid").otherwise("old").alias("era"))

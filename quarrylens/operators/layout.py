@@ -7,22 +7,22 @@ their folder's grid by arithmetic on their rank.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STREET = 6.0
 MARGIN = 4.0
+#: The larger part of a cut rectangle at most.
+MOST = 0.88
 
 
 def split_weights(items: list[tuple[str, float]]) -> int:
-    """How many of the first items are nearest to half of the weight, at least one and not all."""
-    half, run, best, at = sum(w for _, w in items) / 2, 0.0, math.inf, 1
-    for i, (_, w) in enumerate(items[:-1], 1):
-        run += w
-        if abs(run - half) < best:
-            best, at = abs(run - half), i
-    return at
+    """How many of the first items reach half of the weight, at least one and not all."""
+    upto = list(accumulate(w for _, w in items))
+    return min(bisect_left(upto, upto[-1] / 2) + 1, len(items) - 1)
 
 
 def treemap(items: list[tuple[str, float]], x: float, y: float, w: float, d: float, street: float = STREET) -> tuple[list[tuple], list[tuple]]:
@@ -33,7 +33,7 @@ def treemap(items: list[tuple[str, float]], x: float, y: float, w: float, d: flo
         return [(items[0][0], x, y, w, d)], []
     at = split_weights(items)
     total = sum(v for _, v in items)
-    share = sum(v for _, v in items[:at]) / total if total else 0.5
+    share = min(MOST, max(1 - MOST, sum(v for _, v in items[:at]) / total if total > 0 else at / len(items)))
     gap = street if max(w, d) > 4 * street else 0.0
     if w >= d:
         a = (w - gap) * share

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,9 @@ def author_shares(authors: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
 
 def parse_codeowners(text: str) -> list[tuple[str, list[str]]]:
     """(pattern, owners) of each rule, in order."""
-    rules = []
-    for line in text.splitlines():
-        words = line.split("#", 1)[0].split()
-        if words:
-            rules.append((words[0], words[1:]))
-    return rules
+    # A # begins a comment at the start of a line and behind white space only: patterns may hold one. [Section] lines are no rules.
+    lines = (re.sub(r"(^|\s)#.*", "", line).split() for line in text.splitlines() if not line.lstrip().startswith("["))
+    return [(words[0], words[1:]) for words in lines if words]
 
 
 def declared(files: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:

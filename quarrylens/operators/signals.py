@@ -78,7 +78,7 @@ def centrality(files: DataFrame, couplings: DataFrame, imports: DataFrame, heat:
     base = ranked = cut(base.na.fill(0))
     weights = {"coupled": th.weight_coupling, "in_degree": th.weight_imports, "recent_churn": th.weight_heat, "authors": th.weight_authors}
     for c in weights:
-        ranked = row_rank(ranked, c, "rel", f"{c}_pct", of=base)
+        ranked = row_rank(ranked, c, "rel", f"{c}_pct")
     said = base.agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"{c}_on") for c in weights])
     base = ranked.crossJoin(F.broadcast(said))
     total = sum((F.col(f"{c}_on") * w for c, w in weights.items()), F.lit(0.0))

@@ -32,6 +32,7 @@ class Analysis:
     clone_pairs: DataFrame
     violations: DataFrame
     notes: list[str] = field(default_factory=list)
+    rules: dict = field(default_factory=dict)
 
     def totals(self) -> dict[str, int]:
         """One pass over the index, and the sizes of the tables beside it."""
@@ -100,7 +101,7 @@ def analyse(spark: SparkSession, root: str, rev: str = "HEAD", th: Thresholds =
     index = index.na.fill(False, flags).na.fill(0, ["commits", "fixes", "impact", "in_degree", "fan_out", "max_complexity", "entry"]).withColumn("debt", F.coalesce("debt_markers", F.lit(0)))
     source = F.col("is_code") & ~F.col("is_test") & (F.col("loc") > 0) & ~F.coalesce(F.col("language"), F.lit("unknown")).isin(*NOT_SOURCE) & ~paths.is_config(F.col("rel"))
     index = index.withColumns({"is_orphan": F.col("idle") & (F.col("entry") == 0), "untested": source & ~F.col("tested") & (F.col("is_hotspot") | F.col("is_oversized")), "height": measures.height(F.coalesce("language", F.lit("unknown")), F.col("loc"), F.col("rows"), F.col("is_binary"))})
-    return Analysis(storage.cut(index), every, commits, imports, couplings, cycles, twins, wrong, [error] if error else [])
+    return Analysis(storage.cut(index), every, commits, imports, couplings, cycles, twins, wrong, [error] if error else [], rules or {})
 
 
 def _code_languages() -> frozenset:

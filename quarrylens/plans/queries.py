@@ -981,18 +981,16 @@ def a29_review_totals(t: TableFacts) -> DataFrame:
 SELECT 1 AS step, 'first' AS head, NULL AS baseline, NULL::BIGINT AS files_before, a AS files, 1 AS census FROM n UNION ALL SELECT 2, 'second', 'first', a, b, 2 FROM n UNION ALL SELECT 3, 'second', 'first', a, b, 2 FROM n UNION ALL SELECT 4, 'first', 'second', b, a, 2 FROM n""")
 def sc19_r12_sk10_sk11_builds(t: TableFacts) -> DataFrame:
     """Four builds into a fresh folder, the third of the second's commit: what each compares itself to, and the census after it."""
-    spark, out, rows = t.spark, storage.fresh_folder(t.spark), log(t)
+    spark, out, lines = t.spark, storage.fresh_folder(t.spark), log(t)
     done = []
     for step, (head, until) in enumerate((("first", "1995-01-01"), ("second", "1997-01-01"), ("second", "1997-01-01"), ("first", "1995-01-01")), 1):
-        files = rows.where(F.col("t") < F.unix_timestamp(F.lit(f"{until} 00:00:00"))).groupBy(F.col("fid").alias("key")).agg(F.sum("added").alias("loc"), F.lit(0).cast("long").alias("bits"))
-        current = {"root": "r", "keying": "path", "head": head, "headTs": float(head == "second"), "generated": str(step), "totals": {}}
-        which = snapshots.previous_baseline(spark, out, current)
-        before = which and snapshots.load_summary(spark, out, which)["head"]
-        n_before = which and snapshots.files_of(spark, out, which).count()
-        snapshots.write_summary(spark, out, current, files)
-        entries = snapshots.census(spark, out, current)
-        snapshots.write_census(spark, out, current, entries)
-        done.append((step, head, before, n_before, snapshots.files_of(spark, out).count(), len(entries)))
+        files = lines.where(F.col("t") < F.unix_timestamp(F.lit(f"{until} 00:00:00"))).groupBy(F.col("fid").alias("key")).agg(F.sum("added").alias("loc"), F.lit(0).cast("long").alias("bits"))
+        rows = snapshots.builds(spark, out)
+        before = snapshots.baseline(rows, "r", "path", head).first()
+        n_before = before and snapshots.files_of(spark, out, before["build"]).count()
+        build = snapshots.append(spark, out, {"root": "r", "keying": "path", "head": head, "head_t": float(head == "second"), "generated": str(step), "totals": {"files": step}}, files)
+        census = snapshots.census(snapshots.builds(spark, out), "r", "path")
+        done.append((step, head, before and before["head"], n_before, snapshots.files_of(spark, out, build).count(), census.count()))
     return spark.createDataFrame(done, "step int, head string, baseline string, files_before long, files long, census int")
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..operators import changes_since
+from ..functions import measures, paths
+from ..operators import changes_since, folders, graph
+from ..sources import storage
 from . import dsl
 from .analysis import Analysis, analyse
 
@@ -54,6 +56,39 @@ def markdown(report: dict) -> str:
     return "\n".join([*out, *(f"\n> {n}" for n in report["notes"])]) + "\n"
 
 
+#: Which signal of a snapshot each total counts.
+COUNTED = {"hotspots": "hotspot", "oversized": "oversized", "cycles": "cycle", "violations": "violation", "orphans": "orphan", "untested": "untested", "defects": "defect", "hubs": "hub", "clones": "clone"}
+#: The column of the index that holds a signal.
+HELD = {"hotspot": "is_hotspot", "oversized": "is_oversized", "cycle": "in_cycle", "violation": "violates", "orphan": "is_orphan", "untested": "untested", "defect": "is_defect", "hub": "is_hub", "clone": "is_clone"}
+#: The column of the index that a declared budget limits.
+LIMITED = {"max_file_loc": "loc", "max_function_cx": "max_complexity", "max_fanout": "fan_out", "max_import_depth": "depth"}
+
+
+def snapshot(index: DataFrame) -> DataFrame:
+    """key, loc, bits of an analysed index."""
+    held = [F.col(HELD[s]) if s in HELD else F.lit(False) for s in changes_since.SIGNALS]
+    return index.select(F.col("rel").alias("key"), "loc", measures.bitmask(*held).alias("bits"))
+
+
+def compared(now: Analysis, then: Analysis) -> tuple[dict[str, int], dict[str, int]]:
+    """How many files each total's signal was gained by, and the files by what became of them: added, removed, grown, shrunk."""
+    moves = storage.cut(changes_since.delta(snapshot(now.index), snapshot(then.index)))
+    gained = {r["signal"]: r["became"] or 0 for r in changes_since.signal_moves(moves).collect()}
+    kinds = {r["delta"]: r["count"] for r in moves.where("delta <> ''").groupBy("delta").count().collect()}
+    return {total: gained[signal] for total, signal in COUNTED.items()}, kinds
+
+
+def over_budget(done: Analysis) -> int | None:
+    """How many values are above the budgets of the rules file, None if it declares none. Binaries, data and vendored files have no budgets."""
+    limits = {k: float(v) for k, v in (done.rules.get("budgets") or {}).items() if k in LIMITED and isinstance(v, int | float) and v > 0}
+    if not limits:
+        return None
+    held = done.index.where(~F.col("is_binary") & F.col("rows").isNull() & ~paths.is_vendored(F.col("rel")))
+    if "max_import_depth" in limits:
+        held = held.join(graph.import_depth(done.imports.select("src", "dst")), "fid", "left").na.fill(0, ["depth"])
+    return folders.budgets(held.select("rel", *[F.col(LIMITED[k]).alias(k) for k in limits]), limits).count()
+
+
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
@@ -64,6 +99,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--rev", default="HEAD")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--fail-on", default="", help="conditions, comma-separated")
+    parser.add_argument("--compare", metavar="REV", help="a revision that new signals are counted from")
     parser.add_argument("--baseline", help="a totals file of an earlier report")
     parser.add_argument("--save-totals", help="where to write this report's totals")
     args = parser.parse_args(argv)
@@ -83,7 +119,15 @@ def main(argv: list[str] | None = None) -> int:
     if args.save_totals:
         with open(args.save_totals, "w", encoding="utf-8") as f:
             json.dump(report["totals"], f)
-    failures, skipped = changes_since.gates(report["totals"], before, None, None, [c for c in args.fail_on.split(",") if c], GATES)
+    became = None
+    if args.compare:
+        then = analyse(spark, args.root, args.compare)
+        became, kinds = compared(done, then)
+        before = before or then.totals()
+        print(f"since {args.compare}: " + (", ".join(f"{human(n)} {k}" for k, n in sorted(kinds.items())) or "no file moved"), file=sys.stderr)
+    conditions = [c for c in args.fail_on.split(",") if c.strip()]
+    over = over_budget(done) if any(c.strip().lower() == "budgets" for c in conditions) else None
+    failures, skipped = changes_since.gates(conditions, GATES, changes_since.figures(report["totals"], before, became, over))
     for line in skipped:
         print(f"not evaluated: {line}", file=sys.stderr)
     for line in failures:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions import measures, parsers, paths
 from quarrylens.operators import changes_since, clones, externals, folders, graph, history, layout, owners, signals, tests_map
 from quarrylens.plans import dsl
-from quarrylens.sources import repo, sinks
+from quarrylens.sources import repo, sinks, snapshots
 
 
 def edges(spark, pairs):
@@ -96,8 +96,51 @@ def test_grades(spark):
 
 def test_gates():
     names = {"cycles": "cycles", "hotspots": "hotspots", "hotspot": "hotspots"}
-    failures, skipped = changes_since.gates({"cycles": 2, "hotspots": 3}, {"cycles": 1}, None, None, ["cycles", "cycles-up", "new-hotspot", "budgets", "what"], names)
-    assert len(failures) == 2 and len(skipped) == 3
+    judged = lambda *figures: changes_since.gates(["cycles", " Cycles-up", "new-hotspot", "budgets", "what", "what-up", ""], names, changes_since.figures(*figures))
+    failed, unknown = judged({"cycles": 2, "hotspots": 3}, {"cycles": 1}, None, None)
+    assert [f.split(":")[0] for f in failed] == ["cycles", " Cycles-up"] and len(unknown) == 5
+    failed, unknown = judged({"cycles": 0, "hotspots": 3}, {"cycles": 1}, {"hotspots": 2}, 4)
+    assert [f.split(":")[0] for f in failed] == ["new-hotspot", "budgets"] and len(unknown) == 3
+    assert judged({"cycles": 1, "hotspots": 3}, {"cycles": 1}, {}, 0)[0] == ["cycles: 1, allowed 0"]
+
+
+def test_builds(spark, tmp_path):
+    """What a build is compared with, the census, and a build that got no further than its files."""
+    files = spark.createDataFrame([("a", 3, 1), ("b", 4, 0)], "key string, loc long, bits long")
+    row = lambda head, t, root="r": {"root": root, "keying": "path", "head": head, "head_t": float(t), "generated": str(t), "totals": {"files": t}}
+    against = lambda head, root="r": [r["build"] for r in snapshots.baseline(snapshots.builds(spark, str(tmp_path)), root, "path", head).collect()]
+    assert against("x") == [] and snapshots.census(snapshots.builds(spark, str(tmp_path)), "r", "path").count() == 0
+    for i, (head, t) in enumerate((("x", 1), ("y", 2), ("y", 3), (None, 4)), 1):
+        assert snapshots.append(spark, str(tmp_path), row(head, t), files.limit(i % 2 + 1)) == i
+    assert (against("y"), against("x"), against(None), against("y", "another")) == ([4], [4], [4], [])
+    files.write.parquet(f"{tmp_path}/files/build=5")  # no row: it is not there, and gets written over
+    assert against("z") == [4] and snapshots.append(spark, str(tmp_path), row("z", 0), files.where("key = 'a'")) == 5
+    assert [tuple(r) for r in snapshots.files_of(spark, str(tmp_path), 5).collect()] == [("a", 3, 1)]
+    census = snapshots.census(snapshots.builds(spark, str(tmp_path)), "r", "path").collect()
+    assert [(r["head"], r["generated"], r["totals"]) for r in census] == [("", "4", {"files": 4}), ("y", "3", {"files": 3}), ("x", "1", {"files": 1}), ("z", "0", {"files": 0})]
+
+
+def test_owners_file():
+    text = "# all\n*  @all # the rest\n[Docs] @x\n^[More]\n/a#b.py @c\n\tdocs/ @d @e\t#f\n#*.x @y\n"
+    assert owners.parse_codeowners(text) == [("*", ["@all"]), ("^[More]", []), ("/a#b.py", ["@c"]), ("docs/", ["@d", "@e"])]
+
+
+def test_depth_outside_the_band():
+    assert folders.choose_depth([(1, 2, 0), (2, 3, 0)], 100) == 2 and folders.choose_depth([(1, 3, 0), (2, 70, 0), (3, 500, 0)], 100) == 1
+    assert folders.choose_depth([(1, 1, 0), (2, 66, 0)], 100) == 2 and folders.choose_depth([(1, 1, 0), (2, 67, 0)], 100) == 1
+
+
+def test_split_where_half_is_reached():
+    cut = lambda *w: layout.split_weights([(str(i), x) for i, x in enumerate(w)])
+    assert (cut(5, 1, 1), cut(3, 3, 2, 2), cut(1, 1), cut(1, 1, 9), cut(0, 0, 0)) == (1, 2, 1, 2, 1)
+    rects, _ = layout.treemap([("a", 1000.0), ("b", 1.0)], 0, 0, 20, 10)
+    assert rects[0][3] == 17.6
+
+
+def test_long_literal_takes_no_stack(spark):
+    line = lambda c: f'x = join(y, "{c * 1_000_000}")'
+    rows = spark.createDataFrame([(i, "\n".join(line(c) for _ in range(8))) for i, c in enumerate(("a", '\\"'))], "fid long, text string")
+    assert clones.fingerprints(rows).count() == 2
 
 
 def test_clone_twins(spark):
