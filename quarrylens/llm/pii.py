@@ -280,20 +280,22 @@ def spans_of(groups: Column, longest: int, judge) -> Column:
 def _chunked(array: Column, start: Column, step, value, kind: str) -> Column:
     """value(state) for each state that step makes from array, in order, nulls left out.
 
-    They are gathered in chunks of ``CHUNK``, so that no array is copied once an entry.
+    An aggregate copies its whole state at each step, so the states of ``CHUNK`` entries are
+    gathered by themselves, and those of all chunks beside the state that goes on.
     """
     empty, nested = F.array().cast(kind), F.array().cast(f"array<{kind}>")
 
     def one(acc: Column, x: Column) -> Column:
-        def grown(state: Column) -> Column:
-            more = F.filter(F.array(value(state)), lambda v: v.isNotNull())
-            full = F.size(acc["last"]) >= CHUNK
-            return F.struct(state.alias("state"), F.when(full, more).otherwise(F.concat(acc["last"], more)).alias("last"), F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"]).alias("done"))
-
+        grown = lambda state: F.struct(state.alias("state"), F.concat(acc["out"], F.filter(F.array(value(state)), lambda v: v.isNotNull())).alias("out"))
         return _let(step(acc["state"], x), grown)
 
-    end = F.aggregate(array, F.struct(start.alias("state"), empty.alias("last"), nested.alias("done")), one)
-    return _let(end, lambda e: F.concat(F.flatten(e["done"]), e["last"]))
+    def whole(acc: Column, chunk: Column) -> Column:
+        done = F.aggregate(chunk, F.struct(acc["state"].alias("state"), empty.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["done"], F.array(d["out"])).alias("done")))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int")), lambda i: F.slice(array, i * CHUNK + 1, F.lit(CHUNK)))
+    found = F.aggregate(chunks, F.struct(start.alias("state"), nested.alias("done")), whole)["done"]
+    return F.when(F.size(array) > 0, F.flatten(found)).otherwise(empty)
 
 
 def best(spans: Column, longest: int) -> Column:
