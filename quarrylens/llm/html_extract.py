@@ -39,6 +39,8 @@ BLOCK = frozenset("address article aside blockquote body button caption center d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 HIDDEN = frozenset("head script style textarea title noscript template svg math iframe object canvas audio video select datalist noframes xmp".split())
+#: What a head may hold; any other start tag ends it, as its end tag and the start of the body may be left out.
+IN_HEAD = frozenset("head title base link meta style script noscript template noframes basefont bgsound".split())
 #: A start tag of the key ends an open element of the value, up to the nearest of the stops.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 ENDS_P = BLOCK - {"button", "label", "legend", "option", "optgroup", "caption", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
@@ -174,6 +176,14 @@ def parse(page: str) -> list[Node]:
         end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
         return (tags.find(">", end.end()) + 1 or len(page)) if end else len(page)
 
+    ends: dict[str, int] = {}
+
+    def last_end(tag: str) -> int:
+        """Where the last end tag of that name is, -1 if there is none."""
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>]|$)", page, re.I)), default=-1)
+        return ends[tag]
+
     at = 0
     size = len(page)
     while at < size:
@@ -196,7 +206,7 @@ def parse(page: str) -> list[Node]:
                 depth += -1 if closing else 1
                 if not depth:
                     hidden = ""
-            elif hidden == "head" and tag == "body" and not closing:
+            elif hidden == "head" and tag not in IN_HEAD and not closing:
                 hidden = ""
             elif tag in RAW and not closing:
                 at = raw_end(tag, at)
@@ -214,7 +224,8 @@ def parse(page: str) -> list[Node]:
         if tag in HIDDEN:
             if tag in BLOCK:
                 flush()
-            if not attributes.endswith("/"):
+            # What is never closed hides nothing, but for raw text and the head.
+            if not attributes.endswith("/") and (tag in RAW or tag == "head" or last_end(tag) >= at):
                 hidden, depth = tag, 1
             continue
         if tag in VOID:

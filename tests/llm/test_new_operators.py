@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.llm import minhash, periodic, spelling
+from quarrylens.llm import html_extract, minhash, periodic, pii, secrets, spelling
 from quarrylens.llm.common import checkpoint
 
 from .test_operators import docs_of, none, odd  # noqa: F401
@@ -260,3 +260,28 @@ def test_occurrences(spark, odd, none):  # noqa: F811
     got = {r["word"]: r["count"] for r in spelling.occurrences(many).groupBy("word").count().collect()}
     assert got == want and len(got) > 3
     assert spelling.grouped(none).count() == 0 and spelling.grouped(odd).count() == 0 and spelling.grouped(spark.createDataFrame([(None, "unnamed " * 9)], "doc_id long, text string")).count() == 1
+
+
+# -- mended: HTML that leaves tags out, long texts of pseudonyms and secrets ------------
+
+
+def test_omitted_and_unclosed_tags():
+    model = html_extract.train()
+    body = "<article><h1>A title of some words</h1><p>The first paragraph, with a few words. And more of them.</p><p>Another one, which is as long as the first one was.</p></article>"
+    want = html_extract.extract(f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>", model)
+    assert want.startswith("A title of some words\nThe first") and want.count("\n") == 2
+    for page in (
+        f"<!DOCTYPE html><html><head><title>t</title>{body}</html>", f"<title>t</title><meta charset=utf-8>{body}", f"<html><head><title>t</title><script>var a = '<p>';</script><body>{body}",
+        f"<head><title>t</title></head><body><noscript>{body}", f"<head><noscript><link rel=x></noscript><style>p {{}}</style>{body}", f"<head><title>t</title><body><svg>{body}", f"<head><title>t</title></head><noscript>no scripts here</noscript><body>{body}",
+    ):
+        assert html_extract.extract(page, model) == want, page
+
+
+def test_long_texts_take_seconds(spark):
+    began = time.time()
+    hosts = pii.pseudonymised(docs_of(spark, ["a@b" + ".c" * 500_000, "12 " * 30_000, "+1" + ".2" * 5_000]), "k").orderBy("doc_id").collect()
+    assert [r["n_email"] for r in hosts] == [1, 0, 0] and hosts[1]["text"] == "12 " * 30_000
+    docs = docs_of(spark, ["eyJ" * 350_000, "eyJaaaaaaaaaa." * 75_000, "x eyJaaaaaaaa.bbbbbbbb.cccccccc y"])
+    spans = [r["spans"] for r in secrets.digest_columns(secrets.findings(docs, secrets.update(docs))).orderBy("doc_id").collect()]
+    assert spans[0] == "" and spans[1].startswith("jwt:0:41") and spans[2] == "jwt:2:31"
+    assert time.time() - began < 120
