@@ -13,6 +13,7 @@ import io
 import json
 import re
 import tokenize
+from bisect import bisect_left
 
 #: Extensions of each language, and names that have one.
 EXTENSIONS = {
@@ -157,8 +158,9 @@ def masked(source: str, language: str) -> tuple[str, set[int], int]:
 
     text = _LEX.sub(blank, source)
     touched = set()
+    feeds = [m.start() for m in re.finditer("\n", source)] if marked else []
     for a, b in marked:
-        first = source.count("\n", 0, a) + 1
+        first = bisect_left(feeds, a) + 1
         touched |= set(range(first, first + source.count("\n", a, b) + 1))
     bare, raw = text.split("\n"), source.split("\n")
     return text, {n for n in touched if not bare[n - 1].strip() and raw[n - 1].strip()}, debt

@@ -78,3 +78,12 @@ def line_offsets(docs: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     return every.select("id", (F.col("n") + 1).alias("line"), F.coalesce(F.sum(size).over(w), F.lit(0)).alias("offset"), size.cast("long").alias("bytes"))
+
+
+def json_rows(source: Column) -> Column:
+    """The length of an array, of an object the number of its keys or its longest array, whichever is more; 0 of another value, null of what is no JSON."""
+    held = F.map_values(F.from_json(source, "map<string,variant>"))
+    longest = F.array_max(F.transform(held, lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.json_array_length(F.to_json(v)))))
+    known = F.try_parse_json(source)
+    of = F.when(source.rlike(r"^\s*+\[") & known.isNotNull(), F.json_array_length(source)).when(source.rlike(r"^\s*+\{") & known.isNotNull(), F.greatest(F.size(F.json_object_keys(source)), F.coalesce(longest, F.lit(0))))
+    return F.coalesce(of, F.when(known.isNotNull(), 0)).cast("long")

@@ -10,6 +10,7 @@ import itertools
 import json
 import os
 import subprocess
+import weakref
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,6 +110,11 @@ def contents_at(spark: SparkSession, root: str, files: list[tuple[str, str]]) ->
     def opened():
         git = subprocess.Popen(["git", "-C", base, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
 
+        def close() -> None:
+            git.stdin.close()
+            git.stdout.close()
+            git.wait()
+
         def read(row) -> bytes:
             git.stdin.write(f"{row.blob}\n".encode())
             git.stdin.flush()
@@ -117,6 +123,7 @@ def contents_at(spark: SparkSession, root: str, files: list[tuple[str, str]]) ->
             git.stdout.read(1)
             return data
 
+        weakref.finalize(read, close)  # the task drops read when it ends
         return read
 
     return _read(spark, files, "rel string, blob string", opened)

@@ -1,9 +1,12 @@
 """A hand-built repository from its files to the report."""
 
 import subprocess
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarrylens.operators import changes_since
 from quarrylens.plans import report
 from quarrylens.plans.analysis import analyse
 from quarrylens.sources import repo
@@ -55,5 +58,13 @@ def test_report(spark, tmp_path, monkeypatch):
         assert [r["subject"] for r in commits.orderBy("ord").collect()] == ["fix: again"] * 3 + ["first"] and changes.where("rel = 'app/a.py'").count() == 4
     old = analyse(spark, str(root), rev="HEAD~2")
     assert old.totals()["files"] == 7 and {r["rel"]: r["commits"] for r in old.index.collect()}["app/a.py"] == 3
+    # Against an earlier revision at which app/a.py was no hotspot yet; a budget of one line is exceeded by both modules, the test and the README.
+    then = replace(old, index=old.index.withColumn("is_hotspot", F.lit(False)))
+    gained, kinds = report.compared(done, then)
+    assert then.totals()["hotspots"] == 0 and gained["hotspots"] == 1 and gained["oversized"] == 0 and "removed" not in kinds
+    done.rules["budgets"] = {"max_file_loc": 1, "max_import_depth": 5, "what": 1}
+    figures = changes_since.figures(done.totals(), then.totals(), gained, report.over_budget(done))
+    failed, unknown = changes_since.gates(["new-hotspot", "hotspots-up", "new-oversized", "budgets"], report.GATES, figures)
+    assert failed == ["new-hotspot: 1, allowed 0", "hotspots-up: 1, allowed 0", "budgets: 4, allowed 0"] and unknown == []
     with pytest.raises(ValueError):
         repo.tree_at(str(root), "nothing")
