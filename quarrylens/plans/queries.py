@@ -374,9 +374,11 @@ def g4_import_depth(t: TableFacts) -> DataFrame:
     return graph.import_depth(t.imports)
 
 
-@query("bl AS (SELECT 8::BIGINT AS fid, 0 AS hop UNION SELECT src, hop + 1 FROM bl JOIN imports ON dst = fid WHERE hop < 4) SELECT fid, min(hop)::INT AS hop FROM bl GROUP BY fid")
+@query("bl AS (SELECT * FROM (SELECT dst AS fid, 0 AS hop FROM imports GROUP BY dst ORDER BY count(DISTINCT src) DESC, dst LIMIT 1) UNION SELECT src, hop + 1 FROM bl JOIN imports ON dst = fid WHERE hop < 4) SELECT fid, min(hop)::INT AS hop FROM bl GROUP BY fid")
 def g5_blast_radius(t: TableFacts) -> DataFrame:
-    return graph.blast_radius(t.imports, [8])
+    """Of the file that most others import."""
+    most = t.imports.groupBy("dst").agg(F.countDistinct("src").alias("n")).orderBy(F.desc("n"), "dst").first()
+    return graph.blast_radius(t.imports, [most["dst"]] if most else [])
 
 
 @query(HIST + "SELECT fid, rel, (head - last_t) / 86400.0 AS idle_days FROM files JOIN h USING (fid), head WHERE (head - last_t) / 86400.0 >= 180 AND fid NOT IN (SELECT dst FROM imports)")
@@ -422,9 +424,9 @@ def w14_author_shares(t: TableFacts) -> DataFrame:
     return owners.author_shares(history.file_authors(log(t)))
 
 
-RULES = "* @FRANCE\n/promo/ @org/team @GERMANY\neconomy/Brand11/ @KENYA\n*_7*.py @JAPAN # sevens\n/standard/**/Brand2?/ @CHINA\n"
+RULES = "# nobody has medium\n[Types] @INDIA\n/small/ @FRANCE\nlarge/ @FRANCE\n*#*.py @INDIA\n/promo/ @org/team @GERMANY\neconomy/Brand11/ @KENYA\n*_7*.py @JAPAN # sevens\n/standard/**/Brand2?/ @CHINA\n"
 DECLARED = r""", dc AS (SELECT fid, rel, CASE WHEN regexp_full_match(rel, 'standard/(?:.*/)?Brand2[^/]/.*') THEN ['@CHINA'] WHEN regexp_matches(rel, '(?:^|.*/)[^/]*_7[^/]*\.py(?:/.*)?$') THEN ['@JAPAN']
-    WHEN regexp_full_match(rel, 'economy/Brand11/.*') THEN ['@KENYA'] WHEN regexp_full_match(rel, 'promo/.*') THEN ['@org/team', '@GERMANY'] ELSE ['@FRANCE'] END AS owners FROM files)"""
+    WHEN regexp_full_match(rel, 'economy/Brand11/.*') THEN ['@KENYA'] WHEN regexp_full_match(rel, 'promo/.*') THEN ['@org/team', '@GERMANY'] WHEN regexp_full_match(rel, '(?:.*/)?large/.*|small/.*') THEN ['@FRANCE'] END AS owners FROM files)"""
 
 
 @query(HIST + DECLARED + " SELECT fid, array_to_string(owners, ' ') AS owners FROM dc")
@@ -435,7 +437,7 @@ def j12_pr31_declared_owners(t: TableFacts) -> DataFrame:
 @query(HIST + DECLARED + """, kn AS (SELECT DISTINCT fid, replace(o, '@', '') AS author FROM (SELECT fid, unnest(owners) AS o FROM dc) WHERE o NOT LIKE '@%/%' AND replace(o, '@', '') IN (SELECT author FROM fa)),
 tt AS (SELECT fid, sum(lines) AS total FROM fa GROUP BY 1),
 al AS (SELECT kn.fid, max((kn.author = primary_author OR coalesce(lines, 0) / total >= 0.1)::INT) AS aligned FROM kn JOIN tt USING (fid) LEFT JOIN ow USING (fid) LEFT JOIN fa ON fa.fid = kn.fid AND fa.author = kn.author GROUP BY 1)
-SELECT fid, false AS unowned, coalesce(aligned = 0, false) AS drift FROM files LEFT JOIN al USING (fid)""")
+SELECT fid, owners IS NULL AS unowned, coalesce(aligned = 0, false) AS drift FROM dc LEFT JOIN al USING (fid)""")
 def r8_j13_pr32_owner_drift(t: TableFacts) -> DataFrame:
     authors = history.file_authors(log(t))
     names = authors.select("author").distinct()
