@@ -424,9 +424,9 @@ def w14_author_shares(t: TableFacts) -> DataFrame:
     return owners.author_shares(history.file_authors(log(t)))
 
 
-RULES = "# nobody has medium\n[Types] @INDIA\n/small/ @FRANCE\nlarge/ @FRANCE\n*#*.py @INDIA\n/promo/ @org/team @GERMANY\neconomy/Brand11/ @KENYA\n*_7*.py @JAPAN # sevens\n/standard/**/Brand2?/ @CHINA\n"
-DECLARED = r""", dc AS (SELECT fid, rel, CASE WHEN regexp_full_match(rel, 'standard/(?:.*/)?Brand2[^/]/.*') THEN ['@CHINA'] WHEN regexp_matches(rel, '(?:^|.*/)[^/]*_7[^/]*\.py(?:/.*)?$') THEN ['@JAPAN']
-    WHEN regexp_full_match(rel, 'economy/Brand11/.*') THEN ['@KENYA'] WHEN regexp_full_match(rel, 'promo/.*') THEN ['@org/team', '@GERMANY'] WHEN regexp_full_match(rel, '(?:.*/)?large/.*|small/.*') THEN ['@FRANCE'] END AS owners FROM files)"""
+RULES = "# nobody has medium\n[Types] @NATION_9\n/small/ @NATION_3\nlarge/ @NATION_3\n*#*.py @NATION_9\n/promo/ @org/team @NATION_7\neconomy/Brand11/ @NATION_11\n*_7*.py @NATION_17 # sevens\n/standard/**/Brand2?/ @NATION_18\n"
+DECLARED = r""", dc AS (SELECT fid, rel, CASE WHEN regexp_full_match(rel, 'standard/(?:.*/)?Brand2[^/]/.*') THEN ['@NATION_18'] WHEN regexp_matches(rel, '(?:^|.*/)[^/]*_7[^/]*\.py(?:/.*)?$') THEN ['@NATION_17']
+    WHEN regexp_full_match(rel, 'economy/Brand11/.*') THEN ['@NATION_11'] WHEN regexp_full_match(rel, 'promo/.*') THEN ['@org/team', '@NATION_7'] WHEN regexp_full_match(rel, '(?:.*/)?large/.*|small/.*') THEN ['@NATION_3'] END AS owners FROM files)"""
 
 
 @query(HIST + DECLARED + " SELECT fid, array_to_string(owners, ' ') AS owners FROM dc")
