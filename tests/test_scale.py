@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from quarrylens.functions import measures
@@ -64,3 +66,46 @@ def test_bulk_commits_are_not_gathered(spark):
 
 def test_said_for_people():
     assert [report.human_bytes(n) for n in (0, 1023, 1024, 1536, 3 << 20, 5 << 40)] == ["0 B", "1,023 B", "1.0 KB", "1.5 KB", "3.0 MB", "5,120.0 GB"] and report.human(1234567) == "1,234,567"
+
+
+@pytest.fixture
+def tiny(spark):
+    """Settings for many plans over few rows."""
+    new = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "1"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_deep_graphs_are_contracted(tiny, monkeypatch):
+    """Depth and impact, and the cycles that both use, after contraction: a chain, a ladder, rings and random edges."""
+    spark = tiny
+    monkeypatch.setattr(graph, "PLAIN", 1)
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(7)] + [(200 + i, 200 + j) for i in range(6) for j in (i + 2 - i % 2, i + 3 - i % 2)]
+    edges += [(400 + i, 400 + (i + 1) % 5) for i in range(5)] + [(404, 500), (500, 501), (5, 400)] + [(600 + rng.randrange(18), 600 + rng.randrange(18)) for _ in range(22)]
+    reach, nodes = reached(edges), {n for e in edges for n in e}
+    ring = {n: {m for m in reach.get(n, ()) if n in reach.get(m, ())} | {n} for n in nodes}
+    depth: dict = {}
+
+    def deep(c):
+        if c not in depth:
+            depth[c] = max((deep(min(ring[b])) + 1 for a, b in edges if a in ring[c] and b not in ring[c]), default=0)
+        return depth[c]
+
+    folder = {n: f"d{n % 7}" for n in nodes}
+    files = spark.createDataFrame([(n, f"{folder[n]}/f{n}.py" if n % 11 else f"{folder[n]}/tests/test_{n}.py") for n in nodes], "fid long, rel string")
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r["fid"]: r["depth"] for r in graph.import_depth(df).collect()} == {n: deep(min(ring[n])) for n in nodes}
+    back = reached([(b, a) for a, b in edges if a % 11])
+    want = {n: (len(back.get(n, set()) - {n}), len({folder[m] for m in back.get(n, set()) - {n}})) for n in nodes}
+    assert {r["fid"]: (r["impact"], r["impact_folders"]) for r in graph.impact(df, files).collect()} == want
+    assert {(r["impact"], r["impact_folders"]) for r in graph.impact(df.limit(0), files).collect()} == {(0, 0)}
+
+
+def test_rounds_of_contraction_grow_with_the_logarithm(tiny):
+    n = [len(graph.contracted(tiny.range(size).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).alias("w")))[0]) for size in (10, 160)]
+    assert n[1] <= n[0] + 10
