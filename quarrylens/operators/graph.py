@@ -3,7 +3,7 @@
 All of it is joins with reliable checkpoints; nothing is collected. Cycles, depth and impact go a few plain steps, which end most graphs. Deeper
 ones are contracted (``contracted``): independent nodes of few edges go, and an edge takes the place of each way through one. Chains, trees and narrow
 ladders are gone after a number of rounds that grows with the logarithm of their length; what is left is dense, so that few steps cross it. Values
-(``Ways.spread``) go through the rounds once forward, over the rest until nothing moves, and once backward; no table of pairs that reach each other is made.
+(``Ways.spread``) go through the rounds once forward, over the rest until nothing moves, and once backward; tables of pairs that reach each other are made only below bounds.
 """
 
 from __future__ import annotations
@@ -19,11 +19,18 @@ from ..functions import measures, paths
 from ..sources.storage import cut
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """src, dst for every path of one edge or more: as many rows as there are such pairs, for graphs where these are few."""
+def closure(edges: DataFrame, each: int | None = None) -> DataFrame | None:
+    """src, dst for every path of one edge or more: as many rows as there are such pairs, for graphs where these are few.
+
+    each: None is returned, before the join is run, where a step would join more than so many rows for each edge.
+    """
     known = cut(edges.select("src", "dst").distinct())
-    n = known.count()
+    n = first = known.count()
     while True:
+        if each is not None:
+            into, out = known.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), known.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+            if (into.join(out, "node").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0) > each * first:
+                return None
         further = known.join(known.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
         known = cut(known.union(further).distinct())
         now = known.count()
@@ -64,7 +71,7 @@ def gone_nodes(edges: DataFrame) -> DataFrame:
 
 
 #: Plain steps before a graph is contracted.
-PLAIN = 16
+PLAIN = 64
 
 
 class Ways:
@@ -202,6 +209,9 @@ def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: Bitmaps of 32,768 places that go through the graph together; more are further passes, so that a pass has a bounded size for each component.
 TOGETHER = 8
 
+#: Rows for each edge up to which pairs are joined: a bitmap takes the room of 256 of them.
+PAIRS_EACH = 256
+
 
 def reaching(ways: Ways, own: DataFrame) -> Iterator[DataFrame]:
     """own (node, kind, n: numbers from 1) -> passes of node, kind, bucket, value: bitmaps of the numbers that reach a node, its own included."""
@@ -222,13 +232,15 @@ def came_from_before(bits: DataFrame, dag: DataFrame, asked: DataFrame) -> DataF
 def impact(edges: DataFrame, files: DataFrame) -> DataFrame:
     """fid, impact, impact_folders: files, and their folders, that import a file in any number of steps. Tests and vendored files do not count.
 
-    Importers and folders are numbered, and their bitmaps go along the condensed graph. A file doesn't count for itself: nor does
+    Where pairs take less room than bitmaps they are joined. Else importers and folders are numbered, and their bitmaps go along the condensed graph. A file doesn't count for itself: nor does
     its folder, unless another file of the folder is in its component or the folder comes from outside the component.
     """
     ok = files.where(~paths.is_test(F.col("rel")) & ~paths.is_vendored(F.col("rel"))).select(F.col("fid").alias("src"), paths.folder(F.col("rel")).alias("folder"))
     edges = cut(edges.join(ok.select("src"), "src", "left_semi").where("src <> dst").select("src", "dst").distinct())
-    if edges.isEmpty():
-        return files.select("fid", F.lit(0).cast("long").alias("impact"), F.lit(0).cast("long").alias("impact_folders"))
+    pairs = closure(edges, PAIRS_EACH)
+    if pairs is not None:
+        counted = pairs.where("src <> dst").join(ok, "src").groupBy(F.col("dst").alias("fid")).agg(F.count("*").alias("impact"), F.countDistinct("folder").alias("impact_folders"))
+        return files.select("fid").join(counted, "fid", "left").na.fill(0)
     nodes, dag = condensed(edges)
     ways = Ways(dag.withColumn("w", F.lit(1)))
     sources = nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi").join(ok.withColumnRenamed("src", "node"), "node")

@@ -84,6 +84,7 @@ def test_deep_graphs_are_contracted(tiny, monkeypatch):
     """Depth and impact, and the cycles that both use, after contraction: a chain, a ladder, rings and random edges."""
     spark = tiny
     monkeypatch.setattr(graph, "PLAIN", 1)
+    monkeypatch.setattr(graph, "PAIRS_EACH", -1)
     rng = random.Random(11)
     edges = [(i, i + 1) for i in range(7)] + [(200 + i, 200 + j) for i in range(6) for j in (i + 2 - i % 2, i + 3 - i % 2)]
     edges += [(400 + i, 400 + (i + 1) % 5) for i in range(5)] + [(404, 500), (500, 501), (5, 400)] + [(600 + rng.randrange(18), 600 + rng.randrange(18)) for _ in range(22)]
@@ -103,6 +104,8 @@ def test_deep_graphs_are_contracted(tiny, monkeypatch):
     back = reached([(b, a) for a, b in edges if a % 11])
     want = {n: (len(back.get(n, set()) - {n}), len({folder[m] for m in back.get(n, set()) - {n}})) for n in nodes}
     assert {r["fid"]: (r["impact"], r["impact_folders"]) for r in graph.impact(df, files).collect()} == want
+    monkeypatch.setattr(graph, "PAIRS_EACH", 256)
+    assert {r["fid"]: (r["impact"], r["impact_folders"]) for r in graph.impact(df, files).collect()} == want
     assert {(r["impact"], r["impact_folders"]) for r in graph.impact(df.limit(0), files).collect()} == {(0, 0)}
 
 
