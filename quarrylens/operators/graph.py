@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import measures, paths
-from ..sources.storage import cut
+from ..sources.storage import cut, dealt
 
 
 def closure(edges: DataFrame, each: int | None = None) -> DataFrame | None:
@@ -290,16 +290,29 @@ def orphans(files: DataFrame, edges: DataFrame, history: DataFrame, head: DataFr
     return idle.where(F.col("idle_days") >= th.stale_days).select("fid", "rel", "idle_days")
 
 
-def resolve_python(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """fid, rel, spec (a dotted name, leading dots are relative) -> src, spec, dst: the longest prefix that is a module, not itself."""
+def resolved(imports: DataFrame, probes: DataFrame, order: Column) -> DataFrame:
+    """rel, spec, key with key, n, dst of all files that a key may mean -> src, spec, dst: the first in order that is not the importer.
+
+    A name is looked up once, however many files import it, and its few candidates go to the imports.
+    """
+    found = probes.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(order.alias("n"), "dst"))).alias("found"))
+    dst = F.get(F.filter("found", lambda x: x["dst"] != F.col("rel")), F.lit(0))["dst"]
+    return imports.join(found, "key").select(F.col("rel").alias("src"), "spec", dst.alias("dst")).where("dst is not null")
+
+
+def resolve_python(imports: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """fid, rel, spec (a dotted name, leading dots are relative) -> src, spec, dst: the longest prefix that is a module, not itself.
+
+    tasks: how many the imports are dealt to.
+    """
     modules = files.where(F.col("rel").endswith(".py")).select(F.col("rel").alias("dst"), F.replace(F.regexp_replace("rel", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit(".")).alias("module"))
     dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
     rest = F.regexp_replace("spec", r"^\.+", "")
     base = F.slice(paths.dirs_of(F.col("rel")), F.lit(1), F.greatest(F.lit(0), F.size(paths.dirs_of(F.col("rel"))) - F.greatest(F.lit(0), dots - 1)))
     names = F.filter(F.concat(F.when(dots > 0, base).otherwise(F.array().cast("array<string>")), F.split(rest, r"\.")), lambda x: x != "")
-    steps = imports.select("rel", "spec", names.alias("names")).where(F.size("names") > 0)
-    probes = steps.select("rel", "spec", F.explode(F.sequence(F.lit(1), F.size("names"))).alias("n"), "names").select("rel", "spec", "n", F.array_join(F.slice("names", F.lit(1), F.col("n")), ".").alias("module"))
-    return probes.join(modules, "module").where("dst <> rel").groupBy("rel", "spec").agg(F.max_by("dst", "n").alias("dst")).select(F.col("rel").alias("src"), "spec", "dst")
+    steps = dealt(imports.select("rel", "spec"), tasks, "rel", "spec").distinct().select("rel", "spec", names.alias("key")).where(F.size("key") > 0)
+    probes = steps.select("key").distinct().select("key", F.explode(F.sequence(F.lit(1), F.size("key"))).alias("n")).select("key", "n", F.array_join(F.slice("key", F.lit(1), F.col("n")), ".").alias("module"))
+    return resolved(steps, probes.join(modules, "module"), -F.col("n"))
 
 
 #: What may be missing at the end of a path import, in the order of trial.
@@ -312,8 +325,9 @@ def normal_path(path):
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda acc, x: F.when((x == "..") & (F.size(acc) == 0), F.array(x)).otherwise(F.when((F.size(acc) == 0), F.when(x.isin("", "."), acc).otherwise(F.array(x))).otherwise(step(acc, x)))), "/")
 
 
-def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """rel, spec (./ or ../) -> src, spec, dst: the first suffix that makes it a file, not itself."""
+def resolve_relative(imports: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """rel, spec (./ or ../) -> src, spec, dst: the first suffix that makes it a file, not itself. tasks: how many the imports are dealt to."""
     joined = normal_path(F.concat_ws("/", paths.folder(F.col("rel")), F.col("spec")))
-    probes = imports.select("rel", "spec", joined.alias("p")).select("rel", "spec", F.posexplode(F.array(*[F.concat("p", F.lit(s)) for s in SUFFIXES])).alias("n", "dst"))
-    return probes.join(files.select(F.col("rel").alias("dst")), "dst").where("dst <> rel").groupBy("rel", "spec").agg(F.min_by("dst", "n").alias("dst")).select(F.col("rel").alias("src"), "spec", "dst")
+    steps = dealt(imports.select("rel", "spec"), tasks, "rel", "spec").distinct().select("rel", "spec", joined.alias("key"))
+    probes = steps.select("key").distinct().select("key", F.posexplode(F.array(*[F.concat("key", F.lit(s)) for s in SUFFIXES])).alias("n", "dst"))
+    return resolved(steps, probes.join(files.select(F.col("rel").alias("dst")), "dst"), F.col("n"))
