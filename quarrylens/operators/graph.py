@@ -328,6 +328,7 @@ def normal_path(path):
 def resolve_relative(imports: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:
     """rel, spec (./ or ../) -> src, spec, dst: the first suffix that makes it a file, not itself. tasks: how many the imports are dealt to."""
     joined = normal_path(F.concat_ws("/", paths.folder(F.col("rel")), F.col("spec")))
-    steps = dealt(imports.select("rel", "spec"), tasks, "rel", "spec").distinct().select("rel", "spec", joined.alias("key"))
+    # The key is made before the shuffle, so that it is made once for both uses; as it can't be null, no filter makes it again.
+    steps = dealt(imports.select("rel", "spec", F.coalesce(joined, F.lit("")).alias("key")), tasks, "rel", "spec").distinct()
     probes = steps.select("key").distinct().select("key", F.posexplode(F.array(*[F.concat("key", F.lit(s)) for s in SUFFIXES])).alias("n", "dst"))
     return resolved(steps, probes.join(files.select(F.col("rel").alias("dst")), "dst"), F.col("n"))
