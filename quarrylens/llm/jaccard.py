@@ -14,8 +14,10 @@ their overlap is at least 3/4 of their union, which bounds what has to be multip
 most frequent of them, a broadcast of 16 MB at most) come last, by frequency. The order
 decides the work, never the result.
 
-Columns of at most ``HOT`` documents give their pairs directly. Of a hot column, and of one that is
-longer though the table had no room for it, only
+Columns without a place in the table give their pairs directly, also those of more than ``HOT`` documents that it had
+no room for, the least frequent first, up to ``PAIRED`` documents and ``PAIRS`` for each document of the table: the least
+frequent are mostly common words that meet by chance, where stars link nothing. Of a hot column, and of one that is longer
+than that, only
 the star around one document is multiplied at first; after linking, columns that lie in
 one component need no more work. Those that do not are joined into groups, and in each the
 documents outside its largest component are multiplied with all, in blocks of rows. Documents with the
@@ -50,6 +52,8 @@ PERCENT = 75
 SHARED = 10
 HOT = 16
 HOT_TABLE = 1_000_000
+#: Columns that the table has no room for give their pairs up to so many documents, and so many pairs for each document (about a third lie in prefixes, 20 bytes each).
+PAIRED, PAIRS = 256, 512
 FLUSH = 1 << 19
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
 #: Groups of fewer than SPREAD full blocks are cut into about so many smaller ones, though not below SMALL_ROWS, so that several tasks share them.
@@ -261,14 +265,22 @@ def hot_order(texts: DataFrame, hot: int = HOT, table: int = HOT_TABLE) -> Order
 
     found = texts.mapInArrow(count, "bucket int, payload binary").groupBy("bucket").applyInArrow(merge, "token long, df long")
     found = checkpoint(found)
-    full = found.count() > table
+    every, full = found, found.count() > table
     if full:
         least = found.approxQuantile("df", [1 - table / found.count()], 0.001)[0]
         found = found.where(F.col("df") > least).orderBy(F.desc("df"), "token").limit(table)
     got = found.toArrow()
     tokens, df = got.column("token").to_numpy().astype(np.uint64), got.column("df").to_numpy()
+    limit = None
+    if full:  # what the table has no room for is no more frequent than anything in it
+        longest = int(df.min()) if len(df) else int(least)
+        some = every.where(F.col("df") <= min(longest, PAIRED)).groupBy("df").count().orderBy("df").toArrow()
+        length, columns = (some.column(i).to_numpy() for i in range(2))
+        within = length[np.cumsum(columns * length * (length - 1) // 2) <= PAIRS * docs]
+        limit = max(hot, int(within.max(initial=0)))
+        limit = None if len(within) == len(length) and longest <= PAIRED else limit
     by = np.argsort(tokens)
-    return Order(tokens[by], df[by], bits, hot if full else None)
+    return Order(tokens[by], df[by], bits, limit)
 
 
 def features(texts: DataFrame, order) -> DataFrame:
@@ -336,22 +348,24 @@ def cold_pairs(texts: DataFrame, order) -> tuple[DataFrame, DataFrame | None]:
                 return
             cuts = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
             lengths = np.diff(np.append(cuts, len(g)))
-            found, size = [], 0
-            for length in np.unique(lengths[lengths > 1]):
-                starts = cuts[lengths == length]
-                for i in range(length - 1):  # the i-th document of every column of this length with those behind it
-                    for at in range(0, len(starts), max(1, FLUSH // int(length))):
-                        base = starts[at : at + max(1, FLUSH // int(length))]
-                        left = np.repeat(base + i, length - 1 - i)
-                        right = (base[:, None] + np.arange(i + 1, length)).ravel()
-                        ok = (doc[left] != doc[right]) & (4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right]))
-                        left, right = left[ok], right[ok]
-                        least = np.maximum(1, np.minimum(n[left], n[right]) // SHARED) - np.minimum(h[left], h[right])
-                        found.append(np.stack([np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right]), np.full(len(left), i == 0, np.int64), least]))
-                        size += len(left)
-                        if size >= FLUSH:
-                            yield from summed(found)
-                            found, size = [], 0
+            first = np.repeat(cuts, lengths)
+            behind = np.repeat(cuts + lengths, lengths) - np.arange(len(g)) - 1  # each document with those behind it in its column
+            upto = np.cumsum(behind)
+            found, size, at = [], 0, 0
+            while at < len(g):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + FLUSH, "right")))
+                w = behind[at:end]
+                left = np.repeat(np.arange(at, end), w)
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w)
+                ok = (doc[left] != doc[right]) & (4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right]))
+                left, right = left[ok], right[ok]
+                least = np.maximum(1, np.minimum(n[left], n[right]) // SHARED) - np.minimum(h[left], h[right])
+                found.append(np.stack([np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right]), left == first[left], least]))
+                size += len(left)
+                at = end
+                if size >= FLUSH:
+                    yield from summed(found)
+                    found, size = [], 0
             if found:
                 yield from summed(found)
 
@@ -391,7 +405,7 @@ def cold_pairs(texts: DataFrame, order) -> tuple[DataFrame, DataFrame | None]:
     columns = postings.repartition(partitions(texts.sparkSession), "g").sortWithinPartitions("g", "doc")
     found, long = columns.mapInArrow(multiply, "a long, b long, star boolean, c long, least long"), None
     if limit is not None:
-        found = checkpoint(found)
+        found = stored(found)
         long = found.where("star is null").select(F.col("b").alias("g"), F.col("a").alias("doc"), F.col("c").alias("n"))
         found = found.where("star is not null")
     sums = found.groupBy("a", "b").agg(F.max("star").alias("star"), F.sum("c").alias("c"), F.max("least").alias("least"))

@@ -525,6 +525,31 @@ def test_jaccard(spark, monkeypatch, hot, table):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+@pytest.mark.parametrize("pairs", [512, 0])
+def test_jaccard_beyond_the_table(spark, monkeypatch, pairs):
+    """Passages that unrelated texts have by chance, more than the table of hot n-grams has room for: they give pairs, which few columns do not keep, and no blocks of whole sets. Without the allowance for pairs the result is the same."""
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    chance = [[word() for _ in range(5)] for _ in range(30)]
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(200)]
+        for at, passage in zip(range(0, 200, 25), rng.sample(chance, 8), strict=True):
+            words[at : at + 5] = passage
+        texts.append(" ".join(words))
+    texts += [t.replace(t.split()[100], "other") for t in texts[:5]]
+    rows = list(enumerate(texts))
+    original, links, blocks = jaccard.hot_order, jaccard.block_links, []
+    monkeypatch.setattr(jaccard, "hot_order", lambda t: original(t, 4, 10))
+    monkeypatch.setattr(jaccard, "block_links", lambda rows, *a: blocks.append(rows.select("doc").distinct().count()) or links(rows, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert original(df, 4, 10).limit == (None if pairs else 4)
+    got = jaccard.labelled(df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert sum(blocks) == 0 if pairs else sum(blocks) > 40
+
+
 def test_jaccard_odd(spark, odd, none):
     got = jaccard.labelled(odd).collect()
     assert len(got) == odd.count() and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1} and {r["component_id"] for r in got if r["doc_id"] in (7, 8)} == {7}
